@@ -269,7 +269,7 @@ def digests(df: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", t
                 )
 
     kept = df.select(F.col(f"`{key}`"), F.col(f"`{text}`").cast("string"))
-    schema = kept.select(key).schema.add("n_tokens", "bigint").add("ids_sha256", "string").add("decoded_sha256", "string")
+    schema = kept.select(key).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     return kept.mapInArrow(run, schema)
 
 

@@ -449,7 +449,7 @@ def read_images(df: DataFrame, media: str = "media", payload: bool = False) -> D
     made = ["width", "height", "thumb_hash", "thumb_digest", "error", *["payload"] * payload]
     rest = [c for c in df.columns if c not in made]
     schema = df.select(*[F.col(f"`{c}`") for c in rest]).schema
-    for name, kind in zip(made, ("int", "int", "string", "string", "string", "binary")):
+    for name, kind in zip(made, ("integer", "integer", "string", "string", "string", "binary")):
         schema = schema.add(name, kind)
     types = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.binary()]
     base = df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{media}`").cast("binary").alias("__in"))
@@ -477,10 +477,10 @@ def digests(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     """Store each whole text, read the stored bytes back, and return sizes, digests and features."""
     import pyarrow as pa
 
-    stored = write_media(df.select(F.col(f"`{key}`").alias("key"), F.octet_length(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).cast("bigint").alias("n_bytes"), F.col(f"`{text}`").cast("string").alias("text")))
+    stored = write_media(df.select(F.col(f"`{key}`").alias("key"), F.octet_length(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).cast("long").alias("n_bytes"), F.col(f"`{text}`").cast("string").alias("text")))
     names = [key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     schema = df.select(F.col(f"`{key}`")).schema
-    for name, kind in zip(names[1:], ("bigint", "bigint", "string", "bigint", "bigint", "string", "string")):
+    for name, kind in zip(names[1:], ("long", "long", "string", "long", "long", "string", "string")):
         schema = schema.add(name, kind)
 
     def run(batches):

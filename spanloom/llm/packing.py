@@ -164,7 +164,7 @@ def pack_documents(df: DataFrame, tokenizer_path: str, end_id: int = 0, key: str
     end = int(end_id).to_bytes(4, "little")
     kept = df.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").cast("string"))
     schema = kept.select(key)
-    for name, kind in (("start", "bigint"), ("length", "bigint"), ("ids_crc32", "bigint"), ("doc_tokens", "bigint"), ("sequence_id", "bigint"), ("offset", "bigint")):
+    for name, kind in (("start", "long"), ("length", "long"), ("ids_crc32", "long"), ("doc_tokens", "long"), ("sequence_id", "long"), ("offset", "long")):
         schema = schema.withColumn(name, F.lit(None).cast(kind))
     id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kept.dtypes[0][1]]
 
@@ -211,10 +211,10 @@ def pack_examples(df: DataFrame, key: str, tokens_col: str, loss_col: str, token
 
     Nulls count as 0 tokens; an example of no tokens takes no place and is left out of the result.
     """
-    kept = df.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{tokens_col}`"), F.lit(0)).cast("bigint").alias("tokens"), F.coalesce(F.col(f"`{loss_col}`"), F.lit(0)).cast("bigint").alias("loss"))
+    kept = df.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{tokens_col}`"), F.lit(0)).cast("long").alias("tokens"), F.coalesce(F.col(f"`{loss_col}`"), F.lit(0)).cast("long").alias("loss"))
     schema = kept.select("key").schema
     for name in ("start", "length", "sequence_id", "offset"):
-        schema = schema.add(name, "bigint")
+        schema = schema.add(name, "long")
 
     def run(frames: Iterator):
         import pandas as pd
