@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 from .bpe import op1_byte_bpe
+from .langid import op6_viterbi_langid
+from .lines import OP4_SQL, op4_site_lines
 from .media import op7_jpeg_payload
 from .packing import op8_vector_packing
+from .sharding import op5_hash_tree
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op4_site_lines": op4_site_lines,
+    "op5_hash_tree": op5_hash_tree,
+    "op6_viterbi_langid": op6_viterbi_langid,
     "op7_jpeg_payload": op7_jpeg_payload,
     "op8_vector_packing": op8_vector_packing,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op4_site_lines": OP4_SQL}
