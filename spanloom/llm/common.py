@@ -43,9 +43,9 @@ def save(df: DataFrame, name: str) -> DataFrame:
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan (file sizes for a scan)."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(min(float(size.toString()), 1e18))
+    """Size of what a plan reads: Catalyst's estimate for its leaves (file sizes for scans), whatever columns it takes."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return int(min(sum(float(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())), 1e18))
 
 
 def parts(df: DataFrame, bytes_each: int, least: int | None = None) -> int:

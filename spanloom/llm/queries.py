@@ -8,9 +8,11 @@ from .lines import OP4_SQL, op4_site_lines
 from .media import op7_jpeg_payload
 from .packing import op8_vector_packing
 from .sharding import op5_hash_tree
+from .substrings import op2_repeated_spans
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_repeated_spans": op2_repeated_spans,
     "op4_site_lines": op4_site_lines,
     "op5_hash_tree": op5_hash_tree,
     "op6_viterbi_langid": op6_viterbi_langid,
