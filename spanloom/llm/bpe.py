@@ -18,252 +18,475 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
-from collections.abc import Iterable, Iterator
-from heapq import heapify, heappop, heappush
-from struct import pack
+import json
+from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bound of the memo of one Python worker (words or chunks, and their characters).
-MEMO_ENTRIES = 1_000_000
-MEMO_CHARS = 12_000_000
-#: Characters of text replayed together.
-BLOCK_CHARS = 6_000_000
-
-#: A space next to other white space: there, splitting at single spaces would change the matches.
-_LOOSE = re.compile(r" \s|\s ")
-
-
-def read_ranks(path: str) -> dict[bytes, int]:
-    """Token bytes to rank, from a file of base64 token and rank on each line."""
-    with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+from .common import column_bytes, hash_words
+
+#: Words in each generation of a worker's memo, beyond those of one block.
+MEMO_ENTRIES = 250_000
+#: Tokens below this id merge by table and by arrays.
+DENSE = 4096
+NEVER = 1 << 62
+#: Words of more bytes are replayed position by position.
+LONG = 64
+#: Fixed value: the pattern of byte-level BPE by which each single space begins a match.
+SPACED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+MARKS = frozenset(".,;:!?")
+#: Bytes of text replayed together.
+BLOCK_BYTES = 16_000_000
+
+class Memo:
+    """A bounded memo in two generations: what a block needs moves to the present one, the past one is dropped."""
+
+    def __init__(self, entries: int = MEMO_ENTRIES):
+        self.now: dict[str, bytes] = {}
+        self.past: dict[str, bytes] = {}
+        self.entries = entries
+
+    def missing(self, keys: set[str]) -> set[str]:
+        """Which of the keys a block needs are unknown; the known ones stand in `now` afterwards."""
+        if len(self.now) > self.entries:
+            self.past, self.now = self.now, {}
+        keys = keys.difference(self.now)
+        known = keys.intersection(self.past)
+        self.now.update({k: self.past[k] for k in known})
+        return keys - known
 
 
 class Replay:
-    """Encoder over a rank table; encode_block() replays the merges of all words of a block together."""
+    """Encoder over the merges of a vocabulary; encode_rows() replays the merges of all words of a block together.
+
+    vocab: the bytes of each id. pairs: (left << 32 | right) to the id that the two ids merge into; merges of smaller
+    ids go first. whole: a word that is a token as a whole is that token, whatever its merges.
+    """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, vocab: list[bytes], pairs: dict[int, int], pattern: str, whole: bool):
         import regex
 
-        self.ranks = ranks
         self.find = regex.compile(pattern).findall
-        self.vocab: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
+        #: Whether rows can be cut at spaces, which holds for this pattern only.
+        self.spaced = pattern == SPACED
+        self.vocab, self.pairs, self.whole = vocab, pairs, whole
+        self.id_of = {t: i for i, t in enumerate(vocab) if t}
+        self.single = np.array([self.id_of[bytes([b])] for b in range(256)])
+        if self.single.max() >= DENSE:
+            raise ValueError(f"the single bytes must have ids below {DENSE}")
+        #: The pairs of ids below DENSE as a table; `none` where there is no merge.
+        self.none = 0xFFFF if len(vocab) < 0xFFFF else 0xFFFFFFFF
+        self.dense = np.full((DENSE, DENSE), self.none, dtype=np.uint16 if self.none == 0xFFFF else np.uint32)
+        for pair, rank in pairs.items():
+            if pair >> 32 < DENSE and pair & 0xFFFFFFFF < DENSE:
+                self.dense[pair >> 32, pair & 0xFFFFFFFF] = rank
+        self.keys = np.array(sorted(pairs), dtype=np.int64)
+        self.values = np.array([pairs[k] for k in self.keys.tolist()], dtype=np.int64)
+        self.words = Memo()
+
+    @classmethod
+    def of_ranks(cls, raw: bytes, pattern: str) -> Replay:
+        """From lines of base64 token and rank; every cut of a token into two tokens merges into it."""
+        ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in raw.splitlines() if x)}
+        vocab = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
-            self.vocab[rank] = token
-        self.single = [ranks[bytes([b])] for b in range(256)]
-        #: (left << 32 | right) to the rank of the merge, for every cut of every token into two tokens.
-        self.pairs = {ranks[t[:i]] << 32 | ranks[t[i:]]: rank for t, rank in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {}
-        self.chars = 0
-
-    def replay(self, words: list[bytes]) -> list[list[int]]:
-        """Token ids of each word."""
-        rank_of, single = self.pairs.get, self.single
-        tokens: list[int] = []
-        owner: list[int] = []
-        starts: list[int] = []
-        for w, word in enumerate(words):
-            starts.append(len(tokens))
-            tokens.extend([single[b] for b in word])
-            owner.extend([w] * len(word))
-        n = len(tokens)
-        after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-        for s in starts:
-            if s < n:
-                before[s] = -1
-            if s:
-                after[s - 1] = -1
-        if n:
-            after[n - 1] = -1
-        index: dict[int, list[int]] = {}
-        for i, rank in enumerate(map(rank_of, [a << 32 | b for a, b in zip(tokens, tokens[1:])])):
-            if rank is not None and after[i] >= 0:
+            vocab[rank] = token
+        pairs = {ranks[t[:i]] << 32 | ranks[t[i:]]: rank for t, rank in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
+        return cls(vocab, pairs, pattern, True)
+
+    @classmethod
+    def of_json(cls, raw: bytes, pattern: str) -> Replay:
+        """From a tokenizers file of a byte-level BPE whose ids follow the order of its merges."""
+        model = json.loads(raw)["model"]
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in printable]
+        byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
+        ids = model["vocab"]
+        vocab = [b""] * (max(ids.values()) + 1)
+        for token, i in ids.items():
+            if all(c in byte_of for c in token):
+                vocab[i] = bytes(byte_of[c] for c in token)
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        made = [ids[a + b] for a, b in merges]
+        if made != sorted(made):
+            raise ValueError("ids don't follow the order of the merges")
+        pairs: dict[int, int] = {}
+        for (a, b), i in zip(merges, made):
+            pairs.setdefault(ids[a] << 32 | ids[b], i)
+        return cls(vocab, pairs, pattern, False)
+
+    def replay(self, words: list[bytes]) -> list[bytes]:
+        """Token ids of each word, as little-endian unsigned 32-bit integers.
+
+        The index holds, for each rank, the positions of the pairs that merge into it. Merges of ranks below DENSE
+        stand at many positions and are applied rank by rank to all of them; the rest follow in waves. In one pass over a rank only the first position of each word is merged: should the merge make a pair of a lower
+        rank in that word, that pair goes first, as it does when each word is encoded by itself.
+        """
+        long = [i for i, w in enumerate(words) if len(w) > LONG]
+        if long:
+            out = self.replay([w if len(w) <= LONG else b"" for w in words])
+            for i, ids in zip(long, self._replay_long([words[i] for i in long])):
+                out[i] = ids
+            return out
+        raw = np.frombuffer(b"".join(words), dtype=np.uint8)
+        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        n = len(raw)
+        if not n:
+            return [b""] * len(words)
+        starts = np.cumsum(lengths) - lengths
+        token = self.single[raw]
+        owner = np.repeat(np.arange(len(words)), lengths)
+        after = np.arange(1, n + 1)
+        after[starts[lengths > 0] + lengths[lengths > 0] - 1] = -1
+        before = np.arange(-1, n - 1)
+        before[starts[lengths > 0]] = -1
+        places = np.flatnonzero(after >= 0)
+        index: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def enter(ranks: np.ndarray, at: np.ndarray) -> None:
+            known = ranks != self.none
+            ranks, at = ranks[known], at[known]
+            order = np.argsort(ranks, kind="stable")
+            ranks, at = ranks[order], at[order]
+            edges = [0, *(np.flatnonzero(np.diff(ranks)) + 1).tolist(), len(ranks)] if len(ranks) else []
+            for x, y in zip(edges, edges[1:]):
+                rank = int(ranks[x])
                 if rank in index:
-                    index[rank].append(i)
+                    index[rank].append(at[x:y])
                 else:
-                    index[rank] = [i]
-        heap = list(index)
-        heapify(heap)
-        while heap:
+                    index[rank] = [at[x:y]]
+                    heappush(heap, rank)
+
+        enter(self.dense[token[places], token[places + 1]], places)
+        while heap and heap[0] < DENSE:
             rank = heappop(heap)
-            places = index.pop(rank, None)
-            if not places:
+            found = index.pop(rank)
+            at = np.sort(np.concatenate(found)) if len(found) > 1 else found[0]
+            at = at[(token[at] >= 0) & (after[at] >= 0)]
+            at = at[self.dense[token[at], token[after[at]]] == rank]
+            if not len(at):
                 continue
-            places.sort()
+            own = owner[at]
+            first = np.ones(len(at), dtype=bool)
+            first[1:] = own[1:] != own[:-1]
+            if not first.all():
+                index[rank] = [at[~first]]
+                heappush(heap, rank)
+                at = at[first]
+            right = after[at]
+            next_, previous = after[right], before[at]
+            token[at], token[right], after[at] = rank, -1, next_
+            more = next_ >= 0
+            before[next_[more]] = at[more]
+            less = previous >= 0
+            enter(
+                np.concatenate([self.dense[rank, token[next_[more]]], self.dense[token[previous[less]], rank]]),
+                np.concatenate([at[more], previous[less]]),
+            )
+        if index:
+            self._replay_rest(token, owner)
+        kept = token >= 0
+        counts = np.concatenate([[0], np.cumsum(kept)])
+        flat = token[kept].astype("<u4").tobytes()
+        return [flat[4 * x : 4 * y] for x, y in zip(counts[starts].tolist(), counts[starts + lengths].tolist())]
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of the merge of each pair of ids; NEVER where there is none."""
+        keys = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.values[at], NEVER)
+
+    def _replay_rest(self, token: np.ndarray, owner: np.ndarray) -> None:
+        """All merges that are left, in waves: the first pair of the lowest rank of each word, in every word at once.
+
+        From here on a rank stands at a few positions only, so the index is kept by word instead of by rank: the rank
+        of the pair at each position, of which a merge changes that of the pair itself and of its left neighbour.
+        """
+        place = np.flatnonzero(token >= 0)
+        ids, word = token[place].astype(np.int64), owner[place]
+        ranks = np.full(len(ids), NEVER, dtype=np.int64)
+        inside = np.flatnonzero(word[:-1] == word[1:])
+        ranks[inside] = self._ranks(ids[inside], ids[inside + 1])
+        while len(ids):
+            begin = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            lowest = np.minimum.reduceat(ranks, begin)
+            going = np.repeat(lowest < NEVER, np.diff(begin, append=len(ids)))
+            if not going.all():  # words that are done leave
+                place, ids, word, ranks = place[going], ids[going], word[going], ranks[going]
+                if not len(ids):
+                    break
+                lowest = lowest[lowest < NEVER]
+                begin = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            hits = np.flatnonzero(ranks == np.repeat(lowest, np.diff(begin, append=len(ids))))
+            hits = hits[np.concatenate([[True], word[hits[1:]] != word[hits[:-1]]])]
+            ids[hits] = ranks[hits]
+            token[place[hits]] = ranks[hits]
+            token[place[hits + 1]] = -1
+            keep = np.ones(len(ids), dtype=bool)
+            keep[hits + 1] = False
+            now = np.cumsum(keep) - 1
+            place, ids, word, ranks = place[keep], ids[keep], word[keep], ranks[keep]
+            touched = np.concatenate([now[hits], now[hits] - 1])
+            touched = touched[touched >= 0]
+            ranks[touched] = NEVER
+            touched = touched[touched + 1 < len(ids)]
+            touched = touched[word[touched] == word[touched + 1]]
+            ranks[touched] = self._ranks(ids[touched], ids[touched + 1])
+
+    def _replay_long(self, words: list[bytes]) -> list[bytes]:
+        """Token ids of long words: the same index by rank, taken position by position, so that a word with n merges
+        takes n steps and not n passes."""
+        rank_of, single = self.pairs.get, self.single.tolist()
+        tokens = [single[b] for w in words for b in w]
+        owner = [i for i, w in enumerate(words) for _ in w]
+        ends = np.cumsum([len(w) for w in words]).tolist()
+        n = len(tokens)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        for e in ends:
+            after[e - 1] = -1
+            if e < n:
+                before[e] = -1
+        index: dict[int, list[int]] = {}
+        heap: list[int] = []
+
+        def enter(left: int, right: int, at: int) -> int:
+            rank = rank_of(tokens[left] << 32 | tokens[right])
+            if rank is None:
+                return NEVER
+            if rank not in index:
+                index[rank] = []
+                heappush(heap, rank)
+            index[rank].append(at)
+            return rank
+
+        for i in range(n):
+            if after[i] >= 0:
+                enter(i, i + 1, i)
+        while heap:
+            rank = heappop(heap)
             held: set[int] = set()  # words that got a pair of a lower rank, which has to go first
             later: list[int] = []
-            for i in places:
+            for i in sorted(index.pop(rank)):
                 j = after[i]
                 if j < 0 or tokens[i] < 0 or rank_of(tokens[i] << 32 | tokens[j]) != rank:
                     continue  # a neighbour was merged meanwhile
-                if held and owner[i] in held:
+                if owner[i] in held:
                     later.append(i)
                     continue
                 k, p = after[j], before[i]
                 tokens[i], tokens[j], after[i] = rank, -1, k
                 if k >= 0:
                     before[k] = i
-                    new = rank_of(rank << 32 | tokens[k])
-                    if new is not None:
-                        if new in index:
-                            index[new].append(i)
-                        else:
-                            index[new] = [i]
-                            heappush(heap, new)
-                        if new < rank:
-                            held.add(owner[i])
-                if p >= 0:
-                    new = rank_of(tokens[p] << 32 | rank)
-                    if new is not None:
-                        if new in index:
-                            index[new].append(p)
-                        else:
-                            index[new] = [p]
-                            heappush(heap, new)
-                        if new < rank:
-                            held.add(owner[i])
+                if (k >= 0 and enter(i, k, i) < rank) | (p >= 0 and enter(p, i, p) < rank):
+                    held.add(owner[i])
             if later:
-                heappush(heap, rank)
-                index.setdefault(rank, []).extend(later)
-        starts.append(n)
-        return [[t for t in tokens[s:e] if t >= 0] for s, e in zip(starts, starts[1:])]
-
-    def _learn(self, words: Iterable[str]) -> None:
-        """Replay the words that the memo lacks; a word that is a token as a whole needs no merge."""
+                if rank not in index:
+                    index[rank] = []
+                    heappush(heap, rank)
+                index[rank] += later
+        begin = [0, *ends]
+        return [np.array([t for t in tokens[x:y] if t >= 0], dtype="<u4").tobytes() for x, y in zip(begin, ends)]
+
+    def _learn(self, words: set[str]) -> None:
+        """Replay the words that the memo lacks."""
         todo: list[str] = []
-        known = self.words
         for word in words:
-            if word not in known:
-                raw = word.encode()
-                rank = self.ranks.get(raw)
-                if rank is None:
-                    todo.append(word)
-                else:
-                    known[word] = rank.to_bytes(4, "little")
-                self.chars += len(word)
-        for word, ids in zip(todo, self.replay([w.encode() for w in todo])):
-            known[word] = pack(f"<{len(ids)}I", *ids)
-
-    def encode_block(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.words) + len(self.chunks) > MEMO_ENTRIES or self.chars > MEMO_CHARS:
-            self.words, self.chunks, self.heads, self.chars = {}, {}, {}, 0
-        split: list[list[str] | None] = []
-        loose: dict[int, list[str]] = {}
-        tails: set[str] = set()
-        fresh_heads: set[str] = set()
-        for i, text in enumerate(texts):
-            if _LOOSE.search(text):
-                split.append(None)
-                loose[i] = self.find(text)
-                continue
-            # Each single space between two other characters starts a match of the pattern: cut there.
-            pieces = text.split(" ")
-            split.append(pieces)
-            fresh_heads.add(pieces[0])
-            tails.update(pieces[1:])
-        tails.difference_update(self.chunks)
-        fresh_heads.difference_update(self.heads)
-        found_tails = {c: self.find(" " + c) for c in tails}
-        found_heads = {c: self.find(c) for c in fresh_heads}
-        words = {w for ws in found_tails.values() for w in ws}
-        words.update(w for ws in found_heads.values() for w in ws)
-        words.update(w for ws in loose.values() for w in ws)
-        self._learn(words)
-        ids = self.words.__getitem__
-        for memo, found in ((self.chunks, found_tails), (self.heads, found_heads)):
-            for c, ws in found.items():
-                memo[c] = b"".join(map(ids, ws))
-                self.chars += len(c)
-        chunk = self.chunks.__getitem__
-        return [b"".join(map(ids, loose[i])) if p is None else self.heads[p[0]] + b"".join(map(chunk, p[1:])) for i, p in enumerate(split)]
+            known = self.id_of.get(word.encode()) if self.whole else None
+            if known is None:
+                todo.append(word)
+            else:
+                self.words.now[word] = known.to_bytes(4, "little")
+        self.words.now.update(zip(todo, self.replay([w.encode() for w in todo])))
+
+    def encode_rows(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of UTF-8 rows (all ids, and where each row's begin) of one block."""
+        cuts = _chunk_starts(raw, offsets) if self.spaced else np.unique(offsets[:-1][offsets[:-1] < offsets[1:]])
+        ends = np.append(cuts[1:], len(raw))
+        for seed in range(8):
+            hashed = hash_words(raw, cuts, ends, seed)
+            inverse, distinct = pd.factorize(hashed)
+            first = np.empty(len(distinct), dtype=np.int64)
+            first[inverse[::-1]] = np.arange(len(hashed) - 1, -1, -1)
+            if _same(raw, cuts, ends, first[inverse]):
+                break
+        else:
+            raise ValueError("equal hashes of different chunks under every seed")
+        data = raw.tobytes()
+        texts = [data[a:b].decode() for a, b in zip(cuts[first].tolist(), ends[first].tolist())]
+        split = [self._matches(t) for t in texts]
+        words = set()
+        words.update(*split)
+        self._learn(self.words.missing(words))
+        ids_of = self.words.now.__getitem__
+        made = [ids_of(w[0]) if len(w) == 1 else b"".join(map(ids_of, w)) for w in split]
+        sizes = np.fromiter(map(len, made), dtype=np.int64, count=len(made)) // 4
+        flat = np.frombuffer(b"".join(made), dtype="<u4")
+        begin = np.cumsum(sizes) - sizes
+        lengths = sizes[inverse]
+        edges = np.concatenate([[0], np.cumsum(lengths)])
+        ids = np.empty(int(edges[-1]), dtype="<u4")
+        step = 500_000
+        for a in range(0, len(lengths), step):  # in steps, so that the index arrays stay small
+            part = lengths[a : a + step]
+            low, high = int(edges[a]), int(edges[min(a + step, len(lengths))])
+            ids[low:high] = flat[np.repeat(begin[inverse[a : a + step]] - (edges[a : a + len(part)] - low), part) + np.arange(high - low)]
+        return ids, edges[np.searchsorted(cuts, offsets)]
+
+    def _matches(self, chunk: str) -> tuple[str, ...] | list[str]:
+        """The pattern's matches; words and words before one mark, most of all chunks, are told without it."""
+        body = chunk[1:] if chunk[0] == " " else chunk
+        if self.spaced:
+            if body.isalpha():
+                return (chunk,)
+            if body[-1:] in MARKS and body[:-1].isalpha():
+                return chunk[:-1], chunk[-1]
+        return self.find(chunk)
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.encode_block([text])[0], dtype="<u4").tolist()
-
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.vocab.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
-
-
-def blocks(texts: list[str], most: int = BLOCK_CHARS) -> Iterator[tuple[int, int]]:
-    """Slices of rows of about `most` characters together."""
-    begin, size = 0, 0
-    for i, text in enumerate(texts):
-        if size and size + len(text) > most:
+        raw = np.frombuffer(text.encode(), dtype=np.uint8)
+        return self.encode_rows(raw, np.array([0, len(raw)]))[0].tolist()
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.vocab.__getitem__, ids.tolist()))
+
+
+_ASCII_SPACE = np.zeros(256, dtype=bool)
+_ASCII_SPACE[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
+#: First bytes of the UTF-8 sequences among which there is white space (U+0085, U+00A0, U+1680, U+2000.., U+3000).
+_MAYBE_SPACE = np.zeros(256, dtype=bool)
+_MAYBE_SPACE[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+
+
+def _chunk_starts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where to cut rows so that each chunk has the same matches alone as in its row.
+
+    A space between two characters that are not white space begins a match and ends the one before, so it is a
+    place to cut. Where a neighbour may be white space beyond ASCII there is no cut, which is always right.
+    """
+    n = len(raw)
+    cut = np.zeros(n, dtype=bool)
+    cut[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+    at = np.flatnonzero(raw == 0x20)
+    at = at[(at > 0) & (at + 1 < n)]
+    before, behind = raw[at - 1], raw[at + 1]
+    fine = ~_ASCII_SPACE[before] & ~_ASCII_SPACE[behind] & ~_MAYBE_SPACE[behind]
+    two, three = raw[np.maximum(at - 2, 0)], raw[np.maximum(at - 3, 0)]
+    multi = before >= 0x80
+    fine &= ~(multi & ((two == 0xC2) | ((two >= 0x80) & (two < 0xC0) & _MAYBE_SPACE[three])))
+    cut[at[fine]] = True
+    return np.flatnonzero(cut)
+
+
+def _same(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, like: np.ndarray) -> bool:
+    """Whether each chunk has the length and the first and last bytes of the chunk it is taken for."""
+    lengths = ends - starts
+    if (lengths != lengths[like]).any():
+        return False
+    for k in range(2):
+        for at in (np.minimum(starts + k, ends - 1), np.maximum(ends - 1 - k, starts)):
+            if (raw[at] != raw[at[like]]).any():
+                return False
+    return True
+
+
+def blocks(sizes: np.ndarray, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
+    """Slices of rows of about `most` bytes together."""
+    begin, total = 0, 0
+    for i, size in enumerate(sizes.tolist()):
+        if total and total + size > most:
             yield begin, i
-            begin, size = i, 0
-        size += len(text)
-    if begin < len(texts):
-        yield begin, len(texts)
-
-
-def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """df with a binary column of token ids (little-endian unsigned 32-bit) of the whole text."""
-    shared = df.sparkSession.sparkContext.broadcast(open(ranks_path, "rb").read())  # bounded by the vocabulary
-    return _narrow(df, text, out, lambda: _replay_of(shared, pattern).encode_block, "string")
+            begin, total = i, 0
+        total += size
+    if begin < len(sizes):
+        yield begin, len(sizes)
 
 
-def decode(df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """df with a binary column of the bytes that the ids stand for."""
-    shared = df.sparkSession.sparkContext.broadcast(open(ranks_path, "rb").read())
-    return _narrow(df, ids, out, lambda: lambda rows: [_replay_of(shared, "").decode(x or b"") for x in rows], "binary")
+def encoded(work: Replay, column) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Row slices of an Arrow string column with their ids and the edges of each row's ids."""
+    raw, offsets = column_bytes(column)
+    for a, b in blocks(np.diff(offsets)):
+        part = raw[offsets[a] : offsets[b]]
+        yield a, b, *work.encode_rows(part, offsets[a : b + 1] - offsets[a])
 
 
 _MADE: dict[tuple[int, str], Replay] = {}
 
 
-def _replay_of(shared, pattern: str) -> Replay:
+def shared_replay(shared, pattern: str) -> Replay:
     """One encoder for each vocabulary in a Python worker, so that its memo lasts over tasks."""
     raw = shared.value
     key = (hash(raw), pattern)
     if key not in _MADE:
-        _MADE[key] = Replay({base64.b64decode(a): int(b) for a, b in (x.split() for x in raw.splitlines() if x)}, pattern or ".")
+        _MADE[key] = (Replay.of_json if raw.lstrip()[:1] == b"{" else Replay.of_ranks)(raw, pattern)
     return _MADE[key]
 
 
-def _narrow(df: DataFrame, column: str, out: str, make, kind: str) -> DataFrame:
+def share(df: DataFrame, path: str):
+    """The vocabulary file, read by the driver and broadcast: its size does not depend on the corpus."""
+    with open(path, "rb") as f:
+        return df.sparkSession.sparkContext.broadcast(f.read())
+
+
+def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
+    """df with a binary column of token ids (little-endian unsigned 32-bit) of the whole text."""
+    shared = share(df, path)
+
+    def run(column):
+        for a, b, ids, edges in encoded(shared_replay(shared, pattern), column):
+            flat, at = ids.tobytes(), (4 * edges).tolist()
+            yield a, b, [flat[x:y] for x, y in zip(at, at[1:])]
+
+    return _narrow(df, text, out, run, "string")
+
+
+def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """df with a binary column of the bytes that the ids stand for; null ids decode to nothing."""
+    shared = share(df, path)
+
+    def run(column):
+        work = shared_replay(shared, "")
+        yield 0, len(column), [work.decode(np.frombuffer(x or b"", dtype="<u4")) for x in column.to_pylist()]
+
+    return _narrow(df, ids, out, run, "binary")
+
+
+def _narrow(df: DataFrame, column: str, out: str, work, kind: str) -> DataFrame:
     import pyarrow as pa
 
     rest = [c for c in df.columns if c != out]
-    base = df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{column}`").cast(kind).alias("__in") if column != out else F.col(f"`{out}`").cast(kind).alias("__in"))
+    base = df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{column}`").cast(kind).alias("__in"))
     schema = df.select(*[F.col(f"`{c}`") for c in rest]).schema.add(out, "binary")
 
     def run(batches):
-        work = make()
         for batch in batches:
-            values = batch.column(len(rest)).to_pylist()
-            for a, b in blocks([x or ("" if kind == "string" else b"") for x in values]):
-                made = work([x or ("" if kind == "string" else b"") for x in values[a:b]])
+            for a, b, made in work(batch.column(len(rest))):
                 yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(a, b - a) for i in range(len(rest))], pa.array(made, pa.binary())], names=[*rest, out])
 
     return base.mapInArrow(run, schema)
 
 
-def digests(df: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def digests(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode whole texts, decode the ids, and return sizes and digests of both: one row for each row of df."""
     import pyarrow as pa
 
-    shared = df.sparkSession.sparkContext.broadcast(open(ranks_path, "rb").read())
+    shared = share(df, path)
 
     def run(batches):
-        work = _replay_of(shared, pattern)
+        work = shared_replay(shared, pattern)
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for a, b in blocks(texts):
-                made = work.encode_block(texts[a:b])
+            for a, b, ids, edges in encoded(work, batch.column(1)):
+                rows = [ids[x:y] for x, y in zip(edges.tolist(), edges[1:].tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a),
-                        pa.array([len(x) // 4 for x in made], pa.int64()),
-                        pa.array([hashlib.sha256(x).hexdigest() for x in made], pa.string()),
-                        pa.array([hashlib.sha256(work.decode(x)).hexdigest() for x in made], pa.string()),
+                        pa.array([len(x) for x in rows], pa.int64()),
+                        pa.array([hashlib.sha256(x).hexdigest() for x in rows], pa.string()),
+                        pa.array([hashlib.sha256(work.decode(x)).hexdigest() for x in rows], pa.string()),
                     ],
                     names=[key, "n_tokens", "ids_sha256", "decoded_sha256"],
                 )

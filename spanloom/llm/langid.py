@@ -225,7 +225,7 @@ def predict(df: DataFrame, model: dict, text: str = "text", spans: bool = False)
         work = _labeller(shared)
         for batch in batches:
             texts = [x or "" for x in batch.column(len(rest)).to_pylist()]
-            for a, b in blocks(texts, BLOCK_CHARS):
+            for a, b in blocks(np.array([len(x) for x in texts]), BLOCK_CHARS):
                 found = work.label(texts[a:b])
                 rows = [verdict(*x, work.langs) for x in found]
                 cols = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64())]
