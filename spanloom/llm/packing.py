@@ -16,23 +16,17 @@ an empty table gives an empty table.
 
 from __future__ import annotations
 
-import os
-import re
 import zlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import blocks
+from .bpe import SPACED, encoded, share, shared_replay
 
 #: Waiting examples among which the dot-product rule chooses.
 POOL = 256
-MEMO_ENTRIES = 300_000
-MEMO_CHARS = 12_000_000
-
-_LOOSE = re.compile(r" \s|\s ")
 
 
 class VectorPacker:
@@ -107,52 +101,6 @@ class VectorPacker:
         self.begin, self.end, self.free = ([int(x) for x in a[rest]] for a in (begin, end, free))
 
 
-class ChunkTokenizer:
-    """Ids of whole texts by the tokenizers library, with a bounded memo of space-separated chunks.
-
-    Where single spaces separate the chunks of a text, each space starts a new pre-token, so the ids of the text
-    are those of its chunks one after the other; other texts are encoded as a whole.
-    """
-
-    def __init__(self, spec: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.encode_special_tokens = True
-        self.heads: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
-        self.chars = 0
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode_block(self, texts: list[str]) -> list[bytes]:
-        if len(self.tails) > MEMO_ENTRIES or self.chars > MEMO_CHARS:
-            self.heads, self.tails, self.chars = {}, {}, 0
-        split = [None if _LOOSE.search(t) else t.split(" ") for t in texts]
-        whole = [i for i, p in enumerate(split) if p is None]
-        loose = dict(zip(whole, self._encode([texts[i] for i in whole])))
-        for memo, space, new in ((self.heads, "", {p[0] for p in split if p}), (self.tails, " ", set().union(*(p[1:] for p in split if p)))):
-            todo = [c for c in new if c not in memo]
-            for a in range(0, len(todo), 20_000):
-                part = todo[a : a + 20_000]
-                memo.update(zip(part, self._encode([space + c for c in part])))
-            self.chars += sum(map(len, todo))
-        tail = self.tails.__getitem__
-        return [loose[i] if p is None else self.heads[p[0]] + b"".join(map(tail, p[1:])) for i, p in enumerate(split)]
-
-
-_MADE: dict[int, ChunkTokenizer] = {}
-
-
-def _tokenizer(shared) -> ChunkTokenizer:
-    spec = shared.value
-    if hash(spec) not in _MADE:
-        _MADE[hash(spec)] = ChunkTokenizer(spec)
-    return _MADE[hash(spec)]
-
-
 def pack_documents(df: DataFrame, tokenizer_path: str, end_id: int = 0, key: str = "doc_id", text: str = "text", tokens: int = 1024, segments: int = 256, loss: int | None = None) -> DataFrame:
     """Whole texts, each ended by end_id, cut and packed into sequences: one row for each piece.
 
@@ -160,8 +108,8 @@ def pack_documents(df: DataFrame, tokenizer_path: str, end_id: int = 0, key: str
     """
     import pyarrow as pa
 
-    shared = df.sparkSession.sparkContext.broadcast(open(tokenizer_path).read())  # bounded by the vocabulary file
-    end = int(end_id).to_bytes(4, "little")
+    shared = share(df, tokenizer_path)
+    end = np.array([end_id], dtype="<u4")
     kept = df.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").cast("string"))
     schema = kept.select(key)
     for name, kind in (("start", "long"), ("length", "long"), ("ids_crc32", "long"), ("doc_tokens", "long"), ("sequence_id", "long"), ("offset", "long")):
@@ -172,7 +120,7 @@ def pack_documents(df: DataFrame, tokenizer_path: str, end_id: int = 0, key: str
         from pyspark import TaskContext
 
         base = TaskContext.get().partitionId() << 40
-        work, packer = _tokenizer(shared), VectorPacker(tokens, segments, loss)
+        work, packer = shared_replay(shared, SPACED), VectorPacker(tokens, segments, loss)
         waiting: dict[int, tuple] = {}
         number = 0
 
@@ -180,8 +128,8 @@ def pack_documents(df: DataFrame, tokenizer_path: str, end_id: int = 0, key: str
             out = []
             for n, start, length, sequence, offset in pieces:
                 doc, ids = waiting[n]
-                out.append((doc, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), len(ids) // 4, base + sequence, offset))
-                if 4 * (start + length) == len(ids):
+                out.append((doc, start, length, zlib.crc32(ids[start : start + length]), len(ids), base + sequence, offset))
+                if start + length == len(ids):
                     del waiting[n]
             return out
 
@@ -190,13 +138,13 @@ def pack_documents(df: DataFrame, tokenizer_path: str, end_id: int = 0, key: str
             return pa.RecordBatch.from_arrays([pa.array(cols[0], id_type), *[pa.array(c, pa.int64()) for c in cols[1:]]], names=[key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
         for batch in batches:
-            docs, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
-            for a, b in blocks(texts):
+            docs = batch.column(0).to_pylist()
+            for a, b, ids, edges in encoded(work, batch.column(1)):
                 made: list[tuple] = []
-                for doc, ids in zip(docs[a:b], work.encode_block(texts[a:b])):
-                    waiting[number] = (doc, ids + end)
-                    n = len(ids) // 4 + 1
-                    made += rows(packer.add(number, n, n))
+                at = edges.tolist()
+                for doc, x, y in zip(docs[a:b], at, at[1:]):
+                    waiting[number] = (doc, np.concatenate([ids[x:y], end]))
+                    made += rows(packer.add(number, y - x + 1, y - x + 1))
                     number += 1
                 if made:
                     yield batch_of(made)
@@ -247,5 +195,3 @@ def op8_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query 8: all documents into sequences of at most 1024 tokens."""
     return packed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
-
-Packer = Callable[[DataFrame], DataFrame]
