@@ -95,7 +95,7 @@ def count_across_blocks(blocks: DataFrame, features: Callable[[pa.Array], np.nda
                 )
 
     def count(batches):
-        for bucket, table in by_bucket(batches):
+        for (bucket,), table in by_run(batches, "bucket"):
             parts = [unpack_sorted(x) for x in table.column("packed").to_pylist()]
             sizes = np.array([len(p) for p in parts])
             every, inverse = np.unique(np.concatenate(parts), return_inverse=True)
@@ -125,20 +125,21 @@ def by_block(batches):
         yield block, pa.concat_arrays(parts)
 
 
-def by_bucket(batches):
-    """(bucket, table) for each run of equal buckets in sorted batches."""
+def by_run(batches, *names: str):
+    """(key values, table) for each run of equal integer keys in sorted batches."""
     held, now = [], None
     for batch in batches:
-        keys = batch.column(batch.schema.get_field_index("bucket")).to_numpy(zero_copy_only=False)
-        edges = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)] if len(keys) else []
+        keys = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in names])
+        edges = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows] if batch.num_rows else []
         for a, b in zip(edges, edges[1:]):
-            if now is not None and keys[a] != now:
-                yield int(now), pa.Table.from_batches(held)
+            key = tuple(keys[:, a].tolist())
+            if now is not None and key != now:
+                yield now, pa.Table.from_batches(held)
                 held = []
-            now = keys[a]
+            now = key
             held.append(batch.slice(a, b - a))
     if held:
-        yield int(now), pa.Table.from_batches(held)
+        yield now, pa.Table.from_batches(held)
 
 
 def flags_of_block(replies: pa.Table) -> np.ndarray:

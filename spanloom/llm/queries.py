@@ -6,6 +6,7 @@ from .bpe import op1_byte_bpe
 from .langid import op6_viterbi_langid
 from .lines import OP4_SQL, op4_site_lines
 from .media import op7_jpeg_payload
+from .ngramjoin import op3_signature_trees
 from .packing import op8_vector_packing
 from .sharding import op5_hash_tree
 from .substrings import op2_repeated_spans
@@ -13,6 +14,7 @@ from .substrings import op2_repeated_spans
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_repeated_spans": op2_repeated_spans,
+    "op3_signature_trees": op3_signature_trees,
     "op4_site_lines": op4_site_lines,
     "op5_hash_tree": op5_hash_tree,
     "op6_viterbi_langid": op6_viterbi_langid,

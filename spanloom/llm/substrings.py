@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import block_count, by_bucket, count_across_blocks, fingerprint_bits, fingerprints, flags_of_block, in_blocks
+from .blocks import block_count, by_run, count_across_blocks, fingerprint_bits, fingerprints, flags_of_block, in_blocks
 from .common import NO_ID, column_bytes, estimated_bytes, hash_words, window_hashes, word_spans
 
 SIZE = 13
@@ -142,7 +142,7 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", size:
         )
 
     def answer(batches):
-        for bucket, table in by_bucket(batches):
+        for (bucket,), table in by_run(batches, "bucket"):
             hashes = [np.frombuffer(x, np.uint64).reshape(2, -1) for x in table.column("hashes").to_pylist()]
             docs = [np.cumsum(_unplanes(x)) for x in table.column("docs").to_pylist()]
             sizes = [len(d) for d in docs]
