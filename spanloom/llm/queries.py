@@ -8,6 +8,7 @@ from .lines import OP4_SQL, op4_site_lines
 from .media import op7_jpeg_payload
 from .ngramjoin import op3_signature_trees
 from .packing import op8_vector_packing
+from .pages import op10_url_differencing
 from .sharding import op5_hash_tree
 from .substrings import op2_repeated_spans
 
@@ -20,6 +21,7 @@ QUERIES = {
     "op6_viterbi_langid": op6_viterbi_langid,
     "op7_jpeg_payload": op7_jpeg_payload,
     "op8_vector_packing": op8_vector_packing,
+    "op10_url_differencing": op10_url_differencing,
 }
 
 SQL: dict[str, str] = {"op4_site_lines": OP4_SQL}
