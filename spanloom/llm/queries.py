@@ -6,6 +6,7 @@ from .bpe import op1_byte_bpe
 from .langid import op6_viterbi_langid
 from .lines import OP4_SQL, op4_site_lines
 from .media import op7_jpeg_payload
+from .neighbours import op9_nn_descent
 from .ngramjoin import op3_signature_trees
 from .packing import op8_vector_packing
 from .pages import op10_url_differencing
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_viterbi_langid": op6_viterbi_langid,
     "op7_jpeg_payload": op7_jpeg_payload,
     "op8_vector_packing": op8_vector_packing,
+    "op9_nn_descent": op9_nn_descent,
     "op10_url_differencing": op10_url_differencing,
 }
 
