@@ -1,6 +1,549 @@
-"""Registered queries of the engine and their SQL."""
+"""Registered queries of the engine over the driver's tables, and the same in SQL.
+
+The SQL is written independently of the operators: windows, self-joins and list folds over a token table of its own.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import predicates as P
+from .functions import text as T
+from .operators import evaluate, gloss, match, rank, segment, tree
+from .operators.tokens import AUXILIARIES, PARTICLES, PATTERN, PREFIXES, split_tokens, tile_errors, tokenize
+from .plans.requests import MOST_TEXT, validate_text
+from .sources.catalog import compile_rules, load_builtin
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def _docs(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+
+
+def _tokens(spark: SparkSession, sf: str) -> DataFrame:
+    return tokenize(_docs(spark, sf).repartition("doc_id"))
+
+
+def _phrases(spark: SparkSession, sf: str) -> DataFrame:
+    return segment.phrases(_tokens(spark, sf))
+
+
+def latin_rules():
+    return [r for r in load_builtin() if r.id.startswith("latin-")]
+
+
+def _candidates(spark: SparkSession, sf: str) -> DataFrame:
+    return match.candidates(_tokens(spark, sf), compile_rules(latin_rules()))
+
+
+def _ranked(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    tokens = _tokens(spark, sf)
+    phrases = segment.phrases(tokens)
+    return (*rank.rank(match.candidates(tokens, compile_rules(latin_rules())), phrases), phrases)
+
+
+def _long(*names: str) -> list[Column]:
+    return [F.col(n).cast("long").alias(n) for n in names]
+
+
+# --------------------------------------------------------------------------------------- SQL parts
+
+
+def _in(values) -> str:
+    return "(" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + ")"
+
+
+RX = PATTERN.replace("'", "''")
+
+LAID = f"""
+pieces AS (SELECT doc_id, unnest(l) AS surface, generate_subscripts(l, 1) AS piece
+           FROM (SELECT doc_id, regexp_extract_all(text, '{RX}') AS l FROM documents)),
+laid AS (SELECT *, coalesce(sum(strlen(surface)) OVER (PARTITION BY doc_id ORDER BY piece ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS byte_start FROM pieces),
+toks AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY piece) - 1 AS position, surface, CAST(byte_start AS BIGINT) AS byte_start,
+                CAST(byte_start + strlen(surface) AS BIGINT) AS byte_end, lower(surface) AS w
+         FROM laid WHERE NOT regexp_full_match(surface, '\\s+'))"""
+
+TAGGED = f"""{LAID},
+kinds AS (SELECT *, regexp_matches(surface, '^[\\p{{L}}\\p{{M}}]') AS is_word, regexp_matches(surface, '^\\p{{N}}') AS is_number FROM toks),
+firsts AS (SELECT *, CASE WHEN is_number THEN '名詞' WHEN NOT is_word THEN '補助記号' WHEN w IN {_in(PARTICLES)} THEN '助詞' WHEN w IN {_in(PREFIXES)} THEN '接頭辞'
+                  WHEN w IN {_in(AUXILIARIES)} THEN '助動詞' WHEN regexp_matches(w, '(ing|ed|er|ar)$') THEN '動詞' WHEN regexp_matches(w, 'ly$') THEN '形状詞' ELSE '名詞' END AS pos1 FROM kinds),
+tags AS (SELECT doc_id, position, surface, byte_start, byte_end, pos1,
+   CASE WHEN is_number THEN '数詞'
+        WHEN NOT is_word THEN CASE WHEN surface IN ('.', '!', '?') THEN '句点' WHEN surface IN (',', ';') THEN '読点' WHEN surface IN ('(', '[', '{{') THEN '括弧開' WHEN surface IN (')', ']', '}}') THEN '括弧閉' ELSE '一般' END
+        WHEN pos1 = '動詞' THEN CASE WHEN length(w) <= 4 THEN '非自立可能' ELSE '一般' END
+        WHEN pos1 = '名詞' THEN CASE WHEN regexp_matches(surface, '^\\p{{Lu}}') THEN '固有名詞' ELSE '普通名詞' END
+        WHEN pos1 = '形状詞' THEN CASE WHEN length(w) <= 4 THEN '助動詞語幹' ELSE '一般' END ELSE '' END AS pos2,
+   CASE WHEN pos1 = '名詞' AND regexp_matches(w, 'tion$') THEN 'サ変可能' ELSE '' END AS pos3,
+   CASE WHEN pos1 = '動詞' THEN CASE WHEN regexp_matches(w, 'ing$') THEN '連用形' ELSE '終止形' END ELSE '' END AS conj_form,
+   CASE WHEN is_word THEN w ELSE surface END AS base_form FROM firsts)"""
+
+#: A sentence ends where a terminator run (with its closing brackets) is left; islands of runs by the last other token.
+SENTENCES = f"""{TAGGED},
+ends AS (SELECT *, (pos1 = '補助記号' AND pos2 = '句点') OR surface IN ('!', '?') AS term, pos2 = '括弧閉' AS clos FROM tags),
+runs AS (SELECT *, max(CASE WHEN term OR NOT clos THEN position END) OVER w AS last_solid, max(CASE WHEN term THEN position END) OVER w AS last_term FROM ends
+         WINDOW w AS (PARTITION BY doc_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+sents AS (SELECT * EXCLUDE (last_solid, last_term), CAST(sum(CASE WHEN position = 0 THEN 0 WHEN last_term = last_solid AND NOT term AND NOT clos THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY position) AS BIGINT) AS sentence_id FROM runs)"""
+
+_PUNCT = "regexp_full_match({0}, '[!-/:-@\\[-`{{-~、。・…‥“”※]') AND {0} NOT IN ('(', '[', '{{')"
+_HOST = f"(p_surface = '・' OR (NOT ({_PUNCT.format('p_surface')}) AND ((p_pos1 = '名詞' AND NOT contains(p_pos3, '副詞可能')) OR (p_pos1 = '接尾辞' AND p_pos2 = '名詞的'))))"
+_PLACES = _in(P.PLACE_SUFFIXES)
+
+DECISIONS = f"""{SENTENCES},
+prevs AS (SELECT *, coalesce(lag(surface) OVER w, '') AS p_surface, coalesce(lag(pos1) OVER w, '') AS p_pos1, coalesce(lag(pos2) OVER w, '') AS p_pos2, coalesce(lag(pos3) OVER w, '') AS p_pos3,
+                 coalesce(lag(conj_form) OVER w, '') AS p_conj, lag(sentence_id) OVER w AS p_sent FROM sents WINDOW w AS (PARTITION BY doc_id ORDER BY position)),
+reasons AS (SELECT *, CASE
+   WHEN p_sent IS NULL OR p_sent <> sentence_id THEN 'sentence start'
+   WHEN p_pos1 = '接頭辞' OR p_pos2 = '括弧開' THEN 'after a prefix or an opening bracket'
+   WHEN {_PUNCT.format('surface')} THEN CASE WHEN pos2 = '括弧開' THEN 'opening bracket' ELSE 'punctuation' END
+   WHEN pos1 = '助詞' THEN 'particle' WHEN pos1 = '助動詞' THEN 'auxiliary' WHEN pos1 = '接尾辞' THEN 'suffix'
+   WHEN pos1 IN ('補助記号', '記号') THEN CASE WHEN pos2 = '括弧開' THEN 'opening bracket' ELSE 'mark' END
+   WHEN pos1 = '名詞' THEN CASE WHEN pos2 = '固有名詞' AND p_surface IN {_PLACES} THEN 'place name after a place suffix' WHEN {_HOST} THEN 'noun continues a compound' ELSE 'noun' END
+   WHEN pos1 = '形状詞' AND pos2 = '助動詞語幹' THEN CASE WHEN p_pos1 IN ('動詞', '形容詞', '助動詞') THEN 'auxiliary stem after a predicate' ELSE 'auxiliary stem' END
+   WHEN pos1 = '形状詞' THEN CASE WHEN {_HOST} THEN 'nominal adjective continues a compound' ELSE 'nominal adjective' END
+   WHEN pos1 = '動詞' AND base_form = '為る' AND contains(p_pos3, 'サ変') THEN 'light verb after a verbal noun'
+   WHEN pos1 IN ('動詞', '形容詞') AND pos2 = '非自立可能' THEN CASE WHEN p_pos1 IN ('動詞', '形容詞') AND (p_conj LIKE '連用形%' OR p_conj LIKE '語幹%') THEN 'dependent predicate after a stem' ELSE 'dependent predicate' END
+   ELSE 'content word' END AS reason FROM prevs),
+decided AS (SELECT *, reason IN {_in(r for r, new in segment.REASONS.items() if new)} AS starts_new FROM reasons)"""
+
+PHRASES = f"""{DECISIONS},
+numbered AS (SELECT *, CAST(sum(CASE WHEN starts_new THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, sentence_id ORDER BY position) - 1 AS BIGINT) AS bunsetsu_id FROM decided),
+phr AS (SELECT *, min(position) OVER p AS b_start, max(position) OVER p AS b_end FROM numbered WINDOW p AS (PARTITION BY doc_id, sentence_id, bunsetsu_id))"""
+
+_CLAUSE = _in(P.CLAUSE_MARKS)
+_SENT = _in(P.SENTENCE_MARKS)
+
+
+def _candidates_sql(base: str) -> str:
+    """The Latin rules, each written out over neighbours; rows as (doc_id, rule, variant, span, captures, evidence)."""
+    return f"""{base},
+near AS (SELECT doc_id, position, surface, pos1, pos2, base_form,
+   lag(surface) OVER w AS s_1, lag(pos1) OVER w AS p_1, lead(surface) OVER w AS s1, lead(pos1) OVER w AS p1, lead(surface, 2) OVER w AS s2, lead(pos1, 2) OVER w AS p2, lead(pos1, 3) OVER w AS p3, lead(surface, 3) OVER w AS s3,
+   sum(CASE WHEN surface IN {_CLAUSE} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pre
+   FROM tags WINDOW w AS (PARTITION BY doc_id ORDER BY position)),
+verbs AS (SELECT doc_id, position, surface, CASE WHEN p1 = '動詞' THEN 1 WHEN p2 = '動詞' AND s1 NOT IN {_CLAUSE} THEN 2 WHEN p3 = '動詞' AND s1 NOT IN {_CLAUSE} AND s2 NOT IN {_CLAUSE} THEN 3 END AS first_verb,
+                 CASE WHEN p3 = '動詞' AND s1 NOT IN {_CLAUSE} AND s2 NOT IN {_CLAUSE} THEN 3 WHEN p2 = '動詞' AND s1 NOT IN {_CLAUSE} THEN 2 WHEN p1 = '動詞' THEN 1 END AS far_verb, base_form, pos1 FROM near),
+cand AS (
+ SELECT doc_id, 'latin-of-the' AS rule_id, 'default' AS variant_id, position AS s, position + 1 AS e, '' AS captures, 2 AS core, 0 AS ctx, 0 AS prio, false AS fb, 0 AS wild, 0 AS opt, 5 AS jlpt FROM near WHERE surface = 'of' AND s1 = 'the'
+ UNION ALL SELECT doc_id, 'latin-the-noun', 'default', position, position + 1, 'head:' || (position + 1) || '-' || (position + 1), 2, 0, 1, false, 0, 1, 4 FROM near WHERE base_form = 'the' AND p1 = '名詞'
+ UNION ALL SELECT doc_id, 'latin-the-noun', 'default', position, position + 2, 'head:' || (position + 1) || '-' || (position + 1), 3, 0, 1, false, 0, 1, 4 FROM near WHERE base_form = 'the' AND p1 = '名詞' AND s2 = 'of'
+ UNION ALL SELECT a.doc_id, 'latin-to-and', 'default', a.position, b.position, CASE WHEN b.position > a.position + 1 THEN 'middle:' || (a.position + 1) || '-' || (b.position - 1) ELSE '' END, 2, 0, 0, false, 1, 0, 3
+           FROM near a JOIN near b ON a.doc_id = b.doc_id AND b.position BETWEEN a.position + 1 AND a.position + 4 AND coalesce(b.pre, 0) = coalesce(a.pre, 0) WHERE a.surface = 'to' AND b.surface = 'and'
+ UNION ALL SELECT doc_id, 'latin-in', 'after-verb', position, position, '', 1, 1, 0, false, 0, 0, 5 FROM near WHERE surface = 'in' AND p_1 = '動詞'
+ UNION ALL SELECT doc_id, 'latin-in', 'between-nouns', position - 1, position, 'place:' || (position + 1) || '-' || (position + 1), 1, 2, 2, false, 0, 0, 5 FROM near WHERE surface = 'in' AND p_1 = '名詞' AND p1 = '名詞'
+ UNION ALL SELECT doc_id, 'latin-opening', 'clause', position, position, '', 2, 1, 0, false, 0, 0, 2 FROM near WHERE base_form = 'the' AND pos1 = '接頭辞' AND (s_1 IS NULL OR s_1 IN {_CLAUSE})
+ UNION ALL SELECT doc_id, 'latin-opening', 'sentence', position, position, '', 1, 1, 0, false, 0, 0, 2 FROM near WHERE base_form = 'the' AND (s_1 IS NULL OR s_1 IN {_SENT})
+ UNION ALL SELECT doc_id, 'latin-last-noun', 'end', position, position, '', 2, 1, 0, false, 0, 0, 1 FROM near WHERE pos1 = '名詞' AND pos2 = '普通名詞' AND (s1 IS NULL OR s1 IN {_SENT})
+ UNION ALL SELECT doc_id, 'latin-joint', 'verb-near', position, position, 'joint:' || position || '-' || position || ',verb:' || (position + far_verb) || '-' || (position + far_verb), 2, 1, 0, false, 1, 0, 0
+           FROM verbs WHERE far_verb IS NOT NULL AND (surface IN ('and', 'or', 'et') OR (surface = 'und' AND pos1 = '助詞'))
+ UNION ALL SELECT doc_id, 'latin-joint', 'bare', position, position, '', 1, 0, 0, true, 0, 0, 0 FROM near WHERE surface = 'and')"""
+
+
+_NAMES = {r.id: r.name for r in latin_rules()}
+_NAME_CASE = "CASE rule_id " + " ".join(f"WHEN '{i}' THEN '{n}'" for i, n in _NAMES.items()) + " END"
+
+RANKED = f"""{_candidates_sql(PHRASES)},
+al AS (SELECT c.*, {_NAME_CASE} AS rule_name, (a.sentence_id = b.sentence_id AND a.bunsetsu_id = b.bunsetsu_id) OR (c.s = a.b_start AND c.e = b.b_end) AS aligned
+       FROM cand c JOIN phr a ON c.doc_id = a.doc_id AND c.s = a.position JOIN phr b ON c.doc_id = b.doc_id AND c.e = b.position),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY fb, prio DESC, aligned DESC, e - s DESC, core DESC, ctx DESC, wild, opt, jlpt DESC, rule_id, variant_id, s, e) AS r FROM al),
+grp AS (SELECT doc_id, s, e, rule_name, min(r) AS r, arg_min(captures, r) AS captures, string_agg(rule_id || '/' || variant_id, ',' ORDER BY rule_id, variant_id) AS provenance
+        FROM (SELECT DISTINCT ON (doc_id, s, e, rule_id, variant_id) * FROM ordered ORDER BY doc_id, s, e, rule_id, variant_id, r) GROUP BY doc_id, s, e, rule_name),
+ided AS (SELECT *, 'match-' || s || '-' || e || CASE WHEN n > 0 THEN '-' || n ELSE '' END AS id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, s, e ORDER BY r) - 1 AS n FROM grp)),
+lists AS (SELECT doc_id, list([{{'r': r, 's': s, 'e': e, 'id': id}}] ORDER BY r) AS l FROM ided GROUP BY doc_id),
+folded AS (SELECT doc_id, list_reduce(l, lambda acc, x: CASE WHEN len(list_filter(acc, lambda p: p.s <= x[1].e AND x[1].s <= p.e)) > 0 THEN acc ELSE list_concat(acc, x) END) AS kept FROM lists),
+blocked AS (SELECT i.*, list_filter(f.kept, lambda p: p.s <= i.e AND i.s <= p.e)[1] AS b FROM ided i JOIN folded f USING (doc_id))"""
+
+
+# --------------------------------------------------------------------------------------- tokens
+
+
+@query(f"WITH {LAID} SELECT doc_id, position, surface, byte_start, byte_end FROM toks")
+def tokenize_documents(spark, sf):
+    """token rows with byte offsets."""
+    return split_tokens(_docs(spark, sf)).select("doc_id", *_long("position"), "surface", *_long("byte_start", "byte_end"))
+
+
+@query(f"WITH {TAGGED} SELECT pos1, pos2, pos3, conj_form, count(*) AS n, count(DISTINCT base_form) AS lemmas FROM tags GROUP BY ALL")
+def token_features(spark, sf):
+    """counts of token features."""
+    return _tokens(spark, sf).groupBy("pos1", "pos2", "pos3", "conj_form").agg(F.count("*").alias("n"), F.countDistinct("base_form").alias("lemmas"))
+
+
+@query("SELECT CAST(0 AS BIGINT) AS errors")
+def token_tiling(spark, sf):
+    """tokens that overlap or are empty."""
+    return tile_errors(split_tokens(_docs(spark, sf))).agg(F.count("*").alias("errors"))
+
+
+# --------------------------------------------------------------------------------------- phrases
+
+
+@query(f"WITH {SENTENCES} SELECT doc_id, sentence_id, min(position) AS token_start, max(position) AS token_end FROM sents GROUP BY ALL")
+def sentence_spans(spark, sf):
+    """Sentences."""
+    return segment.sentences(_tokens(spark, sf)).groupBy("doc_id", *_long("sentence_id")).agg(F.min("position").cast("long").alias("token_start"), F.max("position").cast("long").alias("token_end"))
+
+
+@query(f"WITH {DECISIONS} SELECT doc_id, position, starts_new, reason FROM decided")
+def phrase_decisions(spark, sf):
+    """Why tokens open or join phrases."""
+    return segment.decisions(_tokens(spark, sf)).select("doc_id", *_long("position"), "starts_new", "reason")
+
+
+@query(f"WITH {PHRASES} SELECT DISTINCT doc_id, sentence_id, bunsetsu_id, b_start AS token_start, b_end AS token_end FROM phr")
+def phrase_spans(spark, sf):
+    """Phrases."""
+    return segment.spans(_phrases(spark, sf)).select("doc_id", *_long("sentence_id", "bunsetsu_id", "token_start", "token_end"))
+
+
+@query(
+    f"""WITH {PHRASES}, one AS (SELECT doc_id, sentence_id, bunsetsu_id, '[' || string_agg(surface, '·' ORDER BY position) || ']' AS b FROM phr GROUP BY ALL)
+SELECT doc_id, sentence_id, '文' || (sentence_id + 1) || ': ' || string_agg(b, ' ' ORDER BY bunsetsu_id) AS line FROM one GROUP BY doc_id, sentence_id"""
+)
+def phrase_lines(spark, sf):
+    """K5: a line of bracketed phrases for each sentence."""
+    from .operators.render import phrase_lines as lines
+
+    return lines(_phrases(spark, sf)).select("doc_id", *_long("sentence_id"), "line")
+
+
+# --------------------------------------------------------------------------------------- matching
+
+
+def _captures(c: str = "captures") -> Column:
+    return F.array_join(F.transform(c, lambda x: F.concat(x["name"], F.lit(":"), x["token_start"], F.lit("-"), x["token_end"])), ",").alias("captures")
+
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    """Primary matches of each rule, with the sentences and documents that hold them."""
+    primary, _, phrases = _ranked(spark, sf)
+    at = phrases.select(F.col("doc_id").alias("d"), F.col("position").alias("p"), "sentence_id")
+    met = primary.join(at, (F.col("doc_id") == F.col("d")) & (F.col("token_start") == F.col("p")))
+    return met.groupBy("rule_name").agg(F.count("*").alias("matches"), F.countDistinct("doc_id", "sentence_id").alias("sentences"), F.countDistinct("doc_id").alias("documents"))
+
+
+@query(
+    f"""WITH {RANKED} SELECT k.rule_name, count(*) AS matches, count(DISTINCT (k.doc_id, p.sentence_id)) AS sentences, count(DISTINCT k.doc_id) AS documents
+FROM blocked k JOIN phr p ON k.doc_id = p.doc_id AND k.s = p.position WHERE k.b.r = k.r GROUP BY k.rule_name"""
+)
+def rule_summary(spark, sf):
+    """The flagship over all documents."""
+    return flagship(spark, sf)
+
+
+@query(f"WITH {_candidates_sql(TAGGED)} SELECT doc_id, rule_id, variant_id, s AS token_start, e AS token_end, captures, CAST(core AS BIGINT) AS core_specificity, CAST(ctx AS BIGINT) AS context_specificity, CAST(prio AS BIGINT) AS priority, fb AS fallback, CAST(wild AS BIGINT) AS wildcard_steps, CAST(opt AS BIGINT) AS optional_steps FROM cand")
+def match_candidates(spark, sf):
+    """Every match with its evidence."""
+    return _candidates(spark, sf).select("doc_id", "rule_id", "variant_id", *_long("token_start", "token_end"), _captures(), *_long("core_specificity", "context_specificity", "priority"), "fallback", *_long("wildcard_steps", "optional_steps"))
+
+
+@query(
+    f"""WITH {_candidates_sql(TAGGED)},
+firsts_ AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY doc_id, rule_id, variant_id, s ORDER BY CASE WHEN rule_id = 'latin-the-noun' THEN -e ELSE e END) = 1),
+sensed AS (SELECT *, CASE WHEN rule_id IN ('latin-to-and', 'latin-joint') THEN 'span' ELSE rule_id END AS sense FROM firsts_),
+best AS (SELECT * FROM sensed QUALIFY row_number() OVER (PARTITION BY doc_id, s, e, sense ORDER BY fb, core DESC, ctx DESC, prio DESC, rule_id, variant_id) = 1)
+SELECT doc_id, rule_id, variant_id, s AS token_start, e AS token_end FROM best"""
+)
+def match_resolved(spark, sf):
+    """One reading of each occurrence."""
+    return match.resolve(_candidates(spark, sf)).select("doc_id", "rule_id", "variant_id", *_long("token_start", "token_end"))
+
+
+@query(f"WITH {RANKED} SELECT doc_id, id, rule_name, s AS token_start, e AS token_end, captures, provenance FROM blocked WHERE b.r = r")
+def ranked_primary(spark, sf):
+    """Matches that nothing stronger overlaps."""
+    primary, _, _ = _ranked(spark, sf)
+    provenance = F.array_join(F.transform("provenance", lambda x: F.concat(x["rule_id"], F.lit("/"), x["variant_id"])), ",").alias("provenance")
+    return primary.select("doc_id", "id", "rule_name", *_long("token_start", "token_end"), _captures(), provenance)
+
+
+@query(
+    f"""WITH {RANKED} SELECT doc_id, 'secondary-' || s || '-' || e || '-' || (row_number() OVER (PARTITION BY doc_id, s, e ORDER BY id) - 1) AS secondary_id, id, rule_name,
+CASE WHEN b.s <= s AND b.e >= e THEN 'contained_by_stronger_match' ELSE 'overlaps_stronger_match' END AS reason, b.id AS blocked_by FROM blocked WHERE b.r <> r"""
+)
+def ranked_secondary(spark, sf):
+    """Matches that a stronger one blocks."""
+    _, secondary, _ = _ranked(spark, sf)
+    return secondary.select("doc_id", "secondary_id", "id", "rule_name", "reason", "blocked_by")
+
+
+@query(
+    f"""WITH {_candidates_sql(TAGGED)}, own AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'latin-of-the' WHEN 1 THEN 'latin-in' ELSE 'latin-joint' END AS rule_id FROM documents),
+hit AS (SELECT DISTINCT o.doc_id, o.rule_id FROM own o JOIN cand c ON o.doc_id = c.doc_id AND o.rule_id = c.rule_id)
+SELECT count(*) AS examples, count(h.doc_id) AS recalled, count(DISTINCT h.rule_id) AS rules_recalled, round(count(h.doc_id) / CAST(count(*) AS DOUBLE), 9) AS recall, round(count(DISTINCT h.rule_id) / 7.0::DOUBLE, 9) AS coverage
+FROM own o LEFT JOIN hit h ON o.doc_id = h.doc_id AND o.rule_id = h.rule_id"""
+)
+def rule_recall(spark, sf):
+    """Examples that their own rule matches; a document's rule is given by its id."""
+    own = _docs(spark, sf).select("doc_id", F.when(F.col("doc_id") % 3 == 0, "latin-of-the").when(F.col("doc_id") % 3 == 1, "latin-in").otherwise("latin-joint").alias("rule_id"))
+    hits = match.probe(_candidates(spark, sf), own).select(F.col("doc_id").alias("example_id"), "rule_id")
+    out = evaluate.recall_and_coverage(own.withColumnRenamed("doc_id", "example_id"), hits, len(latin_rules()))
+    return out.select("examples", "recalled", "rules_recalled", F.round("recall", 9).alias("recall"), F.round("coverage", 9).alias("coverage"))
+
+
+# --------------------------------------------------------------------------------------- trees
+
+
+@query(
+    f"""WITH {PHRASES}
+SELECT d.doc_id, 'document-0' AS id, 'document' AS kind, min(p.position) AS token_start, max(p.position) AS token_end FROM documents d LEFT JOIN phr p USING (doc_id) GROUP BY d.doc_id
+UNION ALL SELECT doc_id, 'sentence-' || sentence_id, 'sentence', min(position), max(position) FROM phr GROUP BY doc_id, sentence_id
+UNION ALL SELECT doc_id, 'bunsetsu-' || sentence_id || '-' || bunsetsu_id, 'bunsetsu', min(position), max(position) FROM phr GROUP BY doc_id, sentence_id, bunsetsu_id
+UNION ALL SELECT doc_id, 'token-' || position, 'token', position, position FROM phr"""
+)
+def tree_nodes(spark, sf):
+    """Nodes of document trees."""
+    nodes, _ = tree.build(_docs(spark, sf), _phrases(spark, sf))
+    return nodes.select("doc_id", "id", "kind", *_long("token_start", "token_end"))
+
+
+@query(
+    f"""WITH {PHRASES}
+SELECT doc_id, 'document-0' AS parent_id, 'sentence-' || sentence_id AS child_id, sentence_id AS ord FROM phr GROUP BY doc_id, sentence_id
+UNION ALL SELECT doc_id, 'sentence-' || sentence_id, 'bunsetsu-' || sentence_id || '-' || bunsetsu_id, bunsetsu_id FROM phr GROUP BY doc_id, sentence_id, bunsetsu_id
+UNION ALL SELECT doc_id, 'bunsetsu-' || sentence_id || '-' || bunsetsu_id, 'token-' || position, position - b_start FROM phr"""
+)
+def tree_edges(spark, sf):
+    """Edges of document trees, children in order."""
+    _, edges = tree.build(_docs(spark, sf), _phrases(spark, sf))
+    return edges.select("doc_id", "parent_id", "child_id", F.col("order").cast("long").alias("ord"))
+
+
+@query("SELECT CAST(0 AS BIGINT) AS errors")
+def tree_topology(spark, sf):
+    """T4: errors in built trees."""
+    return tree.topology_errors(*tree.build(_docs(spark, sf), _phrases(spark, sf))).agg(F.count("*").alias("errors"))
+
+
+@query(
+    f"""WITH {RANKED} SELECT k.doc_id, k.id AS match_id, CASE WHEN a.sentence_id = z.sentence_id AND a.bunsetsu_id = z.bunsetsu_id THEN 'bunsetsu-' || a.sentence_id || '-' || a.bunsetsu_id
+WHEN a.sentence_id = z.sentence_id THEN 'sentence-' || a.sentence_id ELSE 'document-0' END AS node_id
+FROM blocked k JOIN phr a ON k.doc_id = a.doc_id AND k.s = a.position JOIN phr z ON k.doc_id = z.doc_id AND k.e = z.position WHERE k.b.r = k.r"""
+)
+def tree_owners(spark, sf):
+    """The node that each primary match is attached to."""
+    primary, _, phrases = _ranked(spark, sf)
+    return tree.owners(primary, phrases).select("doc_id", "match_id", "node_id")
+
+
+# --------------------------------------------------------------------------------------- dictionary
+
+#: Synthetic dictionary of the documents' own vocabulary: frequent words, and frequent pairs of words as compounds.
+LEAST_WORD, LEAST_PAIR = 30, 4
+
+DICTIONARY = f"""{PHRASES},
+vocab AS (SELECT surface AS form FROM phr WHERE pos1 NOT IN ('補助記号', '') GROUP BY surface HAVING count(*) >= {LEAST_WORD}),
+pairs AS (SELECT surface || nxt AS form FROM (SELECT surface, pos1, lead(surface) OVER w AS nxt, lead(pos1) OVER w AS npos FROM phr WINDOW w AS (PARTITION BY doc_id, sentence_id, bunsetsu_id ORDER BY position))
+          WHERE nxt IS NOT NULL AND pos1 NOT IN {_in(P.EMPTY_WORDS)} AND npos NOT IN {_in(P.EMPTY_WORDS)} GROUP BY 1 HAVING count(*) >= {LEAST_PAIR}),
+dict AS (SELECT form, min(k) AS k FROM (SELECT form, 0 AS k FROM vocab UNION ALL SELECT form, 1 FROM pairs) GROUP BY form)"""
+
+
+def dictionary(phrases: DataFrame) -> DataFrame:
+    """The same as a dictionary table: entries of one form, numbered by its hash, with one sense."""
+    words = phrases.filter(~F.col("pos1").isin(P.MARK, "")).groupBy("surface").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_WORD).select(F.col("surface").alias("form"), F.lit(0).alias("k"))
+    by = Window.partitionBy("doc_id", "sentence_id", "bunsetsu_id").orderBy("position")
+    next_ = phrases.withColumns({"nxt": F.lead("surface").over(by), "npos": F.lead("pos1").over(by)}).filter(F.col("nxt").isNotNull() & P.content_word(F.col("pos1")) & P.content_word(F.col("npos")))
+    pairs = next_.groupBy(F.concat("surface", "nxt").alias("form")).agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_PAIR).select("form", F.lit(1).alias("k"))
+    every = words.unionByName(pairs).groupBy("form").agg(F.min("k").alias("k"))
+    senses = F.array(F.struct(F.array(F.concat(F.lit("sense of "), F.col("form"))).alias("glosses"), F.array(F.when(F.col("form").isin(*PARTICLES), "Particle").otherwise("Noun")).alias("pos")))
+    seq = F.crc32(F.encode("form", "UTF-8"))
+    return every.select(seq.alias("entry_seq"), seq.alias("entry_ord"), F.array("form").alias("kanji"), F.array().cast("array<string>").alias("readings"), senses.alias("senses"))
+
+
+@query(
+    f"""WITH {DICTIONARY}, keyed AS (
+SELECT doc_id, position, base_form AS f, 0 AS o, pos1 FROM phr WHERE pos1 NOT IN {_in(P.EMPTY_WORDS)} UNION ALL SELECT doc_id, position, surface, 1, pos1 FROM phr WHERE pos1 NOT IN {_in(P.EMPTY_WORDS)}
+UNION ALL SELECT doc_id, position, surface, 0, pos1 FROM phr WHERE pos1 IN ('助詞', '助動詞')),
+hits AS (SELECT k.doc_id, k.position, k.f, min(k.o) AS o FROM keyed k JOIN dict d ON k.f = d.form WHERE k.pos1 NOT IN ('助詞', '助動詞') OR k.f IN {_in(PARTICLES)} GROUP BY 1, 2, 3),
+kept AS (SELECT h.*, max(CASE WHEN h.f = p.base_form AND p.pos1 NOT IN ('助詞', '助動詞') THEN 1 ELSE 0 END) OVER (PARTITION BY h.doc_id, h.position) AS lemma, p.base_form, p.pos1 FROM hits h JOIN phr p ON h.doc_id = p.doc_id AND h.position = p.position)
+SELECT doc_id, position, row_number() OVER (PARTITION BY doc_id, position ORDER BY o) - 1 AS n, 'sense of ' || f AS gloss FROM kept WHERE lemma = 0 OR f = base_form"""
+)
+def token_glosses(spark, sf):
+    """Senses of tokens."""
+    phrases = _phrases(spark, sf)
+    return gloss.lookup(phrases, dictionary(phrases)).select("doc_id", *_long("position", "n"), "gloss")
+
+
+@query(
+    f"""WITH {DICTIONARY},
+spans AS (SELECT a.doc_id, a.sentence_id, a.bunsetsu_id, a.position AS s, b.position AS e,
+   (SELECT string_agg(m.surface, '' ORDER BY m.position) FROM phr m WHERE m.doc_id = a.doc_id AND m.position BETWEEN a.position AND b.position) AS joined,
+   (SELECT bool_and(m.pos1 NOT IN {_in(P.EMPTY_WORDS)}) FROM phr m WHERE m.doc_id = a.doc_id AND m.position BETWEEN a.position AND b.position) AS fine
+   FROM phr a JOIN phr b ON a.doc_id = b.doc_id AND a.sentence_id = b.sentence_id AND a.bunsetsu_id = b.bunsetsu_id AND b.position > a.position),
+longest AS (SELECT s.doc_id, s.sentence_id, s.bunsetsu_id, s.s, max(s.e) AS e FROM spans s JOIN dict d ON s.joined = d.form WHERE s.fine GROUP BY ALL),
+lists_ AS (SELECT doc_id, sentence_id, bunsetsu_id, list([{{'s': s, 'e': e}}] ORDER BY s) AS l FROM longest GROUP BY ALL),
+taken AS (SELECT doc_id, unnest(list_reduce(l, lambda acc, x: CASE WHEN x[1].s > acc[len(acc)].e THEN list_concat(acc, x) ELSE acc END)) AS t FROM lists_)
+SELECT doc_id, t.s AS token_start, t.e AS token_end FROM taken"""
+)
+def compound_words(spark, sf):
+    """Compounds of dictionary entries."""
+    phrases = _phrases(spark, sf)
+    return gloss.compounds(phrases, dictionary(phrases)).select("doc_id", *_long("token_start", "token_end"))
+
+
+# --------------------------------------------------------------------------------------- evaluation
+
+_GOLD = """gold AS (SELECT doc_id, CAST(o AS BIGINT) AS o FROM (SELECT doc_id, position, surface, lag(surface) OVER w AS prev, sum(length(surface)) OVER (PARTITION BY doc_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS o FROM tags WINDOW w AS (PARTITION BY doc_id ORDER BY position)) WHERE prev IN ('.', ',', 'and') AND surface NOT IN ('.', ','))"""
+_SCORES = f"""{PHRASES}, {_GOLD},
+pred AS (SELECT doc_id, CAST(o AS BIGINT) AS o FROM (SELECT doc_id, position, b_start, sum(length(surface)) OVER (PARTITION BY doc_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS o FROM phr) WHERE position = b_start AND o > 0),
+sc AS (SELECT d.doc_id, d.source, (SELECT count(*) FROM pred p JOIN gold g ON p.doc_id = g.doc_id AND p.o = g.o WHERE p.doc_id = d.doc_id) AS hits, (SELECT count(*) FROM pred p WHERE p.doc_id = d.doc_id) AS n_predicted, (SELECT count(*) FROM gold g WHERE g.doc_id = d.doc_id) AS n_gold FROM documents d),
+pr AS (SELECT *, hits / greatest(n_predicted, 1)::DOUBLE AS pp, hits / greatest(n_gold, 1)::DOUBLE AS rr FROM sc),
+scored AS (SELECT doc_id, source, hits, n_predicted, n_gold, CASE WHEN n_predicted = 0 AND n_gold = 0 THEN 1.0 WHEN pp + rr = 0 THEN 0.0 ELSE 2 * pp * rr / (pp + rr) END AS f1 FROM pr)"""
+
+
+def _scored(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Boundaries of phrases against a stand-in gold: what follows a full stop, a comma or `and`."""
+    phrases = _phrases(spark, sf)
+    by = Window.partitionBy("doc_id").orderBy("position")
+    laid = phrases.select("doc_id", "position", "surface", F.lag("surface").over(by).alias("prev"), F.sum(F.char_length("surface")).over(by.rowsBetween(Window.unboundedPreceding, -1)).cast("int").alias("boundary_offset"))
+    gold = laid.filter(F.col("prev").isin(".", ",", "and") & ~F.col("surface").isin(".", ",")).select("doc_id", "boundary_offset")
+    predicted = evaluate.boundaries(phrases)
+    items = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source")
+    return evaluate.per_sentence(items, predicted, gold), predicted, gold
+
+
+@query(f"WITH {_SCORES} SELECT doc_id, hits, n_predicted, n_gold, round(f1, 9) AS f1 FROM scored")
+def boundary_scores(spark, sf):
+    """F1 of each document's boundaries."""
+    return _scored(spark, sf)[0].select("doc_id", *_long("hits", "n_predicted", "n_gold"), F.round("f1", 9).alias("f1"))
+
+
+@query(
+    f"""WITH {_SCORES}, t AS (SELECT source, count(*) AS sentences, CAST(sum(hits) AS BIGINT) AS hits, sum(n_predicted) AS np, sum(n_gold) AS ng FROM scored GROUP BY source),
+u AS (SELECT *, hits / greatest(np, 1)::DOUBLE AS p, hits / greatest(ng, 1)::DOUBLE AS r FROM t)
+SELECT source, sentences, hits, round(p, 9) AS precision, round(r, 9) AS recall, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 9) AS f1 FROM u"""
+)
+def boundary_totals(spark, sf):
+    """A1: micro precision, recall and F1 of each source."""
+    total = evaluate.per_file(_scored(spark, sf)[0], "source")
+    return total.select("source", "sentences", *_long("hits"), *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query(f"WITH {_SCORES} SELECT doc_id, round(f1, 9) AS f1 FROM scored ORDER BY scored.f1, doc_id LIMIT 25")
+def boundary_worst(spark, sf):
+    """A3: the 25 documents with the lowest F1 (a top-k report)."""
+    return evaluate.worst(_scored(spark, sf)[0], 25).select("doc_id", F.round("f1", 9).alias("f1"))
+
+
+@query(f"WITH {_SCORES}, m AS (SELECT * FROM gold EXCEPT SELECT * FROM pred), s AS (SELECT * FROM pred EXCEPT SELECT * FROM gold) SELECT doc_id, 'missed' AS side, o AS boundary_offset FROM m UNION ALL SELECT doc_id, 'spurious', o FROM s")
+def boundary_differences(spark, sf):
+    """A5: boundaries of one side only."""
+    _, predicted, gold = _scored(spark, sf)
+    return evaluate.differences(predicted, gold).select("doc_id", "side", *_long("boundary_offset"))
+
+
+# --------------------------------------------------------------------------------------- scalars and requests
+
+
+def _plain_sql(col: str) -> str:
+    out = f"regexp_replace({col}, '(?s)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g')"
+    out = f"regexp_replace({out}, '<[^>]*>', ' ', 'g')"
+    for name, value in T.ENTITIES.items():
+        out = f"replace({out}, '&{name};', '{value}')"
+    return f"trim(regexp_replace({out}, '[\\s\\x{{a0}}\\x{{3000}}]+', ' ', 'g'))"
+
+
+@query(f"SELECT page_id, {_plain_sql('html')} AS text FROM pages")
+def page_plain_text(spark, sf):
+    """markup to plain text."""
+    return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", T.plain_text(F.col("html")).alias("text"))
+
+
+@query(
+    """SELECT doc_id, sha256(text) AS digest, lower(trim(regexp_replace(source, '\\s+', ' ', 'g'))) AS name, 'id-' || regexp_replace(lower(regexp_replace(lang || ' / ' || source, '[^a-zA-Z0-9_-]+', '-', 'g')), '^-+|-+$', '', 'g') AS slug,
+coalesce(try_cast(regexp_replace(source, '^[^0-9]+', '') AS INTEGER), 0) AS level_number,
+CASE WHEN regexp_matches(upper(replace(source, 'src', 'N')), '^N?[1-5]$') THEN 'N' || regexp_extract(upper(replace(source, 'src', 'N')), '^N?([1-5])$', 1) ELSE '' END AS level,
+trim(regexp_replace(source || ' (' || lang || ')', '\\s*\\([^()]*\\)\\s*$', '')) AS title, CAST(length(text) AS BIGINT) AS chars, CAST(length(text) AS BIGINT) AS width, replace(replace(lang || '"' || '\\', '\\', '\\\\'), '"', '\\"') AS dot FROM documents"""
+)
+def scalar_functions(spark, sf):
+    """String functions."""
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    s, lang = F.col("source"), F.col("lang")
+    return d.select(
+        "doc_id",
+        T.sha256(F.col("text")).alias("digest"),
+        T.normalize(s).alias("name"),
+        T.slug(F.concat(lang, F.lit(" / "), s), "id-").alias("slug"),
+        T.jlpt_level(s).alias("level_number"),
+        T.level(F.replace(s, F.lit("src"), F.lit("N"))).alias("level"),
+        T.title(F.concat(s, F.lit(" ("), lang, F.lit(")"))).alias("title"),
+        F.char_length("text").cast("long").alias("chars"),
+        T.display_width(F.col("text")).cast("long").alias("width"),
+        T.dot_escape(F.concat(lang, F.lit('"'), F.lit("\\"))).alias("dot"),
+    )
+
+
+@query(
+    f"""SELECT CASE WHEN text IS NULL OR regexp_full_match(text, '[\\s\\x{{a0}}\\x{{3000}}]*') THEN 'empty_input' WHEN strlen(text) > {MOST_TEXT} THEN 'input_too_large' ELSE 'ok' END AS outcome, role, count(*) AS n
+FROM conversations GROUP BY ALL UNION ALL
+SELECT CASE WHEN text IS NULL OR regexp_full_match(text, '[\\s\\x{{a0}}\\x{{3000}}]*') THEN 'empty_input' WHEN strlen(text) > {MOST_TEXT} THEN 'input_too_large' ELSE 'ok' END, 'document', count(*) FROM documents GROUP BY ALL"""
+)
+def request_checks(spark, sf):
+    """What texts are accepted."""
+    turns = spark.read.parquet(f"{sf}/conversations.parquet").select("role", "text")
+    docs = _docs(spark, sf).select(F.lit("document").alias("role"), "text")
+    return validate_text(turns.unionByName(docs)).groupBy(F.coalesce("error", F.lit("ok")).alias("outcome"), "role").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH {RANKED}, cover AS (SELECT t.doc_id, t.position, min(k.r) AS r FROM tags t LEFT JOIN blocked k ON t.doc_id = k.doc_id AND k.b.r = k.r AND t.position BETWEEN k.s AND k.e GROUP BY ALL)
+SELECT c.doc_id, c.position, coalesce(k.id, 'root') AS owner FROM cover c LEFT JOIN ided k ON c.doc_id = k.doc_id AND c.r = k.r"""
+)
+def token_owners(spark, sf):
+    """The match that a token is drawn under."""
+    from .operators.render import token_owners as own
+
+    primary, _, phrases = _ranked(spark, sf)
+    return own(phrases, primary).select("doc_id", *_long("position"), "owner")
+
+
+@query(
+    f"""WITH {TAGGED}, m AS (SELECT DISTINCT pos1, base_form FROM tags WHERE pos1 = '助動詞' OR (pos1 = '形状詞' AND pos2 = '助動詞語幹') OR (pos1 = '形容詞' AND pos2 = '非自立可能'))
+SELECT pos1, base_form, (SELECT count(*) FROM tags t WHERE t.pos1 = m.pos1 AND t.base_form = m.base_form) AS n FROM m"""
+)
+def closed_class_inventory(spark, sf):
+    """Members of closed classes in the documents."""
+    tokens = _tokens(spark, sf)
+    members = tokens.filter(P.closed_class(F.col("pos1"), F.col("pos2"))).select("pos1", "base_form").distinct()
+    return tokens.groupBy("pos1", "base_form").agg(F.count("*").alias("n")).join(members, ["pos1", "base_form"], "left_semi")
+
+
+@query("SELECT count(*) AS examples, count(DISTINCT text) AS texts FROM (SELECT text FROM documents UNION ALL SELECT text FROM conversations)")
+def distinct_texts(spark, sf):
+    """Each text once before it is tokenised."""
+    every = reduce(DataFrame.unionByName, [_docs(spark, sf).select("text"), spark.read.parquet(f"{sf}/conversations.parquet").select("text")])
+    return every.agg(F.count("*").alias("examples")).crossJoin(evaluate.distinct_texts(every).agg(F.count("*").alias("texts")))
+
+
+@query(None)
+def analysis_json(spark, sf):
+    """Whole documents as JSON, missing values as null."""
+    from .plans.analyze import Analyzer, document_json
+
+    return document_json(Analyzer(latin_rules()).analyze(_docs(spark, sf)))
+
+
+@query(None)
+def tree_outline(spark, sf):
+    """K7: trees as indented lines."""
+    from .operators.render import outline
+    from .plans.analyze import Analyzer
+
+    return outline(Analyzer(latin_rules()).analyze(_docs(spark, sf)))
