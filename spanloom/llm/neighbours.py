@@ -3,15 +3,16 @@
 Vectors of one label and dimension are compared by cosine in double precision. Equal vectors are one class; only
 classes go on, with their numbers of copies.
 
-1. Start. Random hyperplanes deal the vectors into buckets, in several tables; pairs of a bucket whose cosine is at
-   least FLOOR are the first edges. Buckets beyond BUCKET vectors are cut by further hyperplanes.
+1. Start. Random hyperplanes deal the vectors into buckets, in several tables; each vector's best partners in its
+   bucket with a cosine of FLOOR or more are the first neighbours. Buckets beyond BUCKET vectors are cut by further
+   hyperplanes.
 2. Descent. A vector's list holds its `width` best neighbours. Each round joins neighbours with their neighbours'
-   neighbours and computes the cosines of the new pairs; rounds end when they find no pair at the threshold. A list
-   is saturated when even its last neighbour reaches the threshold; its width then doubles, so that no link is cut.
-3. Audit. A bounded sample of at most AUDIT vectors is compared with all vectors, block by block. While the share of
-   their links that the graph holds is below RECALL, the start is repeated with new hyperplanes (at most TABLES_MOST
-   tables), and the descent goes on.
-4. Edges at the threshold are kept, counted with the copies of both ends, and their components are labelled.
+   neighbours and computes the cosines of pairs that no links join yet; rounds end when none of them is a link.
+3. Saturated lists. In a dense group a list is full of links and would cut others off. Lists are enlarged to the whole
+   group that links join: its vectors are compared in tiles, which count the links of each vector and emit no pairs.
+4. Audit. A bounded sample of at most AUDIT vectors is compared with all vectors, block by block. While the share of
+   their links that fall inside the groups is below RECALL, the start is repeated with new hyperplanes (at most
+   TABLES_MOST tables), and the descent goes on.
 
 Lists and edges are tables in the shared folder; nothing but the audit's sample (at most AUDIT vectors) and
 counters reaches the driver.
@@ -40,6 +41,7 @@ WIDTH = 16
 TABLES = 16
 TABLES_MOST = 256
 BUCKET = 256
+TILE = 1024
 AUDIT = 512
 RECALL = 0.995
 ROWS = 20_000
@@ -85,8 +87,8 @@ def _by_dim(batch, column: int):
         yield int(dim), at, _matrix(batch.column(column).take(pa.array(at)))
 
 
-def _bucket_pairs(ids: np.ndarray, x: np.ndarray, seed: int, floor: float):
-    """Pairs of a bucket with a cosine of floor or more; a bucket that is too large is halved by a hyperplane first.
+def _bucket_pairs(ids: np.ndarray, x: np.ndarray, seed: int, floor: float, width: int):
+    """Each vector's best partners in a bucket, of a cosine of floor or more; a large bucket is halved first.
 
     Where vectors can't be parted by hyperplanes (they nearly coincide), runs of BUCKET vectors overlap by half.
     """
@@ -101,7 +103,15 @@ def _bucket_pairs(ids: np.ndarray, x: np.ndarray, seed: int, floor: float):
         for a in range(0, max(1, len(at) - BUCKET // 2), BUCKET // 2):
             part = at[a : a + BUCKET]
             cos = cosines(x[part], x[part])
-            i, j = np.nonzero(np.triu(cos >= floor, 1))
+            np.fill_diagonal(cos, -2)
+            if len(part) > width:  # the next one in a row of ids comes too, so that groups hold together
+                limit = -np.partition(-cos, width - 1, axis=1)[:, width - 1 : width]
+                keep = cos >= np.maximum(limit, floor)
+                keep &= np.cumsum(keep, axis=1) <= width
+                keep |= (np.eye(len(part), k=1) > 0) & (cos >= floor)
+            else:
+                keep = cos >= floor
+            i, j = np.nonzero(keep)
             yield ids[part[i]], ids[part[j]], cos[i, j]
 
 
@@ -113,7 +123,7 @@ def _edges(a, b, cos):
 EDGE = "a long, b long, cos double"
 
 
-def start(reps: DataFrame, largest: int, first_table: int, tables: int, count: int, floor: float) -> DataFrame:
+def start(reps: DataFrame, largest: int, first_table: int, tables: int, count: int, floor: float, width: int) -> DataFrame:
     """Edges between vectors that share a bucket of any of the tables."""
     bits = max(0, math.ceil(math.log2(max(1, largest) / 16)))
 
@@ -132,32 +142,39 @@ def start(reps: DataFrame, largest: int, first_table: int, tables: int, count: i
         for (table, *_), rows in by_run(batches, "label", "dim", "table", "code"):
             if len(rows) < 2:
                 continue
-            for found in _bucket_pairs(rows.column("id").to_numpy(), _matrix(rows.column("vec")), table, floor):
+            for found in _bucket_pairs(rows.column("id").to_numpy(), _matrix(rows.column("vec")), table, floor, width):
                 if len(found[0]):
                     yield _edges(*found)
 
     keys = ("label", "dim", "table", "code")
     dealt = reps.mapInArrow(deal, "table long, code long, label long, dim long, id long, vec binary")
-    return dealt.repartition(count, *keys).sortWithinPartitions(*keys).mapInArrow(meet, EDGE).distinct()
+    return dealt.repartition(count, *keys).sortWithinPartitions(*keys).mapInArrow(meet, EDGE).dropDuplicates(["a", "b"])
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b", "cos").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "cos"))
 
 
-def descend(reps: DataFrame, edges: DataFrame, threshold: float, floor: float, width: int) -> DataFrame:
-    """Edges after joining neighbours of neighbours until no new pair reaches the threshold."""
+def groups(reps: DataFrame, edges: DataFrame, threshold: float) -> DataFrame:
+    """(node, root): the groups that links among the edges join, single vectors included."""
+    joined = components(edges.filter(F.col("cos") >= threshold))
+    return save(reps.select(F.col("id").alias("n")).join(joined, F.col("n") == F.col("node"), "left").select(F.col("n").alias("node"), F.coalesce("root", "n").alias("root")), "groups")
+
+
+def descend(reps: DataFrame, edges: DataFrame, threshold: float, floor: float, width: int) -> tuple[DataFrame, DataFrame]:
+    """(edges, groups) after joining neighbours of neighbours until no new pair links two groups."""
     vectors = reps.select(F.col("id").alias("k"), "vec")
-    done_width = 0
     while True:
-        both = _both_ways(edges)
-        best = both.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.col("cos").desc(), "b"))).filter(F.col("rank") <= width)
-        lists = save(best.select("a", "b", "cos", "rank"), "lists")
-        # a - m - b: m is on the list of a, b on the list of m.
+        group = groups(reps, edges, threshold)
+        best = _both_ways(edges).withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.col("cos").desc(), "b"))).filter(F.col("rank") <= width)
+        lists = save(best.select("a", "b", "cos"), "lists")
+        # x - m - y: m is on the list of x, y on the list of m.
         steps = lists.select(F.col("b").alias("m"), F.col("a").alias("x")).join(lists.select(F.col("a").alias("m2"), F.col("b").alias("y")), F.col("m") == F.col("m2"))
         fresh = steps.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a <> b").distinct()
-        fresh = fresh.join(edges.select("a", "b"), ["a", "b"], "left_anti")
-        given = fresh.join(vectors, F.col("a") == F.col("k")).select("a", "b", F.col("vec").alias("va")).join(vectors, F.col("b") == F.col("k")).select("a", "b", "va", F.col("vec").alias("vb"))
+        of = lambda end: group.select(F.col("node").alias(f"n{end}"), F.col("root").alias(f"r{end}"))
+        apart = fresh.join(of("a"), F.col("a") == F.col("na")).join(of("b"), F.col("b") == F.col("nb")).filter("ra <> rb").select("a", "b")
+        apart = apart.join(edges.select("a", "b"), ["a", "b"], "left_anti")
+        given = apart.join(vectors, F.col("a") == F.col("k")).select("a", "b", F.col("vec").alias("va")).join(vectors, F.col("b") == F.col("k")).select("a", "b", "va", F.col("vec").alias("vb"))
 
         def score(batches):
             for batch in batches:
@@ -173,17 +190,44 @@ def descend(reps: DataFrame, edges: DataFrame, threshold: float, floor: float, w
                 yield _edges(batch.column(0).to_numpy()[keep], batch.column(1).to_numpy()[keep], cos[keep])
 
         new = save(given.mapInArrow(score, EDGE), "edges")
-        linked = new.filter(F.col("cos") >= threshold).count()
+        if new.filter(F.col("cos") >= threshold).isEmpty():
+            return edges, group
         edges = save(edges.unionByName(new), "edges")
-        saturated = not lists.filter((F.col("rank") == width) & (F.col("cos") >= threshold)).isEmpty()
-        if saturated and (linked or done_width < width):
-            done_width, width = width, 2 * width  # full lists: look further
-        elif not linked:
-            return edges
 
 
-def audit(reps: DataFrame, edges: DataFrame, threshold: float, sample: int = AUDIT) -> float:
-    """Share of the links of a sample of vectors that the edges hold, against all vectors."""
+def count_links(reps: DataFrame, classes: DataFrame, group: DataFrame, threshold: float, count: int) -> DataFrame:
+    """(id, others): copies of all vectors linked with each vector of a group of two and more.
+
+    The vectors of a group are dealt into parts of about TILE, and each pair of parts is one tile.
+    """
+    sizes = group.groupBy("root").agg(F.count("*").alias("size")).filter("size > 1").withColumnRenamed("root", "r")
+    placed = group.join(sizes, F.col("root") == F.col("r")).join(reps, F.col("node") == F.col("id")).join(classes.select(F.col("rep").alias("w"), "copies"), F.col("id") == F.col("w"))
+    n = F.ceil(F.col("size") / F.lit(TILE)).cast("int")
+    part = F.pmod(F.xxhash64("id", F.lit("tile")), n).cast("int")
+    dealt = placed.select("root", "id", "copies", "vec", part.alias("part"), F.explode(F.sequence(F.lit(0), n - 1)).alias("other"))
+    tiled = dealt.select("root", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "id", "copies", "vec")
+    tiled = tiled.repartition(count, "root", "x", "y").sortWithinPartitions("root", "x", "y")
+
+    def tile(batches):
+        for (_, x, y), rows in by_run(batches, "root", "x", "y"):
+            ids, copies, part = (rows.column(c).to_numpy() for c in ("id", "copies", "part"))
+            vectors = _matrix(rows.column("vec"))
+            a, b = np.flatnonzero(part == x), np.flatnonzero(part == y)
+            if not len(a) or not len(b):
+                continue
+            hit = cosines(vectors[a], vectors[b]) >= threshold
+            if x == y:
+                np.fill_diagonal(hit, False)
+                found, others = ids[a], hit @ copies[b]
+            else:
+                found, others = np.concatenate([ids[a], ids[b]]), np.concatenate([hit @ copies[b], hit.T @ copies[a]])
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(others.astype(np.int64))], names=["id", "others"])
+
+    return tiled.mapInArrow(tile, "id long, others long").groupBy("id").agg(F.sum("others").alias("others"))
+
+
+def audit(reps: DataFrame, group: DataFrame, threshold: float, sample: int = AUDIT) -> float:
+    """Share of the links of a sample of vectors, found against all vectors, that fall inside the groups."""
     chosen = reps.orderBy(F.xxhash64("id")).limit(sample).select("id", "label", "dim", "vec").collect()  # at most `sample` vectors
     by: dict[tuple[int, int], list] = {}
     for r in chosen:
@@ -205,8 +249,9 @@ def audit(reps: DataFrame, edges: DataFrame, threshold: float, sample: int = AUD
                     yield _edges(a[a != b], b[a != b], np.ones(int((a != b).sum())))
 
     true = reps.mapInArrow(compare, EDGE).select("a", "b").distinct()
-    found = true.join(edges.filter(F.col("cos") >= threshold).select("a", "b").distinct().withColumn("hit", F.lit(1)), ["a", "b"], "left")
-    row = found.agg(F.count("*").alias("n"), F.count("hit").alias("hit")).first()
+    of = lambda end: group.select(F.col("node").alias(f"n{end}"), F.col("root").alias(f"r{end}"))
+    found = true.join(of("a"), F.col("a") == F.col("na")).join(of("b"), F.col("b") == F.col("nb"))
+    row = found.agg(F.count("*").alias("n"), F.count(F.when(F.col("ra") == F.col("rb"), 1)).alias("hit")).first()
     return row["hit"] / row["n"] if row["n"] else 1.0
 
 
@@ -224,18 +269,15 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     reps = save(reps, "reps")
     biggest = reps.groupBy("label", "dim").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     count = max(parts, math.ceil(reps.count() * tables / ROWS))
-    edges = save(start(reps, biggest, 0, tables, count, floor), "edges")
+    edges = save(start(reps, biggest, 0, tables, count, floor, width), "edges")
     done = tables
-    edges = descend(reps, edges, threshold, floor, width)
-    while audit(reps, edges, threshold) < RECALL and done < TABLES_MOST:
-        more = start(reps, biggest, done, done, count, floor)
+    edges, group = descend(reps, edges, threshold, floor, width)
+    while audit(reps, group, threshold) < RECALL and done < TABLES_MOST:
+        more = start(reps, biggest, done, done, count, floor, width)
         done *= 2
-        edges = descend(reps, save(edges.unionByName(more).dropDuplicates(["a", "b"]), "edges"), threshold, floor, width)
-    links = save(edges.filter((F.col("cos") >= threshold) & (F.col("a") != F.col("b"))).select("a", "b").distinct(), "links")
-    roots = components(links)
-    weights = classes.select(F.col("rep").alias("w"), "copies")
-    ways = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    linked = ways.join(weights, F.col("b") == F.col("w")).groupBy("a").agg(F.sum("copies").alias("others"))
+        edges, group = descend(reps, save(edges.unionByName(more).dropDuplicates(["a", "b"]), "edges"), threshold, floor, width)
+    linked = count_links(reps, classes, group, threshold, parts).withColumnRenamed("id", "a")
+    roots = group.select(F.col("node"), "root")
     told = classes.join(linked, F.col("rep") == F.col("a"), "left").join(roots, F.col("rep") == F.col("node"), "left")
     told = told.select(*same, (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("root", "rep").alias("c"))
     found = _members(marked.select("id", *same), told, same)
