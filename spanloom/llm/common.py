@@ -42,10 +42,22 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Catalyst's estimates from here on stand for an unknown size.
+UNKNOWN_BYTES = 1 << 60
+
+
 def estimated_bytes(df: DataFrame) -> int:
-    """Size of what a plan reads: Catalyst's estimate for its leaves (file sizes for scans), whatever columns it takes."""
+    """Size of what a plan reads: Catalyst's estimate for its leaves (file sizes for scans), whatever columns it takes.
+
+    Where a leaf's size is unknown (local rows, a cache that is not filled), the bytes of df's texts are summed instead.
+    """
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return int(min(sum(float(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())), 1e18))
+    size = sum(float(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    if size < UNKNOWN_BYTES:
+        return int(size)
+    texts = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)).cast("long") for c, kind in df.dtypes if kind in ("string", "binary")]
+    total = df.agg(F.coalesce(F.sum(sum(texts, F.lit(16).cast("long"))), F.lit(0))).first()[0]
+    return int(total)
 
 
 def parts(df: DataFrame, bytes_each: int, least: int | None = None) -> int:

@@ -258,32 +258,36 @@ def extract(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "
     parsed = base.mapInArrow(parse, parsed_schema)
     near = parsed.repartitionByRange(count, "host", "path", "id").sortWithinPartitions("host", "path", "id")
 
-    def settle(before, page, behind):
-        others = [o for o in (before, behind) if o is not None and o[2] == page[2] and o[4] != page[4]]
-        best = max(others, key=lambda o: _common(o[3], page[3]), default=None)
-        shared = shared_lines(page[4], best[4]) if best else set()
-        return page[0], page[1], main_text(list(zip(page[4], page[5])), shared), len(shared)
+    def settle(before, run, behind):
+        """Rows of a run of copies, differenced with the nearer of the runs around it."""
+        host, path, lines, kinds, members = run
+        others = [o for o in (before, behind) if o is not None and o[0] == host]
+        best = max(others, key=lambda o: _common(o[1], path), default=None)
+        shared = shared_lines(lines, best[2]) if best else set()
+        text = main_text(list(zip(lines, kinds)), shared)
+        return [(i, u, text, len(text), len(shared)) for i, u in members]
 
     def batch_of(rows):
-        ids, urls, texts, shared = zip(*rows)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(shared, pa.int32())],
-            names=[key, url, "text", "n_chars", "n_shared"],
-        )
+        kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[key, url, "text", "n_chars", "n_shared"])
 
     def differ(batches):
-        """Each page with its nearest neighbour that is no copy of it; three pages are held at a time."""
-        before = page = None
+        """Copies that follow one another are one run; three runs are held at a time."""
+        before = run = None
         for batch in batches:
             rows = []
-            for behind in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                if page is not None:
-                    rows.append(settle(before, page, behind))
-                before, page = page, behind
+            for id_, link, host, path, lines, kinds in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if run is not None and run[0] == host and run[2] == lines:
+                    run[4].append((id_, link))
+                    continue
+                behind = (host, path, lines, kinds, [(id_, link)])
+                if run is not None:
+                    rows += settle(before, run, behind)
+                before, run = run, behind
             if rows:
                 yield batch_of(rows)
-        if page is not None:
-            yield batch_of([settle(before, page, None)])
+        if run is not None:
+            yield batch_of(settle(before, run, None))
 
     return near.mapInArrow(differ, f"`{key}` long, `{url}` string, text string, n_chars long, n_shared int")
 
