@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..sources.catalog import FIELDS, Compiled
+from .reuse import shared
 
 CAPTURES = "array<struct<name:string,token_start:int,token_end:int>>"
 #: Rows of a catalog table up to which it is broadcast; a catalog does not grow with the data.
@@ -25,56 +26,75 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+#: Kinds of a neighbouring token: no mark, a clause mark, a sentence mark, or the edge of the text.
+KINDS = {"word": 0, "clause": 1, "sentence": 2, "edge": 3}
+
+
+def _kind() -> Column:
+    return F.when(P.sentence_mark(F.col("surface")), KINDS["sentence"]).when(P.clause_mark(F.col("surface")), KINDS["clause"]).otherwise(KINDS["word"])
+
+
+def _neighbours() -> list[Column]:
+    by = Window.partitionBy("doc_id").orderBy("position")
+    return [F.lag(_kind(), 1, KINDS["edge"]).over(by).alias("before"), F.lead(_kind(), 1, KINDS["edge"]).over(by).alias("behind")]
+
+
 def step_hits(tokens: DataFrame, catalog: Compiled) -> DataFrame:
-    """(doc_id, pred, position, pre, mark): tokens that match predicates, with the clause marks before them."""
+    """(doc_id, pred, position, pre, mark, before, behind): tokens that match predicates, with the clause marks before
+    them and the kinds of their neighbours (see KINDS).
+
+    A token that matches several conjunctions of a predicate comes as often.
+    """
     spark = tokens.sparkSession
     by = Window.partitionBy("doc_id").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
     mark = P.clause_mark(F.col("surface")).cast("int")
-    placed = tokens.select("doc_id", "position", *FIELDS, mark.alias("mark")).withColumn("pre", F.coalesce(F.sum("mark").over(by), F.lit(0)).cast("int"))
+    placed = tokens.select("doc_id", "position", *FIELDS, mark.alias("mark"), *_neighbours()).withColumn("pre", F.coalesce(F.sum("mark").over(by), F.lit(0)).cast("int"))
     keys = F.array(*[F.concat(F.lit(f"{f}="), F.col(f)) for f in catalog.key_fields])
     keyed = placed.withColumn("key", F.explode(keys))
     conj = catalog.table(spark, "conjunctions").select("key", "pred", *[F.col(f).alias(f"want_{f}") for f in FIELDS])
     met = keyed.join(_small(conj, len(catalog.conjunctions)), "key")
     met = met.filter(reduce(lambda a, b: a & b, [P.field_matches(F.col(f"want_{f}"), F.col(f)) for f in FIELDS]))
-    return met.select("doc_id", "pred", "position", "pre", "mark").distinct()
+    return met.select("doc_id", "pred", "position", "pre", "mark", "before", "behind")
 
 
 def segment_hits(hits: DataFrame, tokens: DataFrame, catalog: Compiled) -> DataFrame:
-    """(doc_id, seg, start, end, pre_start, pre_end): places of segments, `end` exclusive."""
+    """(doc_id, seg, start, end, pre_start, pre_end, before, behind): places of segments, `end` exclusive."""
     spark = hits.sparkSession
     steps = _small(catalog.table(spark, "seg_steps"), len(catalog.seg_steps))
     votes = hits.join(steps, "pred").withColumn("start", F.col("position") - F.col("offset"))
-    full = votes.groupBy("doc_id", "seg", "start", "length").agg(F.count("*").alias("n"), F.min("pre").alias("pre_start"), F.max(F.col("pre") + F.col("mark")).alias("pre_end"))
-    out = full.filter(F.col("n") == F.col("length")).select("doc_id", "seg", "start", (F.col("start") + F.col("length")).alias("end"), "pre_start", "pre_end")
+    full = votes.groupBy("doc_id", "seg", "start", "length").agg(F.bit_or(F.expr("shiftleft(1L, offset)")).alias("hit"), F.min("pre").alias("pre_start"), F.max(F.col("pre") + F.col("mark")).alias("pre_end"), F.max(F.when(F.col("offset") == 0, F.col("before"))).alias("before"), F.max(F.when(F.col("offset") == F.col("length") - 1, F.col("behind"))).alias("behind"))
+    out = full.filter(F.bit_count("hit") == F.col("length")).select("doc_id", "seg", "start", (F.col("start") + F.col("length")).alias("end"), "pre_start", "pre_end", "before", "behind")
     if catalog.empty_seg is None:
         return out
     # A segment of no steps stands at every position, the end of the text included.
     by = Window.partitionBy("doc_id").orderBy("position")
-    at = tokens.select("doc_id", "position", P.clause_mark(F.col("surface")).cast("int").alias("mark"))
+    at = tokens.select("doc_id", "position", P.clause_mark(F.col("surface")).cast("int").alias("mark"), _kind().alias("kind"), *_neighbours())
     at = at.withColumn("through", F.sum("mark").over(by.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-    places = F.when(F.col("position") == 0, F.array(F.struct(F.lit(0).alias("p"), F.lit(0).alias("pre")), F.struct(F.lit(1).alias("p"), F.col("through").alias("pre"))))
-    places = places.otherwise(F.array(F.struct((F.col("position") + 1).alias("p"), F.col("through").alias("pre"))))
-    every = at.select("doc_id", F.explode(places).alias("x"))
-    return out.unionByName(every.select("doc_id", F.lit(catalog.empty_seg).alias("seg"), F.col("x.p").alias("start"), F.col("x.p").alias("end"), F.col("x.pre").alias("pre_start"), F.col("x.pre").alias("pre_end")))
+    place = lambda p, pre, before, behind: F.struct(p.cast("int").alias("p"), pre.cast("int").alias("pre"), before.cast("int").alias("before"), behind.cast("int").alias("behind"))
+    after = place(F.col("position") + 1, F.col("through"), F.col("kind"), F.col("behind"))
+    first = place(F.lit(0), F.lit(0), F.lit(KINDS["edge"]), F.col("kind"))
+    every = at.select("doc_id", F.explode(F.when(F.col("position") == 0, F.array(first, after)).otherwise(F.array(after))).alias("x"))
+    x = lambda c: F.col(f"x.{c}")
+    return out.unionByName(every.select("doc_id", F.lit(catalog.empty_seg).alias("seg"), x("p").alias("start"), x("p").alias("end"), x("pre").alias("pre_start"), x("pre").alias("pre_end"), x("before").alias("before"), x("behind").alias("behind")))
 
 
 def sequences(tokens: DataFrame, catalog: Compiled) -> DataFrame:
-    """(doc_id, vid, role, start, end, spec, path, captures): all matches of all forms of all sequences."""
+    """(doc_id, vid, role, start, end, before, behind, spec, path, captures): all matches of all forms of all sequences."""
     spark = tokens.sparkSession
     found = segment_hits(step_hits(tokens, catalog), tokens, catalog)
     placed = found.join(_small(catalog.table(spark, "segs"), len(catalog.segs)), "seg")
     forms = _small(catalog.table(spark, "forms"), len(catalog.forms))
     counts = forms.select("form", "n_segs")
-    state = placed.filter("seg_no = 0").select("doc_id", "form", "start", "end", F.col("pre_end").alias("pre"), F.array("start").alias("starts"), F.array("end").alias("ends"))
+    state = placed.filter("seg_no = 0").select("doc_id", "form", "start", "end", "before", "behind", F.col("pre_end").alias("pre"), F.array("start").alias("starts"), F.array("end").alias("ends"))
     done = []
     for k in range(1, catalog.most_segs + 1):
         state = state.join(counts, "form")
         done.append(state.filter(F.col("n_segs") == k).drop("n_segs"))
         if k == catalog.most_segs:
             break
-        after = placed.filter(F.col("seg_no") == k).select(F.col("doc_id").alias("d"), F.col("form").alias("f"), F.col("start").alias("s"), F.col("end").alias("e"), "pre_start", "pre_end", "gap_min", "gap_max")
+        after = placed.filter(F.col("seg_no") == k).select(F.col("doc_id").alias("d"), F.col("form").alias("f"), F.col("start").alias("s"), F.col("end").alias("e"), F.col("behind").alias("then"), "pre_start", "pre_end", "gap_min", "gap_max")
         state = state.filter(F.col("n_segs") > k).join(after, (F.col("doc_id") == F.col("d")) & (F.col("form") == F.col("f")) & (F.col("pre") == F.col("pre_start")) & (F.col("s") - F.col("end")).between(F.col("gap_min"), F.col("gap_max")))
-        state = state.select("doc_id", "form", "start", F.col("e").alias("end"), F.col("pre_end").alias("pre"), F.array_append("starts", F.col("s")).alias("starts"), F.array_append("ends", F.col("e")).alias("ends"))
+        state = state.select("doc_id", "form", "start", F.col("e").alias("end"), "before", F.col("then").alias("behind"), F.col("pre_end").alias("pre"), F.array_append("starts", F.col("s")).alias("starts"), F.array_append("ends", F.col("e")).alias("ends"))
     whole = reduce(DataFrame.unionByName, done).join(forms, "form")
     gap = lambda k: F.element_at("starts", k + 2) - F.element_at("ends", k + 1)  # noqa: E731  width of gap k (from 0)
     path = F.transform("path", lambda x: F.when(x < 0, gap(-x - 1)).otherwise(x))
@@ -85,17 +105,16 @@ def sequences(tokens: DataFrame, catalog: Compiled) -> DataFrame:
         return F.struct(c["name"].alias("name"), first.cast("int").alias("token_start"), (first + wide - 1).cast("int").alias("token_end"))
 
     caps = F.filter(F.transform("caps", capture), lambda c: c["token_end"] >= c["token_start"])
-    return whole.select("doc_id", "vid", "role", "start", "end", "spec", path.alias("path"), caps.cast(CAPTURES).alias("captures"))
+    return whole.select("doc_id", "vid", "role", "start", "end", "before", "behind", "spec", path.alias("path"), caps.cast(CAPTURES).alias("captures"))
 
 
 def candidates(tokens: DataFrame, catalog: Compiled) -> DataFrame:
     """Every distinct match with its evidence; `discovery` is the order of search, `identity` the order of listing."""
     spark = tokens.sparkSession
-    found = sequences(tokens, catalog)
+    found = shared(sequences(tokens, catalog))
     variants = _small(catalog.table(spark, "variants"), len(catalog.variants))
     core = found.filter("role = 'core' and end > start").join(variants, "vid")
-    if any(v[15] is not None or v[16] is not None for v in catalog.variants):
-        core = _bounded(core, tokens)
+    core = core.filter(_holds("left_boundary", "before") & _holds("right_boundary", "behind"))
     none = F.array().cast(CAPTURES)
     core = core.select("*", F.lit(0).alias("left_spec"), none.alias("left_caps"), F.col("start").alias("left_start"), F.lit(0).alias("right_spec"), none.alias("right_caps"))
     if any(v[20] for v in catalog.variants):
@@ -121,17 +140,10 @@ def candidates(tokens: DataFrame, catalog: Compiled) -> DataFrame:
     return first.withColumn("identity", F.struct("token_start", "token_end", "rule_id", "variant_id", "core_specificity", "context_specificity", "wildcard_steps", "optional_steps", "discovery"))
 
 
-def _bounded(core: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Cores whose boundary assertions hold; the edges of a text satisfy any boundary."""
-    marks = tokens.select(F.col("doc_id").alias("d"), F.col("position").alias("p"), P.clause_mark(F.col("surface")).alias("clause"), P.sentence_mark(F.col("surface")).alias("sentence"))
-
-    def holds(df: DataFrame, boundary: str, at: Column) -> DataFrame:
-        free, bound = df.filter(F.col(boundary).isNull()), df.filter(F.col(boundary).isNotNull())
-        met = bound.join(marks, (F.col("doc_id") == F.col("d")) & (at == F.col("p")), "left")
-        ok = F.when(F.col("p").isNull(), True).when(F.col(boundary) == "clause", F.col("clause")).otherwise(F.col("sentence"))
-        return free.unionByName(met.filter(ok).select(*df.columns))
-
-    return holds(holds(core, "left_boundary", F.col("start") - 1), "right_boundary", F.col("end"))
+def _holds(boundary: str, side: str) -> Column:
+    """Whether a boundary assertion holds; the edges of a text satisfy any."""
+    least = F.when(F.col(boundary) == "clause", KINDS["clause"]).otherwise(KINDS["sentence"])
+    return F.col(boundary).isNull() | (F.col(side) >= least)
 
 
 def _with_context(core: DataFrame, found: DataFrame, best: Window, side: str, meets: str, other: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions.text import jlpt_level, normalize
+from .reuse import shared
 
 CONTAINED, OVERLAPS = "contained_by_stronger_match", "overlaps_stronger_match"
 
@@ -99,7 +100,7 @@ def select(matches: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def rank(found: DataFrame, phrases: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(primary, secondary) of candidates; without phrases, all are aligned."""
-    return select(grouped(aligned(found, phrases)))
+    return select(shared(grouped(aligned(found, phrases))))
 
 
 def in_order(matches: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import gloss as G
 from ..operators import match, rank, segment, tree
+from ..operators.reuse import shared
 from ..operators.tokens import FEATURES, analysed, latin_features, tokenize
 from ..sources.catalog import CatalogError, Compiled, Rule, compile_rules, load_combined
 
@@ -46,9 +47,9 @@ class Analyzer:
 
     def of_tokens(self, docs: DataFrame, tokens: DataFrame) -> Analysis:
         """Analysis of given token rows; docs has doc_id and input."""
-        tokens = tokens.repartition("doc_id")
-        phrases = segment.phrases(tokens)
-        found = match.candidates(tokens, self.catalog)
+        phrases = shared(segment.phrases(tokens.repartition("doc_id")))
+        tokens = phrases.select(*tokens.columns)
+        found = match.candidates(phrases, self.catalog)
         primary, secondary = rank.rank(found, phrases)
         glosses, words = G.gloss(phrases, self.dictionary) if self.dictionary is not None else (None, None)
         nodes, edges = tree.build(docs, phrases, words)

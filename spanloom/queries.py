@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .functions import predicates as P
 from .functions import text as T
 from .operators import evaluate, gloss, match, rank, segment, tree
+from .operators.reuse import shared
 from .operators.tokens import AUXILIARIES, PARTICLES, PATTERN, PREFIXES, split_tokens, tile_errors, tokenize
 from .plans.requests import MOST_TEXT, validate_text
 from .sources.catalog import compile_rules, load_builtin
@@ -55,9 +56,8 @@ def _candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _ranked(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    tokens = _tokens(spark, sf)
-    phrases = segment.phrases(tokens)
-    return (*rank.rank(match.candidates(tokens, compile_rules(latin_rules())), phrases), phrases)
+    phrases = shared(_phrases(spark, sf))
+    return (*rank.rank(match.candidates(phrases, compile_rules(latin_rules())), phrases), phrases)
 
 
 def _long(*names: str) -> list[Column]:
@@ -85,7 +85,7 @@ TAGGED = f"""{LAID},
 kinds AS (SELECT *, regexp_matches(surface, '^[\\p{{L}}\\p{{M}}]') AS is_word, regexp_matches(surface, '^\\p{{N}}') AS is_number FROM toks),
 firsts AS (SELECT *, CASE WHEN is_number THEN '名詞' WHEN NOT is_word THEN '補助記号' WHEN w IN {_in(PARTICLES)} THEN '助詞' WHEN w IN {_in(PREFIXES)} THEN '接頭辞'
                   WHEN w IN {_in(AUXILIARIES)} THEN '助動詞' WHEN regexp_matches(w, '(ing|ed|er|ar)$') THEN '動詞' WHEN regexp_matches(w, 'ly$') THEN '形状詞' ELSE '名詞' END AS pos1 FROM kinds),
-tags AS (SELECT doc_id, position, surface, byte_start, byte_end, pos1,
+tags AS MATERIALIZED (SELECT doc_id, position, surface, byte_start, byte_end, pos1,
    CASE WHEN is_number THEN '数詞'
         WHEN NOT is_word THEN CASE WHEN surface IN ('.', '!', '?') THEN '句点' WHEN surface IN (',', ';') THEN '読点' WHEN surface IN ('(', '[', '{{') THEN '括弧開' WHEN surface IN (')', ']', '}}') THEN '括弧閉' ELSE '一般' END
         WHEN pos1 = '動詞' THEN CASE WHEN length(w) <= 4 THEN '非自立可能' ELSE '一般' END
@@ -125,7 +125,7 @@ decided AS (SELECT *, reason IN {_in(r for r, new in segment.REASONS.items() if
 
 PHRASES = f"""{DECISIONS},
 numbered AS (SELECT *, CAST(sum(CASE WHEN starts_new THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, sentence_id ORDER BY position) - 1 AS BIGINT) AS bunsetsu_id FROM decided),
-phr AS (SELECT *, min(position) OVER p AS b_start, max(position) OVER p AS b_end FROM numbered WINDOW p AS (PARTITION BY doc_id, sentence_id, bunsetsu_id))"""
+phr AS MATERIALIZED (SELECT *, min(position) OVER p AS b_start, max(position) OVER p AS b_end FROM numbered WINDOW p AS (PARTITION BY doc_id, sentence_id, bunsetsu_id))"""
 
 _CLAUSE = _in(P.CLAUSE_MARKS)
 _SENT = _in(P.SENTENCE_MARKS)
@@ -134,13 +134,13 @@ _SENT = _in(P.SENTENCE_MARKS)
 def _candidates_sql(base: str) -> str:
     """The Latin rules, each written out over neighbours; rows as (doc_id, rule, variant, span, captures, evidence)."""
     return f"""{base},
-near AS (SELECT doc_id, position, surface, pos1, pos2, base_form,
+near AS MATERIALIZED (SELECT doc_id, position, surface, pos1, pos2, base_form,
    lag(surface) OVER w AS s_1, lag(pos1) OVER w AS p_1, lead(surface) OVER w AS s1, lead(pos1) OVER w AS p1, lead(surface, 2) OVER w AS s2, lead(pos1, 2) OVER w AS p2, lead(pos1, 3) OVER w AS p3, lead(surface, 3) OVER w AS s3,
    sum(CASE WHEN surface IN {_CLAUSE} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pre
    FROM tags WINDOW w AS (PARTITION BY doc_id ORDER BY position)),
 verbs AS (SELECT doc_id, position, surface, CASE WHEN p1 = '動詞' THEN 1 WHEN p2 = '動詞' AND s1 NOT IN {_CLAUSE} THEN 2 WHEN p3 = '動詞' AND s1 NOT IN {_CLAUSE} AND s2 NOT IN {_CLAUSE} THEN 3 END AS first_verb,
                  CASE WHEN p3 = '動詞' AND s1 NOT IN {_CLAUSE} AND s2 NOT IN {_CLAUSE} THEN 3 WHEN p2 = '動詞' AND s1 NOT IN {_CLAUSE} THEN 2 WHEN p1 = '動詞' THEN 1 END AS far_verb, base_form, pos1 FROM near),
-cand AS (
+cand AS MATERIALIZED (
  SELECT doc_id, 'latin-of-the' AS rule_id, 'default' AS variant_id, position AS s, position + 1 AS e, '' AS captures, 2 AS core, 0 AS ctx, 0 AS prio, false AS fb, 0 AS wild, 0 AS opt, 5 AS jlpt FROM near WHERE surface = 'of' AND s1 = 'the'
  UNION ALL SELECT doc_id, 'latin-the-noun', 'default', position, position + 1, 'head:' || (position + 1) || '-' || (position + 1), 2, 0, 1, false, 0, 1, 4 FROM near WHERE base_form = 'the' AND p1 = '名詞'
  UNION ALL SELECT doc_id, 'latin-the-noun', 'default', position, position + 2, 'head:' || (position + 1) || '-' || (position + 1), 3, 0, 1, false, 0, 1, 4 FROM near WHERE base_form = 'the' AND p1 = '名詞' AND s2 = 'of'
@@ -160,15 +160,25 @@ _NAMES = {r.id: r.name for r in latin_rules()}
 _NAME_CASE = "CASE rule_id " + " ".join(f"WHEN '{i}' THEN '{n}'" for i, n in _NAMES.items()) + " END"
 
 RANKED = f"""{_candidates_sql(PHRASES)},
-al AS (SELECT c.*, {_NAME_CASE} AS rule_name, (a.sentence_id = b.sentence_id AND a.bunsetsu_id = b.bunsetsu_id) OR (c.s = a.b_start AND c.e = b.b_end) AS aligned
-       FROM cand c JOIN phr a ON c.doc_id = a.doc_id AND c.s = a.position JOIN phr b ON c.doc_id = b.doc_id AND c.e = b.position),
+starts_ AS MATERIALIZED (SELECT c.*, a.sentence_id AS sent1, a.bunsetsu_id AS phr1, a.b_start AS b1 FROM cand c JOIN phr a ON c.doc_id = a.doc_id AND c.s = a.position),
+al AS MATERIALIZED (SELECT c.*, {_NAME_CASE} AS rule_name, (sent1 = b.sentence_id AND phr1 = b.bunsetsu_id) OR (c.s = b1 AND c.e = b.b_end) AS aligned
+       FROM starts_ c JOIN phr b ON c.doc_id = b.doc_id AND c.e = b.position),
 ordered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY fb, prio DESC, aligned DESC, e - s DESC, core DESC, ctx DESC, wild, opt, jlpt DESC, rule_id, variant_id, s, e) AS r FROM al),
 grp AS (SELECT doc_id, s, e, rule_name, min(r) AS r, arg_min(captures, r) AS captures, string_agg(rule_id || '/' || variant_id, ',' ORDER BY rule_id, variant_id) AS provenance
         FROM (SELECT DISTINCT ON (doc_id, s, e, rule_id, variant_id) * FROM ordered ORDER BY doc_id, s, e, rule_id, variant_id, r) GROUP BY doc_id, s, e, rule_name),
-ided AS (SELECT *, 'match-' || s || '-' || e || CASE WHEN n > 0 THEN '-' || n ELSE '' END AS id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, s, e ORDER BY r) - 1 AS n FROM grp)),
-lists AS (SELECT doc_id, list([{{'r': r, 's': s, 'e': e, 'id': id}}] ORDER BY r) AS l FROM ided GROUP BY doc_id),
-folded AS (SELECT doc_id, list_reduce(l, lambda acc, x: CASE WHEN len(list_filter(acc, lambda p: p.s <= x[1].e AND x[1].s <= p.e)) > 0 THEN acc ELSE list_concat(acc, x) END) AS kept FROM lists),
-blocked AS (SELECT i.*, list_filter(f.kept, lambda p: p.s <= i.e AND i.s <= p.e)[1] AS b FROM ided i JOIN folded f USING (doc_id))"""
+ided AS MATERIALIZED (SELECT *, 'match-' || s || '-' || e || CASE WHEN n > 0 THEN '-' || n ELSE '' END AS id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, s, e ORDER BY r) - 1 AS n FROM grp)),
+opened AS (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY doc_id ORDER BY s, e, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS fresh FROM ided),
+islands AS MATERIALIZED (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s, e, r) AS island FROM opened),
+steps AS MATERIALIZED (SELECT doc_id, island, r, s, e, id, row_number() OVER (PARTITION BY doc_id, island ORDER BY r) AS k FROM islands),
+walk AS (
+  SELECT doc_id, island, k, [{{'r': r, 's': s, 'e': e, 'id': id}}] AS kept FROM steps WHERE k = 1
+  UNION ALL
+  SELECT n.doc_id, n.island, n.k, CASE WHEN len([p FOR p IN w.kept IF p.s <= n.e AND n.s <= p.e]) > 0 THEN w.kept ELSE list_append(w.kept, {{'r': n.r, 's': n.s, 'e': n.e, 'id': n.id}}) END
+  FROM walk w JOIN steps n ON n.doc_id = w.doc_id AND n.island = w.island AND n.k = w.k + 1),
+chosen AS (SELECT doc_id, island, unnest(arg_max(kept, k)) AS p FROM walk GROUP BY doc_id, island),
+kept_ AS MATERIALIZED (SELECT doc_id, island, p.r AS pr, p.s AS ps, p.e AS pe, p.id AS pid FROM chosen),
+blocked AS (SELECT i.doc_id, i.s, i.e, i.rule_name, i.r, i.captures, i.provenance, i.id, i.island, min_by({{'r': k.pr, 's': k.ps, 'e': k.pe, 'id': k.pid}}, k.pr) AS b
+            FROM islands i JOIN kept_ k ON i.doc_id = k.doc_id AND i.island = k.island AND k.ps <= i.e AND i.s <= k.pe GROUP BY ALL)"""
 
 
 # --------------------------------------------------------------------------------------- tokens
@@ -240,7 +250,7 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {RANKED} SELECT k.rule_name, count(*) AS matches, count(DISTINCT (k.doc_id, p.sentence_id)) AS sentences, count(DISTINCT k.doc_id) AS documents
+    f"""WITH RECURSIVE {RANKED} SELECT k.rule_name, count(*) AS matches, count(DISTINCT (k.doc_id, p.sentence_id)) AS sentences, count(DISTINCT k.doc_id) AS documents
 FROM blocked k JOIN phr p ON k.doc_id = p.doc_id AND k.s = p.position WHERE k.b.r = k.r GROUP BY k.rule_name"""
 )
 def rule_summary(spark, sf):
@@ -266,7 +276,7 @@ def match_resolved(spark, sf):
     return match.resolve(_candidates(spark, sf)).select("doc_id", "rule_id", "variant_id", *_long("token_start", "token_end"))
 
 
-@query(f"WITH {RANKED} SELECT doc_id, id, rule_name, s AS token_start, e AS token_end, captures, provenance FROM blocked WHERE b.r = r")
+@query(f"WITH RECURSIVE {RANKED} SELECT doc_id, id, rule_name, s AS token_start, e AS token_end, captures, provenance FROM blocked WHERE b.r = r")
 def ranked_primary(spark, sf):
     """Matches that nothing stronger overlaps."""
     primary, _, _ = _ranked(spark, sf)
@@ -275,7 +285,7 @@ def ranked_primary(spark, sf):
 
 
 @query(
-    f"""WITH {RANKED} SELECT doc_id, 'secondary-' || s || '-' || e || '-' || (row_number() OVER (PARTITION BY doc_id, s, e ORDER BY id) - 1) AS secondary_id, id, rule_name,
+    f"""WITH RECURSIVE {RANKED} SELECT doc_id, 'secondary-' || s || '-' || e || '-' || (row_number() OVER (PARTITION BY doc_id, s, e ORDER BY id) - 1) AS secondary_id, id, rule_name,
 CASE WHEN b.s <= s AND b.e >= e THEN 'contained_by_stronger_match' ELSE 'overlaps_stronger_match' END AS reason, b.id AS blocked_by FROM blocked WHERE b.r <> r"""
 )
 def ranked_secondary(spark, sf):
@@ -310,7 +320,7 @@ UNION ALL SELECT doc_id, 'token-' || position, 'token', position, position FROM
 )
 def tree_nodes(spark, sf):
     """Nodes of document trees."""
-    nodes, _ = tree.build(_docs(spark, sf), _phrases(spark, sf))
+    nodes, _ = tree.build(_docs(spark, sf), shared(_phrases(spark, sf)))
     return nodes.select("doc_id", "id", "kind", *_long("token_start", "token_end"))
 
 
@@ -322,20 +332,21 @@ UNION ALL SELECT doc_id, 'bunsetsu-' || sentence_id || '-' || bunsetsu_id, 'toke
 )
 def tree_edges(spark, sf):
     """Edges of document trees, children in order."""
-    _, edges = tree.build(_docs(spark, sf), _phrases(spark, sf))
+    _, edges = tree.build(_docs(spark, sf), shared(_phrases(spark, sf)))
     return edges.select("doc_id", "parent_id", "child_id", F.col("order").cast("long").alias("ord"))
 
 
 @query("SELECT CAST(0 AS BIGINT) AS errors")
 def tree_topology(spark, sf):
     """T4: errors in built trees."""
-    return tree.topology_errors(*tree.build(_docs(spark, sf), _phrases(spark, sf))).agg(F.count("*").alias("errors"))
+    nodes, edges = tree.build(_docs(spark, sf), shared(_phrases(spark, sf)))
+    return tree.topology_errors(shared(nodes), shared(edges)).agg(F.count("*").alias("errors"))
 
 
 @query(
-    f"""WITH {RANKED} SELECT k.doc_id, k.id AS match_id, CASE WHEN a.sentence_id = z.sentence_id AND a.bunsetsu_id = z.bunsetsu_id THEN 'bunsetsu-' || a.sentence_id || '-' || a.bunsetsu_id
-WHEN a.sentence_id = z.sentence_id THEN 'sentence-' || a.sentence_id ELSE 'document-0' END AS node_id
-FROM blocked k JOIN phr a ON k.doc_id = a.doc_id AND k.s = a.position JOIN phr z ON k.doc_id = z.doc_id AND k.e = z.position WHERE k.b.r = k.r"""
+    f"""WITH RECURSIVE {RANKED}, firsts_ AS MATERIALIZED (SELECT k.*, a.sentence_id AS s1, a.bunsetsu_id AS b1 FROM blocked k JOIN phr a ON k.doc_id = a.doc_id AND k.s = a.position WHERE k.b.r = k.r)
+SELECT k.doc_id, k.id AS match_id, CASE WHEN s1 = z.sentence_id AND b1 = z.bunsetsu_id THEN 'bunsetsu-' || s1 || '-' || b1 WHEN s1 = z.sentence_id THEN 'sentence-' || s1 ELSE 'document-0' END AS node_id
+FROM firsts_ k JOIN phr z ON k.doc_id = z.doc_id AND k.e = z.position"""
 )
 def tree_owners(spark, sf):
     """The node that each primary match is attached to."""
@@ -377,24 +388,24 @@ SELECT doc_id, position, row_number() OVER (PARTITION BY doc_id, position ORDER
 )
 def token_glosses(spark, sf):
     """Senses of tokens."""
-    phrases = _phrases(spark, sf)
+    phrases = shared(_phrases(spark, sf))
     return gloss.lookup(phrases, dictionary(phrases)).select("doc_id", *_long("position", "n"), "gloss")
 
 
 @query(
     f"""WITH {DICTIONARY},
-spans AS (SELECT a.doc_id, a.sentence_id, a.bunsetsu_id, a.position AS s, b.position AS e,
-   (SELECT string_agg(m.surface, '' ORDER BY m.position) FROM phr m WHERE m.doc_id = a.doc_id AND m.position BETWEEN a.position AND b.position) AS joined,
-   (SELECT bool_and(m.pos1 NOT IN {_in(P.EMPTY_WORDS)}) FROM phr m WHERE m.doc_id = a.doc_id AND m.position BETWEEN a.position AND b.position) AS fine
-   FROM phr a JOIN phr b ON a.doc_id = b.doc_id AND a.sentence_id = b.sentence_id AND a.bunsetsu_id = b.bunsetsu_id AND b.position > a.position),
-longest AS (SELECT s.doc_id, s.sentence_id, s.bunsetsu_id, s.s, max(s.e) AS e FROM spans s JOIN dict d ON s.joined = d.form WHERE s.fine GROUP BY ALL),
+words_ AS (SELECT *, sum(CASE WHEN pos1 IN {_in(P.EMPTY_WORDS)} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, sentence_id, bunsetsu_id ORDER BY position) AS gap FROM phr),
+rests AS (SELECT doc_id, sentence_id, bunsetsu_id, position, list(surface) OVER (PARTITION BY doc_id, sentence_id, bunsetsu_id, gap ORDER BY position ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS rest
+          FROM words_ WHERE pos1 NOT IN {_in(P.EMPTY_WORDS)}),
+spans AS (SELECT doc_id, sentence_id, bunsetsu_id, position AS s, position + n - 1 AS e, array_to_string(rest[1:n], '') AS joined FROM (SELECT doc_id, sentence_id, bunsetsu_id, position, rest, unnest(range(2, least(len(rest), 8) + 1)) AS n FROM rests)),
+longest AS (SELECT s.doc_id, s.sentence_id, s.bunsetsu_id, s.s, max(s.e) AS e FROM spans s JOIN dict d ON s.joined = d.form GROUP BY ALL),
 lists_ AS (SELECT doc_id, sentence_id, bunsetsu_id, list([{{'s': s, 'e': e}}] ORDER BY s) AS l FROM longest GROUP BY ALL),
 taken AS (SELECT doc_id, unnest(list_reduce(l, lambda acc, x: CASE WHEN x[1].s > acc[len(acc)].e THEN list_concat(acc, x) ELSE acc END)) AS t FROM lists_)
 SELECT doc_id, t.s AS token_start, t.e AS token_end FROM taken"""
 )
 def compound_words(spark, sf):
     """Compounds of dictionary entries."""
-    phrases = _phrases(spark, sf)
+    phrases = shared(_phrases(spark, sf))
     return gloss.compounds(phrases, dictionary(phrases)).select("doc_id", *_long("token_start", "token_end"))
 
 
@@ -403,14 +414,16 @@ def compound_words(spark, sf):
 _GOLD = """gold AS (SELECT doc_id, CAST(o AS BIGINT) AS o FROM (SELECT doc_id, position, surface, lag(surface) OVER w AS prev, sum(length(surface)) OVER (PARTITION BY doc_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS o FROM tags WINDOW w AS (PARTITION BY doc_id ORDER BY position)) WHERE prev IN ('.', ',', 'and') AND surface NOT IN ('.', ','))"""
 _SCORES = f"""{PHRASES}, {_GOLD},
 pred AS (SELECT doc_id, CAST(o AS BIGINT) AS o FROM (SELECT doc_id, position, b_start, sum(length(surface)) OVER (PARTITION BY doc_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS o FROM phr) WHERE position = b_start AND o > 0),
-sc AS (SELECT d.doc_id, d.source, (SELECT count(*) FROM pred p JOIN gold g ON p.doc_id = g.doc_id AND p.o = g.o WHERE p.doc_id = d.doc_id) AS hits, (SELECT count(*) FROM pred p WHERE p.doc_id = d.doc_id) AS n_predicted, (SELECT count(*) FROM gold g WHERE g.doc_id = d.doc_id) AS n_gold FROM documents d),
+hh AS (SELECT p.doc_id, count(*) AS n FROM pred p JOIN gold g ON p.doc_id = g.doc_id AND p.o = g.o GROUP BY p.doc_id),
+np AS (SELECT doc_id, count(*) AS n FROM pred GROUP BY doc_id), ng AS (SELECT doc_id, count(*) AS n FROM gold GROUP BY doc_id),
+sc AS (SELECT d.doc_id, d.source, coalesce(hh.n, 0) AS hits, coalesce(np.n, 0) AS n_predicted, coalesce(ng.n, 0) AS n_gold FROM documents d LEFT JOIN hh USING (doc_id) LEFT JOIN np USING (doc_id) LEFT JOIN ng USING (doc_id)),
 pr AS (SELECT *, hits / greatest(n_predicted, 1)::DOUBLE AS pp, hits / greatest(n_gold, 1)::DOUBLE AS rr FROM sc),
 scored AS (SELECT doc_id, source, hits, n_predicted, n_gold, CASE WHEN n_predicted = 0 AND n_gold = 0 THEN 1.0 WHEN pp + rr = 0 THEN 0.0 ELSE 2 * pp * rr / (pp + rr) END AS f1 FROM pr)"""
 
 
 def _scored(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Boundaries of phrases against a stand-in gold: what follows a full stop, a comma or `and`."""
-    phrases = _phrases(spark, sf)
+    phrases = shared(_phrases(spark, sf))
     by = Window.partitionBy("doc_id").orderBy("position")
     laid = phrases.select("doc_id", "position", "surface", F.lag("surface").over(by).alias("prev"), F.sum(F.char_length("surface")).over(by.rowsBetween(Window.unboundedPreceding, -1)).cast("int").alias("boundary_offset"))
     gold = laid.filter(F.col("prev").isin(".", ",", "and") & ~F.col("surface").isin(".", ",")).select("doc_id", "boundary_offset")
@@ -456,7 +469,7 @@ def _plain_sql(col: str) -> str:
     out = f"regexp_replace({col}, '(?s)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g')"
     out = f"regexp_replace({out}, '<[^>]*>', ' ', 'g')"
     for name, value in T.ENTITIES.items():
-        out = f"replace({out}, '&{name};', '{value}')"
+        out = "replace({}, '&{};', '{}')".format(out, name, value.replace("'", "''"))
     return f"trim(regexp_replace({out}, '[\\s\\x{{a0}}\\x{{3000}}]+', ' ', 'g'))"
 
 
@@ -503,7 +516,7 @@ def request_checks(spark, sf):
 
 
 @query(
-    f"""WITH {RANKED}, cover AS (SELECT t.doc_id, t.position, min(k.r) AS r FROM tags t LEFT JOIN blocked k ON t.doc_id = k.doc_id AND k.b.r = k.r AND t.position BETWEEN k.s AND k.e GROUP BY ALL)
+    f"""WITH RECURSIVE {RANKED}, cover AS (SELECT t.doc_id, t.position, min(k.r) AS r FROM tags t LEFT JOIN blocked k ON t.doc_id = k.doc_id AND k.b.r = k.r AND t.position BETWEEN k.s AND k.e GROUP BY ALL)
 SELECT c.doc_id, c.position, coalesce(k.id, 'root') AS owner FROM cover c LEFT JOIN ided k ON c.doc_id = k.doc_id AND c.r = k.r"""
 )
 def token_owners(spark, sf):

@@ -22,6 +22,8 @@ FIELDS = ("surface", "pos1", "pos2", "conj_form", "base_form")
 #: Fields by how few tokens they leave, best first.
 SELECTIVE = ("surface", "base_form", "conj_form", "pos2", "pos1")
 BOUNDARIES = ("clause", "sentence")
+#: Steps between two gaps: the matcher marks them in the bits of a long.
+MOST_STEPS = 62
 ALIASES = {"core": ("steps", "core_steps"), "left_context": ("left",), "right_context": ("right",), "left_boundary": ("start_boundary",), "right_boundary": ("end_boundary",)}
 
 
@@ -288,6 +290,8 @@ def compile_rules(rules: list[Rule]) -> Compiled:
             form = len(out.forms)
             for k, seg in enumerate(segs):
                 key = tuple(seg)
+                if len(key) > MOST_STEPS:
+                    raise CatalogError(f"more than {MOST_STEPS} steps without a gap")
                 if key not in segments:
                     segments[key] = len(segments)
                     out.seg_steps.extend((segments[key], o, p, len(key)) for o, p in enumerate(key))
