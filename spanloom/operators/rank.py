@@ -89,7 +89,7 @@ def select(matches: DataFrame) -> tuple[DataFrame, DataFrame]:
     folded = folded.select("doc_id", "all", chosen.alias("kept"))
     first = lambda x: F.get(F.filter("kept", lambda p: P.overlaps(p["token_start"], p["token_end"], x["token_start"], x["token_end"])), F.lit(0))  # noqa: E731  the kept are in rank order
     told = folded.select("doc_id", F.explode(F.transform("all", lambda x: F.struct(x["rank"].alias("rank"), first(x).alias("by")))).alias("x")).select(F.col("doc_id").alias("d"), F.col("x.rank").alias("r"), F.col("x.by").alias("by"))
-    both = matches.join(told, (F.col("doc_id") == F.col("d")) & (F.col("rank") == F.col("r"))).drop("d", "r")
+    both = shared(matches.join(told, (F.col("doc_id") == F.col("d")) & (F.col("rank") == F.col("r"))).drop("d", "r"))
     primary = both.filter(F.col("by.rank") == F.col("rank")).drop("by")
     reason = F.when(P.contains(F.col("by.token_start"), F.col("by.token_end"), F.col("token_start"), F.col("token_end")), CONTAINED).otherwise(OVERLAPS)
     second = both.filter(F.col("by.rank") != F.col("rank")).withColumns({"reason": reason, "blocked_by": F.col("by.id")}).drop("by")

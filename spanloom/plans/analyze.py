@@ -52,8 +52,10 @@ class Analyzer:
         found = match.candidates(phrases, self.catalog)
         primary, secondary = rank.rank(found, phrases)
         glosses, words = G.gloss(phrases, self.dictionary) if self.dictionary is not None else (None, None)
+        secondary = shared(secondary)
         nodes, edges = tree.build(docs, phrases, words)
-        return Analysis(docs, tokens, phrases, found, primary, secondary, glosses, words, tree.attach(nodes, primary, secondary, phrases), edges)
+        nodes = shared(tree.attach(shared(nodes), primary, secondary, phrases))
+        return Analysis(docs, tokens, phrases, found, primary, secondary, glosses, words, nodes, shared(edges))
 
     def analyze(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> Analysis:
         docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("input"))
