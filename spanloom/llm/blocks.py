@@ -21,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import estimated_bytes
+from .common import estimated_bytes, memory_for
 
 #: Bytes of estimated input in one block, and features in one bucket.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 3 << 19
+#: Blocks that share a partition, on average.
+PER_PARTITION = 2
 #: Spare bits of a fingerprint over the logarithm of the number of features: false flags stay below 2 ** -SPARE.
 SPARE = 9
 
@@ -37,7 +39,8 @@ def block_count(df: DataFrame) -> int:
 def in_blocks(df: DataFrame, key: str, count: int, text: str) -> DataFrame:
     """(block, row): df's rows in one struct column, dealt over blocks by a hash of key and text."""
     packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.xxhash64(F.col(f"`{key}`"), F.length(F.col(f"`{text}`"))).alias("h"))
-    return packed.select(F.pmod(F.col("h"), F.lit(count)).cast("int").alias("block"), "row").repartition(count, "block")
+    partitions = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), count // PER_PARTITION)
+    return packed.select(F.pmod(F.col("h"), F.lit(count)).cast("int").alias("block"), "row").repartition(partitions, "block")
 
 
 def fingerprint_bits(features: float) -> int:
@@ -83,6 +86,7 @@ def count_across_blocks(blocks: DataFrame, features: Callable[[pa.Array], np.nda
     number, rounded up); so it is 0 for a fingerprint of one block only.
     """
     def ship(batches):
+        memory_for("blocks")
         for block, rows in by_block(batches):
             found = np.unique(fingerprints(features(rows), bits))
             edges = buckets_of(found, bits, buckets)
@@ -95,6 +99,7 @@ def count_across_blocks(blocks: DataFrame, features: Callable[[pa.Array], np.nda
                 )
 
     def count(batches):
+        memory_for("blocks")
         for (bucket,), table in by_run(batches, "bucket"):
             parts = [unpack_sorted(x) for x in table.column("packed").to_pylist()]
             sizes = np.array([len(p) for p in parts])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import math
 import os
 import tempfile
@@ -46,6 +48,26 @@ def save(df: DataFrame, name: str) -> DataFrame:
 UNKNOWN_BYTES = 1 << 60
 
 
+_MEMOS: dict[str, dict] = {}
+
+
+def memory_for(operator: str) -> dict:
+    """The memos of one operator in this Python worker; those of others are dropped.
+
+    Workers outlive tasks and stages, so what an operator remembers would stay beside what the next one needs.
+    """
+    others = [k for k in _MEMOS if k != operator]
+    for k in others:
+        _MEMOS.pop(k).clear()
+    if others:
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)  # hand freed memory back
+        except (AttributeError, OSError):
+            pass
+    return _MEMOS.setdefault(operator, {})
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Size of what a plan reads: Catalyst's estimate for its leaves (file sizes for scans), whatever columns it takes.
 

@@ -25,13 +25,15 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import memory_for
+
 #: Documented bounds of the model and of its training sample.
 FEATURES = 1 << 16
 TRAIN_ROWS = 5_000
 SWITCH = 6.0  # nats
 LEAST_SHARE = 0.002  # of a script's training words, for a language to be its candidate
-MEMO_WORDS = 400_000
-BLOCK_CHARS = 6_000_000
+MEMO_WORDS = 300_000
+BLOCK_CHARS = 3_000_000
 
 #: First code point of each Unicode range and the script it holds.
 SCRIPTS = (
@@ -72,6 +74,7 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_i
     columns = FEATURES + len(NAMES)
 
     def count(batches):
+        memory_for("langid")
         seen: dict[str, np.ndarray] = {}
         for batch in batches:
             for one, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -193,19 +196,19 @@ def verdict(labels: np.ndarray, letters: np.ndarray, langs: list[str]) -> tuple[
     return langs[best], float(weight[best] / weight.sum())
 
 
-_MADE: list[Labeller] = []
-
-
 def _labeller(shared) -> Labeller:
     """One labeller in a Python worker, so that its memo lasts over tasks."""
-    model = shared.value
-    if not _MADE or _MADE[0].model is not model:
-        _MADE[:] = [Labeller(model)]
-    return _MADE[0]
+    model, made = shared.value, memory_for("langid")
+    if "labeller" not in made or made["labeller"].model is not model:
+        made["labeller"] = Labeller(model)
+    return made["labeller"]
+
 
+def predict(df: DataFrame, model: dict, text: str = "text", spans: bool = False, keep: bool = True) -> DataFrame:
+    """df with lang_pred and score, and with spans set also the spans of one language as [lang, first word, words].
 
-def predict(df: DataFrame, model: dict, text: str = "text", spans: bool = False) -> DataFrame:
-    """df with lang_pred and score, and with spans set also the spans of one language as [lang, first word, words]."""
+    keep: whether Python workers remember the scores of words from one task to the next.
+    """
     import pyarrow as pa
 
     from .bpe import blocks
@@ -232,6 +235,9 @@ def predict(df: DataFrame, model: dict, text: str = "text", spans: bool = False)
                 if spans:
                     cols.append(pa.array([_spans(x[0], work.langs) for x in found], span_type))
                 yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(a, b - a) for i in range(len(rest))], *cols], names=[*rest, *made])
+                del found, rows, cols
+        if not keep:
+            memory_for("")
 
     return base.mapInArrow(run, schema)
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import block_count, by_block, by_run, count_across_blocks, fingerprint_bits, fingerprints, flags_of_block, in_blocks
-from .common import NO_ID, column_bytes, estimated_bytes, hash_words, save, window_hashes, word_spans
+from .common import NO_ID, column_bytes, estimated_bytes, hash_words, memory_for, save, window_hashes, word_spans
 from .components import components
 
 N = 5
@@ -267,12 +267,13 @@ def jaccard_classes(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
     """One row for each row of df: key, n_shingles, class_id and component_id (smallest ids of equal and of reachable sets)."""
     count = block_count(df)
     shingles = max(1.0, estimated_bytes(df) * WORDS_PER_BYTE)
-    bits, buckets = fingerprint_bits(shingles), max(count, math.ceil(shingles / BUCKET))
+    bits, buckets = fingerprint_bits(shingles), max(count // 2, math.ceil(shingles / BUCKET), 1)
     narrow = df.select(F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text}`").cast("string").alias("text"))
     blocks = in_blocks(narrow, "doc", count, "text")
 
     # 1. Sets, and the classes of equal ones.
     def describe(batches):
+        memory_for("blocks")
         for block, rows in by_block(batches):
             sets = _sets(rows, n)
             low, high = sets.digests()
@@ -378,7 +379,7 @@ def jaccard_classes(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
                 names=["cluster", "members", "rep", "root"],
             )
 
-    grouped = shipped.repartition(count, "cluster", "chunk").sortWithinPartitions("cluster", "chunk")
+    grouped = shipped.repartition(max(1, count // 2), "cluster", "chunk").sortWithinPartitions("cluster", "chunk")
     solved = save(grouped.mapInArrow(resolve, "cluster long, members long, rep long, root long"), "solved")
     links = solved.select(F.col("rep").alias("a"), F.col("root").alias("b"))
 

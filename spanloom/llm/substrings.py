@@ -114,7 +114,7 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", size:
     count = block_count(df)
     windows = max(1.0, estimated_bytes(df) * WORDS_PER_BYTE)
     bits = fingerprint_bits(windows)
-    buckets = max(count, math.ceil(windows / BUCKET))
+    buckets = max(count // 2, math.ceil(windows / BUCKET), 1)
     blocks = in_blocks(df, key, count, text)
     edges_per_bucket = buckets
 
