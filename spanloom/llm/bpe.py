@@ -27,20 +27,22 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column_bytes, hash_words
+from .common import column_bytes, hash_words, memory_for
 
 #: Words in each generation of a worker's memo, beyond those of one block.
-MEMO_ENTRIES = 250_000
+MEMO_ENTRIES = 200_000
 #: Tokens below this id merge by table and by arrays.
 DENSE = 4096
 NEVER = 1 << 62
+#: The same two bounds of a lean encoder.
+LEAN_DENSE, LEAN_ENTRIES = 1024, 40_000
 #: Words of more bytes are replayed position by position.
 LONG = 64
 #: Fixed value: the pattern of byte-level BPE by which each single space begins a match.
 SPACED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MARKS = frozenset(".,;:!?")
 #: Bytes of text replayed together.
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 12_000_000
 
 class Memo:
     """A bounded memo in two generations: what a block needs moves to the present one, the past one is dropped."""
@@ -67,39 +69,41 @@ class Replay:
     ids go first. whole: a word that is a token as a whole is that token, whatever its merges.
     """
 
-    def __init__(self, vocab: list[bytes], pairs: dict[int, int], pattern: str, whole: bool):
+    def __init__(self, vocab: list[bytes], pairs: dict[int, int], pattern: str, whole: bool, lean: bool = False):
         import regex
 
+        self.width = LEAN_DENSE if lean else DENSE
+
         self.find = regex.compile(pattern).findall
         #: Whether rows can be cut at spaces, which holds for this pattern only.
         self.spaced = pattern == SPACED
         self.vocab, self.pairs, self.whole = vocab, pairs, whole
         self.id_of = {t: i for i, t in enumerate(vocab) if t}
         self.single = np.array([self.id_of[bytes([b])] for b in range(256)])
-        if self.single.max() >= DENSE:
-            raise ValueError(f"the single bytes must have ids below {DENSE}")
-        #: The pairs of ids below DENSE as a table; `none` where there is no merge.
+        if self.single.max() >= self.width:
+            raise ValueError(f"the single bytes must have ids below {self.width}")
+        #: The pairs of ids below `width` as a table; `none` where there is no merge.
         self.none = 0xFFFF if len(vocab) < 0xFFFF else 0xFFFFFFFF
-        self.dense = np.full((DENSE, DENSE), self.none, dtype=np.uint16 if self.none == 0xFFFF else np.uint32)
+        self.dense = np.full((self.width, self.width), self.none, dtype=np.uint16 if self.none == 0xFFFF else np.uint32)
         for pair, rank in pairs.items():
-            if pair >> 32 < DENSE and pair & 0xFFFFFFFF < DENSE:
+            if pair >> 32 < self.width and pair & 0xFFFFFFFF < self.width:
                 self.dense[pair >> 32, pair & 0xFFFFFFFF] = rank
         self.keys = np.array(sorted(pairs), dtype=np.int64)
         self.values = np.array([pairs[k] for k in self.keys.tolist()], dtype=np.int64)
-        self.words = Memo()
+        self.words = Memo(LEAN_ENTRIES if lean else MEMO_ENTRIES)
 
     @classmethod
-    def of_ranks(cls, raw: bytes, pattern: str) -> Replay:
+    def of_ranks(cls, raw: bytes, pattern: str, lean: bool = False) -> Replay:
         """From lines of base64 token and rank; every cut of a token into two tokens merges into it."""
         ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in raw.splitlines() if x)}
         vocab = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             vocab[rank] = token
         pairs = {ranks[t[:i]] << 32 | ranks[t[i:]]: rank for t, rank in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
-        return cls(vocab, pairs, pattern, True)
+        return cls(vocab, pairs, pattern, True, lean)
 
     @classmethod
-    def of_json(cls, raw: bytes, pattern: str) -> Replay:
+    def of_json(cls, raw: bytes, pattern: str, lean: bool = False) -> Replay:
         """From a tokenizers file of a byte-level BPE whose ids follow the order of its merges."""
         model = json.loads(raw)["model"]
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -117,7 +121,7 @@ class Replay:
         pairs: dict[int, int] = {}
         for (a, b), i in zip(merges, made):
             pairs.setdefault(ids[a] << 32 | ids[b], i)
-        return cls(vocab, pairs, pattern, False)
+        return cls(vocab, pairs, pattern, False, lean)
 
     def replay(self, words: list[bytes]) -> list[bytes]:
         """Token ids of each word, as little-endian unsigned 32-bit integers.
@@ -163,7 +167,7 @@ class Replay:
                     heappush(heap, rank)
 
         enter(self.dense[token[places], token[places + 1]], places)
-        while heap and heap[0] < DENSE:
+        while heap and heap[0] < self.width:
             rank = heappop(heap)
             found = index.pop(rank)
             at = np.sort(np.concatenate(found)) if len(found) > 1 else found[0]
@@ -319,6 +323,7 @@ class Replay:
         data = raw.tobytes()
         texts = [data[a:b].decode() for a, b in zip(cuts[first].tolist(), ends[first].tolist())]
         split = [self._matches(t) for t in texts]
+        del hashed, texts
         words = set()
         words.update(*split)
         self._learn(self.words.missing(words))
@@ -326,6 +331,7 @@ class Replay:
         made = [ids_of(w[0]) if len(w) == 1 else b"".join(map(ids_of, w)) for w in split]
         sizes = np.fromiter(map(len, made), dtype=np.int64, count=len(made)) // 4
         flat = np.frombuffer(b"".join(made), dtype="<u4")
+        del split, made, words
         begin = np.cumsum(sizes) - sizes
         lengths = sizes[inverse]
         edges = np.concatenate([[0], np.cumsum(lengths)])
@@ -414,16 +420,16 @@ def encoded(work: Replay, column) -> Iterator[tuple[int, int, np.ndarray, np.nda
         yield a, b, *work.encode_rows(part, offsets[a : b + 1] - offsets[a])
 
 
-_MADE: dict[tuple[int, str], Replay] = {}
-
+def shared_replay(shared, pattern: str, lean: bool = False) -> Replay:
+    """One encoder for each vocabulary in a Python worker, so that its memo lasts over tasks.
 
-def shared_replay(shared, pattern: str) -> Replay:
-    """One encoder for each vocabulary in a Python worker, so that its memo lasts over tasks."""
-    raw = shared.value
-    key = (hash(raw), pattern)
-    if key not in _MADE:
-        _MADE[key] = (Replay.of_json if raw.lstrip()[:1] == b"{" else Replay.of_ranks)(raw, pattern)
-    return _MADE[key]
+    lean: with a small table and memo, where memory is short; the ids are the same.
+    """
+    raw, made = shared.value, memory_for("bpe")
+    key = (hash(raw), pattern, lean)
+    if key not in made:
+        made[key] = (Replay.of_json if raw.lstrip()[:1] == b"{" else Replay.of_ranks)(raw, pattern, lean)
+    return made[key]
 
 
 def share(df: DataFrame, path: str):

@@ -101,7 +101,7 @@ class VectorPacker:
         self.begin, self.end, self.free = ([int(x) for x in a[rest]] for a in (begin, end, free))
 
 
-def pack_documents(df: DataFrame, tokenizer_path: str, end_id: int = 0, key: str = "doc_id", text: str = "text", tokens: int = 1024, segments: int = 256, loss: int | None = None) -> DataFrame:
+def pack_documents(df: DataFrame, tokenizer_path: str, end_id: int = 0, key: str = "doc_id", text: str = "text", tokens: int = 1024, segments: int = 256, loss: int | None = None, lean: bool = False) -> DataFrame:
     """Whole texts, each ended by end_id, cut and packed into sequences: one row for each piece.
 
     All tokens of a document bear loss. tokens, segments and loss are the limits of a sequence.
@@ -120,7 +120,7 @@ def pack_documents(df: DataFrame, tokenizer_path: str, end_id: int = 0, key: str
         from pyspark import TaskContext
 
         base = TaskContext.get().partitionId() << 40
-        work, packer = shared_replay(shared, SPACED), VectorPacker(tokens, segments, loss)
+        work, packer = shared_replay(shared, SPACED, lean), VectorPacker(tokens, segments, loss)
         waiting: dict[int, tuple] = {}
         number = 0
 
@@ -185,10 +185,10 @@ def pack_examples(df: DataFrame, key: str, tokens_col: str, loss_col: str, token
     return kept.mapInPandas(run, schema)
 
 
-def packed(docs: DataFrame) -> DataFrame:
+def packed(docs: DataFrame, lean: bool = False) -> DataFrame:
     import public_tokenizers
 
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), lean=lean)
 
 
 def op8_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
