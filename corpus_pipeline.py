@@ -13,6 +13,17 @@ from spanloom.llm import langid, lines, ngramjoin, packing, substrings
 from spanloom.llm.common import save
 
 
+#: Rows that Spark hands to a Python worker at once; the session's setting is kept where it is smaller.
+ARROW_ROWS = 1_000
+
+
+def _bounded(spark: SparkSession) -> None:
+    """Executors hold Python workers of several stages: hand them small batches."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
+
+
 def _columns(out: DataFrame, docs: DataFrame) -> DataFrame:
     """The columns of docs, n_chars counted again where there is a text."""
     kinds = dict(docs.dtypes)
@@ -22,7 +33,8 @@ def _columns(out: DataFrame, docs: DataFrame) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language; those without a letter go."""
-    found = langid.predict(docs, langid.trained_model(docs))
+    _bounded(spark)
+    found = langid.predict(docs, langid.trained_model(docs), keep=False)
     return found.filter(F.col("lang_pred") != "und").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
@@ -33,17 +45,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
+    _bounded(spark)
     return ngramjoin.near_duplicates(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the spans of 13 words and more that an earlier document holds."""
+    _bounded(spark)
     return _columns(substrings.remove_repeats(docs), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of sequences of at most 1024 tokens."""
-    return packing.packed(docs)
+    _bounded(spark)
+    return packing.packed(docs, lean=True)
 
 
 STAGES = [
@@ -54,7 +69,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: No SQL computes Viterbi labels or token ids; tests/llm/test_pipeline.py compares run() with a brute-force version.
+#: No SQL computes Viterbi labels or token ids; tests/llm/test_joins.py checks the stages against brute force.
 ORACLE_SQL = None
 
 
