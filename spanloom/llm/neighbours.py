@@ -8,14 +8,18 @@ classes go on, with their numbers of copies.
    hyperplanes.
 2. Descent. A vector's list holds its `width` best neighbours. Each round joins neighbours with their neighbours'
    neighbours and computes the cosines of pairs that no links join yet; rounds end when none of them is a link.
-3. Saturated lists. In a dense group a list is full of links and would cut others off. Lists are enlarged to the whole
-   group that links join: its vectors are compared in tiles, which count the links of each vector and emit no pairs.
-4. Audit. A bounded sample of at most AUDIT vectors is compared with all vectors, block by block. While the share of
-   their links that fall inside the groups is below RECALL, the start is repeated with new hyperplanes (at most
-   TABLES_MOST tables), and the descent goes on.
-
-Lists and edges are tables in the shared folder; nothing but the audit's sample (at most AUDIT vectors) and
-counters reaches the driver.
+3. Saturated lists. A list of `width` links may cut others off, which takes a group of more than `width` vectors. Such
+   groups are compared with all vectors around them: a group is a ball around its root, and by the triangle inequality
+   only vectors within the ball's radius and the threshold's angle can link with it; these meet the group in tiles.
+   Where links are found the descent goes on, until no large group has a link to the outside.
+4. Audit. Vectors drawn from groups of every size class, at most AUDIT of a class, are compared with all vectors, block
+   by block. While the mean share of a vector's links that fall inside its group is below RECALL in any class, the start
+   is repeated with new hyperplanes (at most TABLES_MOST tables), and the descent goes on. If that is not enough, groups
+   of every size are compared as in 3, which is exact.
+5. Count. The vectors of each group are compared in tiles, which count the links of each vector and emit no pairs.
+
+Lists and edges are tables in the shared folder; nothing but the audit's sample (at most about AUDIT vectors
+of a class) and counters reaches the driver.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and vectors without a
 label, link with nothing; vectors of different lengths don't link; a null id is a vector of its own that links with
@@ -45,6 +49,9 @@ TILE = 1024
 AUDIT = 512
 RECALL = 0.995
 ROWS = 20_000
+#: Centres and vectors that meet in one tile, centres compared at once, and slack of an angle for rounding.
+CENTRES, VECTORS, SLICE = 8192, 4096, 512
+SLACK = 1e-6
 
 
 def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -226,33 +233,143 @@ def count_links(reps: DataFrame, classes: DataFrame, group: DataFrame, threshold
     return tiled.mapInArrow(tile, "id long, others long").groupBy("id").agg(F.sum("others").alias("others"))
 
 
+def _angles(cos: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(cos, -1, 1))
+
+
+def balls(placed: DataFrame, least: int) -> DataFrame:
+    """(label, dim, root, centre, radius): groups of at least `least` vectors, as balls around their roots."""
+    centres = placed.filter(F.col("id") == F.col("root")).filter(F.col("size") >= least).select(F.col("root").alias("r"), F.col("vec").alias("centre"))
+    inside = placed.filter(F.col("size") >= least).select("label", "dim", "root", "vec").join(centres, F.col("root") == F.col("r")).select("label", "dim", "root", "vec", "centre")
+
+    def reach(batches):
+        for batch in batches:
+            far = np.zeros(batch.num_rows)
+            for _, at, x in _by_dim(batch, 3):
+                y = _matrix(batch.column(4).take(pa.array(at)))
+                far[at] = _angles((x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(far)], names=["label", "dim", "root", "radius"])
+
+    radius = inside.mapInArrow(reach, "label long, dim long, root long, radius double").groupBy("label", "dim", "root").agg(F.max("radius").alias("radius"))
+    return radius.join(centres, F.col("root") == F.col("r")).select("label", "dim", "root", "centre", "radius")
+
+
+def candidates(placed: DataFrame, ball: DataFrame, threshold: float, least: int, rows: int, count: int) -> DataFrame:
+    """(ball, id, own, vec): the vectors of other groups that can link with a ball; of two balls, the later one's vectors."""
+    n, m = math.ceil(ball.count() / CENTRES), math.ceil(rows / VECTORS)
+    deal = lambda column, k: F.pmod(F.xxhash64(column, F.lit("ball")), F.lit(max(1, k))).cast("int")
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(max(1, k) - 1)))
+    some = ball.select("label", "dim").distinct()
+    left = ball.select("label", "dim", deal("root", n).alias("x"), each(m).alias("y"), F.lit(0).alias("side"), F.col("root").alias("id"), F.col("root").alias("own"), F.lit(0).alias("size"), "radius", F.col("centre").alias("vec"))
+    right = placed.join(some, ["label", "dim"], "left_semi").select("label", "dim", each(n).alias("x"), deal("id", m).alias("y"), F.lit(1).alias("side"), "id", F.col("root").alias("own"), F.col("size").cast("int"), F.lit(0.0).alias("radius"), "vec")
+    keys = ("label", "dim", "x", "y")
+    both = left.unionByName(right).repartition(count, *keys).sortWithinPartitions(*keys)
+    theta = math.acos(threshold) + SLACK
+
+    def near(batches):
+        for _, tile in by_run(batches, *keys):
+            side, ids, own, size, radius = (tile.column(c).to_numpy() for c in ("side", "id", "own", "size", "radius"))
+            a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            if not len(a) or not len(b):
+                continue
+            vec = tile.column("vec").combine_chunks()
+            y = _matrix(vec.take(pa.array(b)))
+            for k in range(0, len(a), SLICE):
+                c = a[k : k + SLICE]
+                hit = _angles(cosines(_matrix(vec.take(pa.array(c))), y)) <= radius[c][:, None] + theta
+                hit &= np.where(size[b] >= least, own[b] > ids[c][:, None], True)  # two balls meet once
+                for i in range(len(c)):
+                    j = b[hit[i]]
+                    if len(j):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), ids[c[i]])), pa.array(ids[j]), pa.array(own[j]), vec.take(pa.array(j))], names=["ball", "id", "own", "vec"])
+
+    return both.mapInArrow(near, "ball long, id long, own long, vec binary")
+
+
+def bridges(reps: DataFrame, group: DataFrame, threshold: float, least: int, count: int) -> DataFrame:
+    """Links (a, b, cos) that join groups of at least `least` vectors with other groups: none is left out, but of the
+    links of one tile with one other group the first is told."""
+    sizes = group.groupBy("root").agg(F.count("*").alias("size")).withColumnRenamed("root", "r")
+    placed = group.join(sizes, F.col("root") == F.col("r")).join(reps, F.col("node") == F.col("id")).select("label", "dim", "root", "size", "id", "vec")
+    placed = save(placed, "placed")
+    ball = save(balls(placed, least), "balls")
+    if ball.isEmpty():
+        return reps.sparkSession.createDataFrame([], EDGE)
+    found = save(candidates(placed, ball, threshold, least, placed.count(), count), "near")
+    tiles = lambda n: F.ceil(F.col(n) / F.lit(TILE)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), tiles(n) - 1))
+    dealt = lambda n: F.pmod(F.xxhash64("id", F.lit("tile")), tiles(n)).cast("int")
+    counts = found.groupBy("ball").agg(F.count("*").alias("met"))
+    both = counts.join(sizes, F.col("ball") == F.col("r")).select(F.col("ball").alias("k"), "size", "met")
+    inside = placed.drop("size").join(both, F.col("root") == F.col("k")).select(F.col("root").alias("ball"), dealt("size").alias("x"), spread("met").alias("y"), F.lit(0).alias("side"), "id", F.col("root").alias("own"), "vec")
+    outside = found.join(both, F.col("ball") == F.col("k")).select("ball", spread("size").alias("x"), dealt("met").alias("y"), F.lit(1).alias("side"), "id", "own", "vec")
+    met = inside.unionByName(outside).repartition(count, "ball", "x", "y").sortWithinPartitions("ball", "x", "y")
+
+    def link(batches):
+        for _, tile in by_run(batches, "ball", "x", "y"):
+            side, ids, own = (tile.column(c).to_numpy() for c in ("side", "id", "own"))
+            a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            if not len(a) or not len(b):
+                continue
+            vec = tile.column("vec").combine_chunks()
+            cos = cosines(_matrix(vec.take(pa.array(a))), _matrix(vec.take(pa.array(b))))
+            i, j = np.nonzero(cos >= threshold)
+            _, first = np.unique(own[b[j]], return_index=True)
+            if len(first):
+                i, j = i[first], j[first]
+                yield _edges(ids[a[i]], ids[b[j]], cos[i, j])
+
+    return met.mapInArrow(link, EDGE)
+
+
+def settle(reps: DataFrame, edges: DataFrame, threshold: float, floor: float, width: int, least: int, count: int) -> tuple[DataFrame, DataFrame]:
+    """(edges, groups) after the descent, once no group of at least `least` vectors has a link to the outside."""
+    while True:
+        edges, group = descend(reps, edges, threshold, floor, width)
+        more = save(bridges(reps, group, threshold, least, count), "edges")
+        if more.isEmpty():
+            return edges, group
+        edges = save(edges.unionByName(more).dropDuplicates(["a", "b"]), "edges")
+
+
 def audit(reps: DataFrame, group: DataFrame, threshold: float, sample: int = AUDIT) -> float:
-    """Share of the links of a sample of vectors, found against all vectors, that fall inside the groups."""
-    chosen = reps.orderBy(F.xxhash64("id")).limit(sample).select("id", "label", "dim", "vec").collect()  # at most `sample` vectors
+    """Mean share of a vector's links, found against all vectors, that fall inside its group: the least of all size classes.
+
+    A size class holds the groups whose sizes have the same binary logarithm; about `sample` vectors of each are drawn.
+    """
+    sizes = group.groupBy("root").agg(F.count("*").alias("size")).withColumnRenamed("root", "r")
+    level = F.floor(F.log2("size")).cast("int")
+    placed = group.join(sizes, F.col("root") == F.col("r")).join(reps, F.col("node") == F.col("id")).select("id", "label", "dim", "vec", "root", level.alias("level"))
+    placed = save(placed, "placed")
+    share = {r["level"]: min(1.0, sample / r["n"]) for r in placed.groupBy("level").agg(F.count("*").alias("n")).collect()}  # a row for each class
+    if not share:
+        return 1.0
+    draw = F.xxhash64("id").bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
+    wanted = F.element_at(F.create_map(*[F.lit(x) for pair in share.items() for x in pair]), F.col("level"))
+    chosen = placed.filter(draw < wanted).collect()  # about `sample` vectors of each class
     by: dict[tuple[int, int], list] = {}
     for r in chosen:
         by.setdefault((r["label"], r["dim"]), []).append(r)
-    shared = reps.sparkSession.sparkContext.broadcast({k: (np.array([r["id"] for r in v]), np.frombuffer(b"".join(r["vec"] for r in v), np.float32).reshape(len(v), -1).astype(np.float64)) for k, v in by.items()})
+    columns = lambda v: [np.array([r[c] for r in v]) for c in ("id", "root", "level")]
+    shared = reps.sparkSession.sparkContext.broadcast({k: (*columns(v), np.frombuffer(b"".join(r["vec"] for r in v), np.float32).reshape(len(v), -1).astype(np.float64)) for k, v in by.items()})
 
     def compare(batches):
         for batch in batches:
             label = batch.column(1).to_numpy()
             for dim, at, x in _by_dim(batch, 3):
-                ids = batch.column(0).to_numpy()[at]
+                ids, roots = batch.column(0).to_numpy()[at], batch.column(4).to_numpy()[at]
                 for value in np.unique(label[at]):
                     if (int(value), dim) not in shared.value:
                         continue
                     some = label[at] == value
-                    queries, q = shared.value[int(value), dim]
-                    i, j = np.nonzero(cosines(q, x[some]) >= threshold)
-                    a, b = queries[i], ids[some][j]
-                    yield _edges(a[a != b], b[a != b], np.ones(int((a != b).sum())))
+                    queries, own, levels, q = shared.value[int(value), dim]
+                    hit = (cosines(q, x[some]) >= threshold) & (queries[:, None] != ids[some])
+                    n, held = hit.sum(axis=1), (hit & (own[:, None] == roots[some])).sum(axis=1)
+                    k = np.flatnonzero(n)
+                    yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in (queries[k], levels[k], n[k], held[k])], names=["a", "level", "n", "held"])
 
-    true = reps.mapInArrow(compare, EDGE).select("a", "b").distinct()
-    of = lambda end: group.select(F.col("node").alias(f"n{end}"), F.col("root").alias(f"r{end}"))
-    found = true.join(of("a"), F.col("a") == F.col("na")).join(of("b"), F.col("b") == F.col("nb"))
-    row = found.agg(F.count("*").alias("n"), F.count(F.when(F.col("ra") == F.col("rb"), 1)).alias("hit")).first()
-    return row["hit"] / row["n"] if row["n"] else 1.0
+    told = placed.mapInArrow(compare, "a long, level long, n long, held long").groupBy("a", "level").agg((F.sum("held") / F.sum("n")).alias("share"))
+    return told.groupBy("level").agg(F.avg("share").alias("share")).agg(F.coalesce(F.min("share"), F.lit(1.0))).first()[0]
 
 
 def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD, floor: float = FLOOR, width: int = WIDTH, tables: int = TABLES) -> DataFrame:
@@ -271,11 +388,13 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     count = max(parts, math.ceil(reps.count() * tables / ROWS))
     edges = save(start(reps, biggest, 0, tables, count, floor, width), "edges")
     done = tables
-    edges, group = descend(reps, edges, threshold, floor, width)
-    while audit(reps, group, threshold) < RECALL and done < TABLES_MOST:
+    edges, group = settle(reps, edges, threshold, floor, width, width + 1, parts)
+    while (recall := audit(reps, group, threshold)) < RECALL and done < TABLES_MOST:
         more = start(reps, biggest, done, done, count, floor, width)
         done *= 2
-        edges, group = descend(reps, save(edges.unionByName(more).dropDuplicates(["a", "b"]), "edges"), threshold, floor, width)
+        edges, group = settle(reps, save(edges.unionByName(more).dropDuplicates(["a", "b"]), "edges"), threshold, floor, width, width + 1, parts)
+    if recall < RECALL:
+        edges, group = settle(reps, edges, threshold, floor, width, 1, parts)
     linked = count_links(reps, classes, group, threshold, parts).withColumnRenamed("id", "a")
     roots = group.select(F.col("node"), "root")
     told = classes.join(linked, F.col("rep") == F.col("a"), "left").join(roots, F.col("rep") == F.col("node"), "left")

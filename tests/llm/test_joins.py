@@ -149,6 +149,38 @@ def test_embeddings(spark, monkeypatch):
     assert neighbours.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_two_dense_groups(spark):
+    """Two groups of more than WIDTH links a vector, which a single pair joins; each end has many nearer partners."""
+    rng = np.random.default_rng(5)
+    axes = np.linalg.qr(rng.standard_normal((24, 24)))[0]
+    angle = np.arccos(0.98) * 0.995
+    rows = []
+    for pair in range(6):
+        # An end lies on the brink of each group; all others of its group lie behind it, away from the other group.
+        for side, sign in ((0, -1), (1, 1)):
+            for k in range(220):
+                turn = sign * (angle / 2 + (0.005 + rng.random() * 0.1 if k else 0))
+                v = np.cos(turn) * axes[2 * pair] + np.sin(turn) * axes[2 * pair + 1]
+                rows.append((len(rows), [float(x) for x in v + (rng.standard_normal(24) * 0.002 if k else 0)], 0))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    want = brute_links([tuple(r) for r in df.collect()])
+    assert len({w[1] for w in want.values()}) == 6
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in neighbours.near_duplicates(df, tables=1).collect()}
+    assert got == want
+
+
+def test_embeddings_without_recall(spark, monkeypatch):
+    """Where the hyperplanes find no pair at all, the audit leads to the exact comparison."""
+    monkeypatch.setattr(neighbours, "TABLES_MOST", 1)
+    monkeypatch.setattr(neighbours, "start", lambda reps, *_: reps.sparkSession.createDataFrame([], neighbours.EDGE))
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((20, 24))
+    rows = [(i, [float(x) for x in centres[i % 20] + rng.standard_normal(24) * 0.1], i % 2) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in neighbours.near_duplicates(df, tables=1).collect()}
+    assert got == brute_links([tuple(r) for r in df.collect()])
+
+
 def test_pipeline(spark, docs, documents, tmp_path):
     import corpus_pipeline
 
