@@ -12,8 +12,10 @@ footers, sidebars, notices, adverts, forms, comments) or, in pages with an artic
 element names, ARIA roles and words in class and id. In pages without an article element, differencing decides.
 
 Pages are range-partitioned by host, path and id, so that a host with a third of all pages is spread over many
-tasks; at a partition's edge a page is paired with the neighbour on its own side. The shuffle carries parsed lines
-instead of markup.
+tasks. The shuffle carries parsed lines instead of markup. The first two runs of copies and the last one of a partition
+wait for the partitions beside it: what the tasks found is a table in the shared folder, the driver pairs the waiting
+runs by host, path and digest of lines (at most five rows of a partition), and their lines are joined back. So the
+pairing is that of the whole sorted table, however it is partitioned.
 
 Defined cases: null or empty html has the empty text; a null URL sorts first, as a host and path of its own; repeated
 rows are extracted each, and copies of a page are not paired with each other (a copy shares every line); other
@@ -22,6 +24,7 @@ columns stay out of the result; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from html import unescape
 from html.parser import HTMLParser
@@ -29,7 +32,7 @@ from html.parser import HTMLParser
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts
+from .common import parts, save
 
 #: Estimated bytes of markup in a partition.
 PART_BYTES = 16 << 20
@@ -230,6 +233,36 @@ def _common(a: str, b: str) -> int:
     return n
 
 
+def _nearer(path: str, others: list[tuple]) -> tuple | None:
+    """The one of the neighbours (host, path, ...) that shares the longer beginning of the path; the first of equals."""
+    return max(others, key=lambda o: _common(o[1], path), default=None)
+
+
+def pair_edges(rows: list) -> list[tuple]:
+    """(part, slot, part and slot of the run's first lines, part and slot of the nearest run or None) for waiting runs.
+
+    rows: the edge runs of all partitions as (part, slot, last, id, host, path, digest). Slots count a partition's runs.
+    """
+    by: dict[int, list] = {}
+    for r in sorted(rows, key=lambda r: (r["part"], r["slot"])):
+        by.setdefault(r["part"], []).append(r)
+    first = lambda p: (p[0]["host"], p[0]["path"], p[0]["id"] is not None, p[0]["id"] or 0)
+    runs: list[tuple] = []  # host, path, digest, place of the first lines, places of all parts that wait
+    for part in sorted(by.values(), key=first):
+        for r in part:
+            place = (r["part"], r["slot"])
+            waits = [place] if r["slot"] < 2 or r["last"] else []
+            if r["slot"] == 0 and runs and runs[-1][0] == r["host"] and runs[-1][2] == r["digest"]:
+                runs[-1][4].extend(waits)
+            else:
+                runs.append((r["host"], r["path"], r["digest"], place, waits))
+    out = []
+    for k, (host, path, _, place, waits) in enumerate(runs):
+        best = _nearer(path, [o for o in (*runs[max(0, k - 1) : k], *runs[k + 1 : k + 2]) if o[0] == host])
+        out += [(*w, *place, *(best[3] if best else (None, None))) for w in waits]
+    return out
+
+
 def extract(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", count: int | None = None) -> DataFrame:
     """(key, url, text, n_chars, n_shared) for each row; n_shared counts the lines that the alignment deleted."""
     import pyarrow as pa
@@ -256,23 +289,44 @@ def extract(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "
             )
 
     parsed = base.mapInArrow(parse, parsed_schema)
-    near = parsed.repartitionByRange(count, "host", "path", "id").sortWithinPartitions("host", "path", "id")
-
-    def settle(before, run, behind):
-        """Rows of a run of copies, differenced with the nearer of the runs around it."""
-        host, path, lines, kinds, members = run
-        others = [o for o in (before, behind) if o is not None and o[0] == host]
-        best = max(others, key=lambda o: _common(o[1], path), default=None)
-        shared = shared_lines(lines, best[2]) if best else set()
+    near = parsed.repartitionByRange(count, "host", "path", "id").sortWithinPartitions("host", "path", "id", "url", "lines", "kinds")
+
+    def settled(lines, kinds, other):
+        shared = shared_lines(lines, other) if other is not None else set()
         text = main_text(list(zip(lines, kinds)), shared)
-        return [(i, u, text, len(text), len(shared)) for i, u in members]
+        return text, len(text), len(shared)
+
+    found_schema = pa.schema(
+        [("id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_shared", pa.int32())]
+        + [("part", pa.int32()), ("slot", pa.int64()), ("last", pa.bool_()), ("edge", pa.bool_())]
+        + [("host", pa.string()), ("path", pa.string()), ("digest", pa.string()), ("lines", pa.list_(pa.string())), ("kinds", pa.list_(pa.int32()))]
+    )
 
     def batch_of(rows):
-        kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[key, url, "text", "n_chars", "n_shared"])
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), found_schema)], schema=found_schema)
 
     def differ(batches):
         """Copies that follow one another are one run; three runs are held at a time."""
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+
+        def edge(run, last=False):
+            host, path, lines, kinds, members, slot = run
+            digest = hashlib.sha256("\0".join(f"{len(x)} {x}" for x in lines).encode("utf-8", "surrogatepass")).hexdigest()
+            return (members[0][0], None, None, None, None, part, slot, last, True, host, path, digest, lines, kinds)
+
+        def waiting(run):
+            return [(i, u, None, None, None, part, run[5], None, False, *[None] * 5) for i, u in run[4]]
+
+        def done(before, run, behind):
+            host, path, lines, kinds, members, slot = run
+            if slot < 2:
+                return [edge(run), *waiting(run)]
+            best = _nearer(path, [o for o in (before, behind) if o[0] == host])
+            found = settled(lines, kinds, best[2] if best else None)
+            return [*[edge(run)] * (slot == 2), *[(i, u, *found, part, None, None, False, *[None] * 5) for i, u in members]]
+
         before = run = None
         for batch in batches:
             rows = []
@@ -280,16 +334,38 @@ def extract(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "
                 if run is not None and run[0] == host and run[2] == lines:
                     run[4].append((id_, link))
                     continue
-                behind = (host, path, lines, kinds, [(id_, link)])
+                behind = (host, path, lines, kinds, [(id_, link)], run[5] + 1 if run else 0)
                 if run is not None:
-                    rows += settle(before, run, behind)
+                    rows += done(before, run, behind)
                 before, run = run, behind
             if rows:
                 yield batch_of(rows)
         if run is not None:
-            yield batch_of(settle(before, run, None))
+            yield batch_of([*([edge(before)] if before and before[5] > 2 else []), edge(run, True), *waiting(run)])
+
+    found = near.mapInArrow(differ, "id long, url string, text string, n_chars long, n_shared int, part int, slot long, last boolean, edge boolean, host string, path string, digest string, lines array<string>, kinds array<int>")
+    found = save(found, "pages")
+    edges = found.filter("edge")
+    pairs = pair_edges(edges.select("part", "slot", "last", "id", "host", "path", "digest").collect())  # at most five rows of a partition
+    spark = df.sparkSession
+    pair = spark.createDataFrame(pairs, "part int, slot long, part1 int, slot1 long, part2 int, slot2 long")
+    own = edges.select(F.col("part").alias("part1"), F.col("slot").alias("slot1"), "lines", "kinds")
+    other = edges.select(F.col("part").alias("part2"), F.col("slot").alias("slot2"), F.col("lines").alias("other"))
+    met = pair.join(own, ["part1", "slot1"]).join(other, ["part2", "slot2"], "left").select("part", "slot", "lines", "kinds", "other")
+
+    def join_up(batches):
+        for batch in batches:
+            cols = [batch.column(i).to_pylist() for i in range(5)]
+            texts = [settled(*x) for x in zip(*cols[2:])]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), *(pa.array([t[i] for t in texts], k) for i, k in enumerate((pa.string(), pa.int64(), pa.int32())))],
+                names=["part", "slot", "text1", "n_chars1", "n_shared1"],
+            )
 
-    return near.mapInArrow(differ, f"`{key}` long, `{url}` string, text string, n_chars long, n_shared int")
+    late = met.mapInArrow(join_up, "part int, slot long, text1 string, n_chars1 long, n_shared1 int")
+    told = found.filter("not edge").drop("lines", "kinds").join(late, ["part", "slot"], "left")
+    names = zip(("id", "url", "text", "n_chars", "n_shared"), (key, url, "text", "n_chars", "n_shared"))
+    return told.select(*[(F.col(a) if a in ("id", "url") else F.coalesce(a, f"{a}1")).alias(b) for a, b in names])
 
 
 def op10_url_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -321,6 +321,21 @@ def test_pages(spark):
     assert [one[10 + i] for i in range(3)] == [f"Own {i}" for i in range(3)]
 
 
+def test_pages_pair_over_partitions(spark):
+    """The result is that of one sorted table, for any number of partitions; runs of copies may span some of them."""
+    bare = "<div><p>Head of {h}</p><p>Group {g}</p><p>Own {n}</p><p>Foot of {h}</p></div>"
+    rows = []
+    for n in range(90):
+        h, g = n // 13, n // 4 % 3
+        body = bare.format(h=h, g=g, n=n if n % 10 < 6 and not 40 <= n < 60 else "copy")
+        rows.append((n, f"http://h{h}/{'ab' if n % 3 else 'cd'}/{g}/{n:03d}", body))
+    rows += [(None, "http://h1/z", bare), (200, None, bare), (200, None, bare), (201, "http://h9/", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = {c: sorted(map(str, pages.extract(df, count=c).collect())) for c in (1, 2, 7, 40)}
+    assert len(got[1]) == len(rows) and got[2] == got[7] == got[40] == got[1]
+    assert sum("text='Own" in x for x in got[1]) > 20 and not any("text='Head" in x and "Group 0\\nOwn 1\\n" in x for x in got[1])
+
+
 def test_longest_common_subsequence():
     import random
 
