@@ -1,7 +1,7 @@
 """Language identification: script ranges, per-word scores, Viterbi over the words of a text.
 
 A word is a maximal run of letters. Its code points decide its script by fixed ranges, and the languages that
-hold a share of that script in the training words are its candidates. A word's score for a candidate is the mean
+hold a share of their own training words in that script are its candidates, however rare they are among all. A word's score for a candidate is the mean
 log probability of its hashed features (whole word, affixes and letter trigrams) under that language. Viterbi with
 a penalty for each switch labels every word, so that a text falls into spans of one language each; the language
 that labels most letters is the text's language and its share of the letters is the score.
@@ -31,7 +31,7 @@ from .common import memory_for
 FEATURES = 1 << 16
 TRAIN_ROWS = 5_000
 SWITCH = 6.0  # nats
-LEAST_SHARE = 0.002  # of a script's training words, for a language to be its candidate
+LEAST_SHARE = 0.002  # of a language's training words, for it to be a candidate of their script
 MEMO_WORDS = 300_000
 BLOCK_CHARS = 3_000_000
 
@@ -98,7 +98,7 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_i
         counts[langs.index(r["lang"]), r["f"]] = r["n"]
     smooth = counts[:, :FEATURES] + 0.2
     scripts = counts[:, FEATURES:]
-    share_of = scripts / np.maximum(scripts.sum(axis=0, keepdims=True), 1)
+    share_of = scripts / np.maximum(scripts.sum(axis=1, keepdims=True), 1)
     allowed = share_of >= LEAST_SHARE
     allowed[:, ~allowed.any(axis=0)] = True  # a script never seen leaves all languages
     return {"langs": langs, "logs": np.log(smooth / smooth.sum(axis=1, keepdims=True)).astype(np.float32).T.copy(), "allowed": allowed.T.copy()}

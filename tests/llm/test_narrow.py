@@ -267,6 +267,16 @@ def test_language_accuracy_and_cases(docs, documents, empty):
     assert langid.predict(empty, model).count() == 0
 
 
+def test_rare_language_remains_a_candidate(spark):
+    """A language with less than a thousandth of a script's words is still found where its words are clear."""
+    common = " ".join(f"{a}{b}ing" for a in ("walk", "talk", "sing", "look", "read") for b in ("", "er", "let")) + " "
+    rows = [(i, common * 60, "en") for i in range(40)] + [(100 + i, "ñandú quiñón señal mañana araña", "es") for i in range(4)]
+    rows += [(200, "слово дело время " * 50, "ru"), (201, "слово дело время walking", "ru")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.predict(df, langid.fit(df)).collect()
+    assert all(r.lang_pred == r.lang for r in got)
+
+
 def test_mixed_text_has_spans(docs, spark):
     model = langid.trained_model(docs)
     en = next(r for r in docs.filter("lang = 'en' and length(text) > 400").collect()).text.split()[:40]
