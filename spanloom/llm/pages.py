@@ -363,9 +363,10 @@ def extract(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "
             )
 
     late = met.mapInArrow(join_up, "part int, slot long, text1 string, n_chars1 long, n_shared1 int")
-    told = found.filter("not edge").drop("lines", "kinds").join(late, ["part", "slot"], "left")
-    names = zip(("id", "url", "text", "n_chars", "n_shared"), (key, url, "text", "n_chars", "n_shared"))
-    return told.select(*[(F.col(a) if a in ("id", "url") else F.coalesce(a, f"{a}1")).alias(b) for a, b in names])
+    names = list(zip(("id", "url", "text", "n_chars", "n_shared"), (key, url, "text", "n_chars", "n_shared")))
+    told = found.filter("not edge and slot is null").select(*[F.col(a).alias(b) for a, b in names])
+    waited = found.filter("not edge and slot is not null").select("part", "slot", "id", "url").join(late, ["part", "slot"])
+    return told.unionByName(waited.select(*[F.col(a if a in ("id", "url") else f"{a}1").alias(b) for a, b in names]))
 
 
 def op10_url_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
