@@ -10,9 +10,9 @@ joins of packed blocks of documents, never with a row for each window:
    filter, with the smallest document that holds each. Buckets of the hash space answer with the source of each
    edge. Edges go out and come back in the order of their documents.
 3. Compaction. The answers are joined with the block; in each document, consecutive repeated edges whose sources are
-   the same document form one nonbranching path, and paths compact into spans of words with their source. The
-   source's coordinates bound a path: where the source changes, the path ends, so a span is as long as the run of
-   edges that one source document confirms edge by edge. The words of the spans are removed.
+   the same document form one path, and paths compact into spans of words with their source. Positions in the source
+   are not used: where the source changes, the path ends, so a span is as long as the run of edges that one source
+   document confirms edge by edge, wherever they stand in it. The words of the spans are removed.
 
 Identity is that of 128-bit hashes of the words. Windows are judged on the input, not on what is left.
 
