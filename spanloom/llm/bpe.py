@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column_bytes, hash_words, memory_for
+from .common import column_bytes, equal_spans, hash_words, memory_for
 
 #: Words in each generation of a worker's memo, beyond those of one block.
 MEMO_ENTRIES = 200_000
@@ -69,9 +69,13 @@ class Replay:
     ids go first. whole: a word that is a token as a whole is that token, whatever its merges.
     """
 
-    def __init__(self, vocab: list[bytes], pairs: dict[int, int], pattern: str, whole: bool, lean: bool = False):
+    def __init__(self, vocab: list[bytes], pairs: dict[int, int], pattern: str, whole: bool, lean: bool = False, added: dict[str, int] | None = None):
         import regex
 
+        #: Added tokens stand for their literal text wherever it occurs, before any match.
+        self.added = added or {}
+        self.literal = regex.compile(b"|".join(regex.escape(t.encode()) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
+
         self.width = LEAN_DENSE if lean else DENSE
 
         self.find = regex.compile(pattern).findall
@@ -105,7 +109,8 @@ class Replay:
     @classmethod
     def of_json(cls, raw: bytes, pattern: str, lean: bool = False) -> Replay:
         """From a tokenizers file of a byte-level BPE whose ids follow the order of its merges."""
-        model = json.loads(raw)["model"]
+        tokenizer = json.loads(raw)
+        model = tokenizer["model"]
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in printable]
         byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
@@ -121,7 +126,13 @@ class Replay:
         pairs: dict[int, int] = {}
         for (a, b), i in zip(merges, made):
             pairs.setdefault(ids[a] << 32 | ids[b], i)
-        return cls(vocab, pairs, pattern, False, lean)
+        added = {t["content"]: t["id"] for t in tokenizer.get("added_tokens") or []}
+        if any(t.get(k) for t in tokenizer.get("added_tokens") or [] for k in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens that depend on their surroundings are not read")
+        for content, i in added.items():
+            vocab.extend([b""] * (i + 1 - len(vocab)))
+            vocab[i] = content.encode()
+        return cls(vocab, pairs, pattern, False, lean, added)
 
     def replay(self, words: list[bytes]) -> list[bytes]:
         """Token ids of each word, as little-endian unsigned 32-bit integers.
@@ -300,7 +311,7 @@ class Replay:
         """Replay the words that the memo lacks."""
         todo: list[str] = []
         for word in words:
-            known = self.id_of.get(word.encode()) if self.whole else None
+            known = self.id_of.get(word.encode()) if self.whole else self.added.get(word)
             if known is None:
                 todo.append(word)
             else:
@@ -309,21 +320,21 @@ class Replay:
 
     def encode_rows(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of UTF-8 rows (all ids, and where each row's begin) of one block."""
+        rows, offsets = offsets, self._at_literals(raw, offsets)
         cuts = _chunk_starts(raw, offsets) if self.spaced else np.unique(offsets[:-1][offsets[:-1] < offsets[1:]])
         ends = np.append(cuts[1:], len(raw))
-        for seed in range(8):
-            hashed = hash_words(raw, cuts, ends, seed)
-            inverse, distinct = pd.factorize(hashed)
-            first = np.empty(len(distinct), dtype=np.int64)
-            first[inverse[::-1]] = np.arange(len(hashed) - 1, -1, -1)
-            if _same(raw, cuts, ends, first[inverse]):
-                break
-        else:
-            raise ValueError("equal hashes of different chunks under every seed")
         data = raw.tobytes()
+        inverse, distinct = pd.factorize(hash_words(raw, cuts, ends, 0))
+        first = np.empty(len(distinct), dtype=np.int64)
+        first[inverse[::-1]] = np.arange(len(cuts) - 1, -1, -1)
+        sizes, like = ends - cuts, first[inverse]
+        if (sizes != sizes[like]).any() or not equal_spans(raw, cuts, cuts[like], sizes).all():  # told apart by their bytes
+            texts: dict[bytes, int] = {}
+            inverse = np.fromiter((texts.setdefault(data[a:b], len(texts)) for a, b in zip(cuts.tolist(), ends.tolist())), np.int64, len(cuts))
+            first = np.unique(inverse, return_index=True)[1]
         texts = [data[a:b].decode() for a, b in zip(cuts[first].tolist(), ends[first].tolist())]
         split = [self._matches(t) for t in texts]
-        del hashed, texts
+        del texts, like
         words = set()
         words.update(*split)
         self._learn(self.words.missing(words))
@@ -341,10 +352,20 @@ class Replay:
             part = lengths[a : a + step]
             low, high = int(edges[a]), int(edges[min(a + step, len(lengths))])
             ids[low:high] = flat[np.repeat(begin[inverse[a : a + step]] - (edges[a : a + len(part)] - low), part) + np.arange(high - low)]
-        return ids, edges[np.searchsorted(cuts, offsets)]
+        return ids, edges[np.searchsorted(cuts, rows)]
+
+    def _at_literals(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Row offsets with the edges of added tokens, which are read as rows of their own."""
+        if not self.literal or not (found := [m.span() for m in self.literal.finditer(raw)]):
+            return offsets
+        a, b = np.array(found).T
+        inside = np.searchsorted(offsets, a, side="right") == np.searchsorted(offsets, b, side="left")  # not over two rows
+        return np.sort(np.concatenate([offsets, a[inside], b[inside]]))
 
     def _matches(self, chunk: str) -> tuple[str, ...] | list[str]:
         """The pattern's matches; words and words before one mark, most of all chunks, are told without it."""
+        if chunk in self.added:
+            return (chunk,)
         body = chunk[1:] if chunk[0] == " " else chunk
         if self.spaced:
             if body.isalpha():
@@ -388,18 +409,6 @@ def _chunk_starts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
-def _same(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, like: np.ndarray) -> bool:
-    """Whether each chunk has the length and the first and last bytes of the chunk it is taken for."""
-    lengths = ends - starts
-    if (lengths != lengths[like]).any():
-        return False
-    for k in range(2):
-        for at in (np.minimum(starts + k, ends - 1), np.maximum(ends - 1 - k, starts)):
-            if (raw[at] != raw[at[like]]).any():
-                return False
-    return True
-
-
 def blocks(sizes: np.ndarray, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
     """Slices of rows of about `most` bytes together."""
     begin, total = 0, 0

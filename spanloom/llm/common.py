@@ -8,6 +8,7 @@ import math
 import os
 import tempfile
 import uuid
+from hashlib import blake2b
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,8 +18,7 @@ from pyspark.sql import functions as F
 NO_ID = (1 << 63) - 1
 
 MASK = (1 << 64) - 1
-_MULT = 0x9E3779B97F4A7C15 | 1
-_CHUNK = 1 << 20  # bytes hashed per vectorised step
+_MULT = 0x9E3779B97F4A7C15
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -51,20 +51,30 @@ UNKNOWN_BYTES = 1 << 60
 _MEMOS: dict[str, dict] = {}
 
 
+def trim() -> None:
+    """Hand freed memory back to the system."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def memory_for(operator: str) -> dict:
     """The memos of one operator in this Python worker; those of others are dropped.
 
-    Workers outlive tasks and stages, so what an operator remembers would stay beside what the next one needs.
+    Workers outlive tasks and stages, so what an operator remembers would stay beside what the next one needs. For the
+    same reason Arrow's buffers come from the system's allocator here, which gives them back.
     """
+    import pyarrow as pa
+
+    if pa.default_memory_pool().backend_name != "system":
+        pa.set_memory_pool(pa.system_memory_pool())
     others = [k for k in _MEMOS if k != operator]
     for k in others:
         _MEMOS.pop(k).clear()
     if others:
         gc.collect()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)  # hand freed memory back
-        except (AttributeError, OSError):
-            pass
+        trim()
     return _MEMOS.setdefault(operator, {})
 
 
@@ -106,22 +116,12 @@ def _fmix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _byte_table(seed: int, lower: bool) -> np.ndarray:
-    table = np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-    if lower:
-        table[65:91] = table[97:123]
-    return table
-
-
-def _powers(n: int, base: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[:1] = 1
-    with np.errstate(over="ignore"):
-        return np.multiply.accumulate(out)
-
-
-_POWER = _powers(_CHUNK + 1, _MULT)
-_INVERSE = _powers(_CHUNK + 1, pow(_MULT, -1, 1 << 64))
+#: Words up to so many bytes are hashed by lanes of eight; longer ones, which are few, by a keyed digest of their bytes.
+LANES = 4
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] = np.arange(97, 123)
+#: Masks of the first 0 to 8 bytes of a lane.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -162,32 +162,50 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def lanes(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of raw on, as integers; zeros follow its end."""
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    return np.ndarray(len(raw) + 1, dtype="<u8", buffer=padded, strides=(1,))
+
+
 def hash_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of every word: a polynomial over random byte values, scrambled. Equal words, equal hashes."""
-    out = np.empty(len(starts), dtype=np.uint64)
-    table = _byte_table(seed, lower)
+    """A 64-bit hash of every word; lower makes A-Z equal to a-z.
+
+    Lane after lane goes through a finaliser that is one-to-one, so different words of up to eight bytes and of one
+    length never collide. Words beyond LANES lanes get a keyed BLAKE2b digest.
+    """
+    if lower:
+        raw = _LOWER[raw]
+    sizes = ends - starts
+    eight = lanes(raw)
     with np.errstate(over="ignore"):
-        i = 0
-        while i < len(starts):
-            base = int(starts[i])
-            j = int(np.searchsorted(ends, base + _CHUNK, side="right"))
-            if j == i:  # one word longer than a step
-                total, at = 0, base
-                while at < ends[i]:
-                    stop = min(at + _CHUNK, int(ends[i]))
-                    part = int((table[raw[at:stop]] * _POWER[: stop - at]).sum(dtype=np.uint64))
-                    total = (total + part * pow(_MULT, at - base, 1 << 64)) & MASK
-                    at = stop
-                out[i] = total
-                i += 1
-                continue
-            stop = int(ends[j - 1])
-            sums = np.zeros(stop - base + 1, dtype=np.uint64)
-            np.cumsum(table[raw[base:stop]] * _POWER[: stop - base], out=sums[1:])
-            a, b = starts[i:j] - base, ends[i:j] - base
-            out[i:j] = (sums[b] - sums[a]) * _INVERSE[a]
-            i = j
-        return _fmix(out ^ (np.uint64(seed) + (ends - starts).astype(np.uint64) * np.uint64(_MULT)))
+        out = _fmix(sizes.astype(np.uint64) * np.uint64(_MULT) + np.uint64(seed & MASK) * np.uint64(0xC2B2AE3D27D4EB4F))
+        at, size = slice(None), sizes
+        for k in range(LANES):
+            out[at] = _fmix(out[at] ^ (eight[starts[at] + 8 * k] & _FIRST[np.minimum(size, 8)]))
+            at = np.flatnonzero(sizes > 8 * (k + 1))
+            if not len(at):
+                return out
+            size = sizes[at] - 8 * (k + 1)
+    key = seed.to_bytes(8, "little")
+    for i in at.tolist():
+        out[i] = int.from_bytes(blake2b(raw[starts[i] : ends[i]], digest_size=8, key=key).digest(), "little")
+    return out
+
+
+def equal_spans(raw: np.ndarray, starts: np.ndarray, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether the bytes from each start on equal those from the other start on, over the given sizes: compared in full."""
+    out = np.ones(len(starts), dtype=bool)
+    eight = lanes(raw)
+    at, k = np.flatnonzero(starts != others), 0
+    while len(at) and k < LANES:
+        mask = _FIRST[np.minimum(sizes[at] - 8 * k, 8)]
+        out[at] &= ((eight[starts[at] + 8 * k] ^ eight[others[at] + 8 * k]) & mask) == 0
+        k += 1
+        at = at[sizes[at] > 8 * k]
+    for i in at.tolist():
+        out[i] = out[i] and np.array_equal(raw[starts[i] : starts[i] + sizes[i]], raw[others[i] : others[i] + sizes[i]])
+    return out
 
 
 def window_hashes(words: np.ndarray, size: int, seed: int) -> np.ndarray:

@@ -38,7 +38,6 @@ def test_json_vocabulary():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     work = bpe.Replay.of_json(open(P.path("byte_bpe_50k.json"), "rb").read(), P.PATTERN)
     texts = ["Thesen anenen, heonre.\nAnou ly", "<|endoftext|> a  b", "日本 ñ 45.6%", "", "q" * 500]
     assert [work.encode(x) for x in texts] == [t.encode(x, add_special_tokens=False).ids for x in texts]
@@ -60,3 +59,45 @@ def test_columns_and_round_trip(docs):
     out = bpe.decode(bpe.encode(clash, MULTI, P.PATTERN), MULTI)
     assert set(out.columns) == {*docs.columns, "block", "ids", "decoded"}
     assert out.filter(F.coalesce("text", F.lit("")) != F.decode("decoded", "UTF-8")).count() == 0
+
+
+def thue_morse(power, a="a", b="b"):
+    """Two words of 2 ** power letters, which every polynomial hash modulo 2 ** 64 takes for equal."""
+    x, y = a, b
+    for _ in range(power):
+        x, y = x + y, y + x
+    return x, y
+
+
+@pytest.mark.parametrize("around", ["", "xy"])
+def test_words_that_defeat_polynomial_hashes(library, around):
+    from tokenizers import Tokenizer
+
+    words = [around + w + around for power in (5, 10, 11, 12, 13) for w in thue_morse(power)]
+    multi, single = bpe.Replay.of_ranks(open(MULTI, "rb").read(), P.PATTERN), bpe.Replay.of_json(open(P.path("byte_bpe_50k.json"), "rb").read(), bpe.SPACED)
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    text = " ".join(words)
+    assert multi.encode(text) == library.encode_ordinary(text)
+    assert single.encode(text) == t.encode(text, add_special_tokens=False).ids
+
+
+def test_equal_hashes_are_told_apart(library, monkeypatch):
+    monkeypatch.setattr(bpe, "hash_words", lambda raw, starts, ends, seed: (ends - starts).astype(np.uint64))
+    work = bpe.Replay.of_json(open(P.path("byte_bpe_50k.json"), "rb").read(), bpe.SPACED)
+    text = "one two six ten " + " ".join(thue_morse(6))
+    got = work.encode(text)
+    monkeypatch.undo()
+    assert got == bpe.Replay.of_json(open(P.path("byte_bpe_50k.json"), "rb").read(), bpe.SPACED).encode(text)
+
+
+def test_added_tokens_are_read_as_the_library_reads_them():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    work = bpe.Replay.of_json(open(P.path("byte_bpe_50k.json"), "rb").read(), bpe.SPACED)
+    texts = ["a  <|endoftext|>  b", "<|endoftext|>", "x<|endoftext|><|endoftext|> y", "<|endof", "text|> <|endoftext", "|>", ""]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.cumsum([0, *(len(x.encode()) for x in texts)])
+    ids, edges = work.encode_rows(raw, offsets)
+    assert [ids[a:b].tolist() for a, b in zip(edges, edges[1:])] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert work.decode(ids[edges[0] : edges[1]]) == texts[0].encode()

@@ -20,7 +20,6 @@ def test_packing_places_each_id_once(docs, documents, empty):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     rows = packing.packed(docs).collect()
     by_seq, by_doc = defaultdict(list), defaultdict(list)
     for r in rows:
