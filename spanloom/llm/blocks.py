@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import estimated_bytes, memory_for
+from .common import estimated_bytes, memory_for, trim
 
 #: Bytes of estimated input in one block, and features in one bucket.
 BLOCK_BYTES = 3 << 19
@@ -128,6 +128,8 @@ def by_block(batches):
     for block in list(held):
         parts = held.pop(block)
         yield block, pa.concat_arrays(parts)
+        del parts
+        trim()
 
 
 def by_run(batches, *names: str):
@@ -145,6 +147,7 @@ def by_run(batches, *names: str):
             held.append(batch.slice(a, b - a))
     if held:
         yield now, pa.Table.from_batches(held)
+    trim()
 
 
 def flags_of_block(replies: pa.Table) -> np.ndarray:

@@ -13,9 +13,11 @@ Two documents link when the Jaccard similarity of their sets of word 5-grams is
    inner nodes hold the bitmaps of their children combined by OR, the range of their sizes and the largest number
    of shingles that share bits. The tree is traversed against itself; a pair of nodes is pruned when the largest
    possible overlap, given the bits and sizes, is below what the smallest sizes need. Pairs of leaves that remain
-   are compared exactly, unless they are in one component already.
-5. A cluster of more than CAP sets is dealt into chunks, which step 4 turns into components; one set of each is
-   compared across chunks, and what is still apart is compared with every chunk, by the trees of both sides.
+   are compared exactly, unless they are in one component already. Nodes all of whose sets are in one component are
+   pruned too, and pairs are taken in pieces, so that memory doesn't grow with the pairs of a cluster.
+5. A cluster of more than CAP sets or CAP_SHINGLES shingles is dealt into chunks, which step 4 turns into components;
+   one set of each is compared across chunks, and what is still apart is compared with every chunk, by the trees of
+   both sides.
 
 Nothing emits all pairs of a group: links inside a component are not needed for the result.
 
@@ -27,6 +29,7 @@ stay out of the result; an empty table gives an empty table.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +37,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import block_count, by_block, by_run, count_across_blocks, fingerprint_bits, fingerprints, flags_of_block, in_blocks
-from .common import NO_ID, column_bytes, estimated_bytes, hash_words, memory_for, save, window_hashes, word_spans
+from .common import NO_ID, column_bytes, estimated_bytes, hash_words, memory_for, save, trim, window_hashes, word_spans
 from .components import components
 
 N = 5
 PERCENT = 75
 SEED = 77
-CAP = 1024
+#: Sets and shingles of one chunk of a cluster, about, and pairs of nodes that are looked at together.
+CAP = 512
+CAP_SHINGLES = 1_000_000
+PIECE = 4096
 BITS = 1024
 BUCKET = 2_000_000
 WORDS_PER_BYTE = 0.3
@@ -147,8 +153,10 @@ class SignatureTree:
 
     FAN = 8
 
-    def __init__(self, sets: list[np.ndarray], percent: int):
+    def __init__(self, sets: list[np.ndarray], percent: int, index: np.ndarray | None = None):
         self.percent = percent
+        #: What a set is called outside this tree: its place in the whole list.
+        self.index = np.arange(len(sets)) if index is None else index
         n = len(sets)
         sizes = np.fromiter(map(len, sets), dtype=np.int64, count=n)
         lead = np.array([int(s[0]) if len(s) else 0 for s in sets], dtype=np.uint64)  # smallest hash: like sets, like values
@@ -184,26 +192,49 @@ class SignatureTree:
         out[at] = (100 + self.percent) * most >= self.percent * (la[a[at]] + lb[b[at]])
         return out
 
-    def pairs(self, other: SignatureTree | None = None) -> np.ndarray:
-        """Pairs of leaves (positions in the input lists) that may link: dual traversal from the roots."""
+    def pieces(self, other: SignatureTree | None = None, found: UnionFind | None = None) -> Iterator[np.ndarray]:
+        """Pairs of sets that may link, by dual traversal from the roots, depth first and PIECE pairs of nodes at once.
+
+        Pairs of nodes all of whose sets are in one component of `found` by then are left out.
+        """
         same = other is None
         other = other or self
         top = max(len(self.levels), len(other.levels)) - 1
         for tree in (self, other):
             while len(tree.levels) <= top:
                 tree.levels.append(tree.levels[-1])  # a root above a root
-        a = np.arange(len(self.levels[top][0]))
-        b = np.arange(len(other.levels[top][0]))
-        a, b = np.repeat(a, len(b)), np.tile(b, len(a))
-        for level in range(top, -1, -1):
+        roots, others = np.arange(len(self.levels[top][0])), np.arange(len(other.levels[top][0]))
+        stack = [(top, np.repeat(roots, len(others)), np.tile(others, len(roots)))]
+        while stack:
+            level, a, b = stack.pop()
+            if len(a) > PIECE:
+                stack += [(level, a[PIECE:], b[PIECE:]), (level, a[:PIECE], b[:PIECE])]
+                continue
+            if found is not None and len(a):
+                label = found.labels()
+                (low, high), (low_b, high_b) = self._labels(level, label), other._labels(level, label)
+                apart = (low[a] != high[a]) | (low_b[b] != high_b[b]) | (low[a] != low_b[b])
+                a, b = a[apart], b[apart]
             ok = self.possible(level, a, other, b)
             a, b = a[ok], b[ok]
             if level:
-                a, b = self._down(level, a, other, b, same)
-        if same:
-            keep = a < b
-            a, b = a[keep], b[keep]
-        return np.stack([self.order[a], other.order[b]], axis=1) if len(a) else np.zeros((0, 2), np.int64)
+                if len(a):
+                    stack.append((level - 1, *self._down(level, a, other, b, same)))
+                continue
+            if same:
+                keep = a < b
+                a, b = a[keep], b[keep]
+            if len(a):
+                yield np.stack([self.index[self.order[a]], other.index[other.order[b]]], axis=1)
+
+    def _labels(self, level: int, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Smallest and largest label below each node of a level."""
+        low = high = label[self.index[self.order]]
+        for k in range(1, level + 1):
+            if len(self.levels[k][0]) < len(low):
+                at = np.arange(0, len(low), self.FAN)
+                low, high = np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)
+        return low, high
 
     def _children(self, level: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First child and number of children of nodes of a level."""
@@ -235,27 +266,25 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def join_sets(sets: list[np.ndarray], percent: int, pairs: np.ndarray | None = None, found: UnionFind | None = None) -> UnionFind:
+def join_sets(sets: list[np.ndarray], percent: int, pieces: Iterable[np.ndarray] | None = None, found: UnionFind | None = None) -> UnionFind:
     """Components of sets under exact links, from the pairs that a tree leaves (or the given ones).
 
     Waves: each set is compared with the first partner that it is not yet joined with.
     """
-    if pairs is None:
-        pairs = SignatureTree(sets, percent).pairs() if len(sets) > 2 else np.array([[0, 1]])[: len(sets) - 1]
     found = found or UnionFind(len(sets))
-    if len(pairs):
+    for pairs in SignatureTree(sets, percent).pieces(None, found) if pieces is None else pieces:
         pairs = np.sort(pairs, axis=1)
         pairs = pairs[np.lexsort((pairs[:, 0], pairs[:, 1]))]
-    while len(pairs):
-        label = found.labels()
-        pairs = pairs[label[pairs[:, 0]] != label[pairs[:, 1]]]
-        if not len(pairs):
-            break
-        first = np.ones(len(pairs), dtype=bool)
-        first[1:] = pairs[1:, 1] != pairs[:-1, 1]
-        now = pairs[first]
-        found.join(now[[linked(sets[a], sets[b], percent) for a, b in now.tolist()]])
-        pairs = pairs[~first]
+        while len(pairs):
+            label = found.labels()
+            pairs = pairs[label[pairs[:, 0]] != label[pairs[:, 1]]]
+            if not len(pairs):
+                break
+            first = np.ones(len(pairs), dtype=bool)
+            first[1:] = pairs[1:, 1] != pairs[:-1, 1]
+            now = pairs[first]
+            found.join(now[[linked(sets[a], sets[b], percent) for a, b in now.tolist()]])
+            pairs = pairs[~first]
     return found
 
 
@@ -283,9 +312,9 @@ def jaccard_classes(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
             )
 
     rows = save(blocks.mapInArrow(describe, "block int, doc long, n long, low long, high long, first long"), "sets")
-    local = rows.filter("n > 0 and doc is not null").select("block", "low", "high", "first").distinct()
-    classes = local.groupBy("low", "high").agg(F.min("first").alias("class"), F.min(F.struct("first", "block")).alias("home"))
-    classes = save(classes.select("low", "high", "class", F.col("home.block").alias("block")), "classes")
+    local = rows.filter("n > 0 and doc is not null").select("block", "low", "high", "first", "n").distinct()
+    classes = local.groupBy("low", "high").agg(F.min("first").alias("class"), F.min(F.struct("first", "block")).alias("home"), F.min("n").alias("n"))
+    classes = save(classes.select("low", "high", "class", F.col("home.block").alias("block"), "n"), "classes")
 
     # 2. Shingles by frequency; what representatives share among their first ones.
     flags = count_across_blocks(blocks, lambda r: np.unique(_sets(r, n).hashes), bits, buckets, LEVELS)
@@ -295,6 +324,7 @@ def jaccard_classes(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
     empty = {"kind": pa.array([], pa.int32()), "token": pa.array([], pa.int64()), "rep": pa.array([], pa.int64()), "other": pa.array([], pa.int64())}
 
     def first_shingles(keys, left, right):
+        memory_for("blocks")
         arr = left.column("row").combine_chunks()
         mine = right.filter(right.column("sets").is_valid())
         if not len(arr) or not len(mine):
@@ -342,15 +372,17 @@ def jaccard_classes(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
     across = outer.join(smallest.withColumnRenamed("token", "t"), F.col("token") == F.col("t")).select("rep", "other")
     shared = posted.filter("kind = 0").select("rep", "other").unionByName(across)
     clusters = save(components(shared, "rep", "other"), "clusters")
-    sizes = clusters.groupBy("root").agg(F.count("*").alias("members"))
-    dealt = F.pmod(F.xxhash64("node", F.lit("chunk")), F.ceil(F.col("members") / F.lit(CAP))).cast("int")
-    placed = clusters.join(sizes.withColumnRenamed("root", "r"), F.col("root") == F.col("r")).select("node", F.col("root").alias("cluster"), "members", F.when(F.col("members") > CAP, dealt).otherwise(0).alias("chunk"))
-    homes = classes.select(F.col("class").alias("c"), "block", "low", "high")
-    wanted = placed.join(homes, F.col("node") == F.col("c")).select("block", F.struct("low", "high", "node", "cluster", "members", "chunk").alias("want"))
-    wanted = wanted.groupBy("block").agg(F.collect_list("want").alias("wants"))
+    homes = classes.select(F.col("class").alias("c"), "block", "low", "high", "n")
+    placed = clusters.join(homes, F.col("node") == F.col("c"))
+    chunks = F.ceil(F.greatest(F.count("*") / F.lit(CAP), F.sum("n") / F.lit(CAP_SHINGLES)))
+    sizes = placed.groupBy(F.col("root").alias("r")).agg(chunks.alias("chunks"), F.ceil(F.count("*") / chunks).alias("each"))
+    dealt = F.pmod(F.xxhash64("node", F.lit("chunk")), F.col("chunks")).cast("int")
+    placed = placed.join(sizes, F.col("root") == F.col("r")).select("block", F.struct("low", "high", "node", F.col("root").alias("cluster"), "chunks", "each", dealt.alias("chunk")).alias("want"))
+    wanted = placed.groupBy("block").agg(F.collect_list("want").alias("wants"))
 
     def ship(keys, left, right):
-        schema = pa.schema([("cluster", pa.int64()), ("chunk", pa.int32()), ("members", pa.int64()), ("rep", pa.int64()), ("shingles", pa.binary())])
+        schema = pa.schema([("cluster", pa.int64()), ("chunk", pa.int32()), ("chunks", pa.int64()), ("each", pa.int64()), ("rep", pa.int64()), ("shingles", pa.binary())])
+        memory_for("blocks")
         arr = left.column("row").combine_chunks()
         if not len(arr) or not len(right):
             return schema.empty_table()
@@ -360,11 +392,13 @@ def jaccard_classes(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
         out = []
         for want in right.column("wants").to_pylist()[0]:
             r = at[want["low"], want["high"]]
-            out.append((want["cluster"], want["chunk"], want["members"], want["node"], sets.hashes[sets.edges[r] : sets.edges[r + 1]].tobytes()))
-        cols = list(zip(*out)) if out else [[]] * 5
+            out.append((want["cluster"], want["chunk"], want["chunks"], want["each"], want["node"], sets.hashes[sets.edges[r] : sets.edges[r + 1]].tobytes()))
+        cols = list(zip(*out)) if out else [[]] * 6
+        del sets, at, arr
+        trim()
         return pa.table([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
-    shipped = blocks.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(ship, "cluster long, chunk int, members long, rep long, shingles binary")
+    shipped = blocks.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(ship, "cluster long, chunk int, chunks long, each long, rep long, shingles binary")
     shipped = save(shipped, "shipped")
 
     # 4. Exact components of each cluster, or of each chunk of a large one.
@@ -375,16 +409,16 @@ def jaccard_classes(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
             sets = _unpack(table.column("shingles"))
             label = join_sets([sets[i] for i in order], percent).labels()
             yield pa.RecordBatch.from_arrays(
-                [pa.array([cluster] * len(reps), pa.int64()), table.column("members").combine_chunks(), pa.array(reps[order]), pa.array(reps[order][label])],
-                names=["cluster", "members", "rep", "root"],
+                [pa.array([cluster] * len(reps), pa.int64()), *[table.column(c).combine_chunks() for c in ("chunks", "each")], pa.array(reps[order]), pa.array(reps[order][label])],
+                names=["cluster", "chunks", "each", "rep", "root"],
             )
 
     grouped = shipped.repartition(max(1, count // 2), "cluster", "chunk").sortWithinPartitions("cluster", "chunk")
-    solved = save(grouped.mapInArrow(resolve, "cluster long, members long, rep long, root long"), "solved")
+    solved = save(grouped.mapInArrow(resolve, "cluster long, chunks long, each long, rep long, root long"), "solved")
     links = solved.select(F.col("rep").alias("a"), F.col("root").alias("b"))
 
     # 5. Large clusters: join the components of their chunks.
-    large = solved.filter(F.col("members") > CAP)
+    large = solved.filter("chunks > 1")
     if not large.isEmpty():
         links = links.unionByName(_across_chunks(shipped, large, percent))
     final = components(links)
@@ -401,13 +435,14 @@ def _across_chunks(shipped: DataFrame, large: DataFrame, percent: int) -> DataFr
     First one set of each component is compared in one task (again in chunks where there are many); components
     that are still apart are the minor ones and the largest one, and every set of a minor one meets every chunk.
     """
-    sets = shipped.filter(F.col("members") > CAP).select("cluster", "chunk", "rep", "shingles")
-    heads = large.filter("rep = root").select("cluster", "rep")
+    sets = shipped.filter("chunks > 1").select("cluster", "chunk", "each", "rep", "shingles")
+    heads = large.filter("rep = root").select("cluster", "each", "rep")
     many = heads.groupBy("cluster").agg(F.count("*").alias("heads"))
-    heads = heads.join(many.withColumnRenamed("cluster", "k"), F.col("cluster") == F.col("k")).select(F.col("rep").alias("head"), F.pmod(F.xxhash64("rep", F.lit("heads")), F.ceil(F.col("heads") / F.lit(CAP))).cast("int").alias("part"))
+    heads = heads.join(many.withColumnRenamed("cluster", "k"), F.col("cluster") == F.col("k")).select(F.col("rep").alias("head"), F.pmod(F.xxhash64("rep", F.lit("heads")), F.ceil(F.col("heads") / F.col("each"))).cast("int").alias("part"))
     head_sets = sets.join(heads, F.col("rep") == F.col("head")).select("cluster", "part", "rep", "shingles")
 
     def meet(keys, table):
+        memory_for("blocks")
         reps = table.column("rep").to_numpy()
         label = join_sets(_unpack(table.column("shingles")), percent).labels()
         return pa.table({"a": pa.array(reps), "b": pa.array(reps[label])})
@@ -422,28 +457,28 @@ def _across_chunks(shipped: DataFrame, large: DataFrame, percent: int) -> DataFr
     if open_.isEmpty():
         return first
     counts = open_.groupBy("cluster").agg(F.count("*").alias("all"), F.sum(F.col("minor").cast("int")).alias("minors"))
-    told = sets.join(open_.withColumnRenamed("cluster", "oc"), F.col("rep") == F.col("r")).select("cluster", "rep", "root", "minor", "shingles")
+    told = sets.join(open_.withColumnRenamed("cluster", "oc"), F.col("rep") == F.col("r")).select("cluster", "rep", "root", "minor", "each", "shingles")
     told = told.join(counts.withColumnRenamed("cluster", "k"), F.col("cluster") == F.col("k"))
-    parts, minor_parts = F.ceil(F.col("all") / F.lit(CAP)).cast("int"), F.ceil(F.col("minors") / F.lit(CAP)).cast("int")
+    parts, minor_parts = F.ceil(F.col("all") / F.col("each")).cast("int"), F.ceil(F.col("minors") / F.col("each")).cast("int")
     mine, theirs = F.pmod(F.xxhash64("rep", F.lit("all")), parts).cast("int"), F.pmod(F.xxhash64("rep", F.lit("minor")), minor_parts).cast("int")
     spread = lambda n: F.sequence(F.lit(0), n - 1)
     every = told.select("cluster", "rep", "root", "shingles", F.lit(False).alias("minor"), mine.alias("x"), F.explode(spread(minor_parts)).alias("y"))
     minor = told.filter("minor").select("cluster", "rep", "root", "shingles", F.lit(True).alias("minor"), theirs.alias("y"), F.explode(spread(parts)).alias("x"))
 
     def compare(keys, table):
+        memory_for("blocks")
         is_minor = table.column("minor").to_numpy(zero_copy_only=False)
         roots, reps, found = table.column("root").to_numpy(), table.column("rep").to_numpy(), _unpack(table.column("shingles"))
         a, b = np.flatnonzero(is_minor), np.flatnonzero(~is_minor)
         if not len(a) or not len(b):
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        pairs = SignatureTree([found[i] for i in a], percent).pairs(SignatureTree([found[i] for i in b], percent))
-        pairs = np.stack([a[pairs[:, 0]], b[pairs[:, 1]]], axis=1)
+        trees = [SignatureTree([found[i] for i in at], percent, at) for at in (a, b)]
         start = UnionFind(len(reps))
         _, group = np.unique(roots, return_inverse=True)
         lead = np.full(group.max() + 1, len(reps))
         np.minimum.at(lead, group, np.arange(len(reps)))
         start.parent = lead[group]
-        label = join_sets(found, percent, pairs, start).labels()
+        label = join_sets(found, percent, trees[0].pieces(trees[1], start), start).labels()
         return pa.table({"a": pa.array(roots), "b": pa.array(roots[label])})
 
     grid = every.unionByName(minor).groupBy("cluster", "x", "y").applyInArrow(compare, "a long, b long")
@@ -451,10 +486,21 @@ def _across_chunks(shipped: DataFrame, large: DataFrame, percent: int) -> DataFr
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one document of each component: the one with the smallest id. Rows without words all stay."""
-    found = jaccard_classes(docs, key, text).filter(F.col(key).isNotNull() & (F.col(key) != F.col("component_id"))).select(F.col(key).alias("__drop")).distinct()
-    left = docs.join(found, F.col(f"`{key}`") == F.col("__drop"), "left_anti")
-    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """docs with one document of each component: the one with the smallest id.
+
+    Rows without words, or without an id, all stay. Of rows that repeat both id and text one stays.
+    """
+    classes = save(jaccard_classes(docs, key, text).filter(F.col(key).isNotNull()).select(F.col(key).alias("__id"), (F.col(key) != F.col("component_id")).alias("__go"), "n_shingles"), "verdicts")
+    gone = classes.filter("__go").select("__id").distinct()
+    twice = classes.filter("n_shingles > 0").groupBy("__id").agg(F.count("*").alias("n")).filter("n > 1").select("__id")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(f"`{key}`").alias("__key"))
+    left = packed.join(gone, F.col("__key") == F.col("__id"), "left_anti")
+    if not twice.isEmpty():
+        some = left.join(twice, F.col("__key") == F.col("__id"), "left_semi").withColumn("__text", F.col(f"__row.`{text}`"))
+        worded = F.coalesce(F.col("__text").rlike(r"[^ \t-\r]"), F.lit(False))
+        left = left.join(twice, F.col("__key") == F.col("__id"), "left_anti")
+        left = left.unionByName(some.filter(worded).dropDuplicates(["__key", "__text"]).drop("__text")).unionByName(some.filter(~worded).drop("__text"))
+    return left.select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op3_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
