@@ -1,41 +1,45 @@
 """Main text of web pages by nearest-URL differencing, checked by markup.
 
-Pages of one host that are near each other by URL path share a template. Every page is parsed into text lines (one
-for each block element); pages are sorted by host and path, each is paired with its nearest neighbour in that order
-(the one with which it shares the longer path prefix), the two lists of lines are aligned by their longest common
-subsequence, and the shared lines are deleted.
-
-Differencing alone is not right where articles quote or repeat each other (it deletes their shared lines) and where
-furniture varies from page to page (it keeps rotating adverts). So a check by markup follows it: lines of an article
-element that the alignment deleted come back, and lines that it kept go if they stand in furniture (menus, headers,
-footers, sidebars, notices, adverts, forms, comments) or, in pages with an article, outside it. Furniture is told by
-element names, ARIA roles and words in class and id. In pages without an article element, differencing decides.
-
-Pages are range-partitioned by host, path and id, so that a host with a third of all pages is spread over many
-tasks. The shuffle carries parsed lines instead of markup. The first two runs of copies and the last one of a partition
-wait for the partitions beside it: what the tasks found is a table in the shared folder, the driver pairs the waiting
-runs by host, path and digest of lines (at most five rows of a partition), and their lines are joined back. So the
-pairing is that of the whole sorted table, however it is partitioned.
+Pages of one host that are near each other by URL path share a template. Pages are sorted by host, path, id and digest;
+each is paired with its nearest neighbour in that order (of the pages before and behind it the one with which it shares
+the longer path prefix). Every page is parsed into text lines (one for each block element), the two lists of lines are
+aligned by their longest common subsequence, and the shared lines are deleted.
+
+Markup checks the alignment. Lines in furniture (menus, headers, footers, sidebars, notices, adverts, forms, reader
+comments; told by element names, ARIA roles and words in class and id) go even where they vary from page to page. Where
+a page has an article or main element, lines outside it go, and lines inside it that the alignment deleted come back:
+articles quote each other, and even lines that both neighbours share are mostly an article's own (README has figures).
+In pages without such an element, differencing decides alone on what is no furniture.
+
+Plan: the sort keys of all pages (host, path, id, digest of the markup) are a narrow table in the shared folder, which is
+range-partitioned, so that a host with a third of all pages is spread over many ranges. The driver gets the first and
+the last two runs of copies of each range (at most RANGES ranges), which give the bounds of the ranges and, for the
+pages at their edges, the neighbours in other ranges. Then every page is parsed once and its lines go to its range,
+those of the few neighbours of an edge also to the range beside it. So the pairing is that of the whole sorted table,
+however it is partitioned, and one shuffle carries parsed lines instead of markup.
 
 Defined cases: null or empty html has the empty text; a null URL sorts first, as a host and path of its own; repeated
-rows are extracted each, and copies of a page are not paired with each other (a copy shares every line); other
-columns stay out of the result; an empty table gives an empty table.
+rows are extracted each, and copies of a page are not paired with each other (a copy shares every line); a very long page
+is one row of a task; fallback content of svg, object, noscript, canvas, audio and video is no text; br ends a block;
+other columns stay out of the result; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-import hashlib
+import pickle
 import re
+from bisect import bisect_left, bisect_right
 from html import unescape
 from html.parser import HTMLParser
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import parts, save
 
-#: Estimated bytes of markup in a partition.
+#: Estimated bytes of markup in a range, and the most ranges, of which the driver holds the edges; beyond, they grow.
 PART_BYTES = 16 << 20
+RANGES = 20_000
 
 #: Elements by their role in HTML.
 BLOCK_TAGS = frozenset(
@@ -44,7 +48,7 @@ BLOCK_TAGS = frozenset(
     " th thead tr ul caption option legend br".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("script style noscript template svg math iframe object canvas audio video head title textarea select button".split())
+RAW_TAGS = frozenset("script style noscript template svg iframe object canvas audio video head title textarea select button".split())
 FURNITURE_TAGS = frozenset("nav header footer aside form menu dialog search".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 FURNITURE_WORDS = re.compile(
@@ -53,6 +57,9 @@ FURNITURE_WORDS = re.compile(
     r"|signup|login|form|search|pagination|pager|toolbar|skip)(?:$|[-_\s\d])",
     re.I,
 )
+ADVERT_WORDS = re.compile(r"(?:^|[-_\s])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*)(?:$|[-_\s\d])", re.I)
+#: Elements of running text: inside an article their classes only tell adverts.
+TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote a abbr b cite code em i mark q s small span strong sub sup u".split())
 COMMENT_WORDS = re.compile(r"(?:^|[-_\s])(?:comments?|respond|disqus|replies|reply)(?:$|[-_\s\d])", re.I)
 CLOSES_P = BLOCK_TAGS - {"br"}
 SPACE = re.compile(r"\s+")
@@ -106,6 +113,8 @@ class Blocks(HTMLParser):
             return 0, False
         names = f"{given.get('class') or ''} {given.get('id') or ''}"
         role = (given.get("role") or "").lower()
+        if self.article and tag in TEXT_TAGS:
+            return (2, False) if "hidden" in given or role in FURNITURE_ROLES else (int(bool(ADVERT_WORDS.search(names))), False)
         if COMMENT_WORDS.search(names):
             return 2, False
         if role in FURNITURE_ROLES or "hidden" in given or tag in FURNITURE_TAGS and not (tag == "header" and self.article):
@@ -184,8 +193,6 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
     places: dict[str, list[int]] = {}
     for j, line in enumerate(y):
         places.setdefault(line, []).append(j)
-    from bisect import bisect_left
-
     tails: list[int] = []
     ends: list[tuple] = []
     for i in x:
@@ -205,22 +212,25 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
-def url_parts(url: str | None) -> tuple[str, str]:
-    """Host and path of a URL, without scheme, credentials, port, query and fragment."""
-    rest = re.sub(r"^[a-zA-Z][a-zA-Z0-9+.-]*:", "", url or "")
-    rest = re.split(r"[?#]", rest.removeprefix("//"), maxsplit=1)[0]
-    host, _, path = rest.partition("/")
-    return host.rpartition("@")[2].partition(":")[0].lower(), "/" + path.strip("/")
+def host_of(url: Column) -> Column:
+    """Host of a URL, without scheme, credentials and port; of a null URL the empty one."""
+    return F.lower(F.regexp_extract(F.regexp_replace(F.regexp_extract(_rest(url), r"^[^/]*", 0), r"(?s)^.*@", ""), r"^[^:]*", 0))
+
+
+def path_of(url: Column) -> Column:
+    """Path of a URL without query, fragment and slashes at its ends."""
+    return F.concat(F.lit("/"), F.regexp_replace(F.regexp_replace(_rest(url), r"^[^/]*", ""), r"^/+|/+$", ""))
+
+
+def _rest(url: Column) -> Column:
+    return F.regexp_extract(F.regexp_replace(F.regexp_replace(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*:", ""), r"^//", ""), r"^[^?#]*", 0)
 
 
 def main_text(blocks: list[tuple[str, int]], shared: set[int]) -> str:
     """What differencing leaves of a page, after the check by markup."""
-    left = [i for i in range(len(blocks)) if i not in shared]
     if any(kind == 2 for _, kind in blocks):
-        left = sorted({*(i for i in left if blocks[i][1] == 2), *(i for i in shared if blocks[i][1] == 2)})
-    else:
-        left = [i for i in left if blocks[i][1]]
-    return "\n".join(blocks[i][0] for i in left)
+        return "\n".join(text for text, kind in blocks if kind == 2)
+    return "\n".join(text for i, (text, kind) in enumerate(blocks) if kind and i not in shared)
 
 
 def _common(a: str, b: str) -> int:
@@ -233,140 +243,124 @@ def _common(a: str, b: str) -> int:
     return n
 
 
-def _nearer(path: str, others: list[tuple]) -> tuple | None:
-    """The one of the neighbours (host, path, ...) that shares the longer beginning of the path; the first of equals."""
-    return max(others, key=lambda o: _common(o[1], path), default=None)
+def settled(path: str, lines: list[str], kinds: list[int], sides: list[tuple[str, list[str]]]) -> tuple[str, int, int]:
+    """(text, its code points, deleted lines) of a page, given path and lines of the pages beside it that are no copies."""
+    sides = sorted((x for x in sides if x[1] != lines), key=lambda x: -_common(x[0], path))  # the first of equals is the one before
+    shared = shared_lines(lines, sides[0][1]) if sides else set()
+    text = main_text(list(zip(lines, kinds)), shared)
+    return text, len(text), len(shared)
+
 
+def _key(host: str, path: str, id_: int | None, digest: bytes) -> tuple:
+    """As Spark sorts them: a null id goes first."""
+    return host, path, id_ is not None, id_ or 0, digest
 
-def pair_edges(rows: list) -> list[tuple]:
-    """(part, slot, part and slot of the run's first lines, part and slot of the nearest run or None) for waiting runs.
 
-    rows: the edge runs of all partitions as (part, slot, last, id, host, path, digest). Slots count a partition's runs.
+def ranges_of(edges: list) -> tuple[list[tuple], dict[tuple, list[int]]]:
+    """The first key of each range, and for the keys of pages beside an edge the other ranges that need their lines.
+
+    edges: (part, first two and last two runs) of each range; a run is (host, digest, first key, last key).
     """
-    by: dict[int, list] = {}
-    for r in sorted(rows, key=lambda r: (r["part"], r["slot"])):
-        by.setdefault(r["part"], []).append(r)
-    first = lambda p: (p[0]["host"], p[0]["path"], p[0]["id"] is not None, p[0]["id"] or 0)
-    runs: list[tuple] = []  # host, path, digest, place of the first lines, places of all parts that wait
-    for part in sorted(by.values(), key=first):
-        for r in part:
-            place = (r["part"], r["slot"])
-            waits = [place] if r["slot"] < 2 or r["last"] else []
-            if r["slot"] == 0 and runs and runs[-1][0] == r["host"] and runs[-1][2] == r["digest"]:
-                runs[-1][4].extend(waits)
-            else:
-                runs.append((r["host"], r["path"], r["digest"], place, waits))
-    out = []
-    for k, (host, path, _, place, waits) in enumerate(runs):
-        best = _nearer(path, [o for o in (*runs[max(0, k - 1) : k], *runs[k + 1 : k + 2]) if o[0] == host])
-        out += [(*w, *place, *(best[3] if best else (None, None))) for w in waits]
-    return out
+    found = sorted(edges, key=lambda e: e[1][0][2])
+    bounds, send = [e[1][0][2] for e in found], {}
+    for at, (_, runs) in enumerate(found):
+        for run, step, end in ((runs[0], -1, 3), (runs[-1], 1, 2)):
+            k = at + step
+            near = None
+            while 0 <= k < len(found) and near is None:  # beyond copies of the run at the edge
+                near = next((r for r in found[k][1][::step] if r[:2] != run[:2]), None)
+                k += step
+            if near and near[0] == run[0]:
+                send.setdefault(near[end], []).append(at)
+    return bounds, send
 
 
 def extract(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", count: int | None = None) -> DataFrame:
     """(key, url, text, n_chars, n_shared) for each row; n_shared counts the lines that the alignment deleted."""
     import pyarrow as pa
 
-    count = count or parts(df, PART_BYTES)
-    base = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{url}`").cast("string").alias("url"), F.col(f"`{html}`").cast("string").alias("html"))
-    parsed_schema = "id long, url string, host string, path string, lines array<string>, kinds array<int>"
+    count = count or min(RANGES, parts(df, PART_BYTES))
+    link, markup = F.col(f"`{url}`").cast("string"), F.col(f"`{html}`").cast("string")
+    digest = F.unhex(F.md5(F.coalesce(markup, F.lit("")).cast("binary")))
+    base = df.select(F.col(f"`{key}`").cast("long").alias("id"), link.alias("url"), host_of(link).alias("host"), path_of(link).alias("path"), digest.alias("digest"), markup.alias("html"))
+    order = ["host", "path", "id", "digest"]
+    keys = save(base.select(*order), "keys")
 
-    def parse(batches):
+    def edges(batches):
+        """The runs at both ends of a range, as a row each."""
+        runs: list[list] = []
         for batch in batches:
-            urls = batch.column(1).to_pylist()
-            hosts, paths = zip(*map(url_parts, urls)) if urls else ((), ())
-            found = [page_blocks(x or "") for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array(hosts, pa.string()),
-                    pa.array(paths, pa.string()),
-                    pa.array([[t for t, _ in f] for f in found], pa.list_(pa.string())),
-                    pa.array([[k for _, k in f] for f in found], pa.list_(pa.int32())),
-                ],
-                names=["id", "url", "host", "path", "lines", "kinds"],
-            )
-
-    parsed = base.mapInArrow(parse, parsed_schema)
-    near = parsed.repartitionByRange(count, "host", "path", "id").sortWithinPartitions("host", "path", "id", "url", "lines", "kinds")
-
-    def settled(lines, kinds, other):
-        shared = shared_lines(lines, other) if other is not None else set()
-        text = main_text(list(zip(lines, kinds)), shared)
-        return text, len(text), len(shared)
-
-    found_schema = pa.schema(
-        [("id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_shared", pa.int32())]
-        + [("part", pa.int32()), ("slot", pa.int64()), ("last", pa.bool_()), ("edge", pa.bool_())]
-        + [("host", pa.string()), ("path", pa.string()), ("digest", pa.string()), ("lines", pa.list_(pa.string())), ("kinds", pa.list_(pa.int32()))]
-    )
+            for row in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                at = _key(*row)
+                if runs and runs[-1][:2] == [row[0], row[3]]:
+                    runs[-1][3] = at
+                else:
+                    runs.append([row[0], row[3], at, at])
+                    if len(runs) > 4:
+                        del runs[2]
+        if runs:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(runs)], pa.binary())], names=["runs"])
+
+    sorted_keys = keys.repartitionByRange(count, *order).sortWithinPartitions(*order)
+    found = [pickle.loads(r["runs"]) for r in sorted_keys.mapInArrow(edges, "runs binary").collect()]  # a row for each range
+    told = df.sparkSession.sparkContext.broadcast(ranges_of([(k, [tuple(r) for r in runs]) for k, runs in enumerate(found)]))
+    parsed = pa.schema([("range", pa.int32()), ("guest", pa.bool_()), ("id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("digest", pa.binary()), ("lines", pa.list_(pa.string())), ("kinds", pa.list_(pa.int8()))])
 
-    def batch_of(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), found_schema)], schema=found_schema)
+    def parse(batches):
+        bounds, send = told.value
+        sent = set()
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1000):
+                rows = []
+                for id_, link, host, path, digest, markup in zip(*(c.to_pylist() for c in batch.slice(k, 1000).columns)):
+                    at = _key(host, path, id_, digest)
+                    blocks = page_blocks(markup or "")
+                    row = (id_, link, host, path, digest, [t for t, _ in blocks], [kind for _, kind in blocks])
+                    rows.append((max(0, bisect_right(bounds, at) - 1), False, *row))
+                    if at in send and at not in sent:
+                        sent.add(at)
+                        rows += [(r, True, *row) for r in send[at]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), parsed)], schema=parsed)
 
     def differ(batches):
-        """Copies that follow one another are one run; three runs are held at a time."""
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-
-        def edge(run, last=False):
-            host, path, lines, kinds, members, slot = run
-            digest = hashlib.sha256("\0".join(f"{len(x)} {x}" for x in lines).encode("utf-8", "surrogatepass")).hexdigest()
-            return (members[0][0], None, None, None, None, part, slot, last, True, host, path, digest, lines, kinds)
-
-        def waiting(run):
-            return [(i, u, None, None, None, part, run[5], None, False, *[None] * 5) for i, u in run[4]]
+        """Copies that follow one another are one run, which is settled when the run behind it begins."""
 
         def done(before, run, behind):
-            host, path, lines, kinds, members, slot = run
-            if slot < 2:
-                return [edge(run), *waiting(run)]
-            best = _nearer(path, [o for o in (before, behind) if o[0] == host])
-            found = settled(lines, kinds, best[2] if best else None)
-            return [*[edge(run)] * (slot == 2), *[(i, u, *found, part, None, None, False, *[None] * 5) for i, u in members]]
-
-        before = run = None
+            host, _, lines, kinds, members, _ = run
+            made: dict = {}
+            for id_, link, path in members:
+                sides = [(side[k], side[2]) for side, k in ((before, 5), (behind, 1)) if side and side[0] == host]
+                near = tuple(_common(p, path) for p, _ in sides)  # all that the text depends on besides the lines
+                near = len(near) > 1 and near[1] > near[0]
+                if near not in made:
+                    made[near] = settled(path, lines, kinds, sides)
+                yield id_, link, *made[near]
+
+        before = run = now = mark = None
         for batch in batches:
             rows = []
-            for id_, link, host, path, lines, kinds in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                if run is not None and run[0] == host and run[2] == lines:
-                    run[4].append((id_, link))
-                    continue
-                behind = (host, path, lines, kinds, [(id_, link)], run[5] + 1 if run else 0)
-                if run is not None:
-                    rows += done(before, run, behind)
-                before, run = run, behind
-            if rows:
-                yield batch_of(rows)
+            for range_, guest, id_, link, host, path, digest, lines, kinds in zip(*(c.to_pylist() for c in batch.columns)):
+                if run is None or mark != (range_, host, digest):
+                    after = [host, path, lines, kinds, [], path]
+                    if run is not None:
+                        rows += done(before, run, after if now == range_ else None)
+                    before, run = (run if now == range_ else None), after
+                    now, mark = range_, (range_, host, digest)
+                run[5] = path
+                if not guest:
+                    run[4].append((id_, link, path))
+            yield batch_of(rows)
         if run is not None:
-            yield batch_of([*([edge(before)] if before and before[5] > 2 else []), edge(run, True), *waiting(run)])
-
-    found = near.mapInArrow(differ, "id long, url string, text string, n_chars long, n_shared int, part int, slot long, last boolean, edge boolean, host string, path string, digest string, lines array<string>, kinds array<int>")
-    found = save(found, "pages")
-    edges = found.filter("edge")
-    pairs = pair_edges(edges.select("part", "slot", "last", "id", "host", "path", "digest").collect())  # at most five rows of a partition
-    spark = df.sparkSession
-    pair = spark.createDataFrame(pairs, "part int, slot long, part1 int, slot1 long, part2 int, slot2 long")
-    own = edges.select(F.col("part").alias("part1"), F.col("slot").alias("slot1"), "lines", "kinds")
-    other = edges.select(F.col("part").alias("part2"), F.col("slot").alias("slot2"), F.col("lines").alias("other"))
-    met = pair.join(own, ["part1", "slot1"]).join(other, ["part2", "slot2"], "left").select("part", "slot", "lines", "kinds", "other")
-
-    def join_up(batches):
-        for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(5)]
-            texts = [settled(*x) for x in zip(*cols[2:])]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *(pa.array([t[i] for t in texts], k) for i, k in enumerate((pa.string(), pa.int64(), pa.int32())))],
-                names=["part", "slot", "text1", "n_chars1", "n_shared1"],
-            )
-
-    late = met.mapInArrow(join_up, "part int, slot long, text1 string, n_chars1 long, n_shared1 int")
-    names = list(zip(("id", "url", "text", "n_chars", "n_shared"), (key, url, "text", "n_chars", "n_shared")))
-    told = found.filter("not edge and slot is null").select(*[F.col(a).alias(b) for a, b in names])
-    waited = found.filter("not edge and slot is not null").select("part", "slot", "id", "url").join(late, ["part", "slot"])
-    return told.unionByName(waited.select(*[F.col(a if a in ("id", "url") else f"{a}1").alias(b) for a, b in names]))
+            yield batch_of(list(done(before, run, None)))
+
+    out = pa.schema([(key, pa.int64()), (url, pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_shared", pa.int32())])
+
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, out)], schema=out)
+
+    lines = base.select("id", "url", *[c for c in order if c != "id"], "html").mapInArrow(parse, "range int, guest boolean, id long, url string, host string, path string, digest binary, lines array<string>, kinds array<tinyint>")
+    near = lines.repartition(count, "range").sortWithinPartitions("range", *order)
+    return near.mapInArrow(differ, f"`{key}` long, `{url}` string, text string, n_chars long, n_shared int")
 
 
 def op10_url_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -340,11 +340,83 @@ def test_pages_pair_over_partitions(spark):
         rows.append((n, f"http://h{h}/{'ab' if n % 3 else 'cd'}/{g}/{n:03d}", body))
     rows += [(None, "http://h1/z", bare), (200, None, bare), (200, None, bare), (201, "http://h9/", None)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
-    got = {c: sorted(map(str, pages.extract(df, count=c).collect())) for c in (1, 2, 7, 40)}
-    assert len(got[1]) == len(rows) and got[2] == got[7] == got[40] == got[1]
+    got = {c: sorted(map(str, pages.extract(df, count=c).collect())) for c in (1, 6, 211)}
+    assert len(got[1]) == len(rows) and got[6] == got[211] == got[1]
     assert sum("text='Own" in x for x in got[1]) > 20 and not any("text='Head" in x and "Group 0\\nOwn 1\\n" in x for x in got[1])
 
 
+def brute_text(rows):
+    """The whole extraction over one sorted list."""
+
+    def place(url):
+        rest = (url or "").split("?")[0].split("#")[0]
+        rest = rest.split("//", 1)[1] if "//" in rest else rest
+        host, _, path = rest.partition("/")
+        return host.lower(), "/" + path.strip("/")
+
+    def near(a, b):
+        return next((i for i, (x, y) in enumerate(zip(a.split("/"), b.split("/"))) if x != y), min(a.count("/"), b.count("/")) + 1)
+
+    made = []
+    for id_, url, html in rows:
+        blocks = pages.page_blocks(html or "")
+        made.append((*place(url), id_ is not None, id_ or 0, hashlib.md5((html or "").encode()).digest(), [b[0] for b in blocks], [b[1] for b in blocks]))
+    made.sort(key=lambda m: m[:5])
+    out = []
+    for k, (host, path, known, id_, digest, lines, kinds) in enumerate(made):
+        before = next((m for m in made[:k][::-1] if m[0] != host or m[4] != digest), None)
+        behind = next((m for m in made[k + 1 :] if m[0] != host or m[4] != digest), None)
+        sides = [m for m in (before, behind) if m and m[0] == host and m[5] != lines]
+        if len(sides) == 2 and near(sides[1][1], path) > near(sides[0][1], path):
+            sides.reverse()
+        one = pages.shared_lines(lines, sides[0][5]) if sides else set()
+        if 2 in kinds:
+            kept = [x for x, kind in zip(lines, kinds) if kind == 2]
+        else:
+            kept = [x for i, x in enumerate(lines) if kinds[i] == 1 and i not in one]
+        out.append((known, id_, "\n".join(kept), len(one)))
+    return sorted(out)
+
+
+def test_pages_against_brute_force(spark, monkeypatch):
+    """Bare pages, articles, lines that pages quote from each other, copies, one host with most rows."""
+    import random
+
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(60)]
+    rows = []
+    for n in range(260):
+        host = "big.example" if rng.random() < 0.5 else f"h{rng.randrange(9)}.example"
+        own = [" ".join(rng.choices(words, k=rng.randint(3, 9))) for _ in range(rng.randint(1, 5))]
+        if rng.random() < 0.2 and rows:
+            own.append("Quoted line of some length")
+        body = "".join(f"<p>{x}</p>" for x in own)
+        if rng.random() < 0.5:
+            html = f"<div><p>Head of {host}</p>{body}<p>Foot of {host}</p></div><div class=ad>Buy {rng.choice(words)}</div>"
+        else:
+            html = f"<nav><p>Menu</p></nav><article><p>Follow {host} today</p>{body}<p>All rights of {host}</p></article><p>Outside</p>"
+        if rng.random() < 0.25 and rows:
+            html = rng.choice(rows)[2]
+        url = f"http://{host}/{rng.choice(['a', 'b', 'c/d'])}/{rng.randrange(40)}{rng.choice(['', '?q', '/', '#x'])}"
+        rows.append((n if rng.random() < 0.97 else None, url, html if rng.random() < 0.97 else None))
+    rows += [rows[0], rows[0], (5000, None, "<p>x"), (5001, None, "<p>x<p>y")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    want = brute_text(rows)
+    for count in (1, 6, 211):
+        got = sorted((r.page_id is not None, r.page_id or 0, r.text, r.n_shared) for r in pages.extract(df, count=count).collect())
+        assert got == want
+    off = sorted(pages.settled("", *zip(*pages.page_blocks(html or "")), [])[0] if pages.page_blocks(html or "") else "" for _, _, html in rows)
+    assert off != sorted(w[2] for w in want)
+    assert sum("Head of" in w[2] for w in want) < sum("Head of" in x for x in off)
+
+
+def test_pages_keep_what_an_article_holds(spark):
+    html = "<article><p class=reply>One</p><p class='x share'>Two</p><math><mi>x</mi></math><div class=comments>No</div><p class=advert>No</p><p hidden>No</p></article>"
+    df = spark.createDataFrame([(1, "http://a/b", html, "mine")], "page_id long, url string, html string, `range` string")
+    assert pages.extract(df).first().text == "One\nTwo\nx"
+    assert pages.extract(df.limit(0)).count() == 0
+
+
 def test_longest_common_subsequence():
     import random
 
