@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column_bytes, equal_spans, hash_words, memory_for
+from .common import column_bytes, equal_spans, hash_words, memory_for, unused
 
 #: Words in each generation of a worker's memo, beyond those of one block.
 MEMO_ENTRIES = 200_000
@@ -474,7 +474,7 @@ def _narrow(df: DataFrame, column: str, out: str, work, kind: str) -> DataFrame:
     import pyarrow as pa
 
     rest = [c for c in df.columns if c != out]
-    base = df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{column}`").cast(kind).alias("__in"))
+    base = df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{column}`").cast(kind).alias(unused("__in", rest)))
     schema = df.select(*[F.col(f"`{c}`") for c in rest]).schema.add(out, "binary")
 
     def run(batches):

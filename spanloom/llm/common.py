@@ -78,6 +78,13 @@ def memory_for(operator: str) -> dict:
     return _MEMOS.setdefault(operator, {})
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """A column name like the given one that a table doesn't have."""
+    while name in columns:
+        name += "_"
+    return name
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Size of what a plan reads: Catalyst's estimate for its leaves (file sizes for scans), whatever columns it takes.
 

@@ -1,6 +1,6 @@
 """Language identification: script ranges, per-word scores, Viterbi over the words of a text.
 
-A word is a maximal run of letters. Its code points decide its script by fixed ranges, and the languages that
+A word is a maximal run of letters and the marks that follow them. Its code points decide its script by fixed ranges, and the languages that
 hold a share of their own training words in that script are its candidates, however rare they are among all. A word's score for a candidate is the mean
 log probability of its hashed features (whole word, affixes and letter trigrams) under that language. Viterbi with
 a penalty for each switch labels every word, so that a text falls into spans of one language each; the language
@@ -11,13 +11,15 @@ about TRAIN_ROWS labelled rows, those with the smallest hashes of their ids. Onl
 the script counts reach the driver.
 
 Defined cases: a text that is null or has no letter is `und` with score 0 and has no spans; with no labelled row
-every text is `und`; ties go to the language that sorts first; repeated rows are labelled alike; an empty table
-gives an empty table.
+every text is `und`; ties go to the language that sorts first; repeated rows are labelled alike; very long texts are
+labelled whole, a block by itself; columns named lang_pred, score or spans give way to the results, all others stay;
+an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -25,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import memory_for
+from .common import memory_for, unused
 
 #: Documented bounds of the model and of its training sample.
 FEATURES = 1 << 16
@@ -47,7 +49,24 @@ NAMES = sorted({name for _, name in SCRIPTS})
 _BEGINS = np.array([a for a, _ in SCRIPTS])
 _SCRIPT_OF = np.array([NAMES.index(name) for _, name in SCRIPTS])
 
-_WORD = re.compile(r"[^\W\d_]+")
+
+def _word_pattern() -> re.Pattern:
+    """Letters (Unicode category L) with marks (M) after the first: numerals such as superscripts are no letters."""
+    runs: dict[str, list[str]] = {"L": [], "M": []}
+    for kind, found in runs.items():
+        begin = None
+        for point in range(0x110000 + 1):
+            inside = point < 0x110000 and unicodedata.category(chr(point))[0] == kind
+            if inside and begin is None:
+                begin = point
+            elif not inside and begin is not None:
+                found.append(f"\\U{begin:08x}-\\U{point - 1:08x}")
+                begin = None
+    letters, marks = "".join(runs["L"]), "".join(runs["M"])
+    return re.compile(f"[{letters}][{letters}{marks}]*")
+
+
+_WORD = _word_pattern()
 
 
 def features(word: str) -> list[int]:
@@ -216,7 +235,7 @@ def predict(df: DataFrame, model: dict, text: str = "text", spans: bool = False,
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by FEATURES and the number of languages
     made = ["lang_pred", "score", *["spans"] * spans]
     rest = [c for c in df.columns if c not in made]
-    base = df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").cast("string").alias("__in"))
+    base = df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").cast("string").alias(unused("__in", rest)))
     schema = df.select(*[F.col(f"`{c}`") for c in rest]).schema.add("lang_pred", "string").add("score", "double")
     if spans:
         from pyspark.sql.types import _parse_datatype_string

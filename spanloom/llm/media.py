@@ -13,7 +13,8 @@ stuffing. Payloads beyond MOST_TILES tiles go into several images, one after the
 
 Everything is narrow: no shuffle. Defined cases: a null text is an empty text, whose payload is 576 bytes 255;
 repeated rows give repeated results; an empty table gives an empty table; damaged or unsupported streams
-(progressive, arithmetic, 12-bit) give a row with null features and the reason in `error`.
+(progressive, arithmetic, 12-bit, components in several scans) give a row with null features and the reason in `error`;
+bytes behind an image that begin no other one are left alone; columns named like results give way to them.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import unused
+
 TILE = 576
 BLOCKS = 9  # of 64 coefficients in a tile
 MOST_TILES = 2730  # 24 rows of samples each, at most 65,535 rows in an image
@@ -181,13 +184,15 @@ def parse(stream: bytes, at: int = 0) -> tuple[Image, int]:
             bits, image.height, image.width, n = struct.unpack_from(">BHHB", body)
             if bits != 8 or not image.height or not image.width:
                 raise ValueError("not 8-bit baseline with known size")
+            if not 1 <= n <= 4:
+                raise ValueError("not one to four components")
             image.components = [[body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i], 0, 0] for i in range(n)]
         elif 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
             raise ValueError("not baseline")
         elif marker == 0xDA:
             chosen = {body[1 + 2 * i]: body[2 + 2 * i] for i in range(body[0])}
             if {c[0] for c in image.components} != set(chosen):
-                raise ValueError("components in several scans")
+                raise ValueError("components in several scans, which are not read")
             for c in image.components:
                 c[4], c[5] = chosen[c[0]] >> 4, chosen[c[0]] & 15
             break
@@ -213,8 +218,9 @@ def parse(stream: bytes, at: int = 0) -> tuple[Image, int]:
 
 
 def parse_all(stream: bytes) -> list[Image]:
+    """The images of a stream; bytes after an image that begin no other one are left alone."""
     out, at = [], 0
-    while at < len(stream):
+    while at < len(stream) and (not out or stream[at : at + 2] == b"\xff\xd8"):
         image, at = parse(stream, at)
         out.append(image)
     if not out:
@@ -392,25 +398,29 @@ def _groups(sizes: list[int]) -> list[tuple[int, int]]:
     return out
 
 
+#: What a damaged stream may raise.
+DAMAGED = (ValueError, struct.error, IndexError, KeyError)
+
+
 def _decoded(streams: list[bytes]) -> list[tuple[list[Image], list[np.ndarray]] | str]:
     """Images and coefficients of each stream, or what is wrong with it."""
     out: list = []
     for stream in streams:
         try:
             out.append(parse_all(stream))
-        except (ValueError, struct.error, IndexError) as e:
+        except DAMAGED as e:
             out.append(str(e) or "damaged")
     good = [x for x in out if not isinstance(x, str)]
     try:
         found = iter(decode_intervals([i for x in good for i in x]) if good else [])
         return [x if isinstance(x, str) else (x, [next(found) for _ in x]) for x in out]
-    except ValueError:  # a damaged scan among them: one by one
+    except DAMAGED:  # a damaged scan among them: one by one
         made = []
         for x in out:
             try:
                 made.append(x if isinstance(x, str) else (x, decode_intervals(x)))
-            except ValueError as e:
-                made.append(str(e))
+            except DAMAGED as e:
+                made.append(str(e) or "damaged")
         return made
 
 
@@ -427,7 +437,7 @@ def write_media(df: DataFrame, text: str = "text", out: str = "media") -> DataFr
     import pyarrow as pa
 
     rest = [c for c in df.columns if c != out]
-    base = df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").cast("string").alias("__in"))
+    base = df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").cast("string").alias(unused("__in", rest)))
     schema = df.select(*[F.col(f"`{c}`") for c in rest]).schema.add(out, "binary")
 
     def run(batches):
@@ -452,7 +462,7 @@ def read_images(df: DataFrame, media: str = "media", payload: bool = False) -> D
     for name, kind in zip(made, ("integer", "integer", "string", "string", "string", "binary")):
         schema = schema.add(name, kind)
     types = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.binary()]
-    base = df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{media}`").cast("binary").alias("__in"))
+    base = df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{media}`").cast("binary").alias(unused("__in", rest)))
 
     def run(batches):
         for batch in batches:
@@ -463,10 +473,11 @@ def read_images(df: DataFrame, media: str = "media", payload: bool = False) -> D
                 found = iter(_decoded(some))
                 for s in streams[a:b]:
                     x = next(found) if s is not None else None
-                    if x is None or isinstance(x, str):
-                        rows.append((None, None, None, None, x, None))
-                    else:
-                        rows.append((*_feature(*x), None, b"".join(map(payload_of, x[1])) if payload else None))
+                    try:
+                        row = (None, None, None, None, x, None) if x is None or isinstance(x, str) else (*_feature(*x), None, b"".join(map(payload_of, x[1])) if payload else None)
+                    except DAMAGED as e:  # such as a scan without its quantisation table
+                        row = (None, None, None, None, f"damaged: {e}", None)
+                    rows.append(row)
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(a, b - a) for i in range(len(rest))], *[pa.array(cols[i], types[i]) for i in range(len(made))]], names=[*rest, *made])
 

@@ -1,12 +1,14 @@
 """Packing, media, sharding, language ID and pages."""
 
 import hashlib
+import unicodedata
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers as P
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -156,8 +158,14 @@ def test_reader_on_general_baseline(comps):
 def test_damaged_streams(spark):
     good, _ = jpeg(16, 16, [(1, 1)], [1] * 64, lambda c: [3] + [0] * 63)
     rows = spark.createDataFrame([(1, good), (2, good[:40]), (3, b"junk"), (4, None), (5, good[:-6] + b"\xff\xd9")], "id long, media binary")
+    quant = good.index(b"\xff\xdb")
+    five = bytearray(good)
+    five[good.index(b"\xff\xc0") + 9] = 5
+    more = [(6, good[:quant] + good[quant + 69 :]), (7, good + b"\0\0"), (8, bytes(five))]
+    rows = rows.unionByName(spark.createDataFrame([(i, bytes(x)) for i, x in more], "id long, media binary"))
     got = {r.id: r for r in media.read_images(rows).collect()}
     assert got[1].error is None and got[1].width == 16 and got[1].thumb_hash
+    assert got[6].error and got[8].error and got[7].error is None and got[7].thumb_hash == got[1].thumb_hash
     assert got[2].error and got[3].error and got[4].error is None and got[4].width is None and got[5].error
 
 
@@ -257,7 +265,7 @@ def test_language_accuracy_and_cases(docs, documents, empty):
     assert sum(a == b for a, b in told) / len(told) > 0.9
     for r in rows:
         assert 0 <= r.score <= 1
-        if not r.text or not any(c.isalpha() for c in r.text):
+        if not r.text or not regex.search(r"\p{L}", r.text):
             assert (r.lang_pred, r.score, r.spans) == ("und", 0.0, [])
         else:
             assert r.lang_pred in model["langs"]
@@ -266,6 +274,28 @@ def test_language_accuracy_and_cases(docs, documents, empty):
     assert langid.predict(empty, model).count() == 0
 
 
+def test_letters_and_marks():
+    assert langid._WORD.findall("½ ² Ⅷ ① 12_x हिन्दी e\u0301t\u0301é \u0301 日本語 a") == ["x", "हिन्दी", "e\u0301t\u0301é", "日本語", "a"]
+    text = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x30000)]))
+    assert all(unicodedata.category(c)[0] in "LM" for w in langid._WORD.findall(text) for c in w)
+
+
+def test_held_out_accuracy(spark):
+    """The whole query on the smallest table: it learns nothing from held-out rows and labels them rightly."""
+    rows = langid.op6_viterbi_langid(spark, "/root/testdata/sf0.001").collect()
+    docs = {r.doc_id: r for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    assert len(rows) == len(docs)
+    told = [(r.lang_pred, docs[r.doc_id].lang) for r in rows if r.held_out and docs[r.doc_id].lang and r.lang_pred != "und"]
+    assert len(told) > 20 and sum(a == b for a, b in told) / len(told) > 0.95
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
+
+
+def test_language_columns_may_clash(docs):
+    clash = docs.withColumn("score", F.lit(99.5)).withColumn("__in", F.lit(1))
+    out = langid.predict(clash, langid.trained_model(docs))
+    assert set(out.columns) == {*clash.columns, "lang_pred"} and out.filter("score > 1").count() == 0
+
+
 def test_rare_language_remains_a_candidate(spark):
     """A language with less than a thousandth of a script's words is still found where its words are clear."""
     common = " ".join(f"{a}{b}ing" for a in ("walk", "talk", "sing", "look", "read") for b in ("", "er", "let")) + " "
