@@ -39,62 +39,107 @@ def _neighbours() -> list[Column]:
     return [F.lag(_kind(), 1, KINDS["edge"]).over(by).alias("before"), F.lead(_kind(), 1, KINDS["edge"]).over(by).alias("behind")]
 
 
-def step_hits(tokens: DataFrame, catalog: Compiled) -> DataFrame:
-    """(doc_id, pred, position, pre, mark, before, behind): tokens that match predicates, with the clause marks before
-    them and the kinds of their neighbours (see KINDS).
-
-    A token that matches several conjunctions of a predicate comes as often.
-    """
-    spark = tokens.sparkSession
+def places(tokens: DataFrame) -> DataFrame:
+    """(doc_id, position, fields, mark, kind, before, behind, pre): tokens with the clause marks before them and the kinds
+    of their neighbours (see KINDS)."""
     by = Window.partitionBy("doc_id").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
     mark = P.clause_mark(F.col("surface")).cast("int")
-    placed = tokens.select("doc_id", "position", *FIELDS, mark.alias("mark"), *_neighbours()).withColumn("pre", F.coalesce(F.sum("mark").over(by), F.lit(0)).cast("int"))
-    keys = F.array(*[F.concat(F.lit(f"{f}="), F.col(f)) for f in catalog.key_fields])
-    keyed = placed.withColumn("key", F.explode(keys))
+    placed = tokens.select("doc_id", "position", *FIELDS, mark.alias("mark"), _kind().alias("kind"), *_neighbours())
+    return placed.withColumn("pre", F.coalesce(F.sum("mark").over(by), F.lit(0)).cast("int"))
+
+
+def step_hits(placed: DataFrame, catalog: Compiled) -> DataFrame:
+    """(doc_id, pred, position, pre, mark, before, behind): tokens that match predicates.
+
+    Keys that no predicate has are dropped before they become rows. A token that matches several conjunctions of a
+    predicate comes as often.
+    """
+    spark = placed.sparkSession
+    known = {f: sorted({c[0] for c in catalog.conjunctions if c[0].startswith(f"{f}=")}) for f in catalog.key_fields}
+    keys = [F.when(key.isin(known[f]), key) for f in catalog.key_fields for key in [F.concat(F.lit(f"{f}="), F.col(f))]]
+    keyed = placed.withColumn("key", F.explode(F.array_compact(F.array(*keys))))
     conj = catalog.table(spark, "conjunctions").select("key", "pred", *[F.col(f).alias(f"want_{f}") for f in FIELDS])
     met = keyed.join(_small(conj, len(catalog.conjunctions)), "key")
     met = met.filter(reduce(lambda a, b: a & b, [P.field_matches(F.col(f"want_{f}"), F.col(f)) for f in FIELDS]))
     return met.select("doc_id", "pred", "position", "pre", "mark", "before", "behind")
 
 
-def segment_hits(hits: DataFrame, tokens: DataFrame, catalog: Compiled) -> DataFrame:
-    """(doc_id, seg, start, end, pre_start, pre_end, before, behind): places of segments, `end` exclusive."""
-    spark = hits.sparkSession
-    steps = _small(catalog.table(spark, "seg_steps"), len(catalog.seg_steps))
+def segment_hits(hits: DataFrame, catalog: Compiled) -> DataFrame:
+    """(doc_id, seg, start, end, pre_start, pre_end, before, behind): places of segments with steps, `end` exclusive."""
+    steps = _small(catalog.table(hits.sparkSession, "seg_steps"), len(catalog.seg_steps))
     votes = hits.join(steps, "pred").withColumn("start", F.col("position") - F.col("offset"))
     full = votes.groupBy("doc_id", "seg", "start", "length").agg(F.bit_or(F.expr("shiftleft(1L, offset)")).alias("hit"), F.min("pre").alias("pre_start"), F.max(F.col("pre") + F.col("mark")).alias("pre_end"), F.max(F.when(F.col("offset") == 0, F.col("before"))).alias("before"), F.max(F.when(F.col("offset") == F.col("length") - 1, F.col("behind"))).alias("behind"))
-    out = full.filter(F.bit_count("hit") == F.col("length")).select("doc_id", "seg", "start", (F.col("start") + F.col("length")).alias("end"), "pre_start", "pre_end", "before", "behind")
-    if catalog.empty_seg is None:
-        return out
-    # A segment of no steps stands at every position, the end of the text included.
-    by = Window.partitionBy("doc_id").orderBy("position")
-    at = tokens.select("doc_id", "position", P.clause_mark(F.col("surface")).cast("int").alias("mark"), _kind().alias("kind"), *_neighbours())
-    at = at.withColumn("through", F.sum("mark").over(by.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-    place = lambda p, pre, before, behind: F.struct(p.cast("int").alias("p"), pre.cast("int").alias("pre"), before.cast("int").alias("before"), behind.cast("int").alias("behind"))
-    after = place(F.col("position") + 1, F.col("through"), F.col("kind"), F.col("behind"))
-    first = place(F.lit(0), F.lit(0), F.lit(KINDS["edge"]), F.col("kind"))
-    every = at.select("doc_id", F.explode(F.when(F.col("position") == 0, F.array(first, after)).otherwise(F.array(after))).alias("x"))
-    x = lambda c: F.col(f"x.{c}")
-    return out.unionByName(every.select("doc_id", F.lit(catalog.empty_seg).alias("seg"), x("p").alias("start"), x("p").alias("end"), x("pre").alias("pre_start"), x("pre").alias("pre_end"), x("before").alias("before"), x("behind").alias("behind")))
+    return full.filter(F.bit_count("hit") == F.col("length")).select("doc_id", "seg", "start", (F.col("start") + F.col("length")).alias("end"), "pre_start", "pre_end", "before", "behind")
+
+
+def gaps_between(placed: DataFrame) -> DataFrame:
+    """(at_doc, at, at_pre, at_before, at_behind): where a segment of no steps stands, which is every position, the end of
+    the text included."""
+    place = lambda p, pre, before, behind: F.struct(p.cast("int").alias("at"), pre.cast("int").alias("at_pre"), before.cast("int").alias("at_before"), behind.cast("int").alias("at_behind"))
+    own = place(F.col("position"), F.col("pre"), F.col("before"), F.col("kind"))
+    last = place(F.col("position") + 1, F.col("pre") + F.col("mark"), F.col("kind"), F.lit(KINDS["edge"]))
+    every = F.when(F.col("behind") == KINDS["edge"], F.array(own, last)).otherwise(F.array(own))
+    return placed.select(F.col("doc_id").alias("at_doc"), F.explode(every).alias("x")).select("at_doc", "x.*")
 
 
 def sequences(tokens: DataFrame, catalog: Compiled) -> DataFrame:
-    """(doc_id, vid, role, start, end, before, behind, spec, path, captures): all matches of all forms of all sequences."""
+    """(doc_id, vid, role, start, end, before, behind, spec, path, captures): all matches of all forms of all sequences.
+
+    A state's next segment begins one of the gap's widths behind its end: a row for each width meets the segments that
+    begin there, so no pair of places is looked at whose distance is wrong. Segments of no steps are looked up where a
+    state or a following segment needs them; only forms that begin with two of them start everywhere.
+    """
     spark = tokens.sparkSession
-    found = segment_hits(step_hits(tokens, catalog), tokens, catalog)
-    placed = found.join(_small(catalog.table(spark, "segs"), len(catalog.segs)), "seg")
+    placed = places(tokens)
+    empty = catalog.empty_seg
+    if empty is not None:
+        placed = shared(placed)
+        every = gaps_between(placed)
+    segs = catalog.table(spark, "segs").withColumn("empty", F.col("seg") == F.lit(-1 if empty is None else empty))
+    segs = _small(segs, len(catalog.segs))
+    found = segment_hits(step_hits(placed, catalog), catalog).join(segs.filter("not empty").drop("length", "empty"), "seg")
     forms = _small(catalog.table(spark, "forms"), len(catalog.forms))
     counts = forms.select("form", "n_segs")
-    state = placed.filter("seg_no = 0").select("doc_id", "form", "start", "end", "before", "behind", F.col("pre_end").alias("pre"), F.array("start").alias("starts"), F.array("end").alias("ends"))
-    done = []
+    wide = F.explode(F.sequence("gap_min", "gap_max")).alias("width")
+    columns = ["doc_id", "form", "start", "end", "before", "behind", "pre", "starts", "ends"]
+
+    def begin(k: int) -> DataFrame:
+        """States of the forms whose first segment with steps that needs no other start is segment k."""
+        first = found.filter(F.col("seg_no") == k)
+        if k == 0:
+            return first.select("doc_id", "form", "start", "end", "before", "behind", F.col("pre_end").alias("pre"), F.array("start").alias("starts"), F.array("end").alias("ends"))
+        wanted = _small(catalog.table(spark, "segs").filter((F.col("seg_no") == 0) & (F.col("seg") == F.lit(empty))).select("form"), len(catalog.segs))
+        led = first.join(wanted, "form").select("*", wide).withColumn("p", (F.col("start") - F.col("width")).cast("int"))
+        met = led.join(every, (F.col("doc_id") == F.col("at_doc")) & (F.col("p") == F.col("at")) & (F.col("pre_start") == F.col("at_pre")))
+        return met.select("doc_id", "form", F.col("p").alias("start"), "end", F.col("at_before").alias("before"), "behind", F.col("pre_end").alias("pre"), F.array("p", F.col("start").cast("int")).alias("starts"), F.array("p", F.col("end").cast("int")).alias("ends"))
+
+    by_form: dict[int, list[bool]] = {}
+    for form, seg_no, seg, *_ in sorted(catalog.segs):
+        by_form.setdefault(form, []).append(seg == empty)
+    led = [f for f, e in by_form.items() if e[0] and len(e) > 1 and not e[1]]
+    alone = [f for f, e in by_form.items() if e[0] and f not in led]
+    state, done = begin(0).select(*columns), []
+    if alone:
+        some = _small(spark.createDataFrame([(f,) for f in alone], "form int"), len(alone))
+        free = every.crossJoin(some)  # a few forms of the catalog
+        state = state.unionByName(free.select(F.col("at_doc").alias("doc_id"), "form", F.col("at").alias("start"), F.col("at").alias("end"), F.col("at_before").alias("before"), F.col("at_behind").alias("behind"), F.col("at_pre").alias("pre"), F.array("at").alias("starts"), F.array("at").alias("ends")))
     for k in range(1, catalog.most_segs + 1):
+        if k == 2 and led:
+            state = state.unionByName(begin(1).select(*columns))
         state = state.join(counts, "form")
         done.append(state.filter(F.col("n_segs") == k).drop("n_segs"))
         if k == catalog.most_segs:
             break
-        after = placed.filter(F.col("seg_no") == k).select(F.col("doc_id").alias("d"), F.col("form").alias("f"), F.col("start").alias("s"), F.col("end").alias("e"), F.col("behind").alias("then"), "pre_start", "pre_end", "gap_min", "gap_max")
-        state = state.filter(F.col("n_segs") > k).join(after, (F.col("doc_id") == F.col("d")) & (F.col("form") == F.col("f")) & (F.col("pre") == F.col("pre_start")) & (F.col("s") - F.col("end")).between(F.col("gap_min"), F.col("gap_max")))
-        state = state.select("doc_id", "form", "start", F.col("e").alias("end"), "before", F.col("then").alias("behind"), F.col("pre_end").alias("pre"), F.array_append("starts", F.col("s")).alias("starts"), F.array_append("ends", F.col("e")).alias("ends"))
+        going = state.filter(F.col("n_segs") > k).drop("n_segs")
+        following = segs.filter(F.col("seg_no") == k).select(F.col("form").alias("f"), "gap_min", "gap_max", "empty")
+        going = going.join(following, F.col("form") == F.col("f")).select(*columns, "empty", wide).withColumn("next", (F.col("end") + F.col("width")).cast("int"))
+        after = found.filter(F.col("seg_no") == k).select(F.col("doc_id").alias("d"), F.col("form").alias("f"), F.col("start").alias("s"), F.col("end").alias("e"), F.col("behind").alias("then"), "pre_start", F.col("pre_end").alias("through"))
+        full = going.filter("not empty").join(after, (F.col("doc_id") == F.col("d")) & (F.col("form") == F.col("f")) & (F.col("next") == F.col("s")) & (F.col("pre") == F.col("pre_start")))
+        full = full.select("doc_id", "form", "start", F.col("e").alias("end"), "before", F.col("then").alias("behind"), F.col("through").alias("pre"), F.array_append("starts", F.col("next")).alias("starts"), F.array_append("ends", F.col("e").cast("int")).alias("ends"))
+        if any(len(e) > k and e[k] for e in by_form.values()):
+            bare = going.filter("empty").join(every, (F.col("doc_id") == F.col("at_doc")) & (F.col("next") == F.col("at")) & (F.col("pre") == F.col("at_pre")))
+            full = full.unionByName(bare.select("doc_id", "form", "start", F.col("next").alias("end"), "before", F.col("at_behind").alias("behind"), "pre", F.array_append("starts", F.col("next")).alias("starts"), F.array_append("ends", F.col("next")).alias("ends")))
+        state = full.select(*columns)
     whole = reduce(DataFrame.unionByName, done).join(forms, "form")
     gap = lambda k: F.element_at("starts", k + 2) - F.element_at("ends", k + 1)  # noqa: E731  width of gap k (from 0)
     path = F.transform("path", lambda x: F.when(x < 0, gap(-x - 1)).otherwise(x))

@@ -25,11 +25,14 @@ AUXILIARIES = tuple("is are was be it est ist es son".split())
 
 
 def split_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", pattern: str = PATTERN) -> DataFrame:
-    """(doc_id, position, surface, byte_start, byte_end): tokens tile the text but for its white space."""
-    pieces = docs.select(F.col(key).alias("doc_id"), F.posexplode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))).alias("piece", "surface"))
+    """(doc_id, position, surface, byte_start, byte_end): tokens tile the text but for its white space.
+
+    Whole texts are shuffled by doc_id, which moves less than their tokens would; windows need no other shuffle.
+    """
+    pieces = docs.repartition(F.col(key)).select(F.col(key).alias("doc_id"), F.posexplode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))).alias("piece", "surface"))
     by = Window.partitionBy("doc_id").orderBy("piece")
     before = F.coalesce(F.sum(F.octet_length("surface")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    laid = pieces.withColumn("byte_start", before.cast("int")).filter(~F.col("surface").rlike("^\\s+$"))
+    laid = pieces.withColumn("byte_start", before.cast("int")).filter(~F.col("surface").rlike("^\\s"))
     return laid.select("doc_id", (F.row_number().over(by) - 1).alias("position"), "surface", "byte_start", (F.col("byte_start") + F.octet_length("surface")).cast("int").alias("byte_end"))
 
 

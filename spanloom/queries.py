@@ -40,7 +40,7 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _tokens(spark: SparkSession, sf: str) -> DataFrame:
-    return tokenize(_docs(spark, sf).repartition("doc_id"))
+    return tokenize(_docs(spark, sf))
 
 
 def _phrases(spark: SparkSession, sf: str) -> DataFrame:
