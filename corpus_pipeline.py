@@ -34,8 +34,9 @@ def _columns(out: DataFrame, docs: DataFrame) -> DataFrame:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language; those without a letter go."""
     _bounded(spark)
-    found = langid.predict(docs, langid.trained_model(docs), keep=False)
-    return found.filter(F.col("lang_pred") != "und").select(*[F.col(f"`{c}`") for c in docs.columns])
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
+    found = langid.predict(packed, langid.trained_model(docs), keep=False)
+    return found.filter(F.col("lang_pred") != "und").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
