@@ -75,6 +75,10 @@ def content_word(pos1: Column) -> Column:
     return ~pos1.isin(*EMPTY_WORDS)
 
 
+#: Parts of speech whose members are a closed list, all or some of them.
+CLOSED_CLASSES = ("助動詞", "形状詞", "形容詞")
+
+
 def closed_class(pos1: Column, pos2: Column) -> Column:
     """Members of the inventory: auxiliaries, stems used as auxiliaries, and adjectives that can be auxiliaries."""
     return (pos1 == AUXILIARY) | ((pos1 == NOMINAL_ADJECTIVE) & (pos2 == "助動詞語幹")) | ((pos1 == ADJECTIVE) & (pos2 == "非自立可能"))
@@ -97,12 +101,14 @@ def reading_matches(readings: Column, reading: Column) -> Column:
     return (reading == "") | F.array_contains(readings, reading)
 
 
+#: Fill colours of tokens by part of speech.
+COLOURS = {"名詞": "#D6EAF8", "動詞": "#D5F5E3", "助詞": "#FDEBD0", "助動詞": "#FEF9E7", "形容詞": "#E8DAEF", "副詞": "#FDEDEC", "代名詞": "#D6EAF8"}
+OTHER_COLOUR = "#F2F3F4"
+
+
 def pos_color(pos1: Column) -> Column:
     """Fill colour of a token by its part of speech."""
-    return (
-        F.when(pos1 == NOUN, "lightblue").when(pos1 == VERB, "lightgreen").when(pos1 == ADJECTIVE, "lightyellow")
-        .when(pos1 == PARTICLE, "lightpink").when(pos1 == AUXILIARY, "lightsalmon").otherwise("white")
-    )
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in COLOURS.items() for x in pair]), pos1), F.lit(OTHER_COLOUR))
 
 
 def blank(text: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,7 +15,8 @@ HIRAGANA = "".join(chr(c - 0x60) for c in range(0x30A1, 0x30F7))
 #: Characters that take two columns of a terminal: CJK, kana, hangul and full-width forms.
 WIDE = "[\\x{1100}-\\x{115F}\\x{2E80}-\\x{303E}\\x{3041}-\\x{33FF}\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{A000}-\\x{A4CF}\\x{AC00}-\\x{D7A3}\\x{F900}-\\x{FAFF}\\x{FE30}-\\x{FE4F}\\x{FF00}-\\x{FF60}\\x{FFE0}-\\x{FFE6}]"
 
-#: Named character references that plain_text() decodes, besides numeric ones.
+#: Named character references that are decoded inside the JVM; a text with any other reference goes through a vectorised
+#: function.
 ENTITIES = {"nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "copy": "©", "middot": "·", "hellip": "…", "amp": "&"}
 
 
@@ -63,32 +67,55 @@ def level(c: Column) -> Column:
     return F.when(digit == "", "").otherwise(F.concat(F.lit("N"), digit))
 
 
+_NATIVE = f"&(?:{'|'.join(ENTITIES)});"
+
+
+def unescape(c: Column) -> Column:
+    """Character references decoded, once each: named and numeric ones, as HTML defines them."""
+
+    @F.pandas_udf("string")
+    def other(texts: pd.Series) -> pd.Series:
+        return texts.map(html.unescape, na_action="ignore")
+
+    native = c
+    for name, value in ENTITIES.items():
+        native = F.replace(native, F.lit(f"&{name};"), F.lit(value))
+    rare = F.regexp_replace(c, _NATIVE, "").rlike("&[#A-Za-z]") | c.rlike("&amp;[#A-Za-z]")
+    return F.when(rare, other(F.when(rare, c))).otherwise(native)
+
+
 def plain_text(c: Column) -> Column:
-    """Markup to text: tags to spaces, common character references decoded, white space squeezed."""
+    """Markup to text: scripts, styles and tags to spaces, character references decoded, white space squeezed."""
     out = F.regexp_replace(c, "(?s)<(script|style)[^>]*>.*?</(script|style)>", " ")
-    out = F.regexp_replace(out, "<[^>]*>", " ")
-    for name, value in ENTITIES.items():
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(value))
-    return squeeze(out)
+    return squeeze(unescape(F.regexp_replace(out, "<[^>]*>", " ")))
+
+
+#: Headings that are no forms, labels before forms, and what is said about the sound of a form.
+HEADINGS = "(?i)^(?:examples?|exceptions?|conjugations?|negative):?$"
+LABELS = "(?i)^(?:past form|negative|polite|casual|formal):\\s*"
+SOUND = "(?i),\\s*pronounced\\b.*$"
 
 
 def structure_lines(c: Column) -> Column:
-    """Lines of a structure field in HTML, in order and distinct.
+    """Forms in a structure field in HTML, in order and distinct; null has none.
 
-    Line breaks end lines; superscripted lines go; deleted, superscripted, ruby and linked parts go; a label before a
-    colon goes; only what follows the last arrow stays.
+    Line breaks end lines; lines that begin with a superscript go, as do deleted, superscripted, ruby and linked parts,
+    headings and footnotes; of a line stays what follows its label and its last arrow.
     """
-    text = F.regexp_replace(c, "(?i)<br\\s*/?>", "\n")
-    raw = F.split(text, "\n")
-    raw = F.filter(raw, lambda x: ~x.rlike("(?i)^\\s*<sup\\b"))
+    text = F.regexp_replace(F.translate(c, "\u3000\u200b", " "), "(?i)<\\s*/?\\s*br\\s*/?\\s*>", "\n")
+    raw = F.filter(F.split(text, "\r?\n"), lambda x: ~x.rlike("(?i)^\\s*<sup\\b"))
+    whole = F.array_join(raw, "\n")
+    for tag in ("del", "sup", "rt", "a"):
+        whole = F.regexp_replace(whole, f"(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>", "")
+    whole = unescape(F.regexp_replace(whole, "<[^>]+>", ""))
 
     def clean(x: Column) -> Column:
-        x = F.regexp_replace(x, "(?is)<(del|sup|rt|a)\\b[^>]*>.*?</\\1>", "")
-        x = plain_text(x)
-        x = F.regexp_replace(x, "^[^:：]*[:：]\\s*", "")
-        return F.trim(F.regexp_replace(x, "^.*[→⇒]\\s*", ""))
+        line = F.rtrim(F.regexp_replace(squeeze(x), SOUND, ""))
+        skip = line.rlike(HEADINGS) | line.rlike("^\\s*\\((?:\\*|[0-9]+)\\)")
+        form = F.trim(F.regexp_replace(F.regexp_replace(line, LABELS, ""), "^.*[→￫]", ""))
+        return F.when(skip, "").otherwise(form)
 
-    return F.array_distinct(F.filter(F.transform(raw, clean), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(whole, "\r?\n"), clean), lambda x: x != ""))
 
 
 def dot_escape(c: Column) -> Column:

@@ -79,7 +79,7 @@ def dot_lines(tokens: DataFrame, matches: DataFrame) -> DataFrame:
     root = tokens.select("doc_id").distinct().select("doc_id", F.lit(0).alias("part"), F.lit('  "root" [shape=box, label="sentence"];').alias("line"))
     boxes = matches.select("doc_id", F.lit(1).alias("part"), F.format_string('  "%s" [shape=box, label="%s"];', "id", dot_escape(F.col("rule_name"))).alias("line"))
     to_root = matches.select("doc_id", F.lit(2).alias("part"), F.format_string('  "root" -> "%s";', "id").alias("line"))
-    leaf = own.select("doc_id", F.lit(3).alias("part"), F.format_string('  "token-%d" [style=filled, fillcolor=%s, label="%s"];', "position", P.pos_color(F.col("pos1")), dot_escape(F.col("surface"))).alias("line"))
+    leaf = own.select("doc_id", F.lit(3).alias("part"), F.format_string('  "token-%d" [style=filled, fillcolor="%s", label="%s"];', "position", P.pos_color(F.col("pos1")), dot_escape(F.col("surface"))).alias("line"))
     edge = own.select("doc_id", F.lit(4).alias("part"), F.format_string('  "%s" -> "token-%d";', "owner", "position").alias("line"))
     return root.unionByName(boxes).unionByName(to_root).unionByName(leaf).unionByName(edge)
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .reuse import shared
+
 NODE = ("doc_id", "id", "kind", "token_start", "token_end", "token_id")
 EDGE = ("doc_id", "parent_id", "child_id", "order")
 
@@ -91,7 +93,7 @@ def node(nodes: DataFrame, id_: str) -> DataFrame:
 def topology_errors(nodes: DataFrame, edges: DataFrame, root: str = "document-0") -> DataFrame:
     """(doc_id, error, id): what is wrong with trees; no rows for sound ones.
 
-    Reachability doubles path lengths in each round, so its rounds are about the logarithm of the depth.
+    Reachability doubles path lengths in each round, so its rounds are about the logarithm of the depth, however deep.
     """
     ids = nodes.select("doc_id", "id")
     twice = ids.groupBy("doc_id", "id").count().filter("count > 1").select("doc_id", F.lit("duplicate id").alias("error"), "id")
@@ -103,11 +105,24 @@ def topology_errors(nodes: DataFrame, edges: DataFrame, root: str = "document-0"
     # Each node points to its parent; pointers jump until they reach the root, end elsewhere, or go round.
     up = ids.distinct().join(edges.select("doc_id", F.col("child_id").alias("id"), F.col("parent_id").alias("up")).distinct(), ["doc_id", "id"], "left")
     up = up.groupBy("doc_id", "id").agg(F.min("up").alias("up"))
-    for _ in range(5):  # paths of up to 32 edges; the trees built here have 3
+    # A path twice as long in each round, until no pointer moves: the logarithm of the depth, and of the length of cycles.
+    depth = 1
+    longest = ids.groupBy("doc_id").count().agg(F.max("count")).first()[0] or 0
+    while depth < longest:
         over = up.select(F.col("doc_id").alias("d"), F.col("id").alias("via"), F.col("up").alias("over"))
-        up = up.join(over, (F.col("doc_id") == F.col("d")) & (F.col("up") == F.col("via")), "left").select("doc_id", "id", F.coalesce(F.when(F.col("up") == root, F.col("up")), F.col("over"), F.when(F.col("via").isNull() | F.col("over").isNull(), F.col("up"))).alias("up"))
+        new = up.join(over, (F.col("doc_id") == F.col("d")) & (F.col("up") == F.col("via")), "left").select("doc_id", "id", "up", F.coalesce(F.when(F.col("up") == root, F.col("up")), F.col("over"), F.when(F.col("via").isNull() | F.col("over").isNull(), F.col("up"))).alias("next"))
+        new = shared(new)
+        moved = not new.filter(~F.col("up").eqNullSafe(F.col("next"))).isEmpty()
+        up = new.select("doc_id", "id", F.col("next").alias("up"))
+        if not moved:
+            break
+        depth *= 2
+    # What still points to a node that is neither root nor an end goes round in a cycle.
+    tops = ids.join(edges.select("doc_id", F.col("child_id").alias("id")), ["doc_id", "id"], "left_anti").select(F.col("doc_id").alias("td"), F.col("id").alias("tid"))
+    round_ = up.filter(F.col("up").isNotNull() & (F.col("up") != root)).join(tops, (F.col("doc_id") == F.col("td")) & (F.col("up") == F.col("tid")), "left_anti")
+    round_ = round_.join(ids.distinct().withColumnRenamed("id", "up"), ["doc_id", "up"], "left_semi").select("doc_id", F.lit("cycle").alias("error"), "id")
     apart = up.filter(F.col("id") != root).filter(F.col("up").isNull() | (F.col("up") != root)).select("doc_id", F.lit("not connected to the root").alias("error"), "id")
-    return reduce(DataFrame.unionByName, [twice, no_root, missing("parent_id", "missing parent"), missing("child_id", "missing child"), many, above_root, apart])
+    return reduce(DataFrame.unionByName, [twice, no_root, missing("parent_id", "missing parent"), missing("child_id", "missing child"), many, above_root, round_, apart])
 
 
 def render_model(nodes: DataFrame, edges: DataFrame, primary: DataFrame, tokens: DataFrame) -> tuple[DataFrame, DataFrame]:

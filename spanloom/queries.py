@@ -16,8 +16,10 @@ from .functions import text as T
 from .operators import evaluate, gloss, match, rank, segment, tree
 from .operators.reuse import shared
 from .operators.tokens import AUXILIARIES, PARTICLES, PATTERN, PREFIXES, split_tokens, tile_errors, tokenize
+from .plans import compile as compiling
 from .plans.requests import MOST_TEXT, validate_text
 from .sources.catalog import compile_rules, load_builtin
+from .sources.notation import Host, Hosts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -196,13 +198,17 @@ def token_features(spark, sf):
     return _tokens(spark, sf).groupBy("pos1", "pos2", "pos3", "conj_form").agg(F.count("*").alias("n"), F.countDistinct("base_form").alias("lemmas"))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS errors")
+@query(
+    f"""WITH {LAID}, bad AS (SELECT doc_id, position, CASE WHEN surface = 'of' THEN byte_start - 2 ELSE byte_start END AS x, CASE WHEN surface = 'the' THEN byte_start ELSE byte_end END AS y FROM toks),
+told AS (SELECT *, lag(y) OVER (PARTITION BY doc_id ORDER BY position) AS prev FROM bad)
+SELECT doc_id, position FROM told WHERE y <= x OR prev > x"""
+)
 def token_tiling(spark, sf):
-    """tokens that overlap or are empty."""
-    return tile_errors(split_tokens(_docs(spark, sf))).agg(F.count("*").alias("errors"))
-
-
-# --------------------------------------------------------------------------------------- phrases
+    """tokens that overlap or are empty, in token rows with planted faults; there is none without them."""
+    sound = split_tokens(_docs(spark, sf))
+    start = F.when(F.col("surface") == "of", F.col("byte_start") - 2).otherwise(F.col("byte_start"))
+    end = F.when(F.col("surface") == "the", F.col("byte_start")).otherwise(F.col("byte_end"))
+    return tile_errors(sound.withColumns({"byte_start": start, "byte_end": end})).select("doc_id", *_long("position"))
 
 
 @query(f"WITH {SENTENCES} SELECT doc_id, sentence_id, min(position) AS token_start, max(position) AS token_end FROM sents GROUP BY ALL")
@@ -336,11 +342,22 @@ def tree_edges(spark, sf):
     return edges.select("doc_id", "parent_id", "child_id", F.col("order").cast("long").alias("ord"))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS errors")
+@query(
+    f"""WITH {PHRASES}, sized AS (SELECT doc_id, max(position) AS last, max(sentence_id) AS most FROM phr GROUP BY doc_id),
+lost AS (SELECT doc_id, 'sentence-1' AS id FROM sized WHERE most > 0 UNION ALL SELECT doc_id, 'token-' || position FROM phr WHERE sentence_id = 1
+  UNION ALL SELECT DISTINCT doc_id, 'bunsetsu-1-' || bunsetsu_id FROM phr WHERE sentence_id = 1)
+SELECT doc_id, 'duplicate id' AS error, 'token-0' AS id FROM sized UNION ALL SELECT doc_id, 'several parents', 'token-1' FROM sized WHERE last > 0
+UNION ALL SELECT doc_id, 'not connected to the root', id FROM lost UNION ALL SELECT doc_id, 'missing child', 'nowhere' FROM sized"""
+)
 def tree_topology(spark, sf):
-    """T4: errors in built trees."""
+    """T4: errors in trees with planted faults: a node twice, a second parent, an edge to nowhere, a sentence cut off."""
     nodes, edges = tree.build(_docs(spark, sf), shared(_phrases(spark, sf)))
-    return tree.topology_errors(shared(nodes), shared(edges)).agg(F.count("*").alias("errors"))
+    nodes, edges = shared(nodes), shared(edges)
+    planted = nodes.unionByName(nodes.filter("id = 'token-0'"))
+    whole = edges.filter("child_id <> 'sentence-1'")
+    second = nodes.filter("id = 'token-1'").select("doc_id", F.lit("sentence-0").alias("parent_id"), F.col("id").alias("child_id"), F.lit(9).alias("order"))
+    nowhere = nodes.filter("id = 'sentence-0'").select("doc_id", F.col("id").alias("parent_id"), F.lit("nowhere").alias("child_id"), F.lit(9).alias("order"))
+    return tree.topology_errors(planted, whole.unionByName(second).unionByName(nowhere)).select("doc_id", "error", "id")
 
 
 @query(
@@ -560,3 +577,129 @@ def tree_outline(spark, sf):
     from .plans.analyze import Analyzer
 
     return outline(Analyzer(latin_rules()).analyze(_docs(spark, sf)))
+
+
+# --------------------------------------------------------------------------------------- compilation
+
+#: A registry over the documents' closed-class words, for the queries below: family, place, part of speech, lemma, register.
+FAMILY_MEMBERS = (
+    ("copula", 0, "助動詞", "is", "standard"), ("copula", 1, "助動詞", "are", "standard"), ("copula", 2, "助動詞", "was", "formal"), ("copula", 3, "助動詞", "est", "standard"),
+    ("copula", 4, "助動詞", "ist", "dialect"), ("wish", 0, "助動詞", "be", "classical"), ("wish", 1, "助動詞", "phantom", "standard"),
+)
+_MEMBERS_SQL = "members(family, ord, pos1, base_form, register) AS (VALUES " + ", ".join(f"('{f}', {o}, '{p}', '{b}', '{r}')" for f, o, p, b, r in FAMILY_MEMBERS) + ")"
+
+
+def _members(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(FAMILY_MEMBERS), "family string, ord int, pos1 string, base_form string, register string")
+
+
+@query(
+    f"""WITH {TAGGED}, {_MEMBERS_SQL},
+usual AS (SELECT family, list(base_form ORDER BY ord) AS l FROM members WHERE register IN ('standard', 'formal') GROUP BY family),
+wide AS (SELECT m.pos1, m.base_form, CASE WHEN u.l IS NULL THEN [m.base_form] WHEN list_contains(u.l, m.base_form) THEN u.l ELSE list_append(u.l, m.base_form) END AS l FROM members m LEFT JOIN usual u USING (family)),
+once AS (SELECT DISTINCT surface, pos1, base_form FROM tags)
+SELECT o.surface, CASE WHEN w.l IS NOT NULL THEN 'one of ' || array_to_string(w.l, ',') WHEN o.pos1 IN ('動詞', '形容詞') THEN o.pos1 || ' ' || o.base_form ELSE o.surface END AS step
+FROM once o LEFT JOIN wide w ON o.pos1 = w.pos1 AND o.base_form = w.base_form"""
+)
+def literal_steps(spark, sf):
+    """The step that each distinct word of the documents compiles to."""
+    tokens = _tokens(spark, sf).select("surface", "pos1", "base_form").distinct().select(F.col("surface").alias("doc_id"), F.lit(0).alias("position"), "surface", "pos1", "base_form")
+    made = compiling.literal_steps(tokens, compiling.widened(_members(spark), ["standard", "formal"]))
+    one_of = F.concat(F.lit("one of "), F.array_join(F.transform("step.one_of", lambda p: p["base_form"]), ","))
+    return made.select(F.col("text").alias("surface"), F.coalesce(one_of, F.concat("step.pos1", F.lit(" "), "step.base_form"), F.col("step.surface")).alias("step"))
+
+
+@query(
+    f"""WITH {TAGGED}, {_MEMBERS_SQL}, inv AS (SELECT DISTINCT pos1, base_form FROM tags WHERE pos1 = '助動詞' OR (pos1 = '形状詞' AND pos2 = '助動詞語幹') OR (pos1 = '形容詞' AND pos2 = '非自立可能'))
+SELECT pos1, base_form, 'in no family' AS problem FROM inv WHERE (pos1, base_form) NOT IN (SELECT (pos1, base_form) FROM members)
+UNION ALL SELECT DISTINCT pos1, base_form, 'not in the inventory' FROM members WHERE (pos1, base_form) NOT IN (SELECT (pos1, base_form) FROM inv)"""
+)
+def inventory_audit(spark, sf):
+    """What a registry of families and the documents' closed-class words don't share."""
+    inventory = _tokens(spark, sf).filter(P.closed_class(F.col("pos1"), F.col("pos2"))).select("pos1", "base_form")
+    return compiling.inventory_audit(inventory, _members(spark))
+
+
+@query(f"WITH {TAGGED}, rare AS (SELECT pos1 FROM tags GROUP BY pos1, base_form HAVING count(*) = 1) SELECT DISTINCT pos1 FROM rare WHERE pos1 IN {_in(P.CLOSED_CLASSES)}")
+def unknown_class_leaks(spark, sf):
+    """Closed classes that words met once may get."""
+    rare = _tokens(spark, sf).groupBy("pos1", "base_form").agg(F.count("*").alias("n")).filter("n = 1")
+    return compiling.unknown_class_leaks(rare)
+
+
+@query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY source, lang, text, n_chars > 400 ORDER BY doc_id) AS n FROM documents) WHERE n = 1")
+def distinct_variants(spark, sf):
+    """Of a rule's variants with equal parts the first; texts stand in for cores, languages for contexts."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    made = docs.select("doc_id", F.col("source").alias("rule_id"), F.array("lang").alias("left_context"), F.array("text").alias("core"), F.array((F.col("n_chars") > 400).cast("string")).alias("right_context"))
+    return compiling.distinct_variants(made, "doc_id").select("doc_id")
+
+
+def _manifest_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations as entries of a file for each first role, their turns as examples."""
+    turns = spark.read.parquet(f"{sf}/conversations.parquet")
+    example = F.struct(F.col("text").alias("jp"), F.lit(None).cast("string").alias("romaji"), F.col("role").alias("en"))
+    packed = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", example.alias("x")))).alias("l"))
+    return packed.select(F.col("conv_id").cast("string").alias("rule_id"), F.lit("N5").alias("jlpt"), F.element_at("l", 1)["x"]["en"].alias("file"), F.col("conv_id").alias("source_index"), F.lit("t").alias("title"), F.lit(None).cast("string").alias("formation"), F.transform("l", lambda e: e["x"]).alias("examples"))
+
+
+_ENTRIES_SQL = """ordered AS (SELECT conv_id, text, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text, role) AS n FROM conversations),
+entries AS (SELECT conv_id, arg_min(role, n) AS file, count(*) AS examples FROM ordered GROUP BY conv_id)"""
+
+
+@query(f"WITH {_ENTRIES_SQL} SELECT CAST(conv_id AS VARCHAR) AS owning_rule_id, file AS source_file, n AS example_index, coalesce(text, '') AS jp, '' AS romaji, coalesce(role, '') AS en FROM ordered JOIN entries USING (conv_id)")
+def manifest_examples(spark, sf):
+    """Examples of all entries with their numbers."""
+    return compiling.manifest_examples(_manifest_entries(spark, sf)).select("owning_rule_id", "source_file", *_long("example_index"), "jp", "romaji", "en")
+
+
+@query(
+    f"""WITH {_ENTRIES_SQL}, files AS (SELECT file, sha256(file) AS sha256, count(*) AS entries, CAST(sum(examples) AS BIGINT) AS examples FROM entries GROUP BY file)
+SELECT file, sha256, entries, examples FROM files UNION ALL SELECT 'all', sha256(string_agg(file || sha256, '' ORDER BY file)), CAST(sum(entries) AS BIGINT), CAST(sum(examples) AS BIGINT) FROM files"""
+)
+def manifest_files(spark, sf):
+    """Counts and digests of source files, and the digest over all of them."""
+    entries = _manifest_entries(spark, sf)
+    files = compiling.manifest_files(entries, entries.select("file").distinct().withColumn("sha256", T.sha256(F.col("file")))).drop("jlpt")
+    whole = compiling.aggregate_digest(files).select(F.lit("all").alias("file"), F.col("aggregate_sha256").alias("sha256"), F.col("logical_rules").alias("entries"))
+    return files.unionByName(whole.join(F.broadcast(files.agg(F.sum("examples").alias("examples")))))  # one row each
+
+
+@query(
+    f"SELECT jlpt, count(*) AS rules, CAST(sum(n) AS BIGINT) AS variants FROM (VALUES {', '.join(f'({chr(39)}{r.jlpt}{chr(39)}, {len(r.effective())})' for r in latin_rules())}) t(jlpt, n) GROUP BY jlpt"
+)
+def catalog_levels(spark, sf):
+    """Rules and variants of each level."""
+    return compiling.level_counts(spark.createDataFrame([(r.id, r.jlpt, len(r.effective())) for r in latin_rules()], "rule_id string, jlpt string, n_variants int"))
+
+
+@query(
+    """WITH f AS (SELECT doc_id, 0 AS k, 'casual-01' AS form_id, 'from ' || source AS text FROM documents WHERE lang = 'en'
+UNION ALL SELECT doc_id, 1, 'casual-02', 'in ' || lang FROM documents WHERE lang = 'en'
+UNION ALL SELECT doc_id, CASE WHEN lang = 'en' THEN 2 ELSE 0 END, 'polite-01', 'as ' || doc_id || ' & more' FROM documents WHERE lang IN ('en', 'fr')
+UNION ALL SELECT doc_id, 0, 'title', 'Title ' || doc_id FROM documents WHERE lang IS NULL OR lang NOT IN ('en', 'fr')),
+more AS (SELECT doc_id, (SELECT max(k) FROM f g WHERE g.doc_id = d.doc_id) + 1, 'enrichment-own', 'more of ' || doc_id FROM documents d WHERE n_chars > 1000)
+SELECT CAST(doc_id AS VARCHAR) AS source_id, CAST(k AS BIGINT) AS form_no, form_id, text FROM (SELECT * FROM f UNION ALL SELECT * FROM more)"""
+)
+def enriched_points(spark, sf):
+    """Forms of raw records, and those that enrichments add by title."""
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    lang = F.coalesce("lang", F.lit(""))
+    number = F.col("doc_id").cast("string")
+    casual = F.concat(F.lit("Casual: from "), "source", F.lit("<br>Example:<br/>in <b>"), "lang", F.lit("</b><rt>x</rt>"))
+    polite = F.concat(F.lit("x → as "), number, F.lit(" &#38; more, pronounced so"))
+    title = F.concat(F.lit("<i>Title</i>  "), number)
+    raw = d.select(F.col("doc_id").alias("id"), title.alias("title"), F.lit("").alias("level"), F.lit("").alias("meaning"), F.lit("").alias("nuance_translation"), F.when(lang == "en", casual).alias("casual_structure"), F.when(lang.isin("en", "fr"), polite).alias("polite_structure"))
+    form = F.struct(F.lit("own").alias("id"), F.concat(F.lit("more of "), number).alias("text"))
+    extra = d.filter("n_chars > 1000").select(F.concat(F.lit("Title "), number).alias("title"), F.array(form).alias("forms"))
+    return compiling.merge_enrichments(shared(compiling.flatten_points(raw)), extra).select("source_id", *_long("form_no"), "form_id", "text")
+
+
+@query(None)
+def notation_nodes(spark, sf):
+    """Branches and nodes of formations, which are the titles of benchmark items behind a host."""
+    hosts = Hosts([Host("noun", ("noun", "noun phrase"), ((("pos1", P.NOUN),),)), Host("verb", ("verb",), ((("pos1", P.VERB),),))])
+    items = spark.read.parquet(f"{sf}/benchmark.parquet")
+    formation = F.concat(F.lit("noun / verb + ("), F.lit("は/も"), F.lit(") + て + noun phrase, verb + 為(ため)に "), F.col("item_id").cast("string"))
+    entries = items.select(F.col("item_id").cast("string").alias("rule_id"), F.lit("て (te)").alias("title"), formation.alias("formation"))
+    return compiling.nodes(entries, hosts).select("rule_id", "source", "branch", "node", "kind", "text", "optional", "error")

@@ -135,13 +135,56 @@ def parse_toml(text: str, where: str, source: tuple[str, str] = ("", "")) -> lis
     return rules
 
 
+def _quoted(value: str) -> str:
+    """A basic TOML string."""
+    plain = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\t": "\\t", "\r": "\\r"}
+    return '"' + "".join(plain.get(c) or (f"\\u{ord(c):04X}" if ord(c) < 32 or ord(c) == 127 else c) for c in value) + '"'
+
+
+def _inline(fields: dict) -> str:
+    return "{ " + ", ".join(f"{k} = {v}" for k, v in fields.items()) + " }"
+
+
+def _inline_step(s: Step) -> str:
+    out = {k: _quoted(s.fields[k]) for k in FIELDS if k in s.fields}
+    if s.gap is not None:
+        out["wildcard"] = _inline({"min": s.gap[0], "max": s.gap[1]})
+    if s.one_of:
+        out["one_of"] = "[" + ", ".join(_inline({k: _quoted(o[k]) for k in FIELDS if k in o}) for o in s.one_of) + "]"
+    if s.optional:
+        out["optional"] = "true"
+    if s.capture is not None:
+        out["capture"] = _quoted(s.capture)
+    return _inline(out)
+
+
+def render_toml(rules: list[Rule]) -> str:
+    """The file that parse_toml() reads as these rules; fields at their defaults are left out."""
+
+    def lines(x, names) -> list[str]:
+        shown = {str: _quoted, bool: lambda b: str(b).lower(), int: str}
+        return [f"{key} = {shown[type(value)](value)}" for key, value in ((key, getattr(x, name)) for name, key in names) if value is not None and value != "" and (value or isinstance(x, Variant))]
+
+    def steps(name: str, some: list[Step]) -> list[str]:
+        return [f"{name} = [", *[f"  {_inline_step(s)}," for s in some], "]"] if some else []
+
+    both = [("priority", "priority"), ("sense_id", "sense_id"), ("ambiguity_group", "ambiguity_group"), ("fallback", "fallback")]
+    out = []
+    for r in rules:
+        out += ["[[patterns]]", *lines(r, [(k, k) for k in ("id", "name", "jlpt", "meaning_en", "hint")] + both), *steps("steps", r.steps), ""]
+        for v in r.variants:
+            own = [("id", "id"), ("left_boundary", "left_boundary"), ("right_boundary", "right_boundary"), ("absorb", "absorb_left_context")] + both
+            out += ["[[patterns.variants]]", *lines(v, own), *steps("left_context", v.left), *steps("core", v.core), *steps("right_context", v.right), ""]
+    return "\n".join(out)
+
+
 def violations(rules: list[Rule]):
     """What is wrong with rules, in words."""
     for rule in rules:
         if not rule.id:
             yield "a rule has no id"
         if not rule.steps and not rule.variants:
-            yield f"rule {rule.id} has no steps or variants"
+            yield f"rule {rule.id} matches nothing: neither steps nor variants"
         yield from _step_violations(rule.steps, rule.id)
         seen = set()
         for v in rule.variants:
@@ -169,7 +212,7 @@ def _step_violations(steps: list[Step], rule: str):
         elif not s.fields and not s.one_of:
             yield f"rule {rule} has a step without any condition"
         if s.capture == "":
-            yield f"rule {rule} has an empty capture name"
+            yield f"rule {rule} captures under no name"
 
 
 def check_unique(rules: list[Rule]) -> list[Rule]:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.gloss import ENTRY
+from .notation import Host, Hosts
 
 
 def read_texts(spark: SparkSession, text: str | None = None, path: str | None = None, stdin: str | None = None) -> DataFrame:
@@ -21,7 +22,9 @@ def read_texts(spark: SparkSession, text: str | None = None, path: str | None =
         return spark.createDataFrame([(0, text)], "doc_id long, input string")
     if path is not None:
         files = spark.read.text(path, wholetext=True).select(F.col("value").alias("input"), F.input_file_name().alias("file"))
-        return files.select((F.row_number().over(Window.orderBy("file")) - 1).cast("long").alias("doc_id"), "input")
+        names = files.select("file").distinct()  # only names are put in one order, not texts
+        numbered = names.select(F.col("file").alias("name"), (F.row_number().over(Window.orderBy("file")) - 1).cast("long").alias("doc_id"))
+        return files.join(numbered, F.col("file") == F.col("name")).select("doc_id", "input")
     piped = stdin if stdin is not None else "" if sys.stdin is None or sys.stdin.isatty() else sys.stdin.read()
     return spark.createDataFrame([(0, piped)] if piped.strip() else [], "doc_id long, input string")
 
@@ -110,9 +113,15 @@ def read_hosts(spark: SparkSession, path: str) -> DataFrame:
     return hosts
 
 
+def host_registry(hosts: DataFrame) -> Hosts:
+    """The rows of read_hosts() as the registry that notation is read with."""
+    plain = lambda p: tuple(sorted((k, v) for k, v in p.asDict().items() if v is not None))
+    return Hosts([Host(r["name"], tuple(r["aliases"]), tuple(plain(p) for p in r["predicates"] or []), (r["wildcard"]["min"], r["wildcard"]["max"]) if r["wildcard"] else None) for r in hosts.collect()])  # a registry
+
+
 def read_families(spark: SparkSession, path: str) -> DataFrame:
-    """(family, pos1, base_form, register): no member in two families."""
-    members = spark.read.schema(FAMILIES).json(path, multiLine=True).select(F.explode("families").alias("f")).select(F.col("f.name").alias("family"), F.explode("f.members").alias("m")).select("family", "m.*")
+    """(family, ord, pos1, base_form, register): no member in two families."""
+    members = spark.read.schema(FAMILIES).json(path, multiLine=True).select(F.explode("families").alias("f")).select(F.col("f.name").alias("family"), F.posexplode("f.members").alias("ord", "m")).select("family", "ord", "m.*")
     if not members.groupBy("pos1", "base_form").count().filter("count > 1").isEmpty():
         raise ValueError("a member belongs to two families")
     return members
