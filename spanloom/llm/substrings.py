@@ -7,12 +7,12 @@ joins of packed blocks of documents, never with a row for each window:
 1. Filter. Every block ships short fingerprints of its distinct edges; buckets of the fingerprint space answer
    which of them occur in two blocks at least (blocks.count_across_blocks). The answer is joined with the block.
 2. Edges. A block resolves the repeats inside itself, then ships the 128-bit hashes of its edges that passed the
-   filter, with the smallest document that holds each. Buckets of the hash space answer with the source of each
-   edge. Edges go out and come back in the order of their documents.
-3. Compaction. The answers are joined with the block; in each document, consecutive repeated edges whose sources are
-   the same document form one path, and paths compact into spans of words with their source. Positions in the source
-   are not used: where the source changes, the path ends, so a span is as long as the run of edges that one source
-   document confirms edge by edge, wherever they stand in it. The words of the spans are removed.
+   filter, with the source coordinates of each: the smallest document that holds it and the first place there. Buckets
+   of the hash space answer with the source coordinates over all blocks. Edges go out and come back in the order of
+   their coordinates.
+3. Compaction. The answers are joined with the block; in each document, consecutive repeated edges whose sources stand
+   one behind the other in one document form one nonbranching path, and paths compact into spans of words with their
+   source and the place there, where the whole span stands. The words of the spans are removed.
 
 Identity is that of 128-bit hashes of the words. Windows are judged on the input, not on what is left.
 
@@ -63,8 +63,9 @@ class Block:
         self.high = window_hashes(hash_words(raw, starts, ends, SEEDS[1]), size, SEEDS[1])[self.at] if wide else None
         self.ids = ids
 
-    def sources(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The group of equal windows that each window is in, and of each group the smallest document and the hashes.
+    def sources(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The group of equal windows that each window is in, and of each group the smallest document with the first
+        place in it, and the hashes.
 
         Groups are in the order of their hashes, whatever the order of the rows.
         """
@@ -75,34 +76,39 @@ class Block:
         group = np.empty(len(order), dtype=np.int64)
         group[order] = np.cumsum(new) - 1
         begin = np.flatnonzero(new)
-        smallest = np.minimum.reduceat(self.ids[self.row[order]], begin) if len(begin) else np.zeros(0, np.int64)
-        return group, smallest, low[begin], high[begin]
+        every, rank = np.unique(self.ids, return_inverse=True)
+        place = rank[self.row] << 32 | (self.at - self.first[self.row])
+        smallest = np.minimum.reduceat(place[order], begin) if len(begin) else np.zeros(0, np.int64)
+        return group, every[smallest >> 32], smallest & 0xFFFFFFFF, low[begin], high[begin]
 
 
 def _ids(rows: pa.Array, key: str) -> np.ndarray:
     return rows.field(key).fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _candidates(block: Block, flags: np.ndarray, bits: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Groups that another block may hold too, by bucket, smallest document and hashes: rows can come in any order.
+def _candidates(block: Block, flags: np.ndarray, bits: int, buckets: int) -> tuple[np.ndarray, ...]:
+    """Groups that another block may hold too, by bucket, smallest document and place: rows can come in any order.
 
-    Returns the group of each window, the smallest document and the hashes of each group, and the groups chosen.
+    Returns the group of each window; the smallest document, the place in it and the hashes of each group; and the groups
+    chosen.
     """
-    group, smallest, low, high = block.sources()
+    group, smallest, place, low, high = block.sources()
     marks = fingerprints(low, bits)
     distinct = np.ones(len(marks), dtype=bool)
     distinct[1:] = marks[1:] != marks[:-1]
     chosen = np.flatnonzero(flags[np.cumsum(distinct) - 1] > 0)
-    order = np.lexsort((chosen, smallest[chosen], _bucket(low[chosen], buckets)))
-    return group, smallest, low, high, chosen[order]
+    order = np.lexsort((place[chosen], smallest[chosen], _bucket(low[chosen], buckets)))
+    return group, smallest, place, low, high, chosen[order]
 
 
-def _planes(values: np.ndarray) -> bytes:
-    return values.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+def _planes(values: np.ndarray, kind: str = "<i8") -> bytes:
+    """Differences of integers as planes of their bytes."""
+    return np.diff(values, prepend=0).astype(kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T.tobytes()
 
 
-def _unplanes(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).reshape(-1).view("<i8") if raw else np.zeros(0, np.int64)
+def _unplanes(raw: bytes, kind: str = "<i8") -> np.ndarray:
+    wide = np.dtype(kind).itemsize
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(wide, -1).T).reshape(-1).view(kind).astype(np.int64)) if raw else np.zeros(0, np.int64)
 
 
 def _bucket(low: np.ndarray, buckets: int) -> np.ndarray:
@@ -126,9 +132,9 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", size:
     def ship(keys, left, right):
         rows, flags_ = left.column("row").combine_chunks(), flags_of_block(right)
         if not len(rows) or not len(flags_):
-            return pa.table({"block": pa.array([], pa.int32()), "bucket": pa.array([], pa.int32()), "hashes": pa.array([], pa.binary()), "docs": pa.array([], pa.binary())})
+            return pa.table({"block": pa.array([], pa.int32()), "bucket": pa.array([], pa.int32()), "hashes": pa.array([], pa.binary()), "docs": pa.array([], pa.binary()), "places": pa.array([], pa.binary())})
         block = Block(_ids(rows, key), rows.field(text), size, True)
-        _, smallest, low, high, which = _candidates(block, flags_, bits, edges_per_bucket)
+        _, smallest, place, low, high, which = _candidates(block, flags_, bits, edges_per_bucket)
         to = _bucket(low[which], edges_per_bucket)
         cuts = [0, *(np.flatnonzero(np.diff(to)) + 1).tolist(), len(to)] if len(to) else [0]
         parts = [which[a:b] for a, b in zip(cuts, cuts[1:])]
@@ -137,47 +143,60 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", size:
                 "block": pa.array([keys[0].as_py()] * len(parts), pa.int32()),
                 "bucket": pa.array([int(to[a]) for a in cuts[:-1]], pa.int32()),
                 "hashes": pa.array([np.stack([low[p], high[p]]).tobytes() for p in parts], pa.binary()),
-                "docs": pa.array([_planes(np.diff(smallest[p], prepend=0)) for p in parts], pa.binary()),
+                "docs": pa.array([_planes(smallest[p]) for p in parts], pa.binary()),
+                "places": pa.array([_planes(place[p], "<i4") for p in parts], pa.binary()),
             }
         )
 
     def answer(batches):
         for (bucket,), table in by_run(batches, "bucket"):
             hashes = [np.frombuffer(x, np.uint64).reshape(2, -1) for x in table.column("hashes").to_pylist()]
-            docs = [np.cumsum(_unplanes(x)) for x in table.column("docs").to_pylist()]
+            docs = [_unplanes(x) for x in table.column("docs").to_pylist()]
+            places = [_unplanes(x, "<i4") for x in table.column("places").to_pylist()]
             sizes = [len(d) for d in docs]
-            both, every = np.concatenate(hashes, axis=1), np.concatenate(docs)
+            both, every, place = np.concatenate(hashes, axis=1), np.concatenate(docs), np.concatenate(places)
             order = np.lexsort((both[1], both[0]))
             low, high = both[0][order], both[1][order]
             new = np.ones(len(order), dtype=bool)
             new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
-            source = np.empty(len(order), dtype=np.int64)
-            source[order] = np.minimum.reduceat(every[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+            begin, member = np.flatnonzero(new), np.cumsum(new) - 1
+            least = np.minimum.reduceat(every[order], begin)
+            first = np.minimum.reduceat(np.where(every[order] == least[member], place[order], 1 << 32), begin)
+            source, at = np.empty((2, len(order)), dtype=np.int64)
+            source[order], at[order] = least[member], first[member]
             edges = np.concatenate([[0], np.cumsum(sizes)])
+            spans_ = list(zip(edges, edges[1:]))
             yield pa.RecordBatch.from_arrays(
-                [table.column("block").combine_chunks(), pa.array([bucket] * len(sizes), pa.int32()), pa.array([_planes(np.diff(source[a:b], prepend=0)) for a, b in zip(edges, edges[1:])], pa.binary())],
-                names=["block", "bucket", "sources"],
+                [
+                    table.column("block").combine_chunks(),
+                    pa.array([bucket] * len(sizes), pa.int32()),
+                    pa.array([_planes(source[a:b]) for a, b in spans_], pa.binary()),
+                    pa.array([_planes(at[a:b], "<i4") for a, b in spans_], pa.binary()),
+                ],
+                names=["block", "bucket", "sources", "places"],
             )
 
-    shipped = blocks.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(ship, "block int, bucket int, hashes binary, docs binary")
-    answers = shipped.repartition(edges_per_bucket, "bucket").sortWithinPartitions("bucket").mapInArrow(answer, "block int, bucket int, sources binary")
+    shipped = blocks.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(ship, "block int, bucket int, hashes binary, docs binary, places binary")
+    answers = shipped.repartition(edges_per_bucket, "bucket").sortWithinPartitions("bucket").mapInArrow(answer, "block int, bucket int, sources binary, places binary")
     # Flags and answers of a block come together, so that the block's candidates can be told again.
-    replies = flags.withColumn("sources", F.lit(None).cast("binary")).unionByName(answers.withColumn("flags", F.lit(None).cast("binary")))
+    nothing = F.lit(None).cast("binary")
+    replies = flags.withColumns({"sources": nothing, "places": nothing}).unionByName(answers.withColumn("flags", F.lit(None).cast("binary")))
     return blocks, replies, bits, edges_per_bucket
 
 
-def compact(rows: np.ndarray, at: np.ndarray, source: np.ndarray, size: int) -> np.ndarray:
-    """Spans (row, first word, words, source) of the paths of repeated windows in position order.
+def compact(rows: np.ndarray, at: np.ndarray, source: np.ndarray, place: np.ndarray, size: int) -> np.ndarray:
+    """Spans (row, first word, words, source, first word there) of the paths of repeated windows in position order.
 
-    Windows of a row that follow one another with the same source are one path.
+    Windows of a row that follow one another, and whose places in one source follow one another too, are one path: so
+    the whole span stands in the source as it is.
     """
     if not len(rows):
-        return np.zeros((0, 4), np.int64)
+        return np.zeros((0, 5), np.int64)
     new = np.ones(len(rows), dtype=bool)
-    new[1:] = (rows[1:] != rows[:-1]) | (at[1:] != at[:-1] + 1) | (source[1:] != source[:-1])
+    new[1:] = (rows[1:] != rows[:-1]) | (at[1:] != at[:-1] + 1) | (source[1:] != source[:-1]) | (place[1:] != place[:-1] + 1)
     begin = np.flatnonzero(new)
     length = np.diff(np.append(begin, len(rows))) + size - 1
-    return np.stack([rows[begin], at[begin], length, source[begin]], axis=1)
+    return np.stack([rows[begin], at[begin], length, source[begin], place[begin]], axis=1)
 
 
 def _spans(keys, rows: pa.StructArray, replies: pa.Table, key: str, text: str, size: int, bits: int, buckets: int) -> tuple[Block, np.ndarray]:
@@ -187,19 +206,18 @@ def _spans(keys, rows: pa.StructArray, replies: pa.Table, key: str, text: str, s
     flags = flags_of_block(has_flags) if len(has_flags) else np.zeros(0, np.uint8)
     block = Block(ids, rows.field(text), size, True)
     if not len(block.at):
-        return block, np.zeros((0, 4), np.int64)
-    group, smallest, _, _, which = _candidates(block, flags, bits, buckets)
+        return block, np.zeros((0, 5), np.int64)
+    group, source, place, _, _, which = _candidates(block, flags, bits, buckets)
     answered = replies.filter(replies.column("sources").is_valid())
     by = np.argsort(answered.column("bucket").to_numpy(zero_copy_only=False), kind="stable")
-    lists = answered.column("sources").to_pylist()
-    found = np.concatenate([np.cumsum(_unplanes(lists[i])) for i in by]) if len(by) else np.zeros(0, np.int64)
+    told = [answered.column(c).to_pylist() for c in ("sources", "places")]
+    found, at = (np.concatenate([_unplanes(x[i], kind) for i in by]) if len(by) else np.zeros(0, np.int64) for x, kind in zip(told, ("<i8", "<i4")))
     if len(found) != len(which):
         raise ValueError(f"block {keys[0].as_py()}: {len(which)} edges asked for, {len(found)} answered")
-    source = smallest.copy()
-    source[which] = found
-    mine = source[group]
+    source[which], place[which] = found, at
+    mine, there = source[group], place[group]
     repeated = mine < ids[block.row]
-    return block, compact(block.row[repeated], block.at[repeated], mine[repeated], size)
+    return block, compact(block.row[repeated], block.at[repeated], mine[repeated], there[repeated], size)
 
 
 def _removed(block: Block, spans: np.ndarray) -> np.ndarray:
@@ -250,18 +268,19 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", size:
 
 
 def spans(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
-    """The repeated spans: key, first word, words, source (a document with a smaller id that holds these words)."""
+    """The repeated spans: key, first word, words, source (a document with a smaller id) and the first word there: the
+    source holds the span's words from that place on."""
     narrow = df.select(F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text}`").cast("string").alias("text"))
     blocks, replies, bits, buckets = repeated_spans(narrow, "doc", "text", size)
 
     def finish(keys, left, right):
         rows = left.column("row").combine_chunks()
-        block, found = _spans(keys, rows, right, "doc", "text", size, bits, buckets) if len(rows) else (None, np.zeros((0, 4), np.int64))
+        block, found = _spans(keys, rows, right, "doc", "text", size, bits, buckets) if len(rows) else (None, np.zeros((0, 5), np.int64))
         base = block.first[found[:, 0]] if block else 0
         ids = rows.field("doc")
-        return pa.table({key: ids.take(pa.array(found[:, 0])), "first": pa.array(found[:, 1] - base), "words": pa.array(found[:, 2]), "source": pa.array(found[:, 3])})
+        return pa.table({key: ids.take(pa.array(found[:, 0])), "first": pa.array(found[:, 1] - base), "words": pa.array(found[:, 2]), "source": pa.array(found[:, 3]), "source_first": pa.array(found[:, 4])})
 
-    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(finish, f"`{key}` long, first long, words long, source long")
+    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(finish, f"`{key}` long, first long, words long, source long, source_first long")
 
 
 def digests(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:

@@ -48,10 +48,10 @@ def test_spans_have_sources(docs, documents):
     assert found
     for r in found:
         if r.doc_id is not None:
-            run, other = words[r.doc_id][r.first : r.first + r.words], words[r.source]
+            run = words[r.doc_id][r.first : r.first + r.words]
             assert r.source < r.doc_id and r.words >= 13
-            grams = {tuple(other[i : i + 13]) for i in range(len(other) - 12)}
-            assert all(tuple(run[i : i + 13]) in grams for i in range(len(run) - 12))
+            assert run == words[r.source][r.source_first : r.source_first + r.words]
+    assert max(r.words for r in found) > 50
 
 
 def brute_components(documents, percent=75):
