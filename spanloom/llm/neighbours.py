@@ -7,14 +7,15 @@ classes go on, with their numbers of copies.
    bucket with a cosine of FLOOR or more are the first neighbours. Buckets beyond BUCKET vectors are cut by further
    hyperplanes.
 2. Descent. A vector's list holds its `width` best neighbours. Each round joins neighbours with their neighbours'
-   neighbours and computes the cosines of pairs that no links join yet; rounds end when none of them is a link.
+   neighbours and computes the cosines of pairs that no links join yet; what is found enters the lists, links or not.
+   Rounds end when none of the pairs is a link and fewer than DELTA of the lists' entries are new.
 3. Saturated lists. A list of `width` links may cut others off, which takes a group of more than `width` vectors. Such
    groups are compared with all vectors around them: a group is a ball around its root, and by the triangle inequality
    only vectors within the ball's radius and the threshold's angle can link with it; these meet the group in tiles.
    Where links are found the descent goes on, until no large group has a link to the outside.
 4. Audit. Vectors drawn from groups of every size class, at most AUDIT of a class, are compared with all vectors, block
-   by block. While the mean share of a vector's links that fall inside its group is below RECALL in any class, the start
-   is repeated with new hyperplanes (at most TABLES_MOST tables), and the descent goes on. If that is not enough, groups
+   by block. While the mean share of a vector's links that fall inside its group is below RECALL in any class, or no link
+   is met at all, the start is repeated with new hyperplanes (at most TABLES_MOST tables), and the descent goes on. If that is not enough, groups
    of every size are compared as in 3, which is exact.
 5. Count. The vectors of each group are compared in tiles, which count the links of each vector and emit no pairs.
 
@@ -23,7 +24,8 @@ of a class) and counters reaches the driver.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and vectors without a
 label, link with nothing; vectors of different lengths don't link; a null id is a vector of its own that links with
-nothing; repeated rows are copies of each other; an empty table gives an empty table.
+nothing; repeated rows are copies of each other; labels that are no integers are compared by a 64-bit hash; components
+other than floats are an error; extra columns don't matter; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -49,6 +51,7 @@ TILE = 1024
 AUDIT = 512
 RECALL = 0.995
 ROWS = 20_000
+DELTA = 0.01
 #: Centres and vectors that meet in one tile, centres compared at once, and slack of an angle for rounding.
 CENTRES, VECTORS, SLICE = 8192, 4096, 512
 SLACK = 1e-6
@@ -67,15 +70,22 @@ def _matrix(column) -> np.ndarray:
 
 def _clean(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
     """(id, label, dim, vec) of the vectors that can link: vec has the components' bytes."""
-    base = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{label}`").cast("long").alias("label"), F.col(f"`{vector}`").cast("array<float>").alias("v"))
+    kinds = dict(df.dtypes)
+    if kinds[vector] != "array<float>":
+        raise ValueError(f"{vector} is {kinds[vector]}: vectors have float components")
+    group = F.col(f"`{label}`").cast("long") if kinds[label] in ("tinyint", "smallint", "int", "bigint") else F.when(F.col(f"`{label}`").isNotNull(), F.xxhash64(F.col(f"`{label}`")))
+    base = df.select(F.col(f"`{key}`").cast("long").alias("id"), group.alias("label"), F.col(f"`{vector}`").cast("array<float>").alias("v"))
     sound = F.exists("v", lambda c: c != 0) & F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
     base = base.filter("id is not null and label is not null and v is not null").filter(F.size("v") > 0).filter(sound)
 
     def pack(batches):
         for batch in batches:
-            flat = [np.array(x, dtype=np.float32) + np.float32(0) for x in batch.column(2).to_pylist()]  # -0 becomes 0
+            lists = batch.column(2)
+            raw = (lists.flatten().to_numpy(zero_copy_only=False).astype(np.float32) + np.float32(0)).tobytes()  # -0 becomes 0
+            dims = lists.value_lengths().to_numpy().astype(np.int64)
+            edges = (4 * np.concatenate([[0], np.cumsum(dims)])).tolist()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([len(x) for x in flat], pa.int64()), pa.array([x.tobytes() for x in flat], pa.binary())],
+                [batch.column(0), batch.column(1), pa.array(dims), pa.array([raw[a:b] for a, b in zip(edges, edges[1:])], pa.binary())],
                 names=["id", "label", "dim", "vec"],
             )
 
@@ -197,7 +207,7 @@ def descend(reps: DataFrame, edges: DataFrame, threshold: float, floor: float, w
                 yield _edges(batch.column(0).to_numpy()[keep], batch.column(1).to_numpy()[keep], cos[keep])
 
         new = save(given.mapInArrow(score, EDGE), "edges")
-        if new.filter(F.col("cos") >= threshold).isEmpty():
+        if new.filter(F.col("cos") >= threshold).isEmpty() and new.count() <= DELTA * lists.count():
             return edges, group
         edges = save(edges.unionByName(new), "edges")
 
@@ -332,8 +342,9 @@ def settle(reps: DataFrame, edges: DataFrame, threshold: float, floor: float, wi
         edges = save(edges.unionByName(more).dropDuplicates(["a", "b"]), "edges")
 
 
-def audit(reps: DataFrame, group: DataFrame, threshold: float, sample: int = AUDIT) -> float:
-    """Mean share of a vector's links, found against all vectors, that fall inside its group: the least of all size classes.
+def audit(reps: DataFrame, group: DataFrame, threshold: float, sample: int = AUDIT) -> tuple[float, int]:
+    """(recall, links): the mean share of a vector's links, found against all vectors, that fall inside its group, of all
+    size classes the least; and how many links the audit met. Without any link it says nothing, and recall is 0.
 
     A size class holds the groups whose sizes have the same binary logarithm; about `sample` vectors of each are drawn.
     """
@@ -343,7 +354,7 @@ def audit(reps: DataFrame, group: DataFrame, threshold: float, sample: int = AUD
     placed = save(placed, "placed")
     share = {r["level"]: min(1.0, sample / r["n"]) for r in placed.groupBy("level").agg(F.count("*").alias("n")).collect()}  # a row for each class
     if not share:
-        return 1.0
+        return 1.0, 0
     draw = F.xxhash64("id").bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
     wanted = F.element_at(F.create_map(*[F.lit(x) for pair in share.items() for x in pair]), F.col("level"))
     chosen = placed.filter(draw < wanted).collect()  # about `sample` vectors of each class
@@ -368,12 +379,16 @@ def audit(reps: DataFrame, group: DataFrame, threshold: float, sample: int = AUD
                     k = np.flatnonzero(n)
                     yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in (queries[k], levels[k], n[k], held[k])], names=["a", "level", "n", "held"])
 
-    told = placed.mapInArrow(compare, "a long, level long, n long, held long").groupBy("a", "level").agg((F.sum("held") / F.sum("n")).alias("share"))
-    return told.groupBy("level").agg(F.avg("share").alias("share")).agg(F.coalesce(F.min("share"), F.lit(1.0))).first()[0]
+    told = placed.mapInArrow(compare, "a long, level long, n long, held long").groupBy("a", "level").agg((F.sum("held") / F.sum("n")).alias("share"), F.sum("n").alias("n"))
+    least, links = told.groupBy("level").agg(F.avg("share").alias("share"), F.sum("n").alias("n")).agg(F.min("share"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    return least if links else 0.0, int(links)
 
 
-def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD, floor: float = FLOOR, width: int = WIDTH, tables: int = TABLES) -> DataFrame:
-    """One row for each row of df: key, n_links, component_id, kept."""
+def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD, floor: float = FLOOR, width: int = WIDTH, tables: int = TABLES, report: dict | None = None) -> DataFrame:
+    """One row for each row of df: key, n_links, component_id, kept.
+
+    report gets the audited `recall`, the `audited_links`, and whether groups were compared exactly after it (`exact`).
+    """
     spark = df.sparkSession
     sound = _clean(df, key, vector, label)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
@@ -389,11 +404,13 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     edges = save(start(reps, biggest, 0, tables, count, floor, width), "edges")
     done = tables
     edges, group = settle(reps, edges, threshold, floor, width, width + 1, parts)
-    while (recall := audit(reps, group, threshold)) < RECALL and done < TABLES_MOST:
+    while (told := audit(reps, group, threshold))[0] < RECALL and done < TABLES_MOST:
         more = start(reps, biggest, done, done, count, floor, width)
         done *= 2
         edges, group = settle(reps, save(edges.unionByName(more).dropDuplicates(["a", "b"]), "edges"), threshold, floor, width, width + 1, parts)
-    if recall < RECALL:
+    if report is not None:
+        report |= {"recall": told[0], "audited_links": told[1], "exact": told[0] < RECALL}
+    if told[0] < RECALL:
         edges, group = settle(reps, edges, threshold, floor, width, 1, parts)
     linked = count_links(reps, classes, group, threshold, parts).withColumnRenamed("id", "a")
     roots = group.select(F.col("node"), "root")

@@ -10,8 +10,9 @@ Packing is local to a partition and to a bounded pool of waiting examples, so it
 partition leaves at most one sequence that is not full for want of examples. Sequence ids are
 (partition << 40) + number in the partition.
 
-Defined cases: a null text is an empty text and packs as its end token alone; repeated rows are packed each;
-an empty table gives an empty table.
+Defined cases: a null text is an empty text and packs as its end token alone; repeated rows are packed each; a very
+long text is cut over many sequences, and its ids wait in memory until its last piece is placed; ties go to the example
+that came first; other columns stay out of the result; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -107,6 +108,7 @@ def pack_documents(df: DataFrame, tokenizer_path: str, end_id: int = 0, key: str
     All tokens of a document bear loss. tokens, segments and loss are the limits of a sequence.
     """
     import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
 
     shared = share(df, tokenizer_path)
     end = np.array([end_id], dtype="<u4")
@@ -114,7 +116,7 @@ def pack_documents(df: DataFrame, tokenizer_path: str, end_id: int = 0, key: str
     schema = kept.select(key)
     for name, kind in (("start", "long"), ("length", "long"), ("ids_crc32", "long"), ("doc_tokens", "long"), ("sequence_id", "long"), ("offset", "long")):
         schema = schema.withColumn(name, F.lit(None).cast(kind))
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kept.dtypes[0][1]]
+    id_type = to_arrow_type(kept.schema[0].dataType)
 
     def run(batches):
         from pyspark import TaskContext
