@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that run() writes as Parquet and reads again as the
 next stage's docs. All stages but the last return the columns of documents; n_chars follows the text.
+
+Defined cases, in every stage: a null or empty text is no error (language ID drops it, as it has no letter; the stages
+behind would keep it); documents of one id are documents each, but of rows that repeat id and text the Jaccard join keeps
+one; ties go to the smaller id; whole texts are read, however long; further columns pass through under their names, those
+that are named like a stage's own columns included; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -13,17 +18,6 @@ from spanloom.llm import langid, lines, ngramjoin, packing, substrings
 from spanloom.llm.common import save
 
 
-#: Rows that Spark hands to a Python worker at once; the session's setting is kept where it is smaller.
-ARROW_ROWS = 1_000
-
-
-def _bounded(spark: SparkSession) -> None:
-    """Executors hold Python workers of several stages: hand them small batches."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name, "10000")) <= ARROW_ROWS:
-        spark.conf.set(name, str(ARROW_ROWS))
-
-
 def _columns(out: DataFrame, docs: DataFrame) -> DataFrame:
     """The columns of docs, n_chars counted again where there is a text."""
     kinds = dict(docs.dtypes)
@@ -33,7 +27,6 @@ def _columns(out: DataFrame, docs: DataFrame) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language; those without a letter go."""
-    _bounded(spark)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
     found = langid.predict(packed, langid.trained_model(docs), keep=False)
     return found.filter(F.col("lang_pred") != "und").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
@@ -46,19 +39,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    _bounded(spark)
     return ngramjoin.near_duplicates(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the spans of 13 words and more that an earlier document holds."""
-    _bounded(spark)
     return _columns(substrings.remove_repeats(docs), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of sequences of at most 1024 tokens."""
-    _bounded(spark)
     return packing.packed(docs, lean=True)
 
 
@@ -70,7 +60,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: No SQL computes Viterbi labels or token ids; tests/llm/test_joins.py checks the stages against brute force.
+#: No SQL computes Viterbi labels or token ids; tests/llm/test_joins.py compares every piece with a brute-force pipeline.
 ORACLE_SQL = None
 
 
