@@ -50,13 +50,13 @@ _BEGINS = np.array([a for a, _ in SCRIPTS])
 _SCRIPT_OF = np.array([NAMES.index(name) for _, name in SCRIPTS])
 
 
-def _word_pattern() -> re.Pattern:
-    """Letters (Unicode category L) with marks (M) after the first: numerals such as superscripts are no letters."""
+def _word_pattern(points: int) -> re.Pattern:
+    """Letters (Unicode category L) with marks (M) after the first, among the first code points: numerals are none."""
     runs: dict[str, list[str]] = {"L": [], "M": []}
     for kind, found in runs.items():
         begin = None
-        for point in range(0x110000 + 1):
-            inside = point < 0x110000 and unicodedata.category(chr(point))[0] == kind
+        for point in range(points + 1):
+            inside = point < points and unicodedata.category(chr(point))[0] == kind
             if inside and begin is None:
                 begin = point
             elif not inside and begin is not None:
@@ -66,7 +66,14 @@ def _word_pattern() -> re.Pattern:
     return re.compile(f"[{letters}][{letters}{marks}]*")
 
 
-_WORD = _word_pattern()
+#: Of the basic plane, which is a table lookup for each character, and of all planes.
+_BASIC, _WORD = _word_pattern(0x10000), _word_pattern(0x110000)
+_BEYOND = re.compile("[\U00010000-\U0010ffff]")
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a text: runs of letters and marks that begin with a letter."""
+    return (_WORD if not text.isascii() and _BEYOND.search(text) else _BASIC).findall(text)
 
 
 def features(word: str) -> list[int]:
@@ -100,7 +107,7 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_i
                 if name not in seen:
                     seen[name] = np.zeros(columns, dtype=np.int64)
                 counts = seen[name]
-                for w, n in Counter(_WORD.findall(one.lower())).items():
+                for w, n in Counter(words_of(one.lower())).items():
                     counts[FEATURES + script(w)] += n
                     for f in features(w):
                         counts[f] += n
@@ -157,7 +164,7 @@ class Labeller:
 
     def label(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each text the language index and the length in letters of every word."""
-        words = [_WORD.findall(t) for t in texts]
+        words = [words_of(t) for t in texts]
         if not self.langs:
             return [(np.zeros(0, np.int16), np.zeros(0, np.int64)) for _ in texts]
         ids = self._ids(words)

@@ -275,9 +275,11 @@ def test_language_accuracy_and_cases(docs, documents, empty):
 
 
 def test_letters_and_marks():
-    assert langid._WORD.findall("½ ² Ⅷ ① 12_x हिन्दी e\u0301t\u0301é \u0301 日本語 a") == ["x", "हिन्दी", "e\u0301t\u0301é", "日本語", "a"]
+    assert langid.words_of("½ ² Ⅷ ① 12_x हिन्दी e\u0301t\u0301é \u0301 日本語 a") == ["x", "हिन्दी", "e\u0301t\u0301é", "日本語", "a"]
     text = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x30000)]))
-    assert all(unicodedata.category(c)[0] in "LM" for w in langid._WORD.findall(text) for c in w)
+    want = "".join(c for c in text if unicodedata.category(c)[0] == "L")
+    assert "".join(c for w in langid.words_of(text) for c in w if unicodedata.category(c)[0] == "L") == want
+    assert langid.words_of("a \U00010400\U00010428 ½b") == ["a", "\U00010400\U00010428", "b"]
 
 
 def test_held_out_accuracy(spark):
