@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column_bytes, equal_spans, hash_words, memory_for, unused
+from .common import column_bytes, equal_spans, hash_words, memory_for, trim, unused
 
 #: Words in each generation of a worker's memo, beyond those of one block.
 MEMO_ENTRIES = 200_000
@@ -42,7 +42,7 @@ LONG = 64
 SPACED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MARKS = frozenset(".,;:!?")
 #: Bytes of text replayed together.
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES, LEAN_BLOCK_BYTES = 12_000_000, 5_000_000
 
 class Memo:
     """A bounded memo in two generations: what a block needs moves to the present one, the past one is dropped."""
@@ -77,6 +77,7 @@ class Replay:
         self.literal = regex.compile(b"|".join(regex.escape(t.encode()) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
 
         self.width = LEAN_DENSE if lean else DENSE
+        self.block = LEAN_BLOCK_BYTES if lean else BLOCK_BYTES
 
         self.find = regex.compile(pattern).findall
         #: Whether rows can be cut at spaces, which holds for this pattern only.
@@ -424,9 +425,10 @@ def blocks(sizes: np.ndarray, most: int = BLOCK_BYTES) -> Iterator[tuple[int, in
 def encoded(work: Replay, column) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Row slices of an Arrow string column with their ids and the edges of each row's ids."""
     raw, offsets = column_bytes(column)
-    for a, b in blocks(np.diff(offsets)):
+    for a, b in blocks(np.diff(offsets), work.block):
         part = raw[offsets[a] : offsets[b]]
         yield a, b, *work.encode_rows(part, offsets[a : b + 1] - offsets[a])
+        trim()
 
 
 def shared_replay(shared, pattern: str, lean: bool = False) -> Replay:
