@@ -15,7 +15,7 @@ from .functions import predicates as P
 from .functions import text as T
 from .operators import evaluate, gloss, match, rank, segment, tree
 from .operators.reuse import shared
-from .operators.tokens import AUXILIARIES, PARTICLES, PATTERN, PREFIXES, split_tokens, tile_errors, tokenize
+from .operators.tokens import AUXILIARIES, PARTICLES, PATTERN, PREFIXES, clean_features, split_tokens, tile_errors, tokenize
 from .plans import compile as compiling
 from .plans.requests import MOST_TEXT, validate_text
 from .sources.catalog import compile_rules, load_builtin
@@ -108,9 +108,14 @@ _PUNCT = "regexp_full_match({0}, '[!-/:-@\\[-`{{-~、。・…‥“”※]') AN
 _HOST = f"(p_surface = '・' OR (NOT ({_PUNCT.format('p_surface')}) AND ((p_pos1 = '名詞' AND NOT contains(p_pos3, '副詞可能')) OR (p_pos1 = '接尾辞' AND p_pos2 = '名詞的'))))"
 _PLACES = _in(P.PLACE_SUFFIXES)
 
+_FOCUS = "pos2 = '係助詞' AND surface IN ('は', 'も')"
+_TE = "(pos2 = '接続助詞' OR pos1 = '助動詞') AND surface IN ('て', 'で')"
+
 DECISIONS = f"""{SENTENCES},
 prevs AS (SELECT *, coalesce(lag(surface) OVER w, '') AS p_surface, coalesce(lag(pos1) OVER w, '') AS p_pos1, coalesce(lag(pos2) OVER w, '') AS p_pos2, coalesce(lag(pos3) OVER w, '') AS p_pos3,
-                 coalesce(lag(conj_form) OVER w, '') AS p_conj, lag(sentence_id) OVER w AS p_sent FROM sents WINDOW w AS (PARTITION BY doc_id ORDER BY position)),
+                 coalesce(lag(conj_form) OVER w, '') AS p_conj, lag(sentence_id) OVER w AS p_sent,
+                 coalesce(last_value(CASE WHEN NOT ({_FOCUS}) THEN CASE WHEN {_TE} THEN 1 ELSE 0 END END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS te
+          FROM sents WINDOW w AS (PARTITION BY doc_id ORDER BY position)),
 reasons AS (SELECT *, CASE
    WHEN p_sent IS NULL OR p_sent <> sentence_id THEN 'sentence start'
    WHEN p_pos1 = '接頭辞' OR p_pos2 = '括弧開' THEN 'after a prefix or an opening bracket'
@@ -121,7 +126,7 @@ reasons AS (SELECT *, CASE
    WHEN pos1 = '形状詞' AND pos2 = '助動詞語幹' THEN CASE WHEN p_pos1 IN ('動詞', '形容詞', '助動詞') THEN 'auxiliary stem after a predicate' ELSE 'auxiliary stem' END
    WHEN pos1 = '形状詞' THEN CASE WHEN {_HOST} THEN 'nominal adjective continues a compound' ELSE 'nominal adjective' END
    WHEN pos1 = '動詞' AND base_form = '為る' AND contains(p_pos3, 'サ変') THEN 'light verb after a verbal noun'
-   WHEN pos1 IN ('動詞', '形容詞') AND pos2 = '非自立可能' THEN CASE WHEN p_pos1 IN ('動詞', '形容詞') AND (p_conj LIKE '連用形%' OR p_conj LIKE '語幹%') THEN 'dependent predicate after a stem' ELSE 'dependent predicate' END
+   WHEN pos1 IN ('動詞', '形容詞') AND pos2 = '非自立可能' THEN CASE WHEN te = 1 THEN 'dependent predicate after a te form' WHEN p_pos1 IN ('動詞', '形容詞') AND (p_conj LIKE '連用形%' OR p_conj LIKE '語幹%') THEN 'dependent predicate after a stem' ELSE 'dependent predicate' END
    ELSE 'content word' END AS reason FROM prevs),
 decided AS (SELECT *, reason IN {_in(r for r, new in segment.REASONS.items() if new)} AS starts_new FROM reasons)"""
 
@@ -579,6 +584,45 @@ def tree_outline(spark, sf):
     return outline(Analyzer(latin_rules()).analyze(_docs(spark, sf)))
 
 
+# --------------------------------------------------------------------------------------- tagged Japanese
+
+#: Tagged tokens by which the branches are reached that Latin-script tags never reach: surface, three parts of speech,
+#: conjugated form, base form and reading; * stands for what is missing.
+TAGGED_TEXTS = (
+    "食べ 動詞 一般 * 連用形-一般 食べる タベ|て 助詞 接続助詞 * * て テ|は 助詞 係助詞 * * は ハ|いけ 動詞 非自立可能 * 未然形 行く イケ|ない 助動詞 * * 終止形 ない ナイ|。 補助記号 句点 * * 。 *|」 補助記号 括弧閉 * * 」 *|行く 動詞 一般 * 終止形 行く イク",
+    "勉強 名詞 普通名詞 サ変可能 * 勉強 ベンキョウ|し 動詞 非自立可能 * 連用形-一般 為る シ|て 助詞 接続助詞 * * て テ|い 動詞 非自立可能 * 連用形-一般 居る イ|ます 助動詞 * * 終止形 ます マス|！ 補助記号 一般 * * ！ *|ABC 名詞 普通名詞 * * ABC *|ー 補助記号 一般 * * ー *",
+    "お 接頭辞 * * * 御 オ|茶 名詞 普通名詞 一般 * 茶 チャ|さん 接尾辞 名詞的 一般 * さん サン|店 名詞 普通名詞 一般 * 店 ミセ|県 接尾辞 名詞的 一般 * 県 ケン|新宿 名詞 固有名詞 地名 * 新宿 シンジュク|今日 名詞 普通名詞 副詞可能 * 今日 キョウ|晴れ 名詞 普通名詞 一般 * 晴れ ハレ",
+    "読み 動詞 一般 * 連用形-一般 読む ヨミ|始め 動詞 非自立可能 * 連用形-一般 始める ハジメ|た 助動詞 * * 終止形 た タ|きれい 形状詞 一般 * * 綺麗 キレイ|そう 形状詞 助動詞語幹 * * そう ソウ|美し 形容詞 一般 * 語幹-一般 美しい ウツクシ|そう 形状詞 助動詞語幹 * * そう ソウ|◯ 記号 一般 * * ◯ *|欲しい 形容詞 非自立可能 * 終止形 欲しい ホシイ",
+    "「 補助記号 括弧開 * * 「 *|見 動詞 一般 * 連用形-一般 見る ミ|で 助動詞 * * 連用形 だ デ|も 助詞 係助詞 * * も モ|良い 形容詞 非自立可能 * 終止形 良い ヨイ|・ 補助記号 一般 * * ・ *|駅 名詞 普通名詞 一般 * 駅 エキ|簡単 形状詞 一般 * * 簡単 カンタン|? 補助記号 一般 * * ? *|次 名詞 普通名詞 一般 * 次 ツギ",
+)
+_TAGGED_ROWS = [(d, i, *(None if x == "*" and k == 7 else x for k, x in enumerate(t.split(" "), start=1))) for d, text in enumerate(TAGGED_TEXTS, start=1) for i, t in enumerate(text.split("|"))]
+_TAGGED_COLUMNS = ("doc_id", "position", "surface", "pos1", "pos2", "pos3", "conj_form", "base_form", "reading")
+_TAGGED_SQL = (
+    f"WITH given({', '.join(_TAGGED_COLUMNS)}) AS (VALUES "
+    + ", ".join("(" + ", ".join("NULL" if x is None else str(x) if isinstance(x, int) else f"'{x}'" for x in r) + ")" for r in _TAGGED_ROWS)
+    + "), tags AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(position AS BIGINT) AS position, surface, "
+    + ", ".join(f"CASE WHEN {c} IS NULL OR {c} = '*' THEN '' ELSE {c} END AS {c}" for c in _TAGGED_COLUMNS[3:])
+    + " FROM given)"
+)
+
+
+def tagged_tokens(spark: SparkSession) -> DataFrame:
+    """The tagged texts as token rows."""
+    rows = spark.createDataFrame(_TAGGED_ROWS, "doc_id long, position int, " + ", ".join(f"{c} string" for c in _TAGGED_COLUMNS[2:]))
+    return clean_features(rows.withColumns({"pos4": F.lit("*"), "conj_type": F.lit(None).cast("string")}))
+
+
+@query(
+    f"""{_TAGGED_SQL}{DECISIONS.removeprefix(f"WITH {TAGGED}").removeprefix(TAGGED)}
+SELECT doc_id, position, sentence_id, reason, starts_new, pos3, base_form, translate(reading, '{T.KATAKANA}', '{T.HIRAGANA}') AS kana,
+CAST(length(surface) + length(regexp_replace(surface, '[^\\x{{1100}}-\\x{{115F}}\\x{{2E80}}-\\x{{303E}}\\x{{3041}}-\\x{{9FFF}}\\x{{AC00}}-\\x{{D7A3}}\\x{{FF00}}-\\x{{FF60}}]', '', 'g')) AS BIGINT) AS width FROM decided"""
+)
+def tagged_decisions(spark, sf):
+    """Decisions about tagged Japanese tokens."""
+    found = segment.decisions(tagged_tokens(spark))
+    return found.select("doc_id", *_long("position", "sentence_id"), "reason", "starts_new", "pos3", "base_form", T.to_hiragana(F.col("reading")).alias("kana"), T.display_width(F.col("surface")).cast("long").alias("width"))
+
+
 # --------------------------------------------------------------------------------------- compilation
 
 #: A registry over the documents' closed-class words, for the queries below: family, place, part of speech, lemma, register.
