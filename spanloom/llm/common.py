@@ -28,6 +28,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jvm_dir.isDefined():
             return jvm_dir.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = os.path.join(tempfile.gettempdir(), f"spanloom-checkpoints-{os.getuid()}")
         spark.sparkContext.setCheckpointDir(root)
         return root
