@@ -197,7 +197,7 @@ def _with_context(core: DataFrame, found: DataFrame, best: Window, side: str, me
     top = top.select(F.col("doc_id").alias("d"), F.col("vid").alias("v"), F.col(meets).alias("m"), F.col(other).alias("o"), F.col("spec").alias("s"), F.col("captures").alias("c"))
     free, bound = core.filter(~F.col(f"has_{side}")), core.filter(F.col(f"has_{side}"))
     edge = "start" if side == "left" else "end"
-    met = bound.join(top, (F.col("doc_id") == F.col("d")) & (F.col("vid") == F.col("v")) & (F.col(edge) == F.col("m")))
+    met = bound.join(top, (F.col("doc_id") == F.col("d")) & (F.col(f"{side}_of") == F.col("v")) & (F.col(edge) == F.col("m")))
     new = {f"{side}_spec": F.col("s"), f"{side}_caps": F.col("c")} | ({"left_start": F.col("o")} if side == "left" else {})
     return free.unionByName(met.withColumns(new).select(*core.columns))
 

@@ -270,7 +270,7 @@ class Compiled:
     VARIANT = (
         "vid int, rule_ord int, variant_ord int, rule_id string, variant_id string, rule_name string, jlpt string, meaning_en string, hint string, sense_id string,"
         " ambiguity_group string, source_id string, source_label string, priority int, fallback boolean, left_boundary string, right_boundary string, absorb boolean,"
-        " wildcard_steps int, optional_steps int, has_left boolean, has_right boolean"
+        " wildcard_steps int, optional_steps int, has_left boolean, has_right boolean, left_of int, right_of int"
     )
 
     def table(self, spark: SparkSession, name: str) -> DataFrame:
@@ -345,6 +345,16 @@ def compile_rules(rules: list[Rule]) -> Compiled:
             out.most_segs = max(out.most_segs, len(segs))
             out.forms.append((form, vid, role, len(segs), spec, path, caps))
 
+    owners: dict[tuple[str, str], int] = {}  # equal contexts are looked for once, under the first variant that has them
+
+    def owner(vid: int, role: str, steps: list[Step]) -> int | None:
+        if not steps:
+            return None
+        first = owners.setdefault((role, repr(steps)), vid)
+        if first == vid:
+            add_forms(vid, role, steps)
+        return first
+
     for rule_ord, rule in enumerate(rules):
         for variant_ord, v in enumerate(rule.effective()):
             vid = len(out.variants)
@@ -352,12 +362,8 @@ def compile_rules(rules: list[Rule]) -> Compiled:
             left, right = ([] if _free(steps) else steps for steps in (v.left, v.right))
             out.variants.append(
                 (vid, rule_ord, variant_ord, rule.id, v.id, rule.name, rule.jlpt, rule.meaning_en, rule.hint, v.sense_id, v.ambiguity_group, rule.source[0], rule.source[1], int(v.priority or 0), bool(v.fallback), v.left_boundary, v.right_boundary, v.absorb)
-                + (sum(s.gap is not None for s in every), sum(s.optional for s in every), bool(left), bool(right))
+                + (sum(s.gap is not None for s in every), sum(s.optional for s in every), bool(left), bool(right), owner(vid, "left", left), owner(vid, "right", right))
             )
             add_forms(vid, "core", v.core)
-            if left:
-                add_forms(vid, "left", left)
-            if right:
-                add_forms(vid, "right", right)
     out.conjunctions = conjunctions
     return out
