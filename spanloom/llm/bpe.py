@@ -334,16 +334,17 @@ class Replay:
             inverse = np.fromiter((texts.setdefault(data[a:b], len(texts)) for a, b in zip(cuts.tolist(), ends.tolist())), np.int64, len(cuts))
             first = np.unique(inverse, return_index=True)[1]
         texts = [data[a:b].decode() for a, b in zip(cuts[first].tolist(), ends[first].tolist())]
-        split = [self._matches(t) for t in texts]
-        del texts, like
-        words = set()
-        words.update(*split)
+        split = {i: m for i, t in enumerate(texts) if (m := self._matches(t)) is not None}  # others are one match
+        words = set(texts).difference([texts[i] for i in split])
+        words.update(*split.values())
         self._learn(self.words.missing(words))
         ids_of = self.words.now.__getitem__
-        made = [ids_of(w[0]) if len(w) == 1 else b"".join(map(ids_of, w)) for w in split]
+        made = [None if i in split else ids_of(t) for i, t in enumerate(texts)]
+        for i, matches in split.items():
+            made[i] = b"".join(map(ids_of, matches))
         sizes = np.fromiter(map(len, made), dtype=np.int64, count=len(made)) // 4
         flat = np.frombuffer(b"".join(made), dtype="<u4")
-        del split, made, words
+        del split, made, words, texts, like
         begin = np.cumsum(sizes) - sizes
         lengths = sizes[inverse]
         edges = np.concatenate([[0], np.cumsum(lengths)])
@@ -363,17 +364,12 @@ class Replay:
         inside = np.searchsorted(offsets, a, side="right") == np.searchsorted(offsets, b, side="left")  # not over two rows
         return np.sort(np.concatenate([offsets, a[inside], b[inside]]))
 
-    def _matches(self, chunk: str) -> tuple[str, ...] | list[str]:
-        """The pattern's matches; words and words before one mark, most of all chunks, are told without it."""
-        if chunk in self.added:
-            return (chunk,)
-        body = chunk[1:] if chunk[0] == " " else chunk
-        if self.spaced:
-            if body.isalpha():
-                return (chunk,)
-            if body[-1:] in MARKS and body[:-1].isalpha():
-                return chunk[:-1], chunk[-1]
-        return self.find(chunk)
+    def _matches(self, chunk: str) -> list[str] | None:
+        """The pattern's matches; None where the whole chunk is one, as most are."""
+        if self.spaced and (chunk.isalpha() or chunk[0] == " " and chunk[1:].isalpha()) or chunk in self.added:
+            return None
+        found = self.find(chunk)
+        return None if found == [chunk] else found
 
     def encode(self, text: str) -> list[int]:
         raw = np.frombuffer(text.encode(), dtype=np.uint8)
@@ -383,6 +379,10 @@ class Replay:
         return b"".join(map(self.vocab.__getitem__, ids.tolist()))
 
 
+_MARK = np.zeros(256, dtype=bool)
+_MARK[[ord(c) for c in MARKS]] = True
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
 _ASCII_SPACE = np.zeros(256, dtype=bool)
 _ASCII_SPACE[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
 #: First bytes of the UTF-8 sequences among which there is white space (U+0085, U+00A0, U+1680, U+2000.., U+3000).
@@ -395,10 +395,19 @@ def _chunk_starts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
     A space between two characters that are not white space begins a match and ends the one before, so it is a
     place to cut. Where a neighbour may be white space beyond ASCII there is no cut, which is always right.
+
+    A line feed before a character that is no white space is a match of its own, whatever stands before it: the
+    pattern leaves the last character of a run of white space to a match of its own, and no match but one of white
+    space holds a line feed. So there is a cut on both sides of it. No match holds a letter and a mark, so there is a
+    cut between an ASCII letter and a mark.
     """
     n = len(raw)
     cut = np.zeros(n, dtype=bool)
     cut[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+    feed = np.flatnonzero(raw == 0x0A)
+    feed = feed[feed + 1 < n]
+    behind = raw[feed + 1]
+    feed = feed[~_ASCII_SPACE[behind] & ~_MAYBE_SPACE[behind] & ~cut[feed + 1]]  # the next byte is of the same row
     at = np.flatnonzero(raw == 0x20)
     at = at[(at > 0) & (at + 1 < n)]
     before, behind = raw[at - 1], raw[at + 1]
@@ -407,6 +416,11 @@ def _chunk_starts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     multi = before >= 0x80
     fine &= ~(multi & ((two == 0xC2) | ((two >= 0x80) & (two < 0xC0) & _MAYBE_SPACE[three])))
     cut[at[fine]] = True
+    mark = np.flatnonzero(_MARK[raw])
+    mark = mark[mark > 0]
+    cut[mark[_LETTER[raw[mark - 1]]]] = True
+    cut[feed] = True
+    cut[feed + 1] = True
     return np.flatnonzero(cut)
 
 

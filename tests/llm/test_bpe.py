@@ -43,6 +43,21 @@ def test_json_vocabulary():
     assert [work.encode(x) for x in texts] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_cuts_change_no_match():
+    """Rows of spaces, line feeds, marks and letters side by side, all in one block, against the library."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    work = bpe.Replay.of_json(open(P.path("byte_bpe_50k.json"), "rb").read(), bpe.SPACED)
+    draw = random.Random(5)
+    pieces = [" ", " ", "\n", "\n", "\r", "\t", "\u3000", "\xa0", "\x1c", ".", ",", "!", "'s", "'", "re", "a", "The", "é", "日", "7", "½", "<|endoftext|>"]
+    texts = ["".join(draw.choices(pieces, k=draw.randint(0, 9))) for _ in range(6000)]
+    got = [ids[x:y].tolist() for _, _, ids, edges in bpe.encoded(work, pa.array(texts)) for x, y in zip(edges, edges[1:])]
+    assert got == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_query_rows(docs, documents, empty, library):
     rows = bpe.digests(docs, MULTI, P.PATTERN).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens) for r in rows) == sorted((d is None, d or 0, len(library.encode_ordinary(t or ""))) for d, t, *_ in documents)
