@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import estimated_bytes, memory_for, trim
+from .common import distinct_ranks, estimated_bytes, memory_for, sorted_unique, trim
 
 #: Bytes of estimated input in one block, and features in one bucket.
 BLOCK_BYTES = 3 << 19
@@ -81,14 +81,14 @@ def fingerprints(hashes: np.ndarray, bits: int) -> np.ndarray:
 def count_across_blocks(blocks: DataFrame, features: Callable[[pa.Array], np.ndarray], bits: int, buckets: int, levels: int = 1) -> DataFrame:
     """(block, bucket, flags) for blocks from in_blocks().
 
-    features gives the sorted distinct 64-bit hashes of the rows of one block. flags has one byte for each distinct
+    features gives the 64-bit hashes of the rows of one block, in any order, repeated ones too. flags has one byte for each distinct
     fingerprint of the block in its bucket, in order: in how many blocks it occurs, as min(levels, log2 of that
     number, rounded up); so it is 0 for a fingerprint of one block only.
     """
     def ship(batches):
         memory_for("blocks")
         for block, rows in by_block(batches):
-            found = np.unique(fingerprints(features(rows), bits))
+            found = sorted_unique(fingerprints(features(rows), bits))
             edges = buckets_of(found, bits, buckets)
             full = np.flatnonzero(np.diff(edges))
             for at in range(0, len(full), 256):
@@ -103,7 +103,7 @@ def count_across_blocks(blocks: DataFrame, features: Callable[[pa.Array], np.nda
         for (bucket,), table in by_run(batches, "bucket"):
             parts = [unpack_sorted(x) for x in table.column("packed").to_pylist()]
             sizes = np.array([len(p) for p in parts])
-            every, inverse = np.unique(np.concatenate(parts), return_inverse=True)
+            every, inverse = distinct_ranks(np.concatenate(parts))
             times = np.bincount(inverse, minlength=len(every))
             level = np.minimum(np.ceil(np.log2(times)), levels).astype(np.uint8)[inverse]
             edges = np.concatenate([[0], np.cumsum(sizes)])

@@ -217,6 +217,32 @@ def equal_spans(raw: np.ndarray, starts: np.ndarray, others: np.ndarray, sizes:
     return out
 
 
+def sorted_unique(values: np.ndarray) -> np.ndarray:
+    """The distinct values in order, by one sort: many times faster on hashes than a table of them."""
+    values = np.sort(values)
+    new = np.ones(len(values), dtype=bool)
+    new[1:] = values[1:] != values[:-1]
+    return values[new]
+
+
+def distinct_ranks(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and the place of each value among them."""
+    order = np.argsort(values)
+    ordered = values[order]
+    new = np.ones(len(values), dtype=bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    place = np.empty(len(values), dtype=np.int64)
+    place[order] = np.cumsum(new) - 1
+    return ordered[new], place
+
+
+def hash_order(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """An order by low, then high. Rows of one low hash have one high hash, but for collisions, so low alone mostly tells."""
+    order = np.argsort(low)
+    tied = np.flatnonzero(low[order[1:]] == low[order[:-1]])
+    return np.lexsort((high, low)) if (high[order[tied]] != high[order[tied + 1]]).any() else order
+
+
 def window_hashes(words: np.ndarray, size: int, seed: int) -> np.ndarray:
     """Hash of each run of `size` consecutive words, at the index of its first word (length len(words) - size + 1)."""
     n = len(words) - size + 1

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import block_count, by_run, count_across_blocks, fingerprint_bits, fingerprints, flags_of_block, in_blocks
-from .common import NO_ID, column_bytes, estimated_bytes, hash_words, window_hashes, word_spans
+from .common import NO_ID, column_bytes, estimated_bytes, hash_order, hash_words, window_hashes, word_spans
 
 SIZE = 13
 SEEDS = (101, 202)
@@ -69,7 +69,7 @@ class Block:
 
         Groups are in the order of their hashes, whatever the order of the rows.
         """
-        order = np.lexsort((self.high, self.low))
+        order = hash_order(self.low, self.high)
         low, high = self.low[order], self.high[order]
         new = np.ones(len(order), dtype=bool)
         new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
@@ -155,7 +155,7 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", size:
             places = [_unplanes(x, "<i4") for x in table.column("places").to_pylist()]
             sizes = [len(d) for d in docs]
             both, every, place = np.concatenate(hashes, axis=1), np.concatenate(docs), np.concatenate(places)
-            order = np.lexsort((both[1], both[0]))
+            order = hash_order(both[0], both[1])
             low, high = both[0][order], both[1][order]
             new = np.ones(len(order), dtype=bool)
             new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
