@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import block_count, by_block, by_run, count_across_blocks, fingerprint_bits, fingerprints, flags_of_block, in_blocks
-from .common import NO_ID, column_bytes, estimated_bytes, hash_words, memory_for, save, trim, window_hashes, word_spans
+from .common import NO_ID, column_bytes, distinct_ranks, estimated_bytes, hash_words, memory_for, save, trim, window_hashes, word_spans
 from .components import components
 
 N = 5
@@ -317,7 +317,7 @@ def jaccard_classes(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
     classes = save(classes.select("low", "high", "class", F.col("home.block").alias("block"), "n"), "classes")
 
     # 2. Shingles by frequency; what representatives share among their first ones.
-    flags = count_across_blocks(blocks, lambda r: np.unique(_sets(r, n).hashes), bits, buckets, LEVELS)
+    flags = count_across_blocks(blocks, lambda r: _sets(r, n).hashes, bits, buckets, LEVELS)
     chosen = classes.select("block", F.struct("low", "high").alias("set")).groupBy("block").agg(F.collect_list("set").alias("sets"))
     replies = flags.select("block", "bucket", "flags", F.lit(None).cast("array<struct<low:bigint,high:bigint>>").alias("sets"))
     replies = replies.unionByName(chosen.select("block", F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("flags"), "sets"))
@@ -335,7 +335,7 @@ def jaccard_classes(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
         reps = np.array([r for r in _chosen(sets, sets.firsts()) if (int(low[r]), int(high[r])) in own], dtype=np.int64)
         level_of = flags_of_block(right.filter(right.column("flags").is_valid()))
         marks = fingerprints(sets.hashes, bits)
-        level = level_of[np.unique(marks, return_inverse=True)[1]]
+        level = level_of[distinct_ranks(marks)[1]]
         keep = np.zeros(len(sets.ids), dtype=bool)
         keep[reps] = True
         at = np.flatnonzero(keep[sets.owner])
