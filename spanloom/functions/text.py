@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -29,9 +30,9 @@ def to_hiragana(c: Column) -> Column:
     return F.translate(c, KATAKANA, HIRAGANA)
 
 
-def squeeze(c: Column) -> Column:
-    """Unicode white space collapsed to single spaces and trimmed."""
-    return F.trim(F.regexp_replace(c, "(?U)\\s+", " "))
+def squeeze(c: Column, blank: str = "(?U)\\s") -> Column:
+    """White space (Unicode's, unless a pattern is given) collapsed to single spaces and trimmed."""
+    return F.trim(F.regexp_replace(c, f"{blank}+", " "))
 
 
 def normalize(c: Column) -> Column:
@@ -70,6 +71,13 @@ def level(c: Column) -> Column:
 _NATIVE = f"&(?:{'|'.join(ENTITIES)});"
 
 
+def unescape_named(c: Column) -> Column:
+    """The references of ENTITIES decoded, one name after the other; others stay, as do those without their semicolon."""
+    for name, value in ENTITIES.items():
+        c = F.replace(c, F.lit(f"&{name};"), F.lit(value))
+    return c
+
+
 def unescape(c: Column) -> Column:
     """Character references decoded, once each: named and numeric ones, as HTML defines them."""
 
@@ -77,17 +85,14 @@ def unescape(c: Column) -> Column:
     def other(texts: pd.Series) -> pd.Series:
         return texts.map(html.unescape, na_action="ignore")
 
-    native = c
-    for name, value in ENTITIES.items():
-        native = F.replace(native, F.lit(f"&{name};"), F.lit(value))
     rare = F.regexp_replace(c, _NATIVE, "").rlike("&[#A-Za-z]") | c.rlike("&amp;[#A-Za-z]")
-    return F.when(rare, other(F.when(rare, c))).otherwise(native)
+    return F.when(rare, other(F.when(rare, c))).otherwise(unescape_named(c))
 
 
-def plain_text(c: Column) -> Column:
+def plain_text(c: Column, decode: Callable[[Column], Column] = unescape, blank: str = "(?U)\\s") -> Column:
     """Markup to text: scripts, styles and tags to spaces, character references decoded, white space squeezed."""
     out = F.regexp_replace(c, "(?s)<(script|style)[^>]*>.*?</(script|style)>", " ")
-    return squeeze(unescape(F.regexp_replace(out, "<[^>]*>", " ")))
+    return squeeze(decode(F.regexp_replace(out, "<[^>]*>", " ")), blank)
 
 
 #: Headings that are no forms, labels before forms, and what is said about the sound of a form.
