@@ -17,9 +17,13 @@ def _joined(df: DataFrame, by: list[str], order: str, value: Column, separator:
 
 
 def phrase_lines(phrases: DataFrame) -> DataFrame:
-    """(doc_id, sentence_id, line): 文n: [a·b] [c]."""
-    one = _joined(phrases, ["doc_id", "sentence_id", "bunsetsu_id"], "position", F.col("surface"), "·", "b")
-    lines = _joined(one, ["doc_id", "sentence_id"], "bunsetsu_id", F.concat(F.lit("["), "b", F.lit("]")), " ", "l")
+    """(doc_id, sentence_id, line): 文n: [a·b] [c].
+
+    Each token brings what stands before and behind it, so that a sentence is put together once.
+    """
+    before = F.when(F.col("position") > F.col("bunsetsu_start"), "·").when(F.col("bunsetsu_id") > 0, " [").otherwise("[")
+    value = F.concat(before, "surface", F.when(F.col("position") == F.col("bunsetsu_end"), "]").otherwise(""))
+    lines = _joined(phrases, ["doc_id", "sentence_id"], "position", value, "", "l")
     return lines.select("doc_id", "sentence_id", F.concat(F.lit("文"), (F.col("sentence_id") + 1).cast("string"), F.lit(": "), "l").alias("line"))
 
 
