@@ -1,21 +1,24 @@
-"""Row-pattern matching of a compiled catalog over token rows, as joins.
+"""Row-pattern matching of a compiled catalog over token rows, in passes over whole documents.
 
-Tokens meet predicates by an equi-join on the predicate's most selective field; hits vote for the start of the
-segments that hold the predicate; segments join over gaps by the number of clause marks before them, which is equal
-on both sides of a gap exactly if no mark stands inside it; contexts are the best sequences that end or begin at a
-core. Every step is partitioned by doc_id, so tokens are shuffled once.
+Tokens are looked up in the predicates' fields once for each distinct value of a batch. A segment stands where all of its
+steps' hits do; segments join over gaps by the number of clause marks before them, which is equal on both sides of a gap
+exactly if no mark stands inside it; contexts are the best sequences that end or begin at a core. All of it is arrays of
+places (see ordered.py): no token is shuffled or kept, and matches leave a batch as numbers.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..sources.catalog import FIELDS, Compiled
-from .reuse import shared
+from .ordered import Places, in_order, ragged, run, schema_of
 
 CAPTURES = "array<struct<name:string,token_start:int,token_end:int>>"
 #: Rows of a catalog table up to which it is broadcast; a catalog does not grow with the data.
@@ -30,176 +33,261 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 KINDS = {"word": 0, "clause": 1, "sentence": 2, "edge": 3}
 
 
-def _kind() -> Column:
-    return F.when(P.sentence_mark(F.col("surface")), KINDS["sentence"]).when(P.clause_mark(F.col("surface")), KINDS["clause"]).otherwise(KINDS["word"])
+def kind() -> Column:
+    found = F.when(P.sentence_mark(F.col("surface")), KINDS["sentence"]).when(P.clause_mark(F.col("surface")), KINDS["clause"])
+    return found.otherwise(KINDS["word"]).alias("__kind")
 
 
-def _neighbours() -> list[Column]:
-    by = Window.partitionBy("doc_id").orderBy("position")
-    return [F.lag(_kind(), 1, KINDS["edge"]).over(by).alias("before"), F.lead(_kind(), 1, KINDS["edge"]).over(by).alias("behind")]
+@dataclass
+class Found:
+    """Matches of a batch, an entry for each: places (start is the core's), path and captures as padded rows.
 
-
-def places(tokens: DataFrame) -> DataFrame:
-    """(doc_id, position, fields, mark, kind, before, behind, pre): tokens with the clause marks before them and the kinds
-    of their neighbours (see KINDS)."""
-    by = Window.partitionBy("doc_id").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
-    mark = P.clause_mark(F.col("surface")).cast("int")
-    placed = tokens.select("doc_id", "position", *FIELDS, mark.alias("mark"), _kind().alias("kind"), *_neighbours())
-    return placed.withColumn("pre", F.coalesce(F.sum("mark").over(by), F.lit(0)).cast("int"))
-
-
-def step_hits(placed: DataFrame, catalog: Compiled) -> DataFrame:
-    """(doc_id, pred, position, pre, mark, before, behind): tokens that match predicates.
-
-    Keys that no predicate has are dropped before they become rows. A token that matches several conjunctions of a
-    predicate comes as often.
+    Of captures there are names (numbers; -1 is none), starts and ends, the taken ones first.
     """
-    spark = placed.sparkSession
-    known = {f: sorted({c[0] for c in catalog.conjunctions if c[0].startswith(f"{f}=")}) for f in catalog.key_fields}
-    keys = [F.when(key.isin(known[f]), key) for f in catalog.key_fields for key in [F.concat(F.lit(f"{f}="), F.col(f))]]
-    keyed = placed.withColumn("key", F.explode(F.array_compact(F.array(*keys))))
-    conj = catalog.table(spark, "conjunctions").select("key", "pred", *[F.col(f).alias(f"want_{f}") for f in FIELDS])
-    met = keyed.join(_small(conj, len(catalog.conjunctions)), "key")
-    met = met.filter(reduce(lambda a, b: a & b, [P.field_matches(F.col(f"want_{f}"), F.col(f)) for f in FIELDS]))
-    return met.select("doc_id", "pred", "position", "pre", "mark", "before", "behind")
-
-
-def segment_hits(hits: DataFrame, catalog: Compiled) -> DataFrame:
-    """(doc_id, seg, start, end, pre_start, pre_end, before, behind): places of segments with steps, `end` exclusive."""
-    steps = _small(catalog.table(hits.sparkSession, "seg_steps"), len(catalog.seg_steps))
-    votes = hits.join(steps, "pred").withColumn("start", F.col("position") - F.col("offset"))
-    full = votes.groupBy("doc_id", "seg", "start", "length").agg(F.bit_or(F.expr("shiftleft(1L, offset)")).alias("hit"), F.min("pre").alias("pre_start"), F.max(F.col("pre") + F.col("mark")).alias("pre_end"), F.max(F.when(F.col("offset") == 0, F.col("before"))).alias("before"), F.max(F.when(F.col("offset") == F.col("length") - 1, F.col("behind"))).alias("behind"))
-    return full.filter(F.bit_count("hit") == F.col("length")).select("doc_id", "seg", "start", (F.col("start") + F.col("length")).alias("end"), "pre_start", "pre_end", "before", "behind")
-
-
-def gaps_between(placed: DataFrame) -> DataFrame:
-    """(at_doc, at, at_pre, at_before, at_behind): where a segment of no steps stands, which is every position, the end of
-    the text included."""
-    place = lambda p, pre, before, behind: F.struct(p.cast("int").alias("at"), pre.cast("int").alias("at_pre"), before.cast("int").alias("at_before"), behind.cast("int").alias("at_behind"))
-    own = place(F.col("position"), F.col("pre"), F.col("before"), F.col("kind"))
-    last = place(F.col("position") + 1, F.col("pre") + F.col("mark"), F.col("kind"), F.lit(KINDS["edge"]))
-    every = F.when(F.col("behind") == KINDS["edge"], F.array(own, last)).otherwise(F.array(own))
-    return placed.select(F.col("doc_id").alias("at_doc"), F.explode(every).alias("x")).select("at_doc", "x.*")
-
-
-def sequences(tokens: DataFrame, catalog: Compiled) -> DataFrame:
-    """(doc_id, vid, role, start, end, before, behind, spec, path, captures): all matches of all forms of all sequences.
-
-    A state's next segment begins one of the gap's widths behind its end: a row for each width meets the segments that
-    begin there, so no pair of places is looked at whose distance is wrong. Segments of no steps are looked up where a
-    state or a following segment needs them; only forms that begin with two of them start everywhere.
+
+    vid: np.ndarray
+    token_start: np.ndarray
+    token_end: np.ndarray
+    core: np.ndarray
+    context: np.ndarray
+    start: np.ndarray
+    path: np.ndarray
+    caps: np.ndarray  # match, capture, (name, start, end)
+
+
+@dataclass
+class _Ways:
+    """Matches of the forms of one sequence: end is exclusive."""
+
+    start: np.ndarray
+    end: np.ndarray
+    spec: np.ndarray
+    path: np.ndarray
+    caps: np.ndarray
+
+    def take(self, rows) -> _Ways:
+        return _Ways(*[getattr(self, f)[rows] for f in ("start", "end", "spec", "path", "caps")])
+
+
+def _stack(blocks: list[np.ndarray], fill: int) -> np.ndarray:
+    """Blocks one below the other, as wide as the widest."""
+    wide = max(b.shape[1] for b in blocks)
+    return np.concatenate([b if b.shape[1] == wide else np.concatenate([b, np.full((len(b), wide - b.shape[1], *b.shape[2:]), fill, b.dtype)], axis=1) for b in blocks])
+
+
+def _first_of(keys: list[np.ndarray], order: list[np.ndarray]) -> np.ndarray:
+    """The first row of each key by order; the most important column comes first."""
+    rows = np.lexsort([*order[::-1], *keys[::-1]])
+    new = np.zeros(len(rows), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[rows][1:] != k[rows][:-1]
+    return rows[new]
+
+
+def _columns(block: np.ndarray) -> list[np.ndarray]:
+    return [block[:, i] for i in range(block.shape[1])]
+
+
+class Matcher:
+    """A compiled catalog for passes; it goes to the workers."""
+
+    def __init__(self, catalog: Compiled):
+        self.conjunctions = [(pred, [(f, v) for f, v in zip(FIELDS, values) if v is not None]) for _, pred, *values in catalog.conjunctions]
+        self.fields = [f for f in FIELDS if any(f == g for _, fields in self.conjunctions for g, _ in fields)]
+        self.steps: dict[int, list[int]] = {}
+        for seg, offset, pred, _ in sorted(catalog.seg_steps):
+            self.steps.setdefault(seg, []).append(pred)
+        segs: dict[int, list[tuple]] = {}
+        for form, _, seg, length, low, high in sorted(catalog.segs):
+            segs.setdefault(form, []).append((seg, length, low, high))
+        self.names = sorted({c[0] for f in catalog.forms for c in f[6]})
+        self.forms: dict[tuple[int, str], list[tuple]] = {}
+        for form, vid, role, _, spec, path, caps in catalog.forms:
+            self.forms.setdefault((vid, role), []).append((segs[form], spec, path, [(self.names.index(n), s, o, g) for n, s, o, g in caps]))
+        self.variants = [(v[0], v[15], v[16], v[17], v[20], v[21], v[22], v[23]) for v in catalog.variants]
+
+    def find(self, table: pa.Table, places: Places) -> Found:
+        return _Batch(self, table, places).found()
+
+
+class _Batch:
+    def __init__(self, matcher: Matcher, table: pa.Table, places: Places):
+        self.m, self.places = matcher, places
+        self.kind = places.spread(table.column("__kind").to_numpy(), KINDS["edge"])
+        counted = np.cumsum(self.kind > 0)
+        self.pre = np.concatenate([[0], counted[:-1]])
+        codes = {}
+        for f in matcher.fields:
+            coded = pc.dictionary_encode(table.column(f).combine_chunks())
+            coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+            known = {v: i for i, v in enumerate(coded.dictionary.to_pylist())}
+            codes[f] = (known, pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False))
+        self.hits: dict[int, np.ndarray] = {}
+        for pred, fields in matcher.conjunctions:
+            if not all(v in codes[f][0] for f, v in fields):
+                continue
+            rows = None
+            for f, v in fields:
+                known, values = codes[f]
+                rows = np.flatnonzero(values == known[v]) if rows is None else rows[values[rows] == known[v]]
+            at = places.at[rows]
+            self.hits[pred] = np.union1d(self.hits[pred], at) if pred in self.hits else at
+        self.stands: dict[int, np.ndarray] = {}
+        self.known: dict[tuple[int, str], _Ways] = {}
+
+    @staticmethod
+    def _among(places: np.ndarray, some: np.ndarray) -> np.ndarray:
+        if not len(some):
+            return np.zeros(len(places), bool)
+        return some[np.minimum(np.searchsorted(some, places), len(some) - 1)] == places
+
+    def segment(self, seg: int) -> np.ndarray:
+        """Places where a segment with steps begins."""
+        if seg not in self.stands:
+            none = np.zeros(0, np.int64)
+            sets = [(self.hits.get(p, none), o) for o, p in enumerate(self.m.steps[seg])]
+            fewest, offset = min(sets, key=lambda s: len(s[0]))
+            begin = fewest - offset
+            for hits, o in sets:
+                begin = begin[self._among(begin + o, hits)]
+            self.stands[seg] = begin
+        return self.stands[seg]
+
+    def form(self, segs: list[tuple], spec: int, path: list[int], caps: list[tuple]) -> _Ways:
+        """All ways through a form: a state's next segment begins one of the gap's widths behind its end."""
+        seg, length, _, _ = segs[0]
+        if length:
+            begin = self.segment(seg)
+            starts, ends, k = [begin], [begin + length], 1
+        elif len(segs) > 1 and segs[1][1]:  # led by a gap: the segment behind it says where
+            seg, length, low, high = segs[1]
+            begin = self.segment(seg)
+            led = [(begin - w, begin) for w in range(low, high + 1)]
+            led = [(p[ok], b[ok]) for p, b in led for ok in [(p >= 0) & (self.pre[np.maximum(p, 0)] == self.pre[b])]]
+            p, b = (np.concatenate(x) for x in zip(*led))
+            starts, ends, k = [p, b], [p, b + length], 2
+        else:
+            every = np.arange(1, self.places.size)
+            starts, ends, k = [every], [every], 1
+        for seg, length, low, high in segs[k:]:
+            rows, nexts = [], []
+            for w in range(low, high + 1):
+                to = ends[-1] + w
+                ok = to < self.places.size
+                ok[ok] = self.pre[to[ok]] == self.pre[ends[-1][ok]]
+                if length:
+                    ok[ok] = self._among(to[ok], self.segment(seg))
+                chosen = np.flatnonzero(ok)
+                rows.append(chosen)
+                nexts.append(to[chosen])
+            rows, to = np.concatenate(rows), np.concatenate(nexts)
+            starts, ends = [*[s[rows] for s in starts], to], [*[e[rows] for e in ends], to + length]
+        n = len(starts[0])
+        taken = np.empty((n, len(path)), np.int32)
+        for i, x in enumerate(path):
+            taken[:, i] = x if x >= 0 else starts[-x] - ends[-x - 1]
+        made = np.full((n, len(caps), 3), -1, np.int64)
+        for i, (name, seg, off, gap) in enumerate(caps):
+            first = (starts[seg] if seg < len(starts) else ends[-1]) + off
+            last = first + (starts[gap + 1] - ends[gap] if gap >= 0 else 1) - 1
+            some = last >= first
+            made[some, i] = np.stack([np.full(some.sum(), name), first[some], last[some]], axis=1)
+        return _Ways(starts[0], ends[-1], np.full(n, spec, np.int32), taken, made)
+
+    def ways(self, vid: int, role: str) -> _Ways:
+        if (vid, role) not in self.known:
+            found = [self.form(*f) for f in self.m.forms[vid, role]]
+            whole = _Ways(*[np.concatenate([getattr(w, f) for w in found]) for f in ("start", "end", "spec")], _stack([w.path for w in found], 0), _stack([w.caps for w in found], -1))
+            if role == "left":  # the best one that ends at a place
+                whole = whole.take(_first_of([whole.end], [-whole.spec, -whole.start, *_columns(whole.path)]))
+            elif role == "right":  # the best one that begins there
+                whole = whole.take(_first_of([whole.start], [-whole.spec, -whole.end, *[-c for c in _columns(whole.path)]]))
+            self.known[vid, role] = whole
+        return self.known[vid, role]
+
+    def found(self) -> Found:
+        made = []
+        for vid, left_boundary, right_boundary, absorb, has_left, has_right, left_of, right_of in self.m.variants:
+            core = self.ways(vid, "core")
+            ok = core.end > core.start
+            for boundary, side in ((left_boundary, self.kind[core.start - 1]), (right_boundary, self.kind[core.end])):
+                if boundary is not None:
+                    ok &= side >= (KINDS["clause"] if boundary == "clause" else KINDS["sentence"])
+            core = core.take(ok)
+            context = np.full(len(core.start), sum(b is not None for b in (left_boundary, right_boundary)), np.int32)
+            token_start, caps = core.start, [core.caps]
+            if has_left:
+                best = self.ways(left_of, "left")
+                rows = self._among(core.start, best.end)
+                core, context = core.take(rows), context[rows]
+                best = best.take(np.searchsorted(best.end, core.start))
+                context, caps, token_start = context + best.spec, [best.caps, core.caps], best.start
+            if has_right:
+                best = self.ways(right_of, "right")
+                rows = self._among(core.end, best.start)
+                core, context, caps, token_start = core.take(rows), context[rows], [c[rows] for c in caps], token_start[rows]
+                best = best.take(np.searchsorted(best.start, core.end))
+                context, caps = context + best.spec, [*caps, best.caps]
+            joined = np.concatenate(caps, axis=1)
+            if joined.shape[1]:
+                order = np.argsort(joined[:, :, 0] < 0, axis=1, kind="stable")
+                joined = np.take_along_axis(joined, order[:, :, None], axis=1)
+            token_start = token_start if absorb and has_left else core.start
+            rows = _first_of([token_start, core.end, core.spec, context, *_columns(joined.reshape(len(joined), 3 * joined.shape[1]))], [core.start, *_columns(core.path)])
+            made.append(Found(np.full(len(rows), vid, np.int32), token_start[rows], core.end[rows] - 1, core.spec[rows], context[rows], core.start[rows], core.path[rows], joined[rows]))
+        flat = {f: np.concatenate([getattr(x, f) for x in made]) for f in ("vid", "token_start", "token_end", "core", "context", "start")}
+        return Found(**flat, path=_stack([x.path for x in made], 0), caps=_stack([x.caps for x in made], -1))
+
+
+def captures_array(matcher: Matcher, caps: np.ndarray, base: np.ndarray) -> pa.Array:
+    """Captures as lists; base has each match's document's first place."""
+    taken = caps[:, :, 0] >= 0
+    flat = caps[taken]
+    less = np.broadcast_to(base[:, None], taken.shape)[taken]
+    names = pa.array(matcher.names, pa.string()).take(pa.array(flat[:, 0]))
+    fields = [pa.field("name", pa.string()), pa.field("token_start", pa.int32()), pa.field("token_end", pa.int32())]
+    items = pa.StructArray.from_arrays([names, pa.array((flat[:, 1] - less).astype(np.int32)), pa.array((flat[:, 2] - less).astype(np.int32))], fields=fields)
+    return pa.ListArray.from_arrays(ragged(taken.sum(axis=1)), items)
+
+
+def ids_of(table: pa.Table, places: Places, doc: np.ndarray) -> pa.Array:
+    """doc_id of documents by their number."""
+    return table.column("doc_id").take(pa.array(places.first_row[doc])).combine_chunks()
+
+
+def coded(tokens: DataFrame, matcher: Matcher, *more: str) -> DataFrame:
+    """doc_id, position and the columns of a pass."""
+    return tokens.select("doc_id", F.col("position").cast("int").alias("position"), *dict.fromkeys([*matcher.fields, *more]), kind())
+
+
+def candidates(tokens: DataFrame, catalog: Compiled, ordered: bool = False) -> DataFrame:
+    """Every distinct match with its evidence; `discovery` is the order of search, `identity` the order of listing.
+
+    ordered: each document's rows stand together and in order, as ordered_tokens() makes them; they need not move.
     """
-    spark = tokens.sparkSession
-    placed = places(tokens)
-    empty = catalog.empty_seg
-    if empty is not None:
-        placed = shared(placed)
-        every = gaps_between(placed)
-    segs = catalog.table(spark, "segs").withColumn("empty", F.col("seg") == F.lit(-1 if empty is None else empty))
-    segs = _small(segs, len(catalog.segs))
-    found = segment_hits(step_hits(placed, catalog), catalog).join(segs.filter("not empty").drop("length", "empty"), "seg")
-    forms = _small(catalog.table(spark, "forms"), len(catalog.forms))
-    counts = forms.select("form", "n_segs")
-    wide = F.explode(F.sequence("gap_min", "gap_max")).alias("width")
-    columns = ["doc_id", "form", "start", "end", "before", "behind", "pre", "starts", "ends"]
-
-    def begin(k: int) -> DataFrame:
-        """States of the forms whose first segment with steps that needs no other start is segment k."""
-        first = found.filter(F.col("seg_no") == k)
-        if k == 0:
-            return first.select("doc_id", "form", "start", "end", "before", "behind", F.col("pre_end").alias("pre"), F.array("start").alias("starts"), F.array("end").alias("ends"))
-        wanted = _small(catalog.table(spark, "segs").filter((F.col("seg_no") == 0) & (F.col("seg") == F.lit(empty))).select("form"), len(catalog.segs))
-        led = first.join(wanted, "form").select("*", wide).withColumn("p", (F.col("start") - F.col("width")).cast("int"))
-        met = led.join(every, (F.col("doc_id") == F.col("at_doc")) & (F.col("p") == F.col("at")) & (F.col("pre_start") == F.col("at_pre")))
-        return met.select("doc_id", "form", F.col("p").alias("start"), "end", F.col("at_before").alias("before"), "behind", F.col("pre_end").alias("pre"), F.array("p", F.col("start").cast("int")).alias("starts"), F.array("p", F.col("end").cast("int")).alias("ends"))
-
-    by_form: dict[int, list[bool]] = {}
-    for form, seg_no, seg, *_ in sorted(catalog.segs):
-        by_form.setdefault(form, []).append(seg == empty)
-    led = [f for f, e in by_form.items() if e[0] and len(e) > 1 and not e[1]]
-    alone = [f for f, e in by_form.items() if e[0] and f not in led]
-    state, done = begin(0).select(*columns), []
-    if alone:
-        some = _small(spark.createDataFrame([(f,) for f in alone], "form int"), len(alone))
-        free = every.crossJoin(some)  # a few forms of the catalog
-        state = state.unionByName(free.select(F.col("at_doc").alias("doc_id"), "form", F.col("at").alias("start"), F.col("at").alias("end"), F.col("at_before").alias("before"), F.col("at_behind").alias("behind"), F.col("at_pre").alias("pre"), F.array("at").alias("starts"), F.array("at").alias("ends")))
-    for k in range(1, catalog.most_segs + 1):
-        if k == 2 and led:
-            state = state.unionByName(begin(1).select(*columns))
-        state = state.join(counts, "form")
-        done.append(state.filter(F.col("n_segs") == k).drop("n_segs"))
-        if k == catalog.most_segs:
-            break
-        going = state.filter(F.col("n_segs") > k).drop("n_segs")
-        following = segs.filter(F.col("seg_no") == k).select(F.col("form").alias("f"), "gap_min", "gap_max", "empty")
-        going = going.join(following, F.col("form") == F.col("f")).select(*columns, "empty", wide).withColumn("next", (F.col("end") + F.col("width")).cast("int"))
-        after = found.filter(F.col("seg_no") == k).select(F.col("doc_id").alias("d"), F.col("form").alias("f"), F.col("start").alias("s"), F.col("end").alias("e"), F.col("behind").alias("then"), "pre_start", F.col("pre_end").alias("through"))
-        full = going.filter("not empty").join(after, (F.col("doc_id") == F.col("d")) & (F.col("form") == F.col("f")) & (F.col("next") == F.col("s")) & (F.col("pre") == F.col("pre_start")))
-        full = full.select("doc_id", "form", "start", F.col("e").alias("end"), "before", F.col("then").alias("behind"), F.col("through").alias("pre"), F.array_append("starts", F.col("next")).alias("starts"), F.array_append("ends", F.col("e").cast("int")).alias("ends"))
-        if any(len(e) > k and e[k] for e in by_form.values()):
-            bare = going.filter("empty").join(every, (F.col("doc_id") == F.col("at_doc")) & (F.col("next") == F.col("at")) & (F.col("pre") == F.col("at_pre")))
-            full = full.unionByName(bare.select("doc_id", "form", "start", F.col("next").alias("end"), "before", F.col("at_behind").alias("behind"), "pre", F.array_append("starts", F.col("next")).alias("starts"), F.array_append("ends", F.col("next")).alias("ends")))
-        state = full.select(*columns)
-    whole = reduce(DataFrame.unionByName, done).join(forms, "form")
-    gap = lambda k: F.element_at("starts", k + 2) - F.element_at("ends", k + 1)  # noqa: E731  width of gap k (from 0)
-    path = F.transform("path", lambda x: F.when(x < 0, gap(-x - 1)).otherwise(x))
-
-    def capture(c: Column) -> Column:
-        first = F.element_at("starts", c["seg"] + 1) + c["off"]
-        wide = F.when(c["gap"] >= 0, gap(c["gap"])).otherwise(1)
-        return F.struct(c["name"].alias("name"), first.cast("int").alias("token_start"), (first + wide - 1).cast("int").alias("token_end"))
-
-    caps = F.filter(F.transform("caps", capture), lambda c: c["token_end"] >= c["token_start"])
-    return whole.select("doc_id", "vid", "role", "start", "end", "before", "behind", "spec", path.alias("path"), caps.cast(CAPTURES).alias("captures"))
-
-
-def candidates(tokens: DataFrame, catalog: Compiled) -> DataFrame:
-    """Every distinct match with its evidence; `discovery` is the order of search, `identity` the order of listing."""
-    spark = tokens.sparkSession
-    found = shared(sequences(tokens, catalog))
-    variants = _small(catalog.table(spark, "variants"), len(catalog.variants))
-    core = found.filter("role = 'core' and end > start").join(variants, "vid")
-    core = core.filter(_holds("left_boundary", "before") & _holds("right_boundary", "behind"))
-    none = F.array().cast(CAPTURES)
-    core = core.select("*", F.lit(0).alias("left_spec"), none.alias("left_caps"), F.col("start").alias("left_start"), F.lit(0).alias("right_spec"), none.alias("right_caps"))
-    if any(v[20] for v in catalog.variants):
-        best = Window.partitionBy("doc_id", "vid", "end").orderBy(F.col("spec").desc(), F.col("start").desc(), F.col("path").asc())
-        core = _with_context(core, found.filter("role = 'left'"), best, "left", "end", "start")
-    if any(v[21] for v in catalog.variants):
-        best = Window.partitionBy("doc_id", "vid", "start").orderBy(F.col("spec").desc(), F.col("end").desc(), F.col("path").desc())
-        core = _with_context(core, found.filter("role = 'right'"), best, "right", "start", "end")
-    made = core.select(
+    spark, matcher = tokens.sparkSession, Matcher(catalog)
+    lengths = np.array([max(len(f[2]) for f in matcher.forms[v[0], "core"]) for v in matcher.variants])
+
+    def work(table, places):
+        found = matcher.find(table, places)
+        doc = places.doc(found.start)
+        base = places.base[doc]
+        numbers = [found.token_start - base, found.token_end - base, found.core, found.context, found.start - base]
+        taken = np.arange(found.path.shape[1]) < lengths[found.vid][:, None]
+        path = pa.ListArray.from_arrays(ragged(taken.sum(axis=1)), pa.array(found.path[taken].astype(np.int32)))
+        made = [ids_of(table, places, doc), pa.array(found.vid), *[pa.array(x.astype(np.int32)) for x in numbers], path, captures_array(matcher, found.caps, base)]
+        return pa.RecordBatch.from_arrays(made, names=["doc_id", "vid", "token_start", "token_end", "core_specificity", "context_specificity", "start", "path", "captures"])
+
+    schema = schema_of(tokens, f"vid int, token_start int, token_end int, core_specificity int, context_specificity int, start int, path array<int>, captures {CAPTURES}")
+    found = run(coded(tokens if ordered else in_order(tokens), matcher), work, schema)
+    made = found.join(_small(catalog.table(spark, "variants"), len(catalog.variants)), "vid").select(
         "doc_id", "rule_id", "variant_id", "rule_name", "jlpt", "meaning_en", "hint", "sense_id", "ambiguity_group",
         F.struct(F.col("source_id").alias("id"), F.col("source_label").alias("label")).alias("source"),
-        F.concat("left_caps", "captures", "right_caps").alias("captures"),
-        F.when(F.col("absorb"), F.col("left_start")).otherwise(F.col("start")).cast("int").alias("token_start"),
-        (F.col("end") - 1).cast("int").alias("token_end"),
-        "fallback",
-        F.col("spec").alias("core_specificity"),
-        (F.col("left_spec") + F.col("right_spec") + F.col("left_boundary").isNotNull().cast("int") + F.col("right_boundary").isNotNull().cast("int")).alias("context_specificity"),
-        "priority", "wildcard_steps", "optional_steps",
+        "captures", "token_start", "token_end", "fallback", "core_specificity", "context_specificity", "priority", "wildcard_steps", "optional_steps",
         F.struct("rule_ord", "variant_ord", "start", "path").alias("discovery"),
     )
-    same = ["doc_id", "rule_id", "variant_id", "token_start", "token_end", "captures", "fallback", "core_specificity", "context_specificity", "priority", "wildcard_steps", "optional_steps"]
-    first = made.withColumn("__n", F.row_number().over(Window.partitionBy(*same).orderBy("discovery"))).filter("__n = 1").drop("__n")
-    return first.withColumn("identity", F.struct("token_start", "token_end", "rule_id", "variant_id", "core_specificity", "context_specificity", "wildcard_steps", "optional_steps", "discovery"))
-
-
-def _holds(boundary: str, side: str) -> Column:
-    """Whether a boundary assertion holds; the edges of a text satisfy any."""
-    least = F.when(F.col(boundary) == "clause", KINDS["clause"]).otherwise(KINDS["sentence"])
-    return F.col(boundary).isNull() | (F.col(side) >= least)
-
-
-def _with_context(core: DataFrame, found: DataFrame, best: Window, side: str, meets: str, other: str) -> DataFrame:
-    """Cores with the best context of their variant that adjoins them; cores that need one and have none go."""
-    top = found.withColumn("__n", F.row_number().over(best)).filter("__n = 1")
-    top = top.select(F.col("doc_id").alias("d"), F.col("vid").alias("v"), F.col(meets).alias("m"), F.col(other).alias("o"), F.col("spec").alias("s"), F.col("captures").alias("c"))
-    free, bound = core.filter(~F.col(f"has_{side}")), core.filter(F.col(f"has_{side}"))
-    edge = "start" if side == "left" else "end"
-    met = bound.join(top, (F.col("doc_id") == F.col("d")) & (F.col(f"{side}_of") == F.col("v")) & (F.col(edge) == F.col("m")))
-    new = {f"{side}_spec": F.col("s"), f"{side}_caps": F.col("c")} | ({"left_start": F.col("o")} if side == "left" else {})
-    return free.unionByName(met.withColumns(new).select(*core.columns))
+    return made.withColumn("identity", F.struct("token_start", "token_end", "rule_id", "variant_id", "core_specificity", "context_specificity", "wildcard_steps", "optional_steps", "discovery"))
 
 
 # ---------------------------------------------------------------------------------------------------
