@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..sources.catalog import FIELDS, Compiled
-from .ordered import Places, in_order, ragged, run, schema_of
+from .ordered import KINDS, Batch, Tokens, ragged
 
 CAPTURES = "array<struct<name:string,token_start:int,token_end:int>>"
 #: Rows of a catalog table up to which it is broadcast; a catalog does not grow with the data.
@@ -29,15 +29,6 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-#: Kinds of a neighbouring token: no mark, a clause mark, a sentence mark, or the edge of the text.
-KINDS = {"word": 0, "clause": 1, "sentence": 2, "edge": 3}
-
-
-def kind() -> Column:
-    found = F.when(P.sentence_mark(F.col("surface")), KINDS["sentence"]).when(P.clause_mark(F.col("surface")), KINDS["clause"])
-    return found.otherwise(KINDS["word"]).alias("__kind")
-
-
 @dataclass
 class Found:
     """Matches of a batch, an entry for each: places (start is the core's), path and captures as padded rows.
@@ -107,22 +98,23 @@ class Matcher:
             self.forms.setdefault((vid, role), []).append((segs[form], spec, path, [(self.names.index(n), s, o, g) for n, s, o, g in caps]))
         self.variants = [(v[0], v[15], v[16], v[17], v[20], v[21], v[22], v[23]) for v in catalog.variants]
 
-    def find(self, table: pa.Table, places: Places) -> Found:
-        return _Batch(self, table, places).found()
+    @property
+    def needs(self) -> list[str]:
+        """The columns of token rows that are read."""
+        return [*self.fields, "__kind"]
+
+    def find(self, batch: Batch) -> Found:
+        return _Search(self, batch).found()
 
 
-class _Batch:
-    def __init__(self, matcher: Matcher, table: pa.Table, places: Places):
-        self.m, self.places = matcher, places
-        self.kind = places.spread(table.column("__kind").to_numpy(), KINDS["edge"])
+class _Search:
+    def __init__(self, matcher: Matcher, batch: Batch):
+        self.m, self.places = matcher, batch.places
+        places = self.places
+        self.kind = places.spread(batch.code("kind"), KINDS["edge"])
         counted = np.cumsum(self.kind > 0)
         self.pre = np.concatenate([[0], counted[:-1]])
-        codes = {}
-        for f in matcher.fields:
-            coded = pc.dictionary_encode(table.column(f).combine_chunks())
-            coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
-            known = {v: i for i, v in enumerate(coded.dictionary.to_pylist())}
-            codes[f] = (known, pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False))
+        codes = {f: batch.field(f) for f in matcher.fields}
         self.hits: dict[int, np.ndarray] = {}
         for pred, fields in matcher.conjunctions:
             if not all(v in codes[f][0] for f, v in fields):
@@ -251,36 +243,22 @@ def captures_array(matcher: Matcher, caps: np.ndarray, base: np.ndarray) -> pa.A
     return pa.ListArray.from_arrays(ragged(taken.sum(axis=1)), items)
 
 
-def ids_of(table: pa.Table, places: Places, doc: np.ndarray) -> pa.Array:
-    """doc_id of documents by their number."""
-    return table.column("doc_id").take(pa.array(places.first_row[doc])).combine_chunks()
-
-
-def coded(tokens: DataFrame, matcher: Matcher, *more: str) -> DataFrame:
-    """doc_id, position and the columns of a pass."""
-    return tokens.select("doc_id", F.col("position").cast("int").alias("position"), *dict.fromkeys([*matcher.fields, *more]), kind())
-
-
-def candidates(tokens: DataFrame, catalog: Compiled, ordered: bool = False) -> DataFrame:
-    """Every distinct match with its evidence; `discovery` is the order of search, `identity` the order of listing.
-
-    ordered: each document's rows stand together and in order, as ordered_tokens() makes them; they need not move.
-    """
-    spark, matcher = tokens.sparkSession, Matcher(catalog)
+def candidates(tokens: DataFrame | Tokens, catalog: Compiled) -> DataFrame:
+    """Every distinct match with its evidence; `discovery` is the order of search, `identity` the order of listing."""
+    tokens = tokens if isinstance(tokens, Tokens) else Tokens.of_rows(tokens)
+    spark, matcher = tokens.df.sparkSession, Matcher(catalog)
     lengths = np.array([max(len(f[2]) for f in matcher.forms[v[0], "core"]) for v in matcher.variants])
 
-    def work(table, places):
-        found = matcher.find(table, places)
-        doc = places.doc(found.start)
-        base = places.base[doc]
+    def work(batch):
+        found = matcher.find(batch)
+        doc = batch.places.doc(found.start)
+        base = batch.places.base[doc]
         numbers = [found.token_start - base, found.token_end - base, found.core, found.context, found.start - base]
         taken = np.arange(found.path.shape[1]) < lengths[found.vid][:, None]
         path = pa.ListArray.from_arrays(ragged(taken.sum(axis=1)), pa.array(found.path[taken].astype(np.int32)))
-        made = [ids_of(table, places, doc), pa.array(found.vid), *[pa.array(x.astype(np.int32)) for x in numbers], path, captures_array(matcher, found.caps, base)]
-        return pa.RecordBatch.from_arrays(made, names=["doc_id", "vid", "token_start", "token_end", "core_specificity", "context_specificity", "start", "path", "captures"])
+        return [batch.ids.take(pa.array(doc)), pa.array(found.vid), *[pa.array(x.astype(np.int32)) for x in numbers], path, captures_array(matcher, found.caps, base)]
 
-    schema = schema_of(tokens, f"vid int, token_start int, token_end int, core_specificity int, context_specificity int, start int, path array<int>, captures {CAPTURES}")
-    found = run(coded(tokens if ordered else in_order(tokens), matcher), work, schema)
+    found = tokens.run(work, f"vid int, token_start int, token_end int, core_specificity int, context_specificity int, start int, path array<int>, captures {CAPTURES}", matcher.needs)
     made = found.join(_small(catalog.table(spark, "variants"), len(catalog.variants)), "vid").select(
         "doc_id", "rule_id", "variant_id", "rule_name", "jlpt", "meaning_en", "hint", "sense_id", "ambiguity_group",
         F.struct(F.col("source_id").alias("id"), F.col("source_label").alias("label")).alias("source"),
