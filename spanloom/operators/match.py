@@ -287,8 +287,9 @@ def resolve(found: DataFrame) -> DataFrame:
     for each ambiguity group.
 
     Equality by rule or sense is not transitive, so the second step is a fold over a span's candidates in their
-    listing order; a span has at most as many as the catalog has variants.
+    listing order; a span has at most as many as the catalog has variants. Candidates are shuffled once, by document.
     """
+    found = found.repartition("doc_id")
     occurrence = Window.partitionBy("doc_id", "rule_id", "variant_id", "token_start").orderBy("discovery")
     first = found.withColumn("__n", F.row_number().over(occurrence)).filter("__n = 1").drop("__n")
     columns = [c for c in first.columns if c not in ("doc_id", "identity")]
