@@ -135,6 +135,12 @@ class Ranked:
     provenance: tuple[np.ndarray, np.ndarray]  # vids, and how many each match has
     cover: np.ndarray  # of each place, the primary match there; -1 is none
 
+    def shown(self) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the primary and of the secondary ones, in the order in which they are shown."""
+        own = self.by == np.arange(len(self.by))
+        primary, second = np.flatnonzero(own), np.flatnonzero(~own)
+        return primary[np.argsort(self.start[primary])], second[np.lexsort([self.among[second], self.end[second], self.start[second]])]
+
 
 class Ranker:
     """Ranking for passes; it goes to the workers."""
@@ -153,6 +159,7 @@ class Ranker:
         self.name = np.array([list(dict.fromkeys(names)).index(n) for n in names])
         self.source = np.array([place(sources)[s] for s in sources])
         self.fallback, self.priority, self.wild, self.optional, self.level = (column(c) for c in ("fallback", "priority", "wildcard_steps", "optional_steps", "level"))
+        self.rule_names = [r["rule_name"] for r in rows]
         self.sources = [{"source": {"id": r["source_id"], "label": r["source_label"]}, "rule_id": r["rule_id"], "variant_id": r["variant_id"]} for r in rows]
 
     @property
@@ -231,6 +238,11 @@ _SOURCE = "struct<source:struct<id:string,label:string>,rule_id:string,variant_i
 _NUMBERS = ("vid", "n", "token_start", "token_end", "rank", "core_specificity", "context_specificity", "by_n", "by_start", "by_end", "among", "sentence1", "bunsetsu1", "sentence2", "bunsetsu2")
 
 
+def match_ids(start: np.ndarray, end: np.ndarray, n: np.ndarray) -> list[str]:
+    """match_id() of positions."""
+    return [f"match-{s}-{e}" if not k else f"match-{s}-{e}-{k}" for s, e, k in zip(start.tolist(), end.tolist(), n.tolist())]
+
+
 def match_id(start: str, end: str, n: str) -> Column:
     base = F.format_string("match-%d-%d", start, end)
     return F.when(F.col(n) == 0, base).otherwise(F.concat(base, F.lit("-"), F.col(n).cast("string")))
@@ -293,7 +305,7 @@ def cover(tokens: Tokens, catalog: Compiled) -> DataFrame:
         # Each match's id is made once; tokens take it by number.
         kept = np.flatnonzero(r.by == np.arange(len(r.by)))
         base = places.base[r.doc[kept]]
-        ids = [f"match-{s}-{e}" if not n else f"match-{s}-{e}-{n}" for s, e, n in zip((r.start[kept] - base).tolist(), (r.end[kept] - base).tolist(), r.n[kept].tolist())]
+        ids = match_ids(r.start[kept] - base, r.end[kept] - base, r.n[kept])
         number = np.full(len(at), len(kept))
         number[some] = np.searchsorted(kept, at[some])
         owner = pa.array([*ids, "root"], pa.string()).take(pa.array(number))

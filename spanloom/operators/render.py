@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions.text import display_width, dot_escape
+from ..sources.catalog import Compiled
+from . import tree
+from .ordered import Tokens, ragged
+from .rank import Ranker
 from .tokens import FEATURES
 
 
@@ -70,6 +77,64 @@ def outline(a) -> DataFrame:
     return all_.select("doc_id", number.alias("line_number"), line.alias("line"))
 
 
+def digits(numbers: np.ndarray) -> pa.Array:
+    return pa.array(numbers.astype(np.int32)).cast(pa.string())
+
+
+def lists(counts: np.ndarray, values: pa.Array, separator: str) -> pa.Array:
+    """Runs of values, joined."""
+    return pc.binary_join(pa.ListArray.from_arrays(ragged(counts), values), separator)
+
+
+def gathered(size: int, at: np.ndarray, values: list[str], separator: str) -> pa.Array:
+    """Of each number below size, the values that are at it, joined in their order; empty if none is."""
+    found: dict[int, list[str]] = {}
+    for k, v in zip(at.tolist(), values):
+        found.setdefault(k, []).append(v)
+    place = np.zeros(size, np.int32)
+    place[np.array(list(found), np.int64)] = np.arange(1, len(found) + 1)
+    return pa.array(["", *map(separator.join, found.values())], pa.string()).take(pa.array(place))
+
+
+def interleaved(rows: list[np.ndarray], values: list[pa.Array]) -> pa.Array:
+    """Values at their rows, which are all numbers up to the last."""
+    place = np.empty(sum(map(len, rows)), np.int64)
+    place[np.concatenate(rows)] = np.arange(len(place))
+    return pa.concat_arrays(values).take(pa.array(place))
+
+
+def outlines(tokens: Tokens, catalog: Compiled) -> DataFrame:
+    """outline() of the ranked matches and trees of documents, in a pass: nothing is shuffled or kept."""
+    ranker = Ranker(tokens.df.sparkSession, catalog)
+
+    def work(batch):
+        found, phrases, r = ranker.find(batch)
+        trees, surface = tree.Trees(batch, phrases), batch.strings("surface")
+        primary, second = r.shown()
+        names = [ranker.rule_names[v] for v in found.vid[r.best[primary]].tolist()]
+        told = gathered(len(trees.level), trees.around(r.start[primary], r.end[primary]), names, ", ")
+        more = np.bincount(trees.around(r.start[second], r.end[second]), minlength=len(trees.level))
+        rows, lines = [np.flatnonzero(trees.level == level) for level in range(len(tree.KINDS))], []
+        for level, at in enumerate(rows):
+            parts = ["  " * level + tree.KINDS[level].ljust(8) + " [", digits(trees.position[at]), "..=", digits(trees.last[at]), "] "]
+            if level == tree.TOKEN:
+                parts.append(surface)
+            else:
+                names, n = told.take(pa.array(at)), more[at]
+                parts.append(lists(trees.end[at] - trees.start[at] + 1, surface, ""))
+                parts.append(pc.if_else(pc.equal(names, ""), "", pc.binary_join_element_wise("  ⟨", names, "⟩", "")))
+                parts.append(pc.if_else(pa.array(n == 0), "", pc.binary_join_element_wise("  (+", digits(n), " secondary)", "")))
+            lines.append(pc.binary_join_element_wise(*parts, ""))
+        number = np.arange(len(trees.level)) - trees.root[trees.doc] + 1
+        return [batch.ids.take(pa.array(trees.doc)), pa.array(number.astype(np.int32)), interleaved(rows, lines)]
+
+    def bare(batch):
+        n = len(batch.bare)
+        return [batch.bare, pa.array(np.ones(n, np.int32)), pa.array(["document [--] "] * n, pa.string())]
+
+    return tokens.run(work, "line_number int, line string", ["surface", *ranker.needs], bare=bare).filter("doc_id IS NOT NULL")
+
+
 def token_owners(tokens: DataFrame, matches: DataFrame) -> DataFrame:
     """(doc_id, position, owner): the first match in rank order that covers a token, or root."""
     covered = matches.select("doc_id", "id", "rank", F.explode(F.sequence("token_start", "token_end")).alias("position"))
